@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import near_dedup
+from trailmark.llm import licenses, near_dedup, quality_rules
 from trailmark.session import table
 
 
@@ -13,7 +13,22 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in all documents."""
+    return licenses.license_scan(spark, table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality statistics and verdicts of all documents; cutoffs from the labelled ones."""
+    return quality_rules.quality_rules(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
+    "op5_license_scan": op5_license_scan,
+    "op10_quality_rules": op10_quality_rules,
+}
+ORACLE_SQL = {
+    "op5_license_scan": licenses.oracle_sql(),
+    "op10_quality_rules": quality_rules.oracle_sql(),
 }
-ORACLE_SQL: dict = {}
