@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trailmark.llm import licenses, near_dedup, quality_rules
+from trailmark.llm import language_id, licenses, near_dedup, packing, quality_rules
 from trailmark.session import table
 
 
@@ -13,11 +15,28 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def held_out() -> Column:
+    """True for the documents that no language model may learn from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(spark, docs.filter(~held_out()))
+    return language_id.identify(spark, docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices in all documents."""
     return licenses.license_scan(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens with the sources in the proportions of the corpus."""
+    return packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality statistics and verdicts of all documents; cutoffs from the labelled ones."""
     return quality_rules.quality_rules(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -25,7 +44,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
+    "op3_language_id": op3_language_id,
     "op5_license_scan": op5_license_scan,
+    "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL = {
