@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import language_id, licenses, near_dedup, packing, quality_rules
+from trailmark.llm import cotraining, decontaminate, language_id, licenses, near_dedup, packing, quality_rules
 from trailmark.session import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold half of a benchmark item's words, or more, in common passages."""
+    return decontaminate.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents, over two-word shingles."""
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"), k=2, percent=80)
@@ -27,6 +32,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(spark, docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by two co-trained views."""
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.fit(spark, docs, table(spark, sf_dir, "labels"))
+    return cotraining.classify(spark, docs.select("doc_id", "text", "source", "lang"), model).drop("text", "source", "lang")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and notices in all documents."""
     return licenses.license_scan(spark, table(spark, sf_dir, "documents"))
@@ -43,8 +55,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
     "op3_language_id": op3_language_id,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_license_scan": op5_license_scan,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
