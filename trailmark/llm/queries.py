@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import cotraining, decontaminate, language_id, licenses, near_dedup, packing, quality_rules
+from trailmark.llm import cotraining, decontaminate, language_id, licenses, near_dedup, packing, quality_rules, sharding, warc
 from trailmark.session import table
 
 
@@ -44,6 +44,16 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document after four arrivals and a compaction."""
+    return sharding.shard(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages."""
+    return warc.page_derivatives(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens with the sources in the proportions of the corpus."""
     return packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -60,6 +70,8 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_license_scan": op5_license_scan,
+    "op6_sharding": op6_sharding,
+    "op7_warc": op7_warc,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
