@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import cotraining, decontaminate, language_id, licenses, near_dedup, packing, quality_rules, sharding, warc
+from trailmark.llm import cotraining, decontaminate, html_extract, language_id, licenses, near_dedup, packing, quality_rules, sharding, warc
 from trailmark.session import table
 
 
@@ -54,6 +54,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_derivatives(table(spark, sf_dir, "pages"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.main_texts(spark, table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens with the sources in the proportions of the corpus."""
     return packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -72,6 +77,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_sharding": op6_sharding,
     "op7_warc": op7_warc,
+    "op8_html_extraction": op8_html_extraction,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
