@@ -26,6 +26,7 @@ PERMUTATIONS = 144
 ROWS = 6
 BANDS = 48
 PIVOTS = 16
+SMALL, ROWS_A_TASK = 200_000, 25_000
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _C = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32)
@@ -105,61 +106,84 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, label) for each node of the edges (a, b): the smallest node that it reaches.
+class _Graph:
+    """Connected components of links that come in batches; labels are kept for nodes with a link.
 
-    Every node hooks to its smallest neighbour, chains are shortened by pointer jumping, the graph is contracted, and so
-    on until no edge is left; each step is written to the workspace, so that neither lineage nor driver grows.
+    Tables of up to `SMALL` rows (counted) are broadcast in its joins and written by few tasks; larger ones are shuffled.
     """
-    labels = None
-    edges = materialize(spark, edges.filter("a != b").distinct(), "edges")
-    while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        parent = materialize(spark, both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("up")), "hook")
-        while True:
-            upper = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = materialize(spark, parent.join(upper, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "jump")
-            release(spark, parent)
-            parent = jumped.drop("moved")
-            parent._trailmark_path = jumped._trailmark_path
-            if jumped.filter("moved").isEmpty():
-                break
-        old = labels
-        if labels is None:
-            labels = materialize(spark, parent.select("node", F.col("up").alias("label")), "labels")
-        else:
-            moved = parent.select(F.col("node").alias("label"), "up")
-            labels = materialize(spark, labels.join(moved, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
-        nxt = (
-            edges.join(parent.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a")
-            .join(parent.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b")
-            .select(F.col("ua").alias("a"), F.col("ub").alias("b"))
-            .filter("a != b")
-            .distinct()
-        )
-        nxt = materialize(spark, nxt, "edges")
-        release(spark, edges, parent, *([old] if old is not None else []))
-        edges = nxt
-    release(spark, edges)
-    if labels is None:
-        labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        return spark.createDataFrame([], labels.schema)
-    return labels
-
-
-def _joined(spark: SparkSession, labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels after more links: the links between labels are a graph of its own."""
-    if labels is None:
-        return components(spark, links)
-    la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    lifted = links.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    more = components(spark, lifted)
-    known = labels.join(more.select(F.col("node").alias("label"), F.col("label").alias("up")), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
-    fresh = more.join(labels.select("node"), "node", "left_anti").select("node", "label")
-    out = materialize(spark, known.unionByName(fresh), "labels")
-    release(spark, labels, more)
-    return out
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.labels, self.count = spark, None, 0
+
+    def _small(self, df: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(df) if rows <= SMALL else df
+
+    def _put(self, df: DataFrame, name: str, most: int) -> tuple[DataFrame, int]:
+        """Write a table of at most `most` rows and count it."""
+        if most <= SMALL:
+            df = df.coalesce(max(1, -(-most // ROWS_A_TASK)))
+        out = materialize(self.spark, df, name)
+        return out, out.count()
+
+    def label(self, df: DataFrame, node: str, out: str) -> DataFrame:
+        """`df` with the label of column `node`: itself if it has no link yet."""
+        if self.labels is None:
+            return df.withColumn(out, F.col(node))
+        known = self._small(self.labels.select(F.col("node").alias(node), F.col("label").alias("_label")), self.count)
+        return df.join(known, node, "left").withColumn(out, F.coalesce("_label", node)).drop("_label")
+
+    def add(self, links: DataFrame, most: int) -> None:
+        """Take in links (a, b), at most `most` of them."""
+        lifted = self.label(self.label(links, "a", "la"), "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a != b").distinct()
+        edges, n = self._put(lifted, "edges", most)
+        moved, nodes = self._components(edges, n)
+        if moved is None:
+            return
+        old = self.labels
+        up = self._small(moved.select(F.col("node").alias("label"), F.col("label").alias("up")), nodes)
+        fresh = moved
+        if old is not None:
+            fresh = moved.join(self._small(old.select("node"), self.count), "node", "left_anti")
+            known = old.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"))
+            fresh = known.unionByName(fresh.select("node", "label"))
+        self.labels, self.count = self._put(fresh.select("node", "label"), "labels", self.count + nodes)
+        release(self.spark, moved, *([old] if old is not None else []))
+
+    def _components(self, edges: DataFrame, n: int) -> tuple[DataFrame | None, int]:
+        """(node, label) for each node of the edges: the smallest node that it reaches.
+
+        Every node hooks to its smallest neighbour, chains are shortened by pointer jumping, the graph is contracted, and so
+        on until no edge is left; each step is written to the workspace, so that neither lineage nor driver grows.
+        """
+        labels, count = None, 0
+        while n:
+            both = edges.union(edges.select("b", "a"))
+            parent, nodes = self._put(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("up")), "hook", 2 * n)
+            while True:
+                upper = self._small(parent.select(F.col("node").alias("up"), F.col("up").alias("top")), nodes)
+                jumped, _ = self._put(parent.join(upper, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "jump", nodes)
+                release(self.spark, parent)
+                parent = jumped
+                if jumped.filter("moved").isEmpty():
+                    break
+            old = labels
+            if labels is None:
+                labels, count = self._put(parent.select("node", F.col("up").alias("label")), "labels", nodes)
+            else:
+                moved = self._small(parent.select(F.col("node").alias("label"), "up"), nodes)
+                labels, count = self._put(labels.join(moved, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels", count)
+            nxt = (
+                edges.join(self._small(parent.select(F.col("node").alias("a"), F.col("up").alias("ua")), nodes), "a")
+                .join(self._small(parent.select(F.col("node").alias("b"), F.col("up").alias("ub")), nodes), "b")
+                .select(F.col("ua").alias("a"), F.col("ub").alias("b"))
+                .filter("a != b")
+                .distinct()
+            )
+            contracted, left = self._put(nxt, "edges", n)
+            release(self.spark, edges, parent, *([old] if old is not None else []))
+            edges, n = contracted, left
+        release(self.spark, edges)
+        return labels, count
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -188,32 +212,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     wanted = members.select("doc_id").distinct()
     sets = materialize(spark, docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, items array<long>"), "sets")
 
+    graph = _Graph(spark)
+    known = pairs.count()
     # The smallest partner first: for most groups those links alone connect everything.
     nearest = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    labels = _joined(spark, None, _verified(nearest, sets, percent))
-    rest = _apart(pairs.join(nearest, ["a", "b"], "left_anti"), labels)
-    labels = _joined(spark, labels, _verified(rest, sets, percent))
+    graph.add(_verified(nearest, sets, percent), known)
+    rest = graph.label(graph.label(pairs, "a", "la"), "b", "lb").filter("la != lb").select("a", "b")
+    rest = rest.join(nearest, ["a", "b"], "left_anti")
+    graph.add(_verified(rest, sets, percent), known)
 
     # Members that were not compared with all others of their bucket: those of three and more.
-    open_ = members.filter("members > 2 and doc_id != first").select("bucket", "doc_id")
-    written = None
+    open_, written = members.filter("members > 2 and doc_id != first").select("bucket", "doc_id"), []
     while True:
-        labelled = open_.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+        labelled = graph.label(open_, "doc_id", "label")
         split = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
         left = materialize(spark, labelled.join(split, "bucket").select("bucket", "doc_id", "label"), "open")
-        if written is not None:
-            release(spark, written)
-        written = left
+        release(spark, *written)
         if left.isEmpty():
             break
         salt = F.pmod(F.xxhash64("doc_id", "bucket"), F.lit(PIVOTS))
         pivots = materialize(spark, left.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("doc_id", "label")).alias("p")).select("bucket", F.col("p.doc_id").alias("b"), F.col("p.label").alias("pivot_label")), "pivots")
         more = left.join(pivots, "bucket").filter("label != pivot_label").select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
-        labels = _joined(spark, labels, _verified(more, sets, percent))
+        more = materialize(spark, more, "pairs")
+        graph.add(_verified(more, sets, percent), more.count())
+        release(spark, more)
         open_ = left.select("bucket", "doc_id").join(pivots.select("bucket", F.col("b").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
-    release(spark, written, members, pairs, sets)
+        written = [left, pivots]
+    release(spark, left, members, pairs, sets)
 
-    named = classes.join(labels.select(F.col("node").alias("class_id"), "label"), "class_id", "left").select("h1", "h2", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("label"))
+    named = graph.label(classes, "class_id", "label")
     some = F.col("n_shingles") > 0
     own = F.col("doc_id")
     return (
@@ -222,10 +249,3 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
         .select("doc_id", "n_shingles", F.when(some & own.isNotNull(), F.col("label")).otherwise(own).alias("component_id"), F.when(some & own.isNotNull(), F.col("class_id")).otherwise(own).alias("class_id"))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(own == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")
     )
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose members have different labels."""
-    la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    lb = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    return pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
