@@ -1,6 +1,5 @@
 """All queries of the tracking engine and their SQL."""
 
-from __future__ import annotations
+from trailmark.plans.queries import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
