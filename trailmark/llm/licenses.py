@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmark.session import materialize
+
 # Phrases with their labels, and longer notices with theirs (words after lower-casing, punctuation apart).
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 NOTICES = (
@@ -54,7 +56,7 @@ def license_scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Repeated rows stay, each with its own text's values, whatever their doc_id. Other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("_t"), F.length(text).alias("_l"), F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)).alias("words"))
+    rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("_t"), F.length(text).alias("_l"), F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)).alias("words"))
     hashed = rows.withColumn("h", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
     exploded = hashed.select("_t", "_l", F.posexplode(F.concat(_grams("h", PHRASE_K), F.array(F.lit(None).cast("long")), _grams("h", NOTICE_K))).alias("place", "gram"), F.size("h").alias("n"))
     # The 2-grams come first, then a null, then the 4-grams: places of the latter start after both.
@@ -65,6 +67,7 @@ def license_scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
         .groupBy("_t", "_l", "template", "label", "phrase", "n_grams", (F.col("word") - F.col("at")).alias("diagonal"))
         .agg(F.collect_set("at").alias("ats"), F.min("word").alias("low"), F.max("word").alias("high"))
     )
+    votes = materialize(spark, votes, "votes")
     base = votes.filter(F.col("phrase") & (F.size("ats") == F.col("n_grams"))).select("_t", "_l", "label", F.col("diagonal").alias("start"), F.lit(1.0).alias("share"), "phrase")
     order = "PARTITION BY _t, _l, template ORDER BY diagonal"
     runs = (
