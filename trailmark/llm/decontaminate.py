@@ -152,6 +152,40 @@ def _scan(items: Items, covered: float):
     return run
 
 
+def _clean(items: Items, covered: float, at: int):
+    """Keeps the rows of which no item is covered."""
+
+    def run(batches):
+        for batch in batches:
+            for part in th.slices(batch):
+                words, first = _words(part.column(at))
+                leaked = set()
+                for t, o, n in items.hits(words, first):
+                    need = covered * len(items.words[o])
+                    if t not in leaked and (n + SEED - 1) * SEED >= need and sum(k for _, _, k in tiles(items.words[o], words[first[t] : first[t + 1]])) >= need:
+                        leaked.add(t)
+                yield part.filter(pa.array([i not in leaked for i in range(part.num_rows)], pa.bool_()))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, block_chars: int):
+    """The benchmark as Items of about `block_chars` characters, one block at a time."""
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    chars = bench.agg(F.sum(F.length("text"))).collect()[0][0] or 0
+    blocks = -(-chars // block_chars) or 1
+    for b in range(blocks):
+        part = bench.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
+        yield Items([r["item_id"] for r in part], [r["text"] for r in part])
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of `docs` (text and any other columns) that `contaminated` would not list; nothing is shuffled."""
+    for items in _blocks(benchmark, block_chars):
+        docs = docs.mapInArrow(_clean(items, covered, docs.columns.index("text")), docs.schema)
+    return docs
+
+
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document and benchmark item with `covered` of the item's words under tiles, at least.
 
@@ -160,13 +194,6 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cov
     rows and items give a row each. An empty benchmark or no documents give no row. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    chars = bench.agg(F.sum(F.length("text"))).collect()[0][0] or 0
-    blocks = -(-chars // block_chars) or 1
     schema = "doc_id long, item_id long, covered_words long, item_words long, n_tiles long, coverage double"
-    out = []
-    for b in range(blocks):
-        part = bench.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        items = Items([r["item_id"] for r in part], [r["text"] for r in part])
-        out.append(docs.mapInArrow(_scan(items, covered), schema))
+    out = [docs.mapInArrow(_scan(items, covered), schema) for items in _blocks(benchmark, block_chars)]
     return reduce(DataFrame.unionByName, out)

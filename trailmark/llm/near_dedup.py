@@ -249,3 +249,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
         .select("doc_id", "n_shingles", F.when(some & own.isNotNull(), F.col("label")).otherwise(own).alias("component_id"), F.when(some & own.isNotNull(), F.col("class_id")).otherwise(own).alias("class_id"))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(own == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")
     )
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` that near_duplicates keeps, one for each doc_id; rows with a null doc_id all stay."""
+    kept = near_duplicates(spark, docs, k, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.filter("doc_id is not null")
+    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
