@@ -45,7 +45,7 @@ def test_tiles_cover_as_the_plain_method():
 
 def test_planted_and_clean(spark):
     rng = random.Random(6)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    word = lambda: "".join(rng.choice("abcdéfgh") for _ in range(5))
     items = [(i, " ".join(word() for _ in range(rng.randint(15, 50)))) for i in range(30)]
     docs = []
     for d in range(200):

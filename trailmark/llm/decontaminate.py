@@ -15,6 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +30,8 @@ _SEPARATOR[128:] = False
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (ASCII letters and digits, and everything beyond ASCII; A-Z in lower case), and the first of each text."""
-    buf, offs = th.text_buffers(column)
+    """Hashes of all words (ASCII letters and digits, and everything beyond ASCII) in lower case, and the first of each text."""
+    buf, offs = th.text_buffers(pc.utf8_lower(column.cast(pa.large_string())))
     starts, ends, first = th.word_spans(buf, offs, _SEPARATOR)
     return th.word_hashes(buf, starts, ends), first
 
