@@ -84,6 +84,18 @@ def test_cached_words_give_the_same_ids():
         assert np.frombuffer(mine.ids([t])[0], mine.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_cached_words_on_random_strings():
+    import random
+
+    tok = Tokenizer.from_file(PATH)
+    mine = packing.CachedTokenizer(PATH)
+    rng = random.Random(4)
+    letters = "ab AZ'st09 .,*-_|\n\té\u0301ÉΣσİK½²ⅧⅫ…“”·\u00a0\u200b\u2003中あ가🙂=\u0338<>{}[]"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    for t, b in zip(texts, mine.ids(texts), strict=True):
+        assert np.frombuffer(b, mine.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_odd_rows(spark, odd, none):
     got = packing.pack(spark, odd, PATH).collect()
     assert sum(p.length for p in got if p.doc_id == 1) == 1 and sum(p.length for p in got if p.doc_id == 5) == 2 * next(p.doc_tokens for p in got if p.doc_id == 5)

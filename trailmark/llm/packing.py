@@ -14,6 +14,7 @@ go over buckets and then within one, so a hot source is spread over as many task
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_right
@@ -31,45 +32,54 @@ WINDOW = 4096
 END = 2
 QUEUES = 128
 BUCKET = 512
-CACHE_BYTES = 48 << 20
-_GAP = re.compile(r"[ \t\n\r]+")
+CACHE_BYTES = 96 << 20
+_WORD = re.compile(r"[^\W_İ]++(?=[!-&(-/:-@\[-`{-~])|[^ \t\n\r]+")
 _tokenizers: dict = {}
 
 
 class CachedTokenizer:
     """Token ids of texts by a `tokenizers` file whose pieces never span white space; equal words are encoded once.
 
-    Splitting at spaces, tabs and line ends first gives the same ids for tokenizers that drop white space; others
-    (spanning=True) encode whole texts.
+    Texts are cut at spaces, tabs and line ends, and where a letter or digit is followed by ASCII punctuation other than
+    an apostrophe; there such tokenizers always begin a new piece. Words not met before are encoded many to a string and told apart
+    by the tokens' offsets. Tokenizers of another kind (spanning=True) encode whole texts.
     """
 
     def __init__(self, path: str, spanning: bool = False) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are all in use
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spanning = Tokenizer.from_file(path), spanning
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}
         self.held = 0
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, words: list[str]) -> None:
+        for a in range(0, len(words), 512):
+            part = words[a : a + 512]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            lengths = np.fromiter(map(len, part), np.int64, len(part)) + 1
+            begins = np.array([o[0] for o in e.offsets], np.int64)
+            cuts = np.searchsorted(begins, np.concatenate([[0], np.cumsum(lengths)]))
+            ids = np.array(e.ids, self.dtype).tobytes()
+            cuts = (cuts * np.dtype(self.dtype).itemsize).tolist()
+            for w, i, j in zip(part, cuts[:-1], cuts[1:], strict=True):
+                self.cache[w] = ids[i:j]
+                self.held += len(w) + j - i + 200
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if self.spanning:
-            return self._encode(texts)
-        split = [_GAP.split(t) for t in texts]
-        cache = self.cache
-        new = list({w for ws in split for w in ws if w not in cache})
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for w, b in zip(part, self._encode(part), strict=True):
-                cache[w] = b
-                self.held += len(w) + len(b) + 120
-        out = [b"".join([cache[w] for w in ws]) for ws in split]
+            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if self.held > CACHE_BYTES:
-            cache.clear()
+            self.cache = {"": b""}
             self.held = 0
-        return out
+        get = self.cache.get
+        split = [_WORD.findall(t) for t in texts]
+        found = [list(map(get, ws)) for ws in split]
+        new = {w for ws, bs in zip(split, found, strict=True) if None in bs for w, b in zip(ws, bs, strict=True) if b is None}
+        if new:
+            self._learn(list(new))
+        return [b"".join(map(get, ws)) if None in bs else b"".join(bs) for ws, bs in zip(split, found, strict=True)]
 
 
 def tokenizer(path: str, spanning: bool = False) -> CachedTokenizer:
