@@ -27,7 +27,7 @@ NOTICES = (
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
 )
 PHRASE_K, NOTICE_K = 2, 4
-NEAR = 2
+NEAR = 4
 COVERED = 0.7
 #: Words of the text before lower-casing; the class is that of the contract with A-Z added.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
