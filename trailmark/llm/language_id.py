@@ -75,7 +75,7 @@ def _contexts(h: list[np.ndarray], n: int) -> np.ndarray:
     """The hash of the n - 1 characters before each position."""
     out = np.empty(len(h[0]), np.uint64)
     if len(out):
-        out[0] = 0
+        out[0] = _rolling(np.full(1, 32, np.uint64), n - 1)[n - 1][0]  # spaces come before the first one
         out[1:] = h[n - 1][:-1]
     return out
 
