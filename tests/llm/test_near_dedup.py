@@ -57,15 +57,13 @@ def test_against_all_pairs(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_open_buckets_are_compared_to_the_end(spark, monkeypatch):
-    """Few bands of one row: large buckets of unlike members, which only further pivots connect."""
-    rows = corpus(9)[:150]
-    monkeypatch.setattr(near_dedup, "PIVOTS", 2)
+def test_groups_of_many_blocks(spark, monkeypatch):
+    """Large groups are compared block by block, and tables beyond the broadcast limit are joined by shuffles."""
+    rows = corpus(9)
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
     monkeypatch.setattr(near_dedup, "SMALL", 10)
-    got = near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), k=2, percent=60).collect()
-    want = brute(rows, 2, 60)
-    wrong = sum((r.n_shingles, r.component_id) != want[r.doc_id] for r in got)
-    assert wrong <= 2  # 60 % lies below the threshold that the bands are made for
+    got = near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 2, 80)
 
 
 def test_odd_rows(spark, odd, none):

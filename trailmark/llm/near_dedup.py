@@ -5,11 +5,13 @@ largest image, so 288 values cost 144 evaluations a shingle. A band takes three
 different permutations: the six values agree independently, with probability J**6 for Jaccard similarity J. With 48
 bands a pair at the threshold 0.8 meets in a band with probability 1 - 5e-7.
 
-Documents with equal shingle sets are one class; only classes go on. In a band's bucket all members are compared with
-the smallest one; verified links (on full sets) are contracted, and buckets whose members still lie in different
-components are compared with further pivots, up to 16 a round, until each bucket is one component or every
-member has been a pivot. So no bucket is capped, no bucket emits its pairs at once, and no link between candidates is
-lost. Everything is joins and aggregates with map-side combining; a hot bucket is split by Spark's skewed join.
+Documents with equal shingle sets are one class; only classes go on. The buckets connect them into groups: every member of
+a bucket is tied to its smallest one, and the components of these ties are the groups. Within a group all members are
+compared, a block of at most `BLOCK` members (and `BLOCK_BYTES` of sets) with itself or with another one in a task: by
+size, by a byte of each signature value (a pair at the threshold falls below the estimate's limit with a probability of
+1e-7), and then on full sets. A task keeps its links in a union-find, skips pairs that are connected already, and gives
+one link for each union. So no bucket or group is capped, none emits its pairs, no link between groups' members is lost,
+and a hot group is spread over as many tasks as it has pairs of blocks. Components of the links are the result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from trailmark.session import materialize, release
 PERMUTATIONS = 144
 ROWS = 6
 BANDS = 48
-PIVOTS = 16
+BLOCK, BLOCK_BYTES, BUNDLE_BYTES = 4096, 24 << 20, 8 << 20
 SMALL, ROWS_A_TASK = 200_000, 25_000
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -82,28 +84,68 @@ def _signatures(k: int):
 
 
 def _sets(k: int):
+    """doc_id, grp, n, items (the sorted set), sig (a byte of each signature value); input doc_id, text, grp."""
+
     def run(batches):
         for batch in batches:
             for part in th.slices(batch):
-                sets = list(th.shingle_sets(part.column(1), k))
-                offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["doc_id", "items"])
+                items, sigs = [], []
+                for s in th.shingle_sets(part.column(1), k):
+                    items.append(s.tobytes())
+                    sigs.append(np.concatenate(min_max(s)).astype(np.uint8).tobytes() if len(s) else b"")
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2), pa.array([len(x) // 8 for x in items], pa.int64()), pa.array(items, pa.binary()), pa.array(sigs, pa.binary())],
+                    names=["doc_id", "grp", "n", "items", "sig"],
+                )
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * |A & B| >= percent * |A | B|."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y")).cast("long")
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .filter(100 * both >= percent * (F.size("x") + F.size("y") - both))
-        .select("a", "b")
-    )
+def group_links(ids: np.ndarray, block: np.ndarray, items: list[np.ndarray], sigs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) that connect what is connected among the members: of different blocks, or all if there is one block."""
+    n = len(ids)
+    size = np.array([len(x) for x in items])
+    order = np.argsort(size, kind="stable")
+    ids, block, size, sigs, items = ids[order], block[order], size[order], sigs[order], [items[i] for i in order]
+    apart = len(set(block.tolist())) > 1
+    share = percent / 100
+    values = sigs.shape[1]
+    least = (share - 5.2 * (share * (1 - share) / values) ** 0.5) * values
+    root = np.arange(n)
+    out = []
+    for x in range(1, n):
+        low = int(np.searchsorted(size, -(-size[x] * percent // 100)))  # smaller ones can't reach the threshold
+        near = np.arange(low, x)
+        near = near[root[near] != root[x]]
+        if apart:
+            near = near[block[near] != block[x]]
+        if not len(near):
+            continue
+        near = near[np.count_nonzero(sigs[near] == sigs[x], axis=1) >= least]
+        while len(near):
+            y, near = int(near[-1]), near[:-1]
+            at = np.minimum(np.searchsorted(items[x], items[y]), size[x] - 1)
+            both = int((items[x][at] == items[y]).sum())
+            if 100 * both >= percent * (int(size[x]) + int(size[y]) - both):
+                out.append((int(max(ids[x], ids[y])), int(min(ids[x], ids[y]))))
+                root[root == root[y]] = root[x]
+                near = near[root[near] != root[x]]
+    return out
+
+
+def _linked(percent: int):
+    def run(pdf):
+        import pandas as pd
+
+        out = []
+        for _, g in pdf.groupby("grp", sort=False):
+            if len(g) > 1:
+                items = [np.frombuffer(b, np.uint64) for b in g["items"]]
+                sigs = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), -1)
+                out += group_links(g["doc_id"].to_numpy(), g["block"].to_numpy(), items, sigs, percent)
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
 
 
 class _Graph:
@@ -206,39 +248,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
         base.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
         .select("doc_id", F.explode("bands").alias("bucket"))
     )
-    buckets = entries.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("members")).filter("first != last")
-    members = materialize(spark, entries.join(buckets, "bucket").select("bucket", "doc_id", "first", "members"), "members")
-    pairs = materialize(spark, members.filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
-    wanted = members.select("doc_id").distinct()
-    sets = materialize(spark, docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, items array<long>"), "sets")
-
+    buckets = entries.groupBy("bucket").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first != last")
+    pairs = entries.join(buckets, "bucket").filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
+    pairs = materialize(spark, pairs, "pairs")
+    groups = _Graph(spark)
+    groups.add(pairs, pairs.count())
     graph = _Graph(spark)
-    known = pairs.count()
-    # The smallest partner first: for most groups those links alone connect everything.
-    nearest = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    graph.add(_verified(nearest, sets, percent), known)
-    rest = graph.label(graph.label(pairs, "a", "la"), "b", "lb").filter("la != lb").select("a", "b")
-    rest = rest.join(nearest, ["a", "b"], "left_anti")
-    graph.add(_verified(rest, sets, percent), known)
-
-    # Members that were not compared with all others of their bucket: those of three and more.
-    open_, written = members.filter("members > 2 and doc_id != first").select("bucket", "doc_id"), []
-    while True:
-        labelled = graph.label(open_, "doc_id", "label")
-        split = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("bucket")
-        left = materialize(spark, labelled.join(split, "bucket").select("bucket", "doc_id", "label"), "open")
-        release(spark, *written)
-        if left.isEmpty():
-            break
-        salt = F.pmod(F.xxhash64("doc_id", "bucket"), F.lit(PIVOTS))
-        pivots = materialize(spark, left.groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("doc_id", "label")).alias("p")).select("bucket", F.col("p.doc_id").alias("b"), F.col("p.label").alias("pivot_label")), "pivots")
-        more = left.join(pivots, "bucket").filter("label != pivot_label").select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
-        more = materialize(spark, more, "pairs")
-        graph.add(_verified(more, sets, percent), more.count())
-        release(spark, more)
-        open_ = left.select("bucket", "doc_id").join(pivots.select("bucket", F.col("b").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
-        written = [left, pivots]
-    release(spark, left, members, pairs, sets)
+    if groups.count:
+        member = groups._small(groups.labels.select(F.col("node").alias("doc_id"), F.col("label").alias("grp")), groups.count)
+        sets = materialize(spark, docs.join(member, "doc_id").select("doc_id", "text", "grp").mapInArrow(_sets(k), "doc_id long, grp long, n long, items binary, sig binary"), "sets")
+        sizes = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("n") * 8).alias("bytes"))
+        sizes = sizes.select("grp", "bytes", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).alias("blocks"))
+        sizes = materialize(spark, sizes, "sizes")
+        total, count = sizes.filter("blocks = 1").agg(F.sum("bytes"), F.count(F.lit(1))).first()
+        bundles = max(1, -(-(total or 0) // BUNDLE_BYTES))
+        # Small groups are bundled; a member of a large one goes to each pair of blocks that has its own.
+        placed = sets.join(groups._small(sizes.select("grp", "blocks"), groups.count), "grp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+        other = placed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        alone = F.col("blocks") == 1
+        keyed = other.select(
+            F.when(alone, F.pmod(F.xxhash64("grp"), F.lit(bundles))).otherwise(F.col("grp")).alias("bundle"), alone.alias("alone"),
+            F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "grp", "doc_id", "block", "items", "sig",
+        )
+        links = materialize(spark, keyed.groupBy("alone", "bundle", "i", "j").applyInPandas(_linked(percent), "a long, b long"), "links")
+        graph.add(links, links.count())
+        release(spark, sets, sizes, links, groups.labels)
+    release(spark, pairs)
 
     named = graph.label(classes, "class_id", "label")
     some = F.col("n_shingles") > 0
