@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.session import materialize
+
 MAD_SCALE = 0.6744897502
 
 
@@ -96,7 +98,8 @@ def undirected(edges: DataFrame) -> DataFrame:
 def fit_skeleton(points: DataFrame, edges: DataFrame, size: float = 2.0) -> DataFrame:
     """part_a, part_b, avg, std: median limb length and its scaled median deviation (1 if below 0.1)."""
     by = ("part_a", "part_b")
-    hist = histogram(limb_lengths(points, edges), "length", size, 0.0, by)
+    # A few rows for each edge, read twice below: written once, so that the pairs are not formed again.
+    hist = materialize(points.sparkSession, histogram(limb_lengths(points, edges), "length", size, 0.0, by), "limbs")
     centre = quantile(hist, 0.5, by)
     s = F.col("value") / MAD_SCALE
     spread = deviation(hist, centre, by).select(*by, F.when(s < 0.1, 1.0).otherwise(s).alias("std"))

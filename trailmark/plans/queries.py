@@ -9,6 +9,7 @@ from trailmark.functions import math as fm
 from trailmark.operators import edits, frames, motion, scoring, segments, tracking
 from trailmark.plans.cells import SQL as CELLS
 from trailmark.plans.cells import cells as _cells
+from trailmark.session import materialize
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -309,8 +310,9 @@ SCORES = f"""{LIMBS}, sep AS (SELECT a.frame, a.part, min(sqrt((a.x - b.x) ** 2
 
 
 def scores(c):
-    p = points(c)
-    return scoring.frame_scores(p, 5, N, SIGMA, motion.fit_skeleton(p, motion.all_edges(p)))
+    p = materialize(c.sparkSession, points(c), "points")
+    skeleton = materialize(c.sparkSession, motion.fit_skeleton(p, motion.all_edges(p)), "skeleton")
+    return scoring.frame_scores(p, 5, N, SIGMA, skeleton)
 
 
 @query(f"{SCORES} SELECT frame, round(fallback, 6) AS fallback, CASE WHEN is_valid THEN round(fallback, 6) END AS score, is_valid FROM sc")
