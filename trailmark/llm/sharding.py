@@ -1,6 +1,6 @@
 """A store of immutable Parquet shards with size-tiered compaction and versioned manifests; DataFrame operations only.
 
-An arrival is appended as small shards of about a fan-in-th of the target size. Compaction puts shards below the target into
+An arrival is appended as small shards, of a fan-in-th of the target size at most, by the tasks that read it. Compaction puts shards below the target into
 tiers by size (a tier spans a factor of the fan-in), forms runs of neighbours in a tier up to the target size, and rewrites
 each run as one shard. A manifest is a Parquet folder that lists the shards of a version; it is written under a temporary
 name and renamed, which fails if another writer was first. Readers see one version as a whole; nothing is changed in place,
@@ -20,6 +20,7 @@ from trailmark.session import workspace
 TARGET = 8 << 20
 FAN_IN = 8
 PLANNED_TOGETHER = 50_000
+LISTED = 100_000
 ROW_BYTES = 64
 _MANIFEST = "shard_id string, part string, slot long, tier int, rows long, bytes long, checksum long, parents long"
 
@@ -80,10 +81,10 @@ class ShardStore:
     def _bytes(self):
         return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
 
-    def _write(self, rows: DataFrame, part: str, slots: int) -> DataFrame:
+    def _write(self, rows: DataFrame, part: str) -> DataFrame:
         """Write rows with a column _slot as one shard each, and describe what has been written, from the files."""
         path = f"{self.root}/data/_part={part}"
-        rows.repartition(max(1, slots), "_slot").write.partitionBy("_slot").option("compression", "zstd").parquet(path)
+        rows.write.partitionBy("_slot").option("compression", "zstd").parquet(path)
         kinds = rows.schema["_slot"].dataType
         written = self.spark.read.schema(rows.schema).parquet(path)
         return (
@@ -97,16 +98,18 @@ class ShardStore:
         return F.greatest(F.floor(F.log(float(self.fan_in), F.col("bytes") * F.lit(self.fan_in * 2) / F.lit(self.target))), F.lit(0)).cast("int")
 
     def append(self, docs: DataFrame) -> int:
-        """Add an arrival as small shards, dealt by a hash of doc_id and text; returns the new version."""
+        """Add an arrival as small shards; returns the new version. Nothing is shuffled: each partition of the arrival writes its own
+        shards, and deals its rows to several by a hash where they would be larger than a fan-in-th of the target."""
         docs = docs.drop("_part", "_slot")
-        size = docs.agg(F.sum(self._bytes())).collect()[0][0] or 0
+        size = docs.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(self._bytes()).alias("bytes")).agg(F.max("bytes")).collect()[0][0] or 0
         slots = max(1, -(-size * self.fan_in // self.target))
         version = (self.versions() or [0])[-1] + 1
         part = f"a{version:08d}{uuid.uuid4().hex[:6]}"
         old = self.manifest()
         if not size:
             return self._commit(old, version)
-        made = self._write(docs.withColumn("_slot", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots))), part, slots)
+        slot = F.spark_partition_id().cast("long") * slots + F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots))
+        made = self._write(docs.withColumn("_slot", slot), part)
         return self._commit(old.unionByName(made.withColumn("parents", F.lit(0).cast("long"))), version)
 
     def plan(self) -> DataFrame:
@@ -134,22 +137,27 @@ class ShardStore:
         if not n:
             return version
         part = f"c{version + 1:08d}{uuid.uuid4().hex[:6]}"
-        merged = self._rows(runs.select(F.col("part").alias("_part"), F.col("slot").alias("_slot"), "run")).drop("_part", "_slot").withColumnRenamed("run", "_slot")
-        made = self._write(merged, part, n)
+        merged = self._rows(runs.select(F.col("part").alias("_part"), F.col("slot").alias("_slot"), "run"), runs.count()).drop("_part", "_slot").withColumnRenamed("run", "_slot")
+        made = self._write(merged.repartition(n, "_slot"), part)
         parents = runs.groupBy(F.col("run").alias("slot")).agg(F.count(F.lit(1)).alias("parents"), F.bit_xor("checksum").alias("was"), F.sum("rows").alias("had"))
         checked = made.join(parents, "slot").withColumn("parents", F.expr("CASE WHEN was = checksum AND had = rows THEN parents ELSE raise_error('a merged shard differs from its parents') END"))
         return self._commit(plan.filter("run is null").drop("run").unionByName(checked.drop("was", "had")), version + 1)
 
-    def _rows(self, shards: DataFrame) -> DataFrame:
-        """The stored rows of the given shards (_part, _slot, ...); partitions of other shards are pruned at run time."""
+    def _rows(self, shards: DataFrame, count: int) -> DataFrame:
+        """The stored rows of `count` given shards (_part, _slot, ...); partitions of other shards are pruned at run time.
+
+        The list is broadcast up to `LISTED` shards, so that the rows themselves stay where they are.
+        """
+        shards = F.broadcast(shards) if count <= LISTED else shards
         data = self.spark.read.option("mergeSchema", "false").parquet(f"{self.root}/data")
         data = data.withColumn("_part", F.col("_part").cast("string")).withColumn("_slot", F.col("_slot").cast("long"))
         return data.join(shards, ["_part", "_slot"])
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version, with shard_id, tier, shard_rows and shard_bytes."""
-        listed = self.manifest(version).select(F.col("part").alias("_part"), F.col("slot").alias("_slot"), F.col("shard_id"), "tier", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
-        return self._rows(listed).drop("_part", "_slot")
+        manifest = self.manifest(version)
+        listed = manifest.select(F.col("part").alias("_part"), F.col("slot").alias("_slot"), F.col("shard_id"), "tier", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
+        return self._rows(listed, manifest.count()).drop("_part", "_slot")
 
     def vacuum(self, keep: int = 1) -> None:
         """Forget all but the last `keep` versions, and delete the parts that none of them lists."""
