@@ -484,7 +484,7 @@ def _assigned(c: DataFrame, algorithm: str) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) != N * N:
-            return pd.DataFrame({"frame": [], "part": [], "assignment": [], "total": []})
+            return pd.DataFrame({"frame": pd.Series([], dtype="int64"), "part": pd.Series([], dtype="str"), "assignment": pd.Series([], dtype="str"), "total": pd.Series([], dtype="float64")})
         cost = np.zeros((N, N))
         cost[pdf["i"].to_numpy(int), pdf["j"].to_numpy(int)] = pdf["cost"].to_numpy()
         pairs_ = methods[algorithm](cost)
