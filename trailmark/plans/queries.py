@@ -537,7 +537,7 @@ def endpoint_segments(c):
 
 @query()
 def track_individuals(c, spark, sf_dir):
-    return tracking.track(spark, c, 2, segment_size=20, max_cells=20)
+    return tracking.track(spark, c, 2)
 
 
 # -- built-ins over poses --------------------------------------------------------------------------------------------------
