@@ -46,7 +46,10 @@ def arg_max(spark: SparkSession, cells: DataFrame, individuals: int, settings: S
 
 
 def segmented(spark: SparkSession, cells: DataFrame, individuals: int, settings: Settings) -> DataFrame:
-    return tracking.track(spark, cells, individuals, settings.segment_size, settings.threshold, settings.max_cells_per_frame)
+    return tracking.track(
+        spark, cells, individuals, settings.segment_size, settings.threshold, settings.max_cells_per_frame,
+        sparsification=settings.sparsification_mode, relaxed_radius=settings.relaxed_maximum_radius, algorithm=settings.assignment_algorithm, outlier=settings.outlier_threshold,
+    )
 
 
 PREDICTORS: dict[str, Callable[..., DataFrame]] = {"ArgMax": arg_max, "Segmented": segmented}

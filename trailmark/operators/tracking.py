@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.operators import frames, kernels, motion, scoring, segments, viterbi
+from trailmark.plans.cells import HEIGHT, STRIDE, WIDTH
 
 
 def cluster(cells: DataFrame, n: int, linkage: str = "complete") -> DataFrame:
@@ -25,7 +26,8 @@ def cluster(cells: DataFrame, n: int, linkage: str = "complete") -> DataFrame:
         return pdf.assign(ind=labels)
 
     keep = cells.select("frame", "part", "x", "y", "p", "event_id")
-    return keep.groupBy("frame", "part").applyInPandas(run, "frame long, part string, x long, y long, p double, event_id long, ind long")
+    kind = keep.schema["x"].dataType.simpleString()
+    return keep.groupBy("frame", "part").applyInPandas(run, f"frame long, part string, x {kind}, y {kind}, p double, event_id long, ind long")
 
 
 def fix_assignment(points: pd.DataFrame, skeleton: pd.DataFrame, n: int, algorithm: str = "hungarian") -> dict[tuple[str, int], int]:
@@ -79,17 +81,18 @@ def fix_assignment(points: pd.DataFrame, skeleton: pd.DataFrame, n: int, algorit
     return out
 
 
-def _solve_segment(pdf: pd.DataFrame, fixed: pd.DataFrame, fix: int, parts: list[str], n: int, cfg: viterbi.Settings) -> pd.DataFrame:
+def _solve_segment(pdf: pd.DataFrame, fixed: pd.DataFrame, fix: int, parts: list[str], n: int, cfg: viterbi.Settings, radius: float = 0.0) -> pd.DataFrame:
     frames_: dict = {}
     for (f, part), g in pdf.groupby(["frame", "part"], sort=True):
         frames_.setdefault(int(f), {})[part] = (g[["x", "y"]].to_numpy(float) + 0.5, g["p"].to_numpy(float))
     first = {(part, int(i)): (g[["x", "y"]].to_numpy(float) + 0.5, g["p"].to_numpy(float)) for (part, i), g in fixed.groupby(["part", "ind"], sort=True)}
     solved = viterbi.solve(frames_, fix, first, parts, n, cfg)
-    rows = [(f, part, i, *viterbi.pose(t)) for f, tracks in sorted(solved.items()) for (part, i), t in sorted(tracks.items())]
+    near = lambda f, part, i: first.get((part, i)) if f == fix else frames_[f].get(part)
+    rows = [(f, part, i, *viterbi.pose(t, near(f, part, i), radius)) for f, tracks in sorted(solved.items()) for (part, i), t in sorted(tracks.items())]
     return pd.DataFrame(rows, columns=["frame", "part", "ind", "x", "y", "p"])
 
 
-def solve_segments(cells: DataFrame, clustered: DataFrame, segs: DataFrame, parts: list[str], n: int, cfg: viterbi.Settings, skeleton: pd.DataFrame, algorithm: str = "hungarian") -> DataFrame:
+def solve_segments(cells: DataFrame, clustered: DataFrame, segs: DataFrame, parts: list[str], n: int, cfg: viterbi.Settings, skeleton: pd.DataFrame, algorithm: str = "hungarian", radius: float = 0.0) -> DataFrame:
     """Poses within each chain of segments: a solved one and the unsolved ones that start from it.
 
     Each chain is a group of its own; identities agree within a chain only, `stitch` makes chains agree.
@@ -111,7 +114,7 @@ def solve_segments(cells: DataFrame, clustered: DataFrame, segs: DataFrame, part
             centres["y"] = np.where(centres["w"] > 0, centres["wy"] / centres["w"].where(centres["w"] > 0, 1), centres["y"]) + 0.5
             body = fix_assignment(centres, skeleton, n, algorithm)
             own["ind"] = [body[p, int(i)] for p, i in zip(own["part"], own["ind"], strict=True)]
-        poses = _solve_segment(whole, own, fix, parts, n, cfg)
+        poses = _solve_segment(whole, own, fix, parts, n, cfg, radius)
         seg = whole.groupby("frame")["seg_id"].first()
         out = poses.assign(anchor=pdf["anchor"].iloc[0], seg_id=poses["frame"].map(seg))
         out["seg_id"] = out["seg_id"].fillna(out["anchor"]).astype("int64")
@@ -163,15 +166,35 @@ def stitch(spark: SparkSession, poses: DataFrame, segs: DataFrame, n: int, by_pa
     return spark.createDataFrame(rows, "anchor long, part string, ind long, body long")
 
 
-def track(spark: SparkSession, cells: DataFrame, n: int, segment_size: int = 200, threshold: float = 0.001, max_cells: int = 100, use_skeleton: bool = True, cfg: viterbi.Settings | None = None, intermediate=None) -> DataFrame:
+def sparse_cells(cells: DataFrame, mode: str, threshold: float) -> DataFrame:
+    """The cells sparsified by mode, placed as the tracker takes them: half a cell before their centre. Without offsets these are 0."""
+    for c in ("ox", "oy"):
+        if c not in cells.columns:
+            cells = cells.withColumn(c, F.lit(0.0))
+    df = frames.sparsify(cells, mode, threshold)
+    if mode == "UPSCALE":
+        df = df.filter((F.col("x") >= 0) & (F.col("x") < WIDTH * STRIDE) & (F.col("y") >= 0) & (F.col("y") < HEIGHT * STRIDE))
+    half = 0.0 if mode == "UPSCALE" else 0.5
+    # Rows of one place and p are alike from here on, so that nothing depends on their event.
+    return df.select("frame", "part", (F.col("x") - half).cast("double").alias("x"), (F.col("y") - half).cast("double").alias("y"), "p", F.lit(0).cast("long").alias("event_id"))
+
+
+def track(
+    spark: SparkSession, cells: DataFrame, n: int, segment_size: int = 200, threshold: float = 0.001, max_cells: int = 100, use_skeleton: bool = True, cfg: viterbi.Settings | None = None, intermediate=None,
+    sparsification: str | None = None, relaxed_radius: float = 0.0, algorithm: str = "hungarian", outlier: float = 3.0,
+) -> DataFrame:
     """frame, part, body, x, y, likelihood for n individuals; frames without any cell of a part are hidden or not entered.
 
+    Without a mode of sparsification the cells are taken as they are. UPSCALE tracks pixels (so the relaxed radius is in pixels);
+    its poses are in cells like all others.
     `intermediate` writes and rereads a table that is used more than once (session.materialize by default).
     """
     from trailmark.session import materialize
 
     keep = intermediate or (lambda df, name: materialize(spark, df, name))
-    sparse = keep(frames.top_k(frames.above(cells, threshold), max_cells).drop("ind"), "cells")
+    chosen = sparse_cells(cells, sparsification, threshold) if sparsification else frames.above(cells, threshold)
+    stride = STRIDE if sparsification == "UPSCALE" else 1.0
+    sparse = keep(frames.top_k(chosen, max_cells).drop("ind"), "cells")
     clustered = keep(cluster(sparse, n), "clustered")
     points = keep(frames.weighted_centroid(clustered, ("frame", "part", "ind")), "points")
     parts = sorted(r["part"] for r in points.select("part").distinct().collect())
@@ -182,10 +205,11 @@ def track(spark: SparkSession, cells: DataFrame, n: int, segment_size: int = 200
         links.setdefault(r.part_a, {})[r.part_b] = (r.avg, r.std)
         links.setdefault(r.part_b, {})[r.part_a] = (r.avg, r.std)
     limbs = spark.createDataFrame(skeleton, "part_a string, part_b string, avg double, std double") if len(skeleton) else None
-    scores = scoring.frame_scores(points, len(parts), n, sigma, limbs)
+    scores = scoring.frame_scores(points, len(parts), n, sigma, limbs, 40.0 * stride, outlier)
     segs = keep(segments.segments_of(scores, segment_size), "segments")
     base = cfg or viterbi.Settings()
     solver = viterbi.Settings(**{**base.__dict__, "sigma": sigma, "links": links})
-    poses = keep(solve_segments(sparse, clustered, segs, parts, n, solver, skeleton), "poses")
+    poses = keep(solve_segments(sparse, clustered, segs, parts, n, solver, skeleton, algorithm, relaxed_radius), "poses")
     order = stitch(spark, poses, segs, n, by_part=not use_skeleton)
-    return poses.join(order, ["anchor", "part", "ind"]).select("frame", "part", F.col("body").cast("long").alias("body"), "x", "y", F.col("p").alias("likelihood"))
+    placed = poses.join(order, ["anchor", "part", "ind"]).select("frame", "part", F.col("body").cast("long").alias("body"), "x", "y", F.col("p").alias("likelihood"))
+    return placed if stride == 1 else placed.withColumns({c: F.when(F.col(c) >= 0, F.col(c) / stride).otherwise(F.col(c)) for c in ("x", "y")})

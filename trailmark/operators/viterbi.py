@@ -208,12 +208,21 @@ def solve(frames: dict[int, dict], fix: int, fixed: dict, parts: list, inds: int
     return states
 
 
-def pose(t: Track) -> tuple[float, float, float]:
-    """x, y, likelihood: the best visible cell; a better hidden one gives its place with likelihood 0; (-1, -1, 0) without either."""
+def pose(t: Track, cells: tuple[np.ndarray, np.ndarray] | None = None, radius: float = 0.0) -> tuple[float, float, float]:
+    """x, y, likelihood: the best visible cell; a better hidden one gives its place with likelihood 0; (-1, -1, 0) without either.
+
+    With a radius, a visible one moves to the likeliest of the frame's cells (xy, p) within it and keeps its own likelihood.
+    """
     s = t.seen_score.max() if len(t.seen_score) else NEG
     h = t.hidden_score.max() if len(t.hidden_score) else NEG
     if not np.isfinite(max(s, h)):
         return -1.0, -1.0, 0.0
     if h > s:
         return (*t.hidden[int(t.hidden_score.argmax())].tolist(), 0.0)
-    return (*t.seen[int(t.seen_score.argmax())].tolist(), float(np.exp(s)))
+    at = t.seen[int(t.seen_score.argmax())]
+    if radius > 0 and cells is not None:
+        xy, p = cells
+        near = np.flatnonzero(((xy - at) ** 2).sum(1) <= radius * radius)
+        if len(near):
+            at = xy[near[np.lexsort((xy[near, 0], xy[near, 1], -p[near]))[0]]]
+    return (*at.tolist(), float(np.exp(s)))
