@@ -102,3 +102,16 @@ def test_tracked_poses(spark):
     for _, g in got.groupby(["body", "part"]):
         assert g["y"].nunique() == 1
     assert (got.groupby(["body", "frame"])["y"].nunique() == 1).all()
+
+
+def test_workspace_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from trailmark import session
+
+    kept = session.materialize(spark, spark.range(3), "kept")
+    assert session.workspace(spark) in kept._trailmark_path and kept.count() == 3
+    session.release(spark, kept)
+    remote = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        session.workspace(remote)

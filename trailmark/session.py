@@ -28,13 +28,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_RUN = uuid.uuid4().hex[:12]
+
+
 def workspace(spark: SparkSession) -> str:
-    """The shared folder for written tables: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """This run's folder for written tables below spark.checkpoint.dir, which all workers share.
+
+    Where that is unset, a session on one machine gets a temporary folder; on a cluster, whose workers would each write to a disk
+    of their own, that is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all workers share")
         where = tempfile.mkdtemp(prefix="trailmark-")
         spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/trailmark"
+    return f"{where.rstrip('/')}/trailmark/{_RUN}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all tables that this run has written into the workspace; call it when no result of theirs is read any more."""
+    _delete(spark, workspace(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -51,5 +70,4 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_trailmark_path", None)
         if path:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
