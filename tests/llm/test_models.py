@@ -1,6 +1,8 @@
 """Trained operators: held-out accuracy, sound probabilities, odd rows."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 from trailmark.llm import cotraining, html_extract, language_id, queries
@@ -24,15 +26,89 @@ def test_kneser_ney_is_a_distribution():
         texts = [context + c for c in "abcdefg"]
         total = np.zeros(2)
         for t in texts:
-            codes, _, _ = language_id.characters([t])
-            total += np.exp(model.log_probabilities(codes)[len(t) - 1])
-        space = np.exp(model.log_probabilities(language_id.characters([context + " "])[0])[-1]) if not context.endswith(" ") else 0
-        unknown = np.exp(model.log_probabilities(language_id.characters([context + "z"])[0])[len(context)])
+            codes, first, _ = language_id.characters([t])
+            total += np.exp(model.log_probabilities(codes, first)[len(t) - 1])
+        space = np.exp(model.log_probabilities(*language_id.characters([context + " "])[:2])[-1]) if not context.endswith(" ") else 0
+        unknown = np.exp(model.log_probabilities(*language_id.characters([context + "z"])[:2])[len(context)])
         assert np.all(total + space + unknown < 1.02)
         if context in ("abc", "ab "):
             assert (total + space + unknown)[0] > 0.97
 
 
+def plain_kneser_ney(texts, order=4):
+    """log p of each character of a text by the recursion itself, over dictionaries of strings."""
+    grams = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        t = " " * (order - 1) + t
+        for i in range(order - 1, len(t)):
+            grams[order][t[i - order + 1 : i + 1]] += 1
+    for n in range(order, 1, -1):
+        grams[n - 1] = Counter(g[1:] for g in grams[n])
+    discount, total, types = [0.0], [None], [None]
+    for n in range(1, order + 1):
+        n1, n2 = (sum(c == k for c in grams[n].values()) for k in (1, 2))
+        discount.append(min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5)
+        sums, kinds = Counter(), Counter()
+        for g, c in grams[n].items():
+            sums[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        total.append(sums)
+        types.append(kinds)
+
+    def p(g, floor):
+        n = len(g)
+        if not n:
+            return floor
+        c = g[:-1]
+        if not total[n][c]:
+            return p(g[1:], floor)
+        return max(grams[n][g] - discount[n], 0) / total[n][c] * (grams[n][g] > 0) + discount[n] * types[n][c] / total[n][c] * p(g[1:], floor)
+
+    return lambda t, floor: [math.log(p((" " * (order - 1) + t)[i : i + order], floor)) for i in range(len(t))]
+
+
+def test_against_plain_kneser_ney():
+    rng = random.Random(12)
+    text = lambda a: " ".join("".join(rng.choice(a) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 30))) + " "
+    samples = {x: [text(a) for _ in range(20)] for x, a in (("u", "abcde"), ("v", "cdefgh"))}
+    model = language_id.Model(samples)
+    tests = [text("abcdefghi") for _ in range(30)]
+    h, n, _ = model.cross_entropies(tests)
+    for j, x in enumerate(model.languages):
+        plain = plain_kneser_ney(samples[x])
+        want = [-np.mean(plain(t, math.exp(model.floor[j]))) for t in tests]
+        assert np.allclose(h[:, j], want, atol=1e-4)
+    assert [len(t) for t in tests] == n.tolist()
+
+
+def test_neighbours_do_not_matter(spark):
+    """A text alone, after another one, and in batches of any size gives the same."""
+    docs = [r for r in table(spark, "/root/testdata/sf0.001", "documents").collect() if r.text]
+    model = language_id.Model({x: [r.text for r in docs if r.lang == x] for x in {r.lang for r in docs}})
+    words = sorted({w for r in docs for w in r.text.split()[:3]})[:300]
+    alone = [model.cross_entropies([w])[0][0] for w in words]
+    for shift in (1, 7):
+        for w, v, h in zip(words, words[shift:], alone, strict=False):
+            assert np.allclose(model.cross_entropies([v, w])[0][1], h, atol=1e-6)
+    for size in (2, 31, 300):
+        got = np.concatenate([model.cross_entropies(words[a : a + size])[0] for a in range(0, len(words), size)])
+        assert np.allclose(got, alone, atol=1e-6)
+    long = " ".join(r.text for r in docs) * 3
+    assert np.allclose(model.cross_entropies(["x y", long, "z"])[0][1], model.cross_entropies([long])[0][0], atol=1e-6)
+
+
+def test_many_languages_and_long_texts_are_learned(spark):
+    rng = random.Random(9)
+    letters = [chr(0x4E00 + i) for i in range(300)]
+    rows = [(7 * i + j, " ".join(letters[i] for _ in range(6)), f"x{i}", None) for i in range(300) for j in range(7)]
+    rows += [(10_000 + j, " ".join(rng.choice(["lang", "text", "only"]) for _ in range(9000)), "long", None) for j in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language_id.fit(spark, docs)
+    assert len(model.languages) == 301
+    got = language_id.identify(spark, docs, model).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+
+
 def test_language_odd_rows(spark, odd, none):
     model = language_id.fit(spark, odd)
     got = language_id.identify(spark, odd, model).collect()

@@ -6,9 +6,11 @@ an order). The models share sorted arrays of 64-bit n-gram hashes: beside each h
 interpolated log probability, and beside each context hash every language's log back-off weight. A character costs one
 binary search, and more only where its longest n-gram is new. The language with the lowest cross-entropy per character wins.
 
+Every text begins as if spaces came before it, so that nothing depends on the rows that happen to lie beside it.
+
 The score is the winner's posterior with a temperature fitted on a calibration split of the training rows; a text is
-rejected if its cross-entropy, shrunk towards its language's mean by `PRIOR` characters, exceeds that mean by `SLACK` times
-more than any calibration text's does.
+rejected if its cross-entropy, shrunk towards its language's mean by `PRIOR` characters, exceeds that mean by more than `SLACK` times
+what all but a share `ODD` of the language's calibration texts do (and by more than `LEAST` nats a character).
 """
 
 from __future__ import annotations
@@ -23,12 +25,10 @@ from pyspark.sql import functions as F
 from trailmark.llm import texthash as th
 
 ORDER = 4
-#: The training sample: so many rows over all languages, so many a language, of so many characters at most.
-SAMPLE_ROWS, SAMPLE_A_LANGUAGE, SAMPLE_CHARS = 4000, 800, 20_000
-#: Languages with fewer training rows than this share of the largest are learned all the same; only their number is bounded.
-MOST_LANGUAGES = 256
+#: The training sample: so many rows over all languages, so many a language; of a longer text a piece of so many characters.
+SAMPLE_ROWS, SAMPLE_A_LANGUAGE, SAMPLE_CHARS = 4000, 800, 5000
 UNKNOWN = "und"
-PRIOR, SLACK = 20, 1.25
+PRIOR, SLACK, ODD, LEAST = 20, 1.5, 0.01, 0.6
 _SALT = [np.uint64(0x9E3779B97F4A7C15 * (n + 1) & th.MASK) for n in range(ORDER + 2)]
 _STEP = 0xD1342543DE82EF95
 _kinds: np.ndarray | None = None
@@ -59,24 +59,28 @@ def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, kept[firsts], letters[ends] - letters[firsts[:-1]]
 
 
-def _rolling(codes: np.ndarray, order: int) -> list[np.ndarray]:
-    """h[n]: a hash of the n characters that end at each position, n from 0; a text's start is padded with what precedes it."""
+def _rolling(codes: np.ndarray, order: int, first: np.ndarray) -> list[np.ndarray]:
+    """h[n]: a hash of the n characters that end at each position, n from 0; before a text's start (`first`: where texts begin, and
+    the end of the last one) come spaces."""
     out, acc, power = [np.zeros(len(codes), np.uint64)], np.zeros(len(codes), np.uint64), 1
     for n in range(order):
         shifted = np.full(len(codes), 32, np.uint64)
         shifted[n:] = codes[: len(codes) - n] if n else codes
+        for d in range(n):
+            at = first[:-1] + d
+            shifted[at[at < first[1:]]] = 32
         acc = acc + th.mix(shifted + np.uint64(77)) * np.uint64(power)
         power = power * _STEP & th.MASK
         out.append(acc ^ _SALT[n])
     return out
 
 
-def _contexts(h: list[np.ndarray], n: int) -> np.ndarray:
+def _contexts(h: list[np.ndarray], n: int, first: np.ndarray) -> np.ndarray:
     """The hash of the n - 1 characters before each position."""
     out = np.empty(len(h[0]), np.uint64)
     if len(out):
-        out[0] = _rolling(np.full(1, 32, np.uint64), n - 1)[n - 1][0]  # spaces come before the first one
         out[1:] = h[n - 1][:-1]
+        out[np.append(first[:-1][first[:-1] < first[1:]], 0)] = _rolling(np.full(1, 32, np.uint64), n - 1, np.array([0, 1]))[n - 1][0]
     return out
 
 
@@ -93,11 +97,11 @@ class Model:
         n_lang = len(self.languages)
         grams: list[list] = [[] for _ in range(order + 1)]  # by order: for each language (hashes, counts, contexts, suffixes)
         for lang in self.languages:
-            codes, _, _ = characters(samples[lang])
-            h = _rolling(codes, order)
+            codes, starts, _ = characters(samples[lang])
+            h = _rolling(codes, order, starts)
             keys, first, counts = np.unique(h[order], return_index=True, return_counts=True)
             for n in range(order, 0, -1):
-                context, suffix = _contexts(h, n)[first], h[n - 1][first]
+                context, suffix = _contexts(h, n, starts)[first], h[n - 1][first]
                 grams[n].append((keys, counts.astype(float), context, suffix, first))
                 if n > 1:  # continuation counts: the distinct n-grams that end in each (n - 1)-gram
                     keys, pick, counts = np.unique(suffix, return_index=True, return_counts=True)
@@ -131,11 +135,11 @@ class Model:
             self.logp.append(np.log(np.maximum(p, 1e-30)).astype(np.float32))
             self.contexts.append(seen)
             self.backoff.append(np.log(np.maximum(gamma, 1e-30)).astype(np.float32))
-        self.temperature, self.mean, self.limit = 1.0, np.zeros(n_lang), np.inf
+        self.temperature, self.mean, self.limit = 1.0, np.zeros(n_lang), np.full(n_lang, np.inf)
 
-    def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
-        """Each character's log probability in each language."""
-        h = _rolling(codes, self.order)
+    def log_probabilities(self, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Each character's log probability in each language; `first` has where the texts begin, and the end."""
+        h = _rolling(codes, self.order, first)
         out = np.zeros((len(codes), len(self.languages)), np.float32)
         left = np.arange(len(codes))
         for n in range(self.order, 0, -1):
@@ -145,7 +149,7 @@ class Model:
                 return out
             out[left[hit]] += self.logp[n][at[hit]]
             left = left[~hit]
-            at, hit = _find(self.contexts[n], _contexts(h, n)[left])
+            at, hit = _find(self.contexts[n], _contexts(h, n, first)[left])
             out[left[hit]] += self.backoff[n][at[hit]]
         out[left] += self.floor
         return out
@@ -157,7 +161,9 @@ class Model:
         block = max(1 << 14, (1 << 21) // max(1, len(self.languages)))
         for a in range(0, len(codes), block):
             lead = min(a, self.order)
-            lp = self.log_probabilities(codes[a - lead : a + block])[lead:]
+            inside = first[(first > a - lead) & (first < min(len(codes), a + block))] - (a - lead)
+            part = codes[a - lead : a + block]
+            lp = self.log_probabilities(part, np.concatenate([[0], inside, [len(part)]]))[lead:]
             i, j = np.searchsorted(first, a, "right") - 1, np.searchsorted(first, min(len(codes), a + block), "left")
             cuts = np.clip(first[i:j], a, None) - a
             rows = np.flatnonzero(np.diff(np.append(cuts, len(lp))) > 0)
@@ -185,7 +191,10 @@ class Model:
             x, m = own[truth == j], n[truth == j]
             if len(x):
                 self.mean[j] = np.average(x, weights=m)
-        self.limit = SLACK * max(0.5, float(self._excess(own, n, truth).max()))
+        excess = self._excess(own, n, truth)
+        for j in range(len(self.languages)):
+            x = np.sort(excess[truth == j])
+            self.limit[j] = max(LEAST, SLACK * x[len(x) - 1 - int(ODD * len(x))]) if len(x) else np.inf
 
     def _excess(self, h: np.ndarray, n: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Nats a character above the language's mean, shrunk as if that mean had been seen over PRIOR more characters."""
@@ -200,27 +209,30 @@ class Model:
         score = 1 / np.exp(z).sum(1)
         none = letters == 0
         own = h[np.arange(len(h)), best]
-        rejected = none | (self._excess(own, n, best) > self.limit)
+        rejected = none | (self._excess(own, n, best) > self.limit[best])
         return [UNKNOWN if x else self.languages[i] for x, i in zip(none, best, strict=True)], np.where(none, 0.0, score), rejected
 
 
 def fit(spark: SparkSession, docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_A_LANGUAGE, chars: int = SAMPLE_CHARS) -> Model | None:
     """A model from a sample, thinned by a hash of doc_id, of the rows of `docs` (doc_id, text, lang); None without any.
 
-    The sample has about `rows` rows in all, `most` a language and `chars` characters a row at most, which bounds the
-    driver's memory and the model. A fifth of it calibrates.
+    The sample has about `rows` rows in all and `most` a language (five a language at least, so that the driver holds as much as
+    there are languages beyond rows / 5); of a text of more than `chars` characters it has a piece of that length, at a place that the
+    hash tells. A fifth of it calibrates. Every language that occurs with a letter is learned. Null and `und` are no languages.
     """
     usable = docs.select(F.col("doc_id").cast("string").alias("k"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    usable = usable.filter((F.length("text") <= chars) & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    hashed = F.pmod(F.xxhash64(F.coalesce("k", F.lit("")), F.lit(17)), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64(F.coalesce("k", F.lit("")), F.lit(18)), F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
+    usable = usable.filter(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN)).withColumn("text", F.when(F.length("text") > chars, F.col("text").substr(place, F.lit(chars))).otherwise(F.col("text")))
+    usable = usable.filter(F.col("text").rlike(r"\p{L}"))
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
-    each = max(1, min(most, rows // len(counts)))
-    hashed = F.pmod(F.xxhash64(F.coalesce("k", F.lit("")), F.lit(17)), F.lit(1 << 30))
+    each = max(5, min(most, rows // len(counts)))
     keep = F.lit(False)
     for lang, n in counts.items():
         keep = keep | ((F.col("lang") == lang) & (hashed < int(min(1.0, each / n) * (1 << 30))))
-    sample = usable.filter(keep).select("text", "lang", hashed.alias("h")).orderBy("h", "lang", "text").limit(2 * rows + len(counts)).collect()
+    sample = usable.filter(keep).select("text", "lang", hashed.alias("h")).orderBy("h", "lang", "text").limit(2 * each * len(counts) + len(counts)).collect()
     train: dict[str, list[str]] = {}
     held: list[tuple[str, str]] = []
     seen: dict[str, int] = {}
