@@ -27,13 +27,47 @@ def test_store(spark, tmp_path, odd, none):
     store.vacuum()
     assert store.versions() == [version] and same(docs.unionByName(odd.select(*docs.columns)), store.read())
     with pytest.raises(sharding.Conflict):
-        store._commit(store.manifest(), version)
+        store._commit(spark.createDataFrame([], sharding._DELTA), version)
     with pytest.raises(ValueError):
         store.manifest(1)
 
 
 def test_shard_query(spark, odd, none):
     assert sharding.shard(spark, odd).count() == 10 and sharding.shard(spark, odd.limit(1)).count() == 1
+    empty = sharding.shard(spark, none)
+    assert empty.count() == 0 and empty.columns == sharding.shard(spark, odd.limit(1)).columns
+
+
+def test_settled_store(spark, tmp_path, monkeypatch):
+    """Compaction goes on until no two shards of up to half the target are left, across tiers too; versions beyond a snapshot agree."""
+    monkeypatch.setattr(sharding, "SNAPSHOT", 2)
+    docs = table(spark, "/root/testdata/sf0.01", "documents").repartition(2)
+    target = 300_000
+    store = sharding.ShardStore(spark, str(tmp_path / "store"), target, 4)
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(20))
+    for some in ((0, 8), (8, 14), (14, 20)):
+        store.append(docs.filter((turn >= some[0]) & (turn < some[1])))
+    assert store.versions() == [1, 2, 3] and store.manifest().agg(F.sum("rows")).first()[0] == docs.count() and store.manifest(2).count() < store.manifest().count()
+    version = store.settle()
+    assert store.versions() == [version] and store.compact() == store.compact(True) == version
+    shards = store.manifest().collect()
+    assert sum(s.bytes * 2 <= target for s in shards) <= 1 and all(s.bytes <= 1.5 * target or s.rows < 5 for s in shards)
+    tiny = docs.filter("doc_id < 3")
+    store.append(tiny)
+    store.append(docs.filter("doc_id >= 3 AND doc_id < 60").coalesce(1))
+    assert store.settle() >= version + 3
+    assert sum(s.bytes * 2 <= target for s in store.manifest().collect()) <= 1
+    assert same(docs.unionByName(docs.filter("doc_id < 60")), store.read())
+
+
+def test_store_columns(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "store"))
+    assert store.read().count() == 0 and store.settle() == 0
+    store.append(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, more long"))
+    store.append(spark.createDataFrame([(2, "b")], "doc_id int, text string"))
+    assert sorted((r.doc_id, r.text, r.more) for r in store.read().collect()) == [(1, "a", 2), (2, "b", None)]
+    with pytest.raises(ValueError, match="other"):
+        store.append(spark.createDataFrame([(2, "b", 1)], "doc_id long, text string, other long"))
 
 
 def test_warc_round_trip(spark, tmp_path):

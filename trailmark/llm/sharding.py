@@ -1,19 +1,25 @@
 """A store of immutable Parquet shards with size-tiered compaction and versioned manifests; DataFrame operations only.
 
-An arrival is appended as small shards, of a fan-in-th of the target size at most, by the tasks that read it. Compaction puts shards below the target into
-tiers by size (a tier spans a factor of the fan-in), forms runs of neighbours in a tier up to the target size, and rewrites
-each run as one shard. A manifest is a Parquet folder that lists the shards of a version; it is written under a temporary
-name and renamed, which fails if another writer was first. Readers see one version as a whole; nothing is changed in place,
-and a job that dies leaves unlisted files only, which `vacuum` removes with versions that are no longer wanted.
+An arrival is appended as small shards, of a fan-in-th of the target size at most, by the tasks that read it. Compaction puts shards
+up to half the target into tiers by size (a tier spans a factor of the fan-in), forms runs of neighbours in a tier up to the target
+size, and rewrites each run as one shard, which then belongs to a higher tier; `settle` repeats that until no tier has a run, and then
+merges what is left over in the tiers. Sizes are those of texts before compression, with `ROW_BYTES` for the rest of a row.
+
+A version's manifest is a Parquet folder with the shards that it adds and drops, and every `SNAPSHOT`-th has all its shards beside
+that, so a commit writes as much as has changed. It is written under a temporary name and renamed, which fails if another writer was
+first. Readers see one version as a whole; nothing is changed in place, and a job that dies leaves unlisted files only, which
+`vacuum` removes with versions that are no longer wanted.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailmark.session import workspace
 
@@ -22,7 +28,9 @@ FAN_IN = 8
 PLANNED_TOGETHER = 50_000
 LISTED = 100_000
 ROW_BYTES = 64
+SNAPSHOT = 10
 _MANIFEST = "shard_id string, part string, slot long, tier int, rows long, bytes long, checksum long, parents long"
+_DELTA = f"{_MANIFEST}, added boolean"
 
 
 class Conflict(RuntimeError):
@@ -33,7 +41,9 @@ class ShardStore:
     """`root`: a folder shared by all workers. Rows have a column doc_id and a column text; others are stored as they are.
 
     Null ids and texts are stored like any value (a null text has no bytes), repeated rows are stored as often as they
-    come, an empty arrival commits a version without new shards. Columns named _part and _slot are the store's own.
+    come, an empty arrival commits a version without new shards. Columns named _part and _slot are the store's own. The first
+    arrival sets the columns; later ones are cast to their types, miss some as nulls, and must not bring others. A store that holds
+    no row, or none yet, reads as an empty table.
     """
 
     def __init__(self, spark: SparkSession, root: str, target: int = TARGET, fan_in: int = FAN_IN) -> None:
@@ -51,6 +61,13 @@ class ShardStore:
             return []
         return sorted(int(m[1]) for s in fs.listStatus(p) if (m := re.fullmatch(r"v(\d+)", s.getPath().getName())))
 
+    def _at(self, version: int) -> str:
+        return f"{self.root}/manifest/v{version:08d}"
+
+    def _exists(self, path: str) -> bool:
+        p, fs = self._fs(path)
+        return fs.exists(p)
+
     def manifest(self, version: int | None = None) -> DataFrame:
         """The shards of a version, of the last one by default; none before the first."""
         known = self.versions()
@@ -60,37 +77,81 @@ class ShardStore:
             if version:
                 raise ValueError(f"no version {version}")
             return self.spark.createDataFrame([], _MANIFEST)
-        return self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest/v{version:08d}")
+        later, base = [], version
+        while base and not self._exists(f"{self._at(base)}/all"):
+            later.append(f"{self._at(base)}/delta")
+            base -= 1
+        shards = self.spark.read.schema(_MANIFEST).parquet(f"{self._at(base)}/all") if base else self.spark.createDataFrame([], _MANIFEST)
+        if not later:
+            return shards
+        changes = self.spark.read.schema(_DELTA).parquet(*later)
+        live = shards.unionByName(changes.filter("added").drop("added"))
+        return live.join(changes.filter("NOT added").select("shard_id"), "shard_id", "left_anti")
 
-    def _commit(self, rows: DataFrame, version: int) -> int:
+    def _commit(self, changes: DataFrame, version: int) -> int:
+        """changes: the shards that the version adds, and those that it drops (added = false)."""
         made = f"{self.root}/manifest/.tmp-{uuid.uuid4().hex}"
-        rows.select(*[c.split()[0] for c in _MANIFEST.split(", ")]).coalesce(1).write.parquet(made)
+        changes.select(*[c.split()[0] for c in _DELTA.split(", ")]).write.parquet(f"{made}/delta")
+        self._rename(made, self._at(version))
+        if version % SNAPSHOT == 0:
+            self._snapshot(version)
+        return version
+
+    def _snapshot(self, version: int) -> None:
+        """All shards of a version beside what it changes; the same whoever writes it, so that a second writer may fail."""
+        if not self._exists(f"{self._at(version)}/all"):
+            made = f"{self.root}/manifest/.tmp-{uuid.uuid4().hex}"
+            self.manifest(version).write.parquet(made)
+            try:
+                self._rename(made, f"{self._at(version)}/all")
+            except Conflict:
+                self._delete(made)
+
+    def _rename(self, made: str, name: str) -> None:
         jvm = self.spark._jvm
-        source, target = jvm.org.apache.hadoop.fs.Path(made), jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest/v{version:08d}")
+        source, target = jvm.org.apache.hadoop.fs.Path(made), jvm.org.apache.hadoop.fs.Path(name)
         none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
             jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), self.spark._jsc.hadoopConfiguration()).rename(source, target, none)
         except Exception as e:
-            if self._fs(target.toString())[1].exists(target):
-                raise Conflict(f"version {version} is there already") from e
+            if self._exists(name):
+                raise Conflict(f"{name} is there already") from e
             raise
-        return version
+
+    def _delete(self, path: str) -> None:
+        p, fs = self._fs(path)
+        fs.delete(p, True)
 
     # -- data ------------------------------------------------------------------------------------------------------
 
     def _bytes(self):
         return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
 
+    def _schema(self) -> T.StructType:
+        """The columns of the store's rows, as the first arrival has set them."""
+        return T.StructType.fromJson(json.loads(self.spark.read.schema("columns string").parquet(f"{self.root}/columns").first()[0]))
+
+    def _fitted(self, docs: DataFrame) -> DataFrame:
+        """An arrival with the store's columns."""
+        docs = docs.drop("_part", "_slot")
+        if not self._exists(f"{self.root}/columns/_SUCCESS"):
+            self.spark.createDataFrame([(json.dumps(docs.schema.jsonValue()),)], "columns string").coalesce(1).write.mode("ignore").parquet(f"{self.root}/columns")
+        fields = self._schema().fields
+        if more := set(docs.columns) - {f.name for f in fields}:
+            raise ValueError(f"columns that the store does not have: {sorted(more)}")
+        return docs.select(*[(F.col(f.name) if f.name in docs.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
     def _write(self, rows: DataFrame, part: str) -> DataFrame:
         """Write rows with a column _slot as one shard each, and describe what has been written, from the files."""
         path = f"{self.root}/data/_part={part}"
         rows.write.partitionBy("_slot").option("compression", "zstd").parquet(path)
         kinds = rows.schema["_slot"].dataType
         written = self.spark.read.schema(rows.schema).parquet(path)
+        hashed = [f.name for f in rows.schema if f.name != "_slot" and "map<" not in f.dataType.simpleString()]
         return (
             written.groupBy(F.col("_slot").cast(kinds).alias("slot"))
-            .agg(F.count(F.lit(1)).alias("rows"), F.sum(self._bytes()).alias("bytes"), F.bit_xor(F.xxhash64("doc_id", "text")).alias("checksum"))
-            .select(F.concat_ws("-", F.lit(part), F.col("slot").cast("string")).alias("shard_id"), F.lit(part).alias("part"), "slot", self._tier().alias("tier"), "rows", "bytes", "checksum")
+            .agg(F.count(F.lit(1)).alias("rows"), F.sum(self._bytes()).alias("bytes"), F.sum(F.xxhash64(*hashed).cast("decimal(20,0)")).alias("total"))
+            .select(F.concat_ws("-", F.lit(part), F.col("slot").cast("string")).alias("shard_id"), F.lit(part).alias("part"), "slot", self._tier().alias("tier"), "rows", "bytes", F.pmod("total", F.lit(1 << 62)).cast("long").alias("checksum"))
         )
 
     def _tier(self):
@@ -100,58 +161,75 @@ class ShardStore:
     def append(self, docs: DataFrame) -> int:
         """Add an arrival as small shards; returns the new version. Nothing is shuffled: each partition of the arrival writes its own
         shards, and deals its rows to several by a hash where they would be larger than a fan-in-th of the target."""
-        docs = docs.drop("_part", "_slot")
+        docs = self._fitted(docs)
         size = docs.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(self._bytes()).alias("bytes")).agg(F.max("bytes")).collect()[0][0] or 0
         slots = max(1, -(-size * self.fan_in // self.target))
         version = (self.versions() or [0])[-1] + 1
         part = f"a{version:08d}{uuid.uuid4().hex[:6]}"
-        old = self.manifest()
         if not size:
-            return self._commit(old, version)
+            return self._commit(self.spark.createDataFrame([], _DELTA), version)
         slot = F.spark_partition_id().cast("long") * slots + F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots))
         made = self._write(docs.withColumn("_slot", slot), part)
-        return self._commit(old.unionByName(made.withColumn("parents", F.lit(0).cast("long"))), version)
+        return self._commit(made.withColumn("parents", F.lit(0).cast("long")).withColumn("added", F.lit(True)), version)
+
+    def plan(self, across: bool = False) -> DataFrame:
+        """The manifest with `run`, the run that each shard of up to half the target goes to; null for shards that stay as they are.
 
-    def plan(self) -> DataFrame:
-        """The manifest with `run`, the run that each shard below the target goes to; null for shards that stay as they are."""
+        Runs are of one tier, or of all with `across`.
+        """
         shards = self.manifest()
         groups = max(1, -(-shards.count() // PLANNED_TOGETHER))
-        tier = Window.partitionBy("tier", "some").orderBy("bytes", "shard_id")
+        tier = Window.partitionBy("level", "some").orderBy("bytes", "shard_id")
         small = (
             shards.filter(F.col("bytes") * 2 <= self.target)
+            .withColumn("level", F.lit(-1) if across else F.col("tier"))
             .withColumn("some", F.pmod(F.xxhash64("shard_id"), F.lit(groups)))
             .withColumn("upto", F.sum("bytes").over(tier.rowsBetween(Window.unboundedPreceding, -1)))
             .withColumn("number", F.floor(F.coalesce("upto", F.lit(0)) / self.target))
-            .withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("tier", "some", "number")))
+            .withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("level", "some", "number")))
             .filter("members > 1")
-            .select("shard_id", (F.xxhash64("tier", "some", "number")).alias("run"))
+            .select("shard_id", (F.xxhash64("level", "some", "number")).alias("run"))
         )
         return shards.join(small, "shard_id", "left")
 
-    def compact(self) -> int:
+    def compact(self, across: bool = False) -> int:
         """Merge the planned runs and commit the next version; the last version again if there is nothing to merge."""
         version = (self.versions() or [0])[-1]
-        plan = self.plan()
-        runs = plan.filter("run is not null")
-        n = runs.select("run").distinct().count()
+        runs = self.plan(across).filter("run is not null")
+        shards, n = runs.agg(F.count(F.lit(1)), F.count_distinct("run")).first()
         if not n:
             return version
         part = f"c{version + 1:08d}{uuid.uuid4().hex[:6]}"
-        merged = self._rows(runs.select(F.col("part").alias("_part"), F.col("slot").alias("_slot"), "run"), runs.count()).drop("_part", "_slot").withColumnRenamed("run", "_slot")
+        merged = self._rows(runs.select(F.col("part").alias("_part"), F.col("slot").alias("_slot"), "run"), shards).drop("_part", "_slot").withColumnRenamed("run", "_slot")
         made = self._write(merged.repartition(n, "_slot"), part)
-        parents = runs.groupBy(F.col("run").alias("slot")).agg(F.count(F.lit(1)).alias("parents"), F.bit_xor("checksum").alias("was"), F.sum("rows").alias("had"))
+        parents = runs.groupBy(F.col("run").alias("slot")).agg(F.count(F.lit(1)).alias("parents"), F.pmod(F.sum(F.col("checksum").cast("decimal(38,0)")), F.lit(1 << 62)).cast("long").alias("was"), F.sum("rows").alias("had"))
         checked = made.join(parents, "slot").withColumn("parents", F.expr("CASE WHEN was = checksum AND had = rows THEN parents ELSE raise_error('a merged shard differs from its parents') END"))
-        return self._commit(plan.filter("run is null").drop("run").unionByName(checked.drop("was", "had")), version + 1)
+        return self._commit(checked.drop("was", "had").withColumn("added", F.lit(True)).unionByName(runs.drop("run").withColumn("added", F.lit(False))), version + 1)
+
+    def settle(self) -> int:
+        """Compact until no tier has a run, then what is left over across the tiers; files of no version but the last are removed on the way."""
+        version, across = None, False
+        while True:
+            new = self.compact(across)
+            if new == version:
+                if across:
+                    return new
+                across = True
+            else:
+                self.vacuum()
+            version = new
 
     def _rows(self, shards: DataFrame, count: int) -> DataFrame:
         """The stored rows of `count` given shards (_part, _slot, ...); partitions of other shards are pruned at run time.
 
         The list is broadcast up to `LISTED` shards, so that the rows themselves stay where they are.
         """
+        fields = self._schema().fields if self._exists(f"{self.root}/columns/_SUCCESS") else T.StructType.fromDDL("doc_id long, text string").fields
+        schema = T.StructType([*fields, T.StructField("_part", T.StringType()), T.StructField("_slot", T.LongType())])
+        if not count:
+            return self.spark.createDataFrame([], schema).join(shards, ["_part", "_slot"])
         shards = F.broadcast(shards) if count <= LISTED else shards
-        data = self.spark.read.option("mergeSchema", "false").parquet(f"{self.root}/data")
-        data = data.withColumn("_part", F.col("_part").cast("string")).withColumn("_slot", F.col("_slot").cast("long"))
-        return data.join(shards, ["_part", "_slot"])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/data").join(shards, ["_part", "_slot"])
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version, with shard_id, tier, shard_rows and shard_bytes."""
@@ -162,10 +240,13 @@ class ShardStore:
     def vacuum(self, keep: int = 1) -> None:
         """Forget all but the last `keep` versions, and delete the parts that none of them lists."""
         known = self.versions()
+        if not known:
+            return
+        for v in known[-keep:]:
+            self._snapshot(v)
         used = {r["part"] for v in known[-keep:] for r in self.manifest(v).select("part").distinct().collect()}
         for v in known[:-keep]:
-            p, fs = self._fs(f"{self.root}/manifest/v{v:08d}")
-            fs.delete(p, True)
+            self._delete(self._at(v))
         p, fs = self._fs(f"{self.root}/data")
         for s in fs.listStatus(p) if fs.exists(p) else []:
             name = s.getPath().getName()
@@ -174,11 +255,15 @@ class ShardStore:
 
 
 def shard(spark: SparkSession, docs: DataFrame, arrivals: int = 4, target: int = TARGET, fan_in: int = FAN_IN) -> DataFrame:
-    """`docs` put into a new store by arrivals (dealt by a hash) and compacted: doc_id, shard_id, tier, shard_rows, shard_bytes, version."""
+    """`docs` put into a new store by arrivals (dealt by a hash) and compacted until it is settled: doc_id, shard_id, tier, shard_rows,
+    shard_bytes, version.
+
+    A row for each row of `docs`: repeated rows, null ids and null or empty texts are stored like others; other columns are stored and
+    not returned; an empty table gives no row. A row above the target size is a shard with whatever came with it.
+    """
     store = ShardStore(spark, f"{workspace(spark)}/store-{uuid.uuid4().hex[:12]}", target, fan_in)
     turn = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(arrivals))
     for i in range(arrivals):
-        version = store.append(docs.filter(turn == i))
-    version = store.compact()
-    store.vacuum()
+        store.append(docs.filter(turn == i))
+    version = store.settle()
     return store.read(version).select("doc_id", "shard_id", "tier", "shard_rows", "shard_bytes", F.lit(version).cast("long").alias("version"))
