@@ -1,12 +1,12 @@
 """Packing: a round trip of all ids, full windows, the mixture."""
 
+import random
 import zlib
 from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
-import pytest
 from tokenizers import Tokenizer
 from trailmark.llm import packing
 from trailmark.session import table
@@ -43,38 +43,75 @@ def test_round_trip(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     pieces = packing.pack(spark, docs, PATH).collect()
     check(pieces, rows)
-    source = {r.doc_id: r.source for r in docs.collect()}
-    tokens, served = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    compare(pieces, {r.doc_id: r.source for r in docs.collect()}, packing.PACKET, 4096)
+    assert len(pieces) < 2.5 * len(rows)
+    total = sum(p.length for p in pieces)
+    tokens, served = defaultdict(int), defaultdict(int)
     for p in pieces:
-        tokens[source[p.doc_id]] += p.length
-        served[p.sequence_id][source[p.doc_id]] += p.length
-    total = sum(tokens.values())
-    for k in range(total // 4096):
-        for s, n in tokens.items():
-            assert abs(served[k][s] - 4096 * n / total) <= 2  # every window has the target shares
+        tokens[p.queue] += p.length
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):  # at any place each queue has had its share, to within what deficits are
+        served[p.queue] += p.length
+        done = p.sequence_id * 4096 + p.offset + p.length
+        spread = packing.PACKET * (1 + len(tokens) * tokens[p.queue] / total) + 4096 * tokens[p.queue] / total
+        assert abs(served[p.queue] - done * tokens[p.queue] / total) <= spread
+
+
+def simulated(queues, quanta, packet):
+    """Deficit round-robin by a loop over rounds: (queue, document, start, length) in the order of service."""
+    heads = {q: [(d, a, min(packet, n - a)) for d, n in docs for a in range(0, n, packet)] for q, docs in queues.items()}
+    deficit, out = dict.fromkeys(queues, Fraction(0)), []
+    while any(heads.values()):
+        for q in sorted(queues):
+            deficit[q] += quanta[q]
+            while heads[q] and heads[q][0][2] <= deficit[q]:
+                deficit[q] -= heads[q][0][2]
+                out.append((q, *heads[q].pop(0)))
+    return out
+
+
+def compare(pieces, source, packet, window, weights=None):
+    """The pieces against the simulation, the documents of a queue in the order in which they came."""
+    queues, place = defaultdict(list), {}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        for x in range(p.length):
+            place[p.doc_id, p.start + x] = p.sequence_id * window + p.offset + x
+        if p.start == 0:
+            queues[source[p.doc_id] or ""].append((p.doc_id, p.doc_tokens))
+    tokens = {q: sum(n for _, n in docs) for q, docs in queues.items()}
+    share = {q: Fraction(weights[q]) if weights else Fraction(tokens[q]) for q in queues}
+    quanta = {q: window * s / sum(share.values()) for q, s in share.items()}
+    at = 0
+    for _, d, start, n in simulated(queues, quanta, packet):
+        assert [place[d, start + x] for x in range(n)] == list(range(at, at + n))
+        at += n
+    assert at == len(place)
 
 
 def test_weights(spark):
-    rows = [(i, "one two three four five six seven eight nine ten", "ab"[i % 2]) for i in range(400)]
+    rng = random.Random(3)
+    rows = [(i, "one two three four five six seven eight nine ten " * rng.randint(0, 9), "ab"[i % 2]) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    pieces = packing.pack(spark, docs, PATH, window=64, target={"a": 3.0, "b": 1.0}).collect()
+    pieces = packing.pack(spark, docs, PATH, window=64, target={"a": 3.0, "b": 1.0}, packet=16).collect()
     check(pieces, [r[:2] for r in rows], 64)
+    compare(pieces, {r[0]: r[2] for r in rows}, 16, 64, {"a": 3, "b": 1})
     first = [p for p in pieces if p.sequence_id < 40]
-    assert sum(p.length for p in first if p.doc_id % 2 == 0) == 48 * 40
+    assert abs(sum(p.length for p in first if p.doc_id % 2 == 0) - 48 * 40) <= 32
+    alone = packing.pack(spark, docs, PATH, window=64, target={"b": 2.0}).collect()
+    check(alone, [r[:2] for r in rows], 64)
+    place = lambda p: p.sequence_id * 64 + p.offset
+    assert max(place(p) for p in alone if p.queue == "b") < min(place(p) for p in alone if p.queue == "a")  # sources without a weight come last
 
 
-@pytest.mark.parametrize("sizes,weights", [([5, 0, 7], None), ([100, 3, 50], [Fraction(1), Fraction(5), Fraction(2)]), ([10, 10], [Fraction(0), Fraction(1)])])
-def test_mixture_serves_everything_once(sizes, weights):
-    m = packing.Mixture(sizes, weights)
-    seen = [[0] * s for s in sizes]
-    for q, s in enumerate(sizes):
-        for begin in range(0, s, 3):
-            n = min(3, s - begin)
-            for start, length, k, offset in packing.pieces(m, q, begin, n, 8):
-                for x in range(length):
-                    seen[q][begin + start + x] += 1
-                    assert 0 <= offset + x < 8 and k * 8 + offset + x < sum(sizes)
-    assert all(c == 1 for s in seen for c in s)
+def test_levels_and_many_queues(spark, monkeypatch):
+    """Prefix sums of many small blocks, and queues beyond the broadcast limit."""
+    for name, value in (("SPAN", 2), ("ROUNDS", 3), ("BUCKET", 4), ("SMALL", 3)):
+        monkeypatch.setattr(packing, name, value)
+    rng = random.Random(8)
+    rows = [(f"d{i}", "word " * int(rng.expovariate(0.02)), rng.choice(["hot", "hot", None, *"abcdefghij"])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    pieces = packing.pack(spark, docs, PATH, window=128, packet=50).collect()
+    check(pieces, [r[:2] for r in rows], 128)
+    compare(pieces, {r[0]: r[2] for r in rows}, 50, 128)
 
 
 def test_cached_words_give_the_same_ids():
@@ -85,8 +122,6 @@ def test_cached_words_give_the_same_ids():
 
 
 def test_cached_words_on_random_strings():
-    import random
-
     tok = Tokenizer.from_file(PATH)
     mine = packing.CachedTokenizer(PATH)
     rng = random.Random(4)

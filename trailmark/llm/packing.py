@@ -1,15 +1,17 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Each source is a queue of tokens (documents in hash order); sources below 1/128 of all characters share one queue. Every
-window of 4096 tokens serves all queues in turn. A queue's credit grows by its share of the window, it is served whole
-tokens, and what remains of its credit, its deficit, is carried into the next window. Because the credit after k windows is a
-known number, so is what each queue has been served by then: no worker needs another's state, the deficits carry over
-from partition to partition as well as from window to window, and every window has the target shares to within a token.
-Without target weights the shares are those of the queues' tokens, so all queues end together and only the last
-window is partly filled; with weights, a queue that ends leaves its share to the others.
-
-Token ids are written once, ordered by (queue, bucket); a bucket holds about 512 documents, and prefix sums
-go over buckets and then within one, so a hot source is spread over as many tasks as it has buckets.
+Each source is a queue of documents in hash order, a long document being several packets of `PACKET` tokens. In every round
+a queue's deficit grows by its quantum, its share of a window's tokens, and packets leave its head as long as they fit into the
+deficit; what remains is carried into the next round. Windows of 4096 tokens are cut from what leaves, so a document is cut at
+window ends and between packets only, and after any number of rounds each queue has had its share to within a packet.
+Without target weights the shares are those of the queues' tokens, so all queues end together and only the last window is partly
+filled; with weights, a queue that ends leaves its share to the others.
+
+Since a deficit starts at 0 and its queue is never empty before its end, the packet that ends at token e of its queue leaves in
+the first round r with r * quantum >= e, whatever the other queues hold. So the rounds, and with them the deficits that go from
+window to window and from partition to partition, are a prefix sum in each queue, and the places of all packets are one over
+(round, queue, token). Both are taken in two levels, of which the upper one has a row for some thousands of the lower one; no
+task needs a whole queue. Token ids are written once and shuffled once, to meet the places of their packets.
 """
 
 from __future__ import annotations
@@ -17,8 +19,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from bisect import bisect_right
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,12 @@ from trailmark.session import materialize
 
 WINDOW = 4096
 END = 2
-QUEUES = 128
+PACKET = 512
 BUCKET = 512
+#: Rows of the lower level of a prefix sum for one of the upper level; rounds whose packets are put in order by one task.
+SPAN, ROUNDS = 4096, 256
+#: Up to so many queues (counted) are broadcast; beyond, only those with a thousandth of all documents are.
+SMALL = 100_000
 CACHE_BYTES = 96 << 20
 _WORD = re.compile(r"[^\W_İ]++(?=[!-&(-/:-@\[-`{-~])|[^ \t\n\r]+")
 _tokenizers: dict = {}
@@ -89,85 +93,94 @@ def tokenizer(path: str, spanning: bool = False) -> CachedTokenizer:
     return _tokenizers[path, spanning]
 
 
-class Mixture:
-    """How many tokens each queue has been served after g tokens in all: a piecewise linear credit, rounded by cumulative sums."""
-
-    def __init__(self, sizes: list[int], weights: list[Fraction] | None = None) -> None:
-        self.total = sum(sizes)
-        left, done, at = [Fraction(s) for s in sizes], [Fraction(0)] * len(sizes), Fraction(0)
-        weights = weights or [Fraction(s) for s in sizes]
-        self.knots: list[tuple[Fraction, list[Fraction], list[Fraction]]] = []  # from g: served up to queue j, and its slope
-        while any(left):
-            share = [w if x else Fraction(0) for w, x in zip(weights, left, strict=True)]
-            if not sum(share):
-                share = [x for x in left]
-            share = [w / sum(share) for w in share]
-            span = min(x / w for x, w in zip(left, share, strict=True) if w)
-            cum = lambda xs: [sum(xs[:j], Fraction(0)) for j in range(len(xs) + 1)]
-            self.knots.append((at, cum(done), cum(share)))
-            done = [d + span * w for d, w in zip(done, share, strict=True)]
-            left = [x - span * w for x, w in zip(left, share, strict=True)]
-            at += span
-        self.starts = [k[0] for k in self.knots]
-        self.whole = [[(a.numerator * s.denominator, s.numerator * a.denominator, a.denominator * s.denominator, g) for a, s in zip(base, slope, strict=True)] for g, base, slope in self.knots]
-
-    def edge(self, j: int, g: int) -> int:
-        """Tokens of the queues before j among the first g."""
-        a, s, d, at = self.whole[0 if len(self.starts) == 1 else max(0, bisect_right(self.starts, g) - 1)][j]
-        if not at:
-            return (a + s * g) // d
-        return (a * at.denominator + s * (g * at.denominator - at.numerator)) // (d * at.denominator)
-
-    def served(self, j: int, g: int) -> int:
-        return self.edge(j + 1, g) - self.edge(j, g)
-
-
-def pieces(mixture: Mixture, queue: int, begin: int, length: int, window: int = WINDOW):
-    """(start in the document, length, window, offset in it) of the tokens [begin, begin + length) of a queue."""
-    total = mixture.total
-    last = -(-total // window)
-    g = lambda k: min(k * window, total)
-    k = bisect_right(range(last + 1), begin, key=lambda k: mixture.served(queue, g(k))) - 1
-    at, end = begin, begin + length
-    low = mixture.served(queue, g(k))
-    while at < end:
-        high = mixture.served(queue, g(k + 1))
-        if high > at:
-            lead = mixture.edge(queue, g(k + 1)) - mixture.edge(queue, g(k))
-            stop = min(end, high)
-            yield at - begin, stop - at, k, lead + at - low
-            at = stop
-        low = high
-        k += 1
-
-
-def pack(spark: SparkSession, docs: DataFrame, path: str, window: int = WINDOW, end: int = END, target: dict[str, float] | None = None, spanning: bool = False) -> DataFrame:
+def _before(sums: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """`sums` (a row for each `by` and `order`, a long) with `before`: the sum of `value` over the rows before, in two levels."""
+    one = [F.lit(0).alias("_one")] if not by else []
+    keyed = sums.select("*", F.floor(F.col(order) / SPAN).alias("_block"), *one)
+    by = by or ["_one"]
+    earlier = lambda keys, at: Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = keyed.groupBy(*by, "_block").agg(F.sum(value).alias("_sum"))
+    bases = blocks.select(*by, "_block", F.coalesce(F.sum("_sum").over(earlier(by, "_block")), F.lit(0)).alias("_base"))
+    inside = keyed.withColumn("_in", F.coalesce(F.sum(value).over(earlier([*by, "_block"], order)), F.lit(0)))
+    return inside.join(bases, [*by, "_block"]).withColumn("before", F.col("_in") + F.col("_base")).drop("_in", "_base", "_block", "_one")
+
+
+def _queues(counted: DataFrame, target: dict[str, float] | None, window: int) -> DataFrame:
+    """queue, docs, buckets, and base, up, down: a packet that ends at token e of the queue leaves in round base + ceil(e * up / down).
+
+    The shares are those of the queues' tokens; with `target`, its weights (whole millionths), and queues without one come after all others.
+    """
+    d = lambda c: F.col(c).cast("decimal(19,0)") if isinstance(c, str) else F.lit(c).cast("decimal(19,0)")
+    weights = {k: round(v * 10**6) for k, v in (target or {}).items() if round(v * 10**6) > 0}
+    weight = F.lit(0)
+    for k, v in weights.items():
+        weight = F.when(F.col("queue") == k, v).otherwise(weight)
+    df = counted.withColumn("weight", weight.cast("long"))
+    rest = df.filter("weight = 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("rest"))
+    some = sum(weights.values())
+    last = df.agg(F.coalesce(F.max(F.when(F.col("weight") > 0, F.ceil(F.col("tokens") * float(some) / (F.col("weight") * window)) + 1)), F.lit(0)).alias("last"))
+    free = F.col("weight") == 0
+    return df.join(F.broadcast(rest)).join(F.broadcast(last)).select(
+        "queue", "docs", F.greatest(F.ceil(F.col("docs") / BUCKET), F.lit(1)).alias("buckets"), F.when(free, F.col("last")).otherwise(0).alias("base"),
+        F.when(free, d("rest")).otherwise(d(some)).alias("up"), F.when(free, d("tokens") * d(window)).otherwise(d("weight") * d(window)).cast("decimal(28,0)").alias("down"),
+    )
+
+
+def _with_queues(rows: DataFrame, queues: DataFrame, count: int) -> DataFrame:
+    """`rows` with the columns of their queue; a queue may have most of the rows."""
+    if count <= SMALL:
+        return rows.join(F.broadcast(queues), "queue")
+    total = queues.agg(F.sum("docs")).first()[0]
+    hot = queues.filter(F.col("docs") * 1000 >= total)  # a thousand at most
+    cold = queues.filter(F.col("docs") * 1000 < total)
+    return rows.join(F.broadcast(hot), "queue").unionByName(rows.join(F.broadcast(hot.select("queue")), "queue", "left_anti").join(cold, "queue"))
+
+
+def places(rows: DataFrame, queues: DataFrame, count: int, packet: int = PACKET) -> DataFrame:
+    """uid, at: the packets (start, length, place) of each document of `rows` (uid, queue, n, mixed), `place` in the order of service."""
+    keyed = _with_queues(rows, queues, count).withColumn("bucket", F.pmod("mixed", "buckets"))
+    order = Window.partitionBy("queue", "bucket").orderBy("mixed", "n", "uid").rowsBetween(Window.unboundedPreceding, 0)
+    bases = _before(keyed.groupBy("queue", "bucket").agg(F.sum("n").alias("tokens")), ["queue"], "bucket", "tokens").select("queue", "bucket", "before")
+    placed = keyed.withColumn("upto", F.sum("n").over(order)).join(bases, ["queue", "bucket"])
+    start = F.col("k") * packet
+    packets = (
+        placed.select("uid", "queue", "n", "base", "up", "down", (F.col("before") + F.col("upto") - F.col("n")).alias("head"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / packet))).alias("k"))
+        .select("uid", "queue", "base", "up", "down", start.alias("start"), F.least(F.lit(packet), F.col("n") - start).alias("length"), (F.col("head") + F.least(F.col("n"), start + packet)).alias("e"))
+        .withColumn("round", F.col("base") + F.expr("(CAST(e AS DECIMAL(19,0)) * up + down - 1) div down"))
+        .select("uid", "queue", "start", "length", "e", "round", F.floor(F.col("round") / ROUNDS).alias("some"))
+    )
+    served = Window.partitionBy("some").orderBy("round", "queue", "e").rowsBetween(Window.unboundedPreceding, -1)
+    sums = _before(packets.groupBy("some").agg(F.sum("length").alias("tokens")), [], "some", "tokens").select("some", "before")
+    at = packets.withColumn("_in", F.coalesce(F.sum("length").over(served), F.lit(0))).join(sums, "some")
+    return at.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "length", (F.col("before") + F.col("_in")).alias("place")))).alias("at"))
+
+
+def cut(at: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """(row, start, length, place) of the pieces of documents whose packets are given: neighbours joined, cut at window ends."""
+    flat = at.flatten()
+    start, length, place = (flat.field(i).to_numpy() for i in range(3))
+    row = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy())
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + length[:-1])
+    heads = np.flatnonzero(first)
+    row, start, place, length = row[heads], start[heads], place[heads], np.add.reduceat(length, heads) if len(heads) else length
+    windows = (place + length - 1) // window - place // window + 1
+    n = np.repeat(np.arange(len(row)), windows)
+    k = place[n] // window + np.arange(len(n)) - np.repeat(np.cumsum(windows) - windows, windows)
+    low, high = np.maximum(place[n], k * window), np.minimum(place[n] + length[n], (k + 1) * window)
+    return row[n], start[n] + low - place[n], high - low, low
+
+
+def pack(spark: SparkSession, docs: DataFrame, path: str, window: int = WINDOW, end: int = END, target: dict[str, float] | None = None, spanning: bool = False, packet: int = PACKET) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue.
 
-    `docs` has doc_id, text, source; null text counts as empty (one token, `end`), null source is the source ''. A document is
-    its ids (add_special_tokens=False) and `end`; each id lies in exactly one piece, a sequence has `window` ids but for the
-    last one. `target` gives sources relative weights (others have none and come last). Repeated rows are packed each.
+    `docs` has doc_id (of any type), text, source; null text counts as empty (one token, `end`), null source is the source ''. A
+    document is its ids (add_special_tokens=False) and `end`; each id lies in exactly one piece, a sequence has `window` ids but for
+    the last one. `target` gives sources relative weights (others have none and come last). Repeated rows are packed each.
     Other columns are ignored; without rows there is no piece.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counted = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text").cast("long") + 1).alias("chars"))
-    whole = counted.agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).collect()[0]
-    out_schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
-    if not whole["n"]:
-        return spark.createDataFrame([], out_schema)
-    named = [] if target is None else sorted(target)
-    # At most QUEUES rows: each has 1/QUEUES of all characters. Weighted sources are a parameter.
-    large = counted.filter((F.col("chars") * QUEUES >= whole["chars"]) | F.col("source").isin(named)).orderBy("source").collect()
-    names = [r["source"] for r in large]
-    rest = whole["n"] - sum(r["n"] for r in large)
-    buckets = [max(1, -(-r["n"] // BUCKET)) for r in large] + [max(1, -(-rest // BUCKET))]
-    queue_of, buckets_of = F.lit(len(names)), F.lit(buckets[-1])
-    if names:
-        at = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("source"))
-        queue_of = F.when(at > 0, (at - 1).cast("int")).otherwise(F.lit(len(names)))
-        buckets_of = F.element_at(F.array(*[F.lit(b) for b in buckets]), queue_of + 1)
-    mixed = F.xxhash64("doc_id", F.lit(31))
-    dealt = docs.withColumn("queue", queue_of).withColumn("bucket", F.pmod(mixed, buckets_of.cast("long"))).select("doc_id", "queue", "bucket", mixed.alias("mixed"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("queue"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def tokenize(batches):
         t = tokenizer(path, spanning)
@@ -175,43 +188,33 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, window: int = WINDOW,
         width = np.dtype(t.dtype).itemsize
         for batch in batches:
             for part in th.slices(batch, "text", most=2 << 20):
-                ids = [b + tail for b in t.ids(part.column(4).to_pylist())]
+                ids = [b + tail for b in t.ids(part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:4], pa.array([len(b) // width for b in ids], pa.int64()), pa.array([zlib.crc32(b) for b in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "queue", "bucket", "mixed", "n", "crc", "ids"],
+                    [*part.columns[:2], pa.array([len(b) // width for b in ids], pa.int64()), pa.array([zlib.crc32(b) for b in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    names=["doc_id", "queue", "n", "crc", "ids"],
                 )
 
-    tokens = dealt.mapInArrow(tokenize, "doc_id long, queue int, bucket long, mixed long, n long, crc long, ids binary")
-    order = Window.partitionBy("queue", "bucket").orderBy("mixed", "doc_id", "n", "crc").rowsBetween(Window.unboundedPreceding, 0)
-    stored = materialize(spark, tokens.withColumn("upto", F.sum("n").over(order)).drop("mixed", "crc"), "tokens")
-    sums = stored.groupBy("queue", "bucket").agg(F.sum("n").alias("tokens"))
-    before = Window.partitionBy("queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    bases = materialize(spark, sums.withColumn("base", F.sum("tokens").over(before) - F.col("tokens")), "bases")
-    sizes = [0] * (len(names) + 1)
-    for r in bases.groupBy("queue").agg(F.sum("tokens").alias("t")).collect():
-        sizes[r["queue"]] = r["t"]
-    weights = None if target is None else [Fraction(target.get(x, 0)).limit_denominator(10**6) for x in names] + [Fraction(0)]
-    mixture = Mixture(sizes, weights)
-    labels = [*names, None]
-
-    def cut(batches):
+    tokens = docs.mapInArrow(tokenize, f"doc_id {kind}, queue string, n long, crc long, ids binary")
+    stored = materialize(spark, tokens.withColumn("uid", F.monotonically_increasing_id()), "tokens")
+    counted = materialize(spark, stored.groupBy("queue").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens")), "queues")
+    rows = stored.select("uid", "queue", "n", F.xxhash64("doc_id", "n", "crc").alias("mixed"))
+    at = places(rows, _queues(counted, target, window), counted.count(), packet)
+
+    def pieces(batches):
         dtype = tokenizer(path, spanning).dtype
         for batch in batches:
-            rows: list[tuple] = []
-            for i in range(batch.num_rows):
-                doc, queue, n, upto, base, ids = (batch.column(c)[i].as_py() for c in range(6))
-                raw = np.frombuffer(ids, dtype).astype("<u4").tobytes()
-                for start, length, k, offset in pieces(mixture, queue, base + upto - n, n, window):
-                    rows.append((doc, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n, k, offset, labels[queue]))
-                if len(rows) > 50_000:
-                    yield _table(rows)
-                    rows = []
-            if rows:
-                yield _table(rows)
-
-    return stored.join(bases, ["queue", "bucket"]).select("doc_id", "queue", "n", "upto", "base", "ids").mapInArrow(cut, out_schema)
-
-
-def _table(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "queue" else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+            for part in th.slices(batch, "ids", most=4 << 20):
+                row, start, length, place = cut(part.column(4), window)
+                _, offsets, data = part.column(3).buffers()
+                offsets = np.frombuffer(offsets, np.int32)[part.column(3).offset :][: part.num_rows + 1] // np.dtype(dtype).itemsize
+                raw = memoryview(np.frombuffer(data, dtype)[offsets[0] : offsets[-1]].astype("<u4")).cast("B")
+                low = 4 * (offsets[row] - offsets[0] + start)
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(low.tolist(), (low + 4 * length).tolist(), strict=True)]
+                picked = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(picked), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), part.column(2).take(picked), pa.array(place // window), pa.array(place % window), part.column(1).take(picked)],
+                    names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"],
+                )
+
+    met = stored.select("uid", "doc_id", "queue", "n", "ids").join(at.hint("shuffle_hash"), "uid").select("doc_id", "queue", "n", "ids", "at")
+    return met.mapInArrow(pieces, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string")
