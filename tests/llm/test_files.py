@@ -1,5 +1,8 @@
 """Shards and WARC files: exact round trips."""
 
+import io
+import time
+
 import pytest
 from pyspark.sql import functions as F
 from trailmark.llm import sharding, warc
@@ -91,3 +94,47 @@ def test_warc_contents():
     fields = dict(x.split(": ", 1) for x in meta[-1].decode().strip().split("\r\n"))
     assert fields["title"] == "T & U" and fields["outlink"] == "/y" and fields["source-digest"] == source[8] and fields["http-content-type"].startswith("text/html")
     assert f"WARC-Refers-To: {source[2]}" in text[9] and f"WARC-Source-Payload-Digest: {source[8]}" in text[9]
+
+
+def test_markup_left_open_is_read_in_one_pass():
+    """A megabyte of a tag that never ends takes well under a second, and its text is kept or dropped as for a short one."""
+    for piece in ("<a ", "<div ", "<title>", "<script", "<!--", "</script ", "<a href='", "<p x=\"", "<style>", "<", "<!"):
+        page = piece * ((1 << 20) // len(piece))
+        began = time.perf_counter()
+        text, links = warc.plain_text(page), warc.outlinks(page)
+        warc._visible("<title>x</title>" + page)
+        assert time.perf_counter() - began < 1, piece
+        assert links == [] and (text == "" or piece in page)
+    assert warc.plain_text("a<!-- b > c") == "a" and warc.plain_text("x <b>y</b> <i z") == "x y <i z"
+    assert warc._visible("<script>1</script>a<title>T</title><title>U</title><noscript>n") == ("\na\n\n\n", "T")
+    assert warc.outlinks('<a href=x><A class="q" HREF = "y&amp;z">t</a><a name=u><a href=\'\'>') == ["x", "y&z", ""]
+
+
+def test_malformed_files(spark, tmp_path, none):
+    good = warc.response(1, "u", "<p>text</p>")
+    whole = {"headers": good[9], "block": good[-1]}
+    plain = whole["headers"].encode() + b"\r\n" + whole["block"] + b"\r\n\r\n"
+    files = {
+        "a.warc": b"WARC/1.1\r\nWARC-Type: response\r\n\r\nsome block\r\n\r\n" + plain,
+        "b.warc": plain + plain[:-40],
+        "c.warc.gz": warc.member(whole) * 3 + warc.member(whole)[:-30],
+        "d.warc": b"what is this\r\n" + plain,
+        "e.warc": b"",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rows = warc.read(spark, str(tmp_path)).collect()
+    assert sorted((r.warc_type, r.content_type.split(":")[0] if r.warc_type == "malformed" else "") for r in rows) == [
+        ("malformed", "cut short"), ("malformed", "damaged gzip"), ("malformed", "no Content-Length"), ("malformed", "no record"), *[("response", "")] * 6,
+    ]
+    assert warc.derive(warc.read(spark, str(tmp_path))).count() == 12
+    assert warc.page_derivatives(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    many = warc.member({"headers": good[9], "block": b""}).replace(b"", b"") * 20_000
+    began = time.perf_counter()
+    assert sum(1 for _ in warc.parse(io.BytesIO(many))) == 20_000 and time.perf_counter() - began < 5
+
+
+def test_long_pages_and_extra_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>" + "word " * 300_000, "x"), (1, "u", "<p>" + "word " * 300_000, "x"), (None, None, None, None)], "page_id long, url string, html string, headers string")
+    got = warc.page_derivatives(pages).filter("warc_type = 'conversion'").collect()
+    assert sorted(len(r.block) for r in got) == [0, 1_499_999, 1_499_999]
