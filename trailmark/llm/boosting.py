@@ -6,10 +6,11 @@ import numpy as np
 
 
 class Boosted:
-    """Depth-limited trees on the logistic loss; leaves are Newton steps, splits come from histograms of at most 32 bins."""
+    """Depth-limited trees on the logistic loss; leaves are Newton steps, splits come from histograms of at most 32 bins, and each
+    tree sees a share of the features, drawn with a fixed seed."""
 
-    def __init__(self, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, least: float = 8.0, penalty: float = 1.0) -> None:
-        self.trees, self.depth, self.rate, self.bins, self.least, self.penalty = trees, depth, rate, bins, least, penalty
+    def __init__(self, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, least: float = 8.0, penalty: float = 1.0, share: float = 0.35) -> None:
+        self.trees, self.depth, self.rate, self.bins, self.least, self.penalty, self.share = trees, depth, rate, bins, least, penalty, share
 
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(self.edges)], 1).astype(np.uint8)
@@ -24,8 +25,9 @@ class Boosted:
             else:
                 self.edges.append((u[1:] + u[:-1]) / 2)
         b = self._binned(x)
-        n, width = b.shape
-        cells = b.astype(np.int64) + np.arange(width) * self.bins
+        n, every = b.shape
+        width = max(1, int(every * self.share))
+        draw = np.random.default_rng(7)
         self.base = float(np.log((y.sum() + 1) / (n - y.sum() + 1)))
         z = np.full(n, self.base)
         size = 2**self.depth
@@ -36,19 +38,22 @@ class Boosted:
             p = 1 / (1 + np.exp(-z))
             g, h = y - p, p * (1 - p)
             node = np.ones(n, np.int64)
+            some = np.sort(draw.permutation(every)[:width])
+            cells = b[:, some].astype(np.int64) + np.arange(width) * self.bins
+            gs, hs = np.repeat(g, width), np.repeat(h, width)
             for level in range(self.depth):
                 first, count = 1 << level, 1 << level
                 at = ((node - first)[:, None] * (width * self.bins) + cells).ravel()
                 shape = (count, width, self.bins)
-                hg = np.bincount(at, np.repeat(g, width), count * width * self.bins).reshape(shape).cumsum(2)
-                hh = np.bincount(at, np.repeat(h, width), count * width * self.bins).reshape(shape).cumsum(2)
+                hg = np.bincount(at, gs, count * width * self.bins).reshape(shape).cumsum(2)
+                hh = np.bincount(at, hs, count * width * self.bins).reshape(shape).cumsum(2)
                 tg, th = hg[:, :, -1:], hh[:, :, -1:]
                 gain = hg**2 / (hh + self.penalty) + (tg - hg) ** 2 / (th - hh + self.penalty) - tg**2 / (th + self.penalty)
                 gain[(hh < self.least / 4) | (th - hh < self.least / 4)] = -np.inf
                 flat = gain.reshape(count, -1)
                 best = flat.argmax(1)
                 useful = flat[np.arange(count), best] > 1e-6
-                f, c = best // self.bins, best % self.bins
+                f, c = some[best // self.bins], best % self.bins
                 self.feature[t, first : 2 * first] = np.where(useful, f, 0)
                 self.cut[t, first : 2 * first] = np.where(useful, c, 255)
                 node = node * 2 + (b[np.arange(n), self.feature[t, node]] > self.cut[t, node])

@@ -16,6 +16,8 @@ import functools
 import html
 import random
 import re
+import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ RAW = frozenset("script style title textarea iframe noscript noembed noframes xm
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var".split())
 NEVER = frozenset("svg template select button object canvas map audio video datalist head math".split())
 GROUPS = (
-    "article", "main", "section", "div", "p", "h1 h2 h3 h4 h5 h6 hgroup", "li dt dd", "ul ol dl menu", "nav", "header", "footer", "aside", "form fieldset legend input output",
+    "article", "main", "section", "div", "p", "h1", "h2 h3 h4 h5 h6 hgroup", "li dt dd", "ul ol dl menu", "nav", "header", "footer", "aside", "form fieldset legend input output",
     "table tbody thead tfoot tr td th caption", "blockquote pre", "body html", "#text", "figure figcaption picture", "dialog details summary", "address center",
 )
 GROUP = {tag: i for i, tags in enumerate(GROUPS) for tag in tags.split()}
@@ -47,7 +49,7 @@ TOKENS = (
     "article post entry story content main body text blog page prose richtext articlebody maintext",
     "nav menu navbar navigation breadcrumb breadcrumbs topbar toc tabs pagination pager skip",
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner adsense dfp commercial teaser",
-    "comment comments reply replies disqus discussion respond commentlist reader readers feedback",
+    "comment comments reply replies disqus discussion respond response responses commentlist reader readers feedback thread talkback opinions",
     "footer foot copyright colophon legal imprint bottom",
     "header head masthead branding logo top site",
     "sidebar side aside widget widgets rail complementary related recommended more popular",
@@ -56,28 +58,30 @@ TOKENS = (
     "share social sharing follow tweet facebook buttons toolbar tools meta tags byline author",
 )
 TOKEN = {w: i for i, ws in enumerate(TOKENS) for w in ws.split()}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+_TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_QUOTE = re.compile(r"[\"'>]")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|aria-label|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[a-z]+")
-_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.I) for t in RAW}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 
 
 class Tree:
     """The block nodes of a page, parents first, and its text in order as (node, text); node -1 is a break between blocks."""
 
-    __slots__ = ("tag", "parent", "tokens", "hidden", "texts", "links", "marks")
+    __slots__ = ("tag", "parent", "tokens", "hidden", "names", "texts", "links", "marks")
 
     def __init__(self) -> None:
         self.tag: list[str] = []
         self.parent: list[int] = []
         self.tokens: list[int] = []
         self.hidden: list[bool] = []
+        self.names: list[int] = []  # a hash of the class
         self.texts: list[tuple[int, str]] = []
         self.links: list[int] = []  # link characters by node
         self.marks: list[str] = []  # the value of data-k, only in pages made for training
 
     def add(self, tag: str, parent: int, attrs: str) -> int:
-        bits, hidden, mark = 0, False, ""
+        bits, hidden, mark, named = 0, False, "", 0
         if attrs:
             for name, a, b, c in _ATTR.findall(attrs):
                 value = (a or b or c).lower()
@@ -87,6 +91,8 @@ class Tree:
                 elif name == "hidden" or name == "aria-hidden" and value == "true":
                     hidden = True
                 elif name != "aria-label":
+                    if name == "class":
+                        named = zlib.crc32(value.encode("utf-8", "replace"))
                     for w in _PART.findall(value):
                         k = TOKEN.get(w)
                         if k is not None:
@@ -97,29 +103,72 @@ class Tree:
         self.parent.append(parent)
         self.tokens.append(bits)
         self.hidden.append(hidden)
+        self.names.append(named)
         self.links.append(0)
         self.marks.append(mark)
         return len(self.tag) - 1
 
 
+class _Tags:
+    """Finds the ends of tags; a quoted value may hold `>`, but once a quote has no partner, quotes no longer count.
+
+    Each search goes on from the one before or is the last of its kind, so a page takes time in proportion to its length.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def end(self, at: int) -> int:
+        """The place of the `>` that ends a tag open at `at`; there is one, as at <= last."""
+        page = self.page
+        plain = page.find(">", at)
+        if not self.quotes:
+            return plain
+        while m := _QUOTE.search(page, at):
+            if m[0] == ">":
+                return m.start()
+            at = page.find(m[0], m.end()) + 1
+            if not at or at > self.last:
+                break
+        self.quotes = False
+        return plain
+
+
 def parse(page: str) -> Tree:
-    """A forgiving reading of the markup: unknown ends are ignored, open elements end with their parents or where HTML ends them."""
+    """A forgiving reading of the markup: unknown ends are ignored, open elements end with their parents or where HTML ends them.
+
+    What follows the last `>` is text. The open elements are also held by name, so that none of the rules walks down the stack.
+    """
     tree = Tree()
     root = tree.add("html", -1, "")
     stack = [("html", root)]  # (element, its node)
-    open_count: dict[str, int] = {"html": 1}
+    places: dict[str, list[int]] = {"html": [0]}  # by element: where on the stack it is open
+    blocks, scopes = [0], []  # where blocks are open; where P_SCOPE and p are
+    tags = _Tags(page)
     at, size = 0, len(page)
     anchors = 0
     texts = tree.texts
 
+    def push(tag: str, node: int) -> None:
+        depth = len(stack)
+        places.setdefault(tag, []).append(depth)
+        if tag not in INLINE:
+            blocks.append(depth)
+            if tag == "p" or tag in P_SCOPE:
+                scopes.append(depth)
+        stack.append((tag, node))
+
     def pop_to(depth: int) -> None:
         nonlocal anchors
         while len(stack) > depth:
             tag, _ = stack.pop()
-            open_count[tag] -= 1
+            places[tag].pop()
             if tag == "a":
                 anchors -= 1
             elif tag not in INLINE:
+                blocks.pop()
+                if scopes and scopes[-1] == len(stack):
+                    scopes.pop()
                 texts.append((-1, " "))
 
     def put(raw: str) -> None:
@@ -133,64 +182,60 @@ def parse(page: str) -> Tree:
 
     while at < size:
         m = _TAG.search(page, at)
-        if not m:
+        if not m or (m.start() > tags.last and m[0] != "<!--"):
             put(page[at:])
             break
         put(page[at : m.start()])
-        at = m.end()
-        end, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if m[0] == "<!--":
+            end = page.find("-->", m.end())
+            at = size if end < 0 else end + 3
+            continue
+        if m.end() > tags.last + 1:
+            put(page[m.start() :])
+            break
+        close = tags.end(m.end())
+        at = close + 1
+        end, tag, attrs = m[1], m[2], page[m.end() : close]
         if not tag:
             continue
         tag = tag.lower()
         if end:
-            if open_count.get(tag) and tag not in ("html", "body"):
-                d = len(stack) - 1
-                while stack[d][0] != tag:
-                    d -= 1
+            if places.get(tag) and tag not in ("html", "body"):
+                d = places[tag][-1]
                 # an inline end inside a block that opened after it ends nothing beyond that block
-                if tag not in INLINE or all(t in INLINE for t, _ in stack[d + 1 :]):
+                if tag not in INLINE or blocks[-1] < d:
                     pop_to(d)
             elif tag == "br":
                 texts.append((-1, " "))
             continue
         if tag in VOID:
-            if tag in ("br", "hr", "input", "img"):
-                if tag != "img":
-                    texts.append((-1, " "))
+            if tag in ("br", "hr", "input"):
+                texts.append((-1, " "))
             continue
         if tag in RAW:
-            at = _RAW_END[tag].search(page, at).end()
+            raw_end = _RAW_END[tag].search(page, at, tags.last + 1)
+            at = raw_end.end() if raw_end else size
             if tag not in ("script", "style", "noscript"):
                 texts.append((-1, " "))
             continue
         if tag in INLINE:
             if tag == "a":
                 anchors += 1
-            stack.append((tag, stack[-1][1]))
-            open_count[tag] = open_count.get(tag, 0) + 1
+            push(tag, stack[-1][1])
             continue
-        if tag in ("html", "body") and open_count.get(tag):
+        if tag in ("html", "body") and places.get(tag):
             continue
-        if tag in CLOSES_P and open_count.get("p"):
-            d = len(stack) - 1
-            while stack[d][0] != "p" and stack[d][0] not in P_SCOPE:
-                d -= 1
-            if stack[d][0] == "p":
-                pop_to(d)
+        if tag in CLOSES_P and scopes and stack[scopes[-1]][0] == "p":
+            pop_to(scopes[-1])
         if tag in CLOSES:
             those, stops = CLOSES[tag]
-            if any(open_count.get(t) for t in those):
-                d, lowest = len(stack) - 1, None
-                while d > 0 and stack[d][0] not in stops:
-                    if stack[d][0] in those:
-                        lowest = d
-                    d -= 1
-                if lowest is not None:
-                    pop_to(lowest)
+            stop = max((places[t][-1] for t in stops if places.get(t)), default=0)
+            lowest = min((places[t][i] for t in those if places.get(t) and (i := bisect_right(places[t], stop)) < len(places[t])), default=None)
+            if lowest is not None:
+                pop_to(lowest)
         texts.append((-1, " "))
         node = tree.add(tag, stack[-1][1], attrs)
-        stack.append((tag, node))
-        open_count[tag] = open_count.get(tag, 0) + 1
+        push(tag, node)
         if attrs.endswith("/") and tag in ("path", "svg"):
             pop_to(len(stack) - 1)
     # Text beside blocks gets a node of its own, so that it can be judged apart from them.
@@ -212,7 +257,7 @@ def features(tree: Tree) -> np.ndarray:
     """A row for each node."""
     n = len(tree.tag)
     parent = np.array(tree.parent)
-    chars, words, stops, links = (np.zeros(n) for _ in range(4))
+    chars, words, stops, links, rights = (np.zeros(n) for _ in range(5))
     begin = np.full(n, np.inf)
     done = 0
     for node, text in tree.texts:
@@ -221,6 +266,8 @@ def features(tree: Tree) -> np.ndarray:
             chars[node] += k
             words[node] += text.count(" ") + 1
             stops[node] += text.count(".") + text.count(",")
+            if "\u00a9" in text or "opyright" in text or "ights reserved" in text:
+                rights[node] += 1
             if begin[node] > done:
                 begin[node] = done
             done += k
@@ -232,8 +279,9 @@ def features(tree: Tree) -> np.ndarray:
     hold = np.zeros(n, np.int64)
     above = np.zeros(n, np.int64)
     tags = tree.tag
-    rank, same = np.zeros(n), np.zeros(n)
+    rank, same, repeated, inner = (np.zeros(n) for _ in range(4))
     seen: dict[tuple[int, int], int] = {}
+    alike: dict[tuple, int] = {}
     before = np.full(n, -1)
     last: dict[int, int] = {}
     for i in range(n):
@@ -246,18 +294,23 @@ def features(tree: Tree) -> np.ndarray:
             rank[i] = kids[p]
             key = (p, int(group[i]))
             seen[key] = seen.get(key, 0) + 1
+            key = (p, tags[i], tree.names[i])
+            alike[key] = alike.get(key, 0) + 1
             before[i] = last.get(p, -1)
             last[p] = i
         if tags[i] in _HOLD:
             hold[i] |= 1 << _HOLD.index(tags[i])
     for i in range(n - 1, 0, -1):
         p = tree.parent[i]
-        for a in (chars, words, stops, links, below):
+        for a in (chars, words, stops, links, below, rights):
             a[p] += a[i]
         if begin[i] < begin[p]:
             begin[p] = begin[i]
     for i in range(n):
         same[i] = seen.get((tree.parent[i], int(group[i])), 1)
+        repeated[i] = alike.get((tree.parent[i], tags[i], tree.names[i]), 1)
+        if i and tags[i] not in ("p", "#text") and repeated[i] > inner[tree.parent[i]]:
+            inner[tree.parent[i]] = repeated[i]
     total = max(1.0, chars[0])
     begin[~np.isfinite(begin)] = 0
     density = links / np.maximum(chars, 1)
@@ -271,6 +324,7 @@ def features(tree: Tree) -> np.ndarray:
         depth, np.log1p(chars), np.log1p(words), density, stops / np.maximum(words, 1), chars / np.maximum(words, 1), np.log1p(below), np.log1p(chars / below), np.log1p(own), own / np.maximum(chars, 1),
         chars / total, begin / total, (total - begin - chars) / total, rank, rank / np.maximum(kids[up], 1), same, kids, prior, prior_size, follow,
         density[up], np.log1p(chars[up]), chars / np.maximum(chars[up], 1), group[up], np.array(tree.hidden, float), np.full(n, np.log1p(total)),
+        repeated, inner, repeated[up], inner[up], np.minimum(rights, 3), rights / below,
     ]
     flags = [(group[:, None] == np.arange(len(GROUPS))), (bits[:, None] >> _BITS & 1), (above[:, None] >> _BITS & 1), (hold[:, None] >> np.arange(len(_HOLD)) & 1)]
     return np.concatenate([np.stack(columns, 1), *flags], 1).astype(np.float32)
@@ -305,136 +359,221 @@ _NAMES = {
     "main": "article post entry-content story-body post-content content article-body main-content text blog-post page-content",
     "menu": "nav menu navbar main-menu site-navigation breadcrumbs tabs top-menu",
     "ad": "ad ads advert advertisement sponsored promo ad-slot ad-banner sponsor-box adsense",
-    "comments": "comments comment-list reader-comments replies discussion disqus respond",
+    "comments": "comments comment-list reader-comments replies discussion disqus respond thread opinions talkback",
     "foot": "footer site-footer foot copyright colophon legal",
     "head": "header site-header masthead top branding page-head",
-    "side": "sidebar side widget related more-stories rail popular recommended",
+    "side": "sidebar side aside widget related more-stories rail popular recommended",
     "notice": "cookie-notice cookie consent gdpr-banner notice alert popup modal newsletter-popup privacy-notice",
     "form": "search-form login newsletter subscribe signup contact-form",
     "share": "share social-buttons tags post-meta toolbar author-box",
+    "byline": "byline author post-meta meta dateline",
     "plain": "wrap container row inner col box group block layout x1 c2 grid",
 }
+_ASIDE = {"menu": "nav", "foot": "footer", "head": "header", "side": "aside", "comments": "section", "form": "form"}
 
 
-def made_page(rng: random.Random) -> str:
-    """A page for training; elements of the main text carry data-k=1, those of other parts data-k=0, wrappers nothing."""
-    lexicon = ["".join(rng.choice("aeiou bcdfghklmnprst".replace(" ", "")) for _ in range(rng.randint(2, 9))) for _ in range(60)]
-    style = rng.random()
-
-    def words(n: int) -> str:
-        out = [rng.choice(lexicon) for _ in range(n)]
-        if style < 0.15:
-            out = [w.upper() + "!!" for w in out]
-        elif style < 0.3:
-            out = [w + rng.choice(["***", "%%%", "&amp;&amp;", "###"]) for w in out]
-        elif style < 0.4:
-            out = [x for w in out for x in (w, "|")]
-        else:
-            out = [w + rng.choice(["", "", "", "", ",", "."]) for w in out]
+class Maker:
+    """A page for training; elements of the main text carry data-k=1, those of other parts data-k=0, wrappers nothing.
+
+    A page draws its own habits: vocabulary, punctuation, how it names its parts (telling, neutral or generated names, or none),
+    which elements it uses, and its skeleton: a holder element, none at all, a table for the layout, the headline beside the holder.
+    """
+
+    def __init__(self, rng: random.Random) -> None:
+        self.rng = rng
+        self.lexicon = ["".join(rng.choice("abcdefghijklmnoprstuvyz") for _ in range(rng.randint(2, 10))) for _ in range(rng.randint(20, 90))]
+        self.noise = rng.choice(["", "", "", "", *"!?;:*#%$|~=+-/@", "&amp;", "&lt;", "&quot;"])
+        self.loud = rng.random() < 0.08
+        self.generated = rng.random() < 0.2
+        self.semantic = rng.choice([0.0, 0.4, 0.6, 0.9, 1.0])
+        self.comment_names = rng.random() < 0.6
+
+    def chance(self, p: float) -> bool:
+        return self.rng.random() < p
+
+    def words(self, n: int) -> str:
+        rng, out = self.rng, []
+        for _ in range(n):
+            w = rng.choice(self.lexicon)
+            w = w.upper() if self.loud else w
+            out.append(w + (self.noise * rng.randint(0, 3) if self.noise and self.chance(0.5) else rng.choice(["", "", "", "", "", ",", "."])))
         text = " ".join(out)
         return text[:1].upper() + text[1:] + rng.choice([".", "", ""])
 
-    def name(kind: str, strong: float = 0.75) -> str:
-        kind = kind if rng.random() < strong else "plain"
-        attr = rng.choice(["class", "class", "id"])
-        return f' {attr}="{rng.choice(_NAMES[kind].split())}"' if rng.random() < 0.93 else ""
+    def name(self, kind: str, strong: float = 0.75) -> str:
+        rng = self.rng
+        if self.generated:
+            return f' class="{rng.choice(["css-", "_", "sc-", ""])}{"".join(rng.choice("abcdefxyzXYZ0123456789") for _ in range(6))}"' if self.chance(0.8) else ""
+        kind = kind if self.chance(strong) else "plain"
+        return f' {rng.choice(["class", "class", "id"])}="{rng.choice(_NAMES[kind].split())}"' if self.chance(0.93) else ""
 
-    def el(tag: str, inner: str, k: int | None, attrs: str = "") -> str:
+    def el(self, tag: str, inner: str, k: int | None, attrs: str = "") -> str:
         mark = "" if k is None else f" data-k={k}"
         return f"<{tag}{attrs}{mark}>{inner}</{tag}>"
 
-    def link(n: int = 1) -> str:
-        return f'<a href="/x">{words(n)}</a>'
+    def link(self, n: int = 1) -> str:
+        return f'<a href="/x">{self.words(n)}</a>'
 
-    def links(k: int) -> str:
-        items = [link(rng.randint(1, 3)) for _ in range(rng.randint(2, 9))]
+    def links(self, k: int) -> str:
+        rng = self.rng
+        items = [self.link(rng.randint(1, 3)) for _ in range(rng.randint(2, 9))]
         form = rng.random()
         if form < 0.6:
-            return el("ul", "".join(el("li", x, k) for x in items), k)
-        return el("div", rng.choice([" | ", " ", ""]).join(items), k, name("menu", 0.5)) if form < 0.8 else " ".join(items)
-
-    def paragraph(k: int, low: int = 1, high: int = 80) -> str:
-        n = rng.choice([rng.randint(low, 6), rng.randint(8, high), rng.randint(20, high)])
-        text = words(n)
-        if rng.random() < 0.2:
-            text = f"<b>{text}</b>" if rng.random() < 0.5 else text + " " + link() + " " + words(3)
-        if rng.random() < 0.1:
-            return f"<p data-k={k}><b>{text}<br>" if rng.random() < 0.5 else f"<p data-k={k}>{text}"
-        return el("p", text, k)
-
-    def aside(kind: str) -> str:
+            return self.el("ul", "".join(self.el("li", x, k) for x in items), k)
+        return self.el("div", rng.choice([" | ", " ", "", " &middot; "]).join(items), k, self.name("menu", 0.5)) if form < 0.8 else " ".join(items)
+
+    def paragraph(self, k: int, low: int = 1, high: int = 80) -> str:
+        rng = self.rng
+        text = self.words(rng.choice([rng.randint(low, 6), rng.randint(8, high), rng.randint(20, high)]))
+        if self.chance(0.2):
+            tag = rng.choice("b i em strong span code".split())
+            text = f"<{tag}>{text}</{tag}>" if self.chance(0.5) else text + " " + self.link() + " " + self.words(3)
+        if self.chance(0.1):
+            return f"<p data-k={k}>" + (f"<{rng.choice(['b', 'i', 'font'])}>" if self.chance(0.4) else "") + text + ("<br>" if self.chance(0.4) else "")
+        return self.el("p", text, k)
+
+    def comments(self) -> str:
+        """A list of readers' remarks, told by its repeated items with an author each; names only where the page gives any."""
+        rng, k = self.rng, 0
+        item, cls = rng.choice(["div", "li", "article", "section"]), rng.choice(["", "", f' class="{rng.choice(["comment", "reply", "item", "c", "entry", "msg"])}"'])
+        who = rng.choice(["span", "strong", "b", "cite", "h4", "div"])
+        date = self.chance(0.5)
+        items = []
+        for _ in range(rng.randint(1, 6)):
+            head = self.el(who, self.words(rng.randint(1, 2)) + (f" <time>{rng.randint(1, 28)} {self.words(1)} 20{rng.randint(10, 29)}</time>" if date else ""), k) if self.chance(0.8) else ""
+            items.append(self.el(item, head + (self.paragraph(k, 1, 60) if self.chance(0.75) else self.words(rng.randint(1, 40))) + (self.link() if self.chance(0.3) else ""), k, cls))
+        inner = "".join(items)
+        if item == "li":
+            inner = self.el(rng.choice(["ul", "ol"]), inner, k)
+        heading = self.el(rng.choice(["h2", "h3", "h4"]), (f"{rng.randint(1, 90)} " if self.chance(0.4) else "") + self.words(rng.randint(1, 2)), k) if self.chance(0.7) else ""
+        return heading + inner
+
+    def aside(self, kind: str) -> str:
         """A part that is not main text."""
-        tag, k = {"menu": "nav", "foot": "footer", "head": "header", "side": "aside", "comments": "section", "form": "form"}.get(kind, "div"), 0
-        strong = rng.random() < 0.6 and tag not in ("section", "div")
-        tag = tag if strong else rng.choice(["div", "div", "section"])
-        attrs = name(kind, 0.45 if strong else 1.0)
-        if not strong and not re.search("class|id", attrs):
+        rng, k = self.rng, 0
+        tag = _ASIDE.get(kind, "div")
+        strong = tag != "div" and self.chance(self.semantic)
+        tag = tag if strong and tag != "section" else rng.choice(["div", "div", "section"])
+        attrs = self.name(kind, 0.45 if strong else 1.0)
+        if kind == "comments" and not self.comment_names:
+            attrs = self.name("plain", 1.0)
+        elif not self.generated and not strong and not attrs:
             attrs = f' class="{rng.choice(_NAMES[kind].split())}"'
         if kind == "menu":
-            inner = links(k)
+            inner = self.links(k)
         elif kind == "comments":
-            inner = (el("h3", words(2), k) if rng.random() < 0.6 else "") + "".join(el(rng.choice(["div", "li", "article"]), (el("span", words(1), k) if rng.random() < 0.5 else "") + (paragraph(k, 1, 60) if rng.random() < 0.7 else words(rng.randint(1, 40))), k, rng.choice(['', ' class="comment"', ' class="reply"'])) for _ in range(rng.randint(1, 5)))
+            inner = self.comments()
         elif kind == "form":
-            inner = f"<label>{words(1)}</label><input name=q><button>{words(1)}</button>" + (el("p", words(rng.randint(2, 14)), k) if rng.random() < 0.5 else "")
+            inner = f"<label>{self.words(1)}</label><input name=q><button>{self.words(1)}</button>" + (self.el("p", self.words(rng.randint(2, 14)), k) if self.chance(0.5) else "")
             if tag != "form":
                 inner = f"<form>{inner}</form>"
         elif kind == "foot":
-            inner = rng.choice([f"&copy; {words(rng.randint(1, 12))}", links(k) + el("p", words(rng.randint(2, 20)), k), f"&copy; site &middot; {words(rng.randint(2, 25))}"])
+            sign = rng.choice(["&copy;", "\u00a9", "Copyright", "Copyright &copy;", "(c)"]) + (f" {rng.randint(1998, 2030)}" if self.chance(0.5) else "")
+            line = f"{sign} {self.words(rng.randint(1, 4))}{rng.choice(['', ' &middot;', ' |', '.', ' -'])} {self.words(rng.randint(0, 20))}"
+            inner = rng.choice([line, self.el("p", line, k), self.links(k) + self.el("p", self.words(rng.randint(2, 20)), k), self.links(k) + line])
         elif kind == "head":
-            inner = rng.choice([el("h1", words(2), k) + links(k), el("div", link(2), k, ' class="logo"') + el("p", words(4), k), words(rng.randint(1, 8))])
+            inner = rng.choice([self.el("h1", self.words(2), k) + self.links(k), self.el("div", self.link(2), k, self.name("head", 0.5)) + self.el("p", self.words(4), k), self.words(rng.randint(1, 8)), self.link(2) + self.links(k)])
         elif kind == "side":
-            inner = el("h3", words(2), k) + rng.choice([links(k), "".join(paragraph(k, 1, 40) for _ in range(rng.randint(1, 3))), links(k) + paragraph(k, 1, 30)])
-        elif kind == "share":
-            inner = rng.choice([links(k), f"{words(2)} {link(1)} {link(1)}"])
+            inner = (self.el("h3", self.words(2), k) if self.chance(0.8) else "") + rng.choice([self.links(k), "".join(self.paragraph(k, 1, 40) for _ in range(rng.randint(1, 3))) if not self.generated or strong else self.links(k), self.links(k) + self.paragraph(k, 1, 30)])
+        elif kind in ("share", "byline"):
+            inner = rng.choice([self.links(k), f"{self.words(2)} {self.link(1)} {self.link(1)}", f"{self.words(2)} <time>{rng.randint(1, 28)} {self.words(1)} 2024</time>"])
         else:
-            inner = rng.choice([words(rng.randint(1, 30)), paragraph(k, 1, 30), words(rng.randint(3, 15)) + f"<button>{words(1)}</button>", el("p", words(rng.randint(3, 20)) + " " + link(2), k)])
-        return el(tag, inner, k, attrs)
-
-    def body() -> str:
-        parts = [el(rng.choice(["h1", "h1", "h2"]), words(rng.randint(1, 10)), 1)] if rng.random() < 0.85 else []
-        for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 9])):
+            inner = rng.choice([self.words(rng.randint(1, 30)), self.paragraph(k, 1, 30), self.words(rng.randint(3, 15)) + f"<button>{self.words(1)}</button>", self.el("p", self.words(rng.randint(3, 20)) + " " + self.link(2), k)])
+        return self.el(tag, inner, k, attrs)
+
+    def headline(self) -> str:
+        return self.el(self.rng.choice(["h1", "h1", "h1", "h2"]), self.words(self.rng.randint(1, 10)), 1)
+
+    def body(self, headed: bool) -> str:
+        rng = self.rng
+        parts = []
+        if headed:
+            head = self.headline()
+            if self.chance(0.2):
+                head = self.el(rng.choice(["header", "div", "header"]), head + (self.aside("byline") if self.chance(0.6) else "") + (self.el("p", self.words(rng.randint(5, 25)), 1) if self.chance(0.3) else ""), 1 if self.chance(0.5) else None)
+            parts.append(head)
+            if self.chance(0.15):
+                parts.append(self.aside("byline"))
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 9, 14])):
             x = rng.random()
             if x < 0.72:
-                parts.append(paragraph(1))
+                parts.append(self.paragraph(1))
             elif x < 0.78:
-                parts.append(el("h2", words(rng.randint(1, 6)), 1))
+                parts.append(self.el(rng.choice(["h2", "h3"]), self.words(rng.randint(1, 6)), 1))
             elif x < 0.84:
-                parts.append(el(rng.choice(["ul", "ol"]), "".join(el("li", words(rng.randint(1, 14)), 1) for _ in range(rng.randint(2, 6))), 1))
-            elif x < 0.88:
-                parts.append(el("blockquote", paragraph(1), 1))
-            elif x < 0.92:
-                parts.append(el("table", "".join(el("tr", "".join(el("td", words(rng.randint(1, 4)), 1) for _ in range(3)), 1) for _ in range(rng.randint(1, 4))), 1))
-            elif x < 0.95:
-                parts.append(el("div", paragraph(1) + paragraph(1), 1, name("plain")))
+                parts.append(self.el(rng.choice(["ul", "ol"]), "".join(self.el("li", self.words(rng.randint(1, 14)), 1) for _ in range(rng.randint(2, 6))), 1))
+            elif x < 0.87:
+                parts.append(self.el("blockquote", self.paragraph(1), 1))
+            elif x < 0.90:
+                parts.append(self.el("table", "".join(self.el("tr", "".join(self.el(rng.choice(["td", "td", "th"]), self.words(rng.randint(1, 4)), 1) for _ in range(3)), 1) for _ in range(rng.randint(1, 4))), 1))
+            elif x < 0.94:
+                parts.append(self.el(rng.choice(["div", "section"]), self.paragraph(1) + self.paragraph(1), 1, self.name("plain")))
+            elif x < 0.97:
+                parts.append(self.el("pre", self.words(rng.randint(3, 30)), 1))
             else:
-                parts.append(el("pre", words(rng.randint(3, 30)), 1))
-        if not parts or rng.random() < 0.08:
-            parts.append(el("div", words(rng.randint(1, 60)), 1))
+                parts.append(self.el("figure", self.el("figcaption", self.words(rng.randint(3, 15)), 1), 1))
+        if not parts or self.chance(0.08):
+            parts.append(self.el("div", self.words(rng.randint(1, 60)), 1))
+        return "".join(self.mixed(parts))
+
+    def mixed(self, parts: list[str]) -> list[str]:
+        """Parts of the main text with some others between and after them."""
+        first = 1 if len(parts) > 1 else 0
         for kind in ("ad", "share", "form", "side", "notice"):
-            if rng.random() < 0.1:
-                parts.insert(rng.randint(0, len(parts)), aside(kind))
-        if rng.random() < 0.08:
-            parts.append(aside("foot"))
-        if rng.random() < 0.15:
-            parts.append(aside("comments"))
-        return "".join(parts)
-
-    holder = rng.random()
-    if holder < 0.5:
-        main = el("article", body(), 1, name("main", 0.6) if rng.random() < 0.4 else "")
-    elif holder < 0.65:
-        main = el("main", body(), 1, name("main", 0.6) if rng.random() < 0.4 else "")
-    else:
-        main = el(rng.choice(["div", "section"]), body(), 1, f' {rng.choice(["class", "id"])}="{rng.choice(_NAMES["main"].split())}"')
-    before = [aside(k) for k in ("notice", "head", "menu", "ad", "form", "side") if rng.random() < 0.35]
-    after = [aside(k) for k in ("share", "side", "comments", "ad", "form", "notice", "foot") if rng.random() < 0.35]
-    rng.shuffle(before)
-    if rng.random() < 0.5:
-        main = el("div", (rng.choice(before) if before and rng.random() < 0.2 else "") + main + (after.pop(0) if after and rng.random() < 0.4 else ""), None, name("plain", 1.0))
-    inner = "".join(before) + main + "".join(after)
-    if rng.random() < 0.3:
-        inner = el("div", inner, None, name("plain", 1.0))
-    return f"<!DOCTYPE html><html><head><title>{words(4)}</title><style>p{{margin:0}}</style></head><body>{inner}" + ("</body></html>" if rng.random() < 0.9 else "")
+            if self.chance(0.1):
+                parts.insert(self.rng.randint(first, len(parts)), self.aside(kind))
+        if self.chance(0.08):
+            parts.append(self.aside("foot"))
+        if self.chance(0.15):
+            parts.append(self.aside("comments"))
+        return parts
+
+    def wrapped(self, inner: str, p: float) -> str:
+        while self.chance(p):
+            inner = self.el(self.rng.choice(["div", "div", "section", "center"]), inner, None, self.name("plain", 1.0))
+            p /= 2
+        return inner
+
+    def page(self) -> str:
+        rng = self.rng
+        headed, beside = self.chance(0.85), self.chance(0.25)
+        text = self.body(headed and not beside)
+        holder, telling = rng.random(), "" if self.generated else f' {rng.choice(["class", "id"])}="{rng.choice(_NAMES["main"].split())}"'
+        some = self.name("main", 0.6) if self.chance(0.4) else ""
+        if holder < 0.4:
+            main = self.el("article", text, 1, some)
+        elif holder < 0.55:
+            main = self.el("main", text, 1, some)
+        elif holder < 0.85:
+            main = self.el(rng.choice(["div", "section", "div"]), text, 1, telling or self.name("plain"))
+        else:
+            main = text  # beside the other parts, without a holder
+        if headed and beside:
+            head = self.headline() + (self.aside("byline") if self.chance(0.3) else "")
+            while self.chance(0.5):
+                head = self.el(rng.choice(["div", "div", "section", "header"]), head, None, self.name(rng.choice(["plain", "plain", "head"]), 1.0))
+            if self.chance(0.4):  # the text stands in columns of its own below
+                main = self.el("div", main + (self.aside("side") if self.chance(0.5) else ""), None, self.name("plain", 1.0))
+            main = head + main
+        before = [self.aside(k) for k in ("notice", "head", "menu", "ad", "form", "side") if self.chance(0.35) and not (self.generated and k in ("notice", "ad"))]
+        after = [self.aside(k) for k in ("share", "side", "comments", "ad", "form", "notice", "foot") if self.chance(0.35) and not (self.generated and k in ("notice", "ad"))]
+        rng.shuffle(before)
+        if self.chance(0.12):  # the layout is a table: menus and text in cells
+            rows = [before, [self.el("td", main + (after.pop(0) if after and self.chance(0.5) else ""), None)], after]
+            rows[1].insert(0, self.el("td", self.links(0), 0)) if self.chance(0.6) else None
+            cells = ["".join(self.el("tr", self.el("td", x, None), None) for x in rows[0]), self.el("tr", "".join(rows[1]), None), "".join(self.el("tr", self.el("td", x, None), None) for x in rows[2])]
+            inner = self.el("table", "".join(cells), None)
+        else:
+            if self.chance(0.5):
+                main = self.el("div", (rng.choice(before) if before and self.chance(0.2) else "") + main + (after.pop(0) if after and self.chance(0.4) else ""), None, self.name("plain", 1.0))
+            inner = "".join(before) + self.wrapped(main, 0.2) + "".join(after)
+        inner = self.wrapped(inner, 0.3)
+        return f"<!DOCTYPE html><html><head><title>{self.words(4)}</title><style>p{{margin:0}}</style></head><body>{inner}" + ("</body></html>" if self.chance(0.9) else "")
+
+
+def made_page(rng: random.Random) -> str:
+    """A page of a layout that has been drawn at random."""
+    return Maker(rng).page()
 
 
 def truth(tree: Tree) -> np.ndarray:
@@ -452,11 +591,11 @@ def truth(tree: Tree) -> np.ndarray:
 
 
 @functools.lru_cache(1)
-def model(pages: int = 1500, seed: int = 11) -> Boosted:
+def model(pages: int = 2500, seed: int = 11) -> Boosted:
     rng = random.Random(seed)
     trees = [parse(made_page(rng)) for _ in range(pages)]
     x, y = np.concatenate([features(t) for t in trees]), np.concatenate([truth(t) for t in trees])
-    return Boosted().fit(x, y.astype(float))
+    return Boosted(trees=90, depth=5).fit(x, y.astype(float))
 
 
 def extract(pages: list[str], boosted: Boosted) -> list[str]:
@@ -474,7 +613,8 @@ def extract(pages: list[str], boosted: Boosted) -> list[str]:
 def main_texts(spark, pages: DataFrame) -> DataFrame:
     """A row for each row of `pages` (page_id, url, html): page_id, url, text, n_chars (code points).
 
-    Null and empty pages have the text ''; whole pages are read, nothing is cut. Repeated rows stay, other columns are ignored.
+    Null and empty pages have the text ''; whole pages are read, nothing is cut, in time in proportion to their length. Repeated rows
+    stay, other columns are ignored, an empty table gives no row.
     """
     rows = pages.select(F.col("page_id"), F.col("url"), F.col("html").cast("string").alias("html"))
     shared = spark.sparkContext.broadcast(model())
