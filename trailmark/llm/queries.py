@@ -37,7 +37,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by two co-trained views."""
     docs = table(spark, sf_dir, "documents")
     model = cotraining.fit(spark, docs, table(spark, sf_dir, "labels"))
-    return cotraining.classify(spark, docs.select("doc_id", "text", "source", "lang"), model).drop("text", "source", "lang")
+    return cotraining.classify(spark, docs.select("doc_id", "text", *cotraining.META[:3]), model).drop("text", *cotraining.META)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
