@@ -36,17 +36,17 @@ BUCKET = 512
 SPAN, ROUNDS = 4096, 256
 #: Up to so many queues (counted) are broadcast; beyond, only those with a thousandth of all documents are.
 SMALL = 100_000
-CACHE_BYTES = 96 << 20
-_PIECE = re.compile(r"[^\W_İ]++(?=[!-&(-/:-@\[-`{-~])|[^ \t\n\r]+")
+CACHE_BYTES = 128 << 20
+_PIECE = re.compile(r"[^\W_İ]++(?:(?=[!-&(-/:-@\[-`{-~])|[^ \t\n\r]*+)|[^ \t\n\r]++")
 _tokenizers: dict = {}
 
 
 class CachedTokenizer:
     """Token ids of texts by a `tokenizers` file whose pieces never span white space; equal words are encoded once.
 
-    Texts are cut at spaces, tabs and line ends. A word not met before is cut further where a letter or digit is followed by ASCII
-    punctuation other than an apostrophe; there such tokenizers always begin a new piece. Pieces not met before are encoded many to a
-    string and told apart by the tokens' offsets. Tokenizers of another kind (spanning=True) encode whole texts.
+    Texts are cut at spaces, tabs and line ends, and where a letter or digit is followed by ASCII punctuation other than
+    an apostrophe; there such tokenizers always begin a new piece. Pieces not met before are encoded many to a string and told apart
+    by the tokens' offsets. Tokenizers of another kind (spanning=True) encode whole texts.
     """
 
     def __init__(self, path: str, spanning: bool = False) -> None:
@@ -78,16 +78,11 @@ class CachedTokenizer:
             self.cache = {"": b""}
             self.held = 0
         get = self.cache.get
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = [_PIECE.findall(t) for t in texts]
         found = [list(map(get, ws)) for ws in split]
         new = set().union(*(ws for ws, bs in zip(split, found, strict=True) if None in bs)).difference(self.cache)
         if new:
-            parts = {w: _PIECE.findall(w) for w in new}
-            self._learn(list({p for ps in parts.values() for p in ps if p not in self.cache}))
-            for w, ps in parts.items():
-                if len(ps) > 1:
-                    self.cache[w] = b"".join(map(get, ps))
-                    self.held += len(w) + len(self.cache[w]) + 200
+            self._learn(list(new))
         return [b"".join(map(get, ws)) if None in bs else b"".join(bs) for ws, bs in zip(split, found, strict=True)]
 
 
