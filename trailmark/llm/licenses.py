@@ -1,10 +1,11 @@
 """License scans by diagonal voting, in DataFrame and SQL functions only.
 
-The rolling word k-gram hashes of every document are joined to the k-gram positions of the templates. A match at
-document word i and template word j votes for diagonal i - j; votes are counted per document, template and diagonal
-before the shuffle ends. A phrase stands wherever its diagonal has all votes. For longer notices neighbouring diagonals
-(words put in or left out) are merged, and a merged span is accepted if enough of the template's k-grams occur in it
-and it is not much longer than the template.
+The rolling word k-gram hashes of every document are held against those of the templates in the pass that reads it, and where
+they agree the words themselves are taken along: a row for each document is written, with its few places. These are joined to the
+k-gram positions of the templates by their words, so that no vote rests on a hash. A match at document word i and template word j
+votes for diagonal i - j; votes are counted per document, template and diagonal before the shuffle ends. A phrase stands
+wherever its diagonal has all votes. A longer notice is accepted where a diagonal has enough of its k-grams, or neighbouring
+diagonals (words put in or left out) merged have, if their span is not much longer than the template.
 """
 
 from __future__ import annotations
@@ -40,11 +41,23 @@ def _grams(words: str, k: int):
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """template, label, phrase, n_grams, at, gram: a row for each k-gram position; a fixed table of some hundred rows."""
-    rows = ", ".join(f"({i}, '{text}', '{label}', {i < len(PHRASES)})" for i, (text, label) in enumerate(PHRASES + NOTICES))
-    one = spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, text, label, phrase)").withColumn("h", F.transform(F.split("text", " "), lambda w: F.xxhash64(w)))
-    parts = [one.filter(cond).withColumn("grams", _grams("h", k)) for cond, k in (("phrase", PHRASE_K), ("NOT phrase", NOTICE_K))]
-    return parts[0].unionByName(parts[1]).select("template", "label", "phrase", F.size("grams").alias("n_grams"), F.posexplode("grams").alias("at", "gram"))
+    """template, label, phrase, k, n_grams, at, gram (its words), hash: a row for each k-gram position; a fixed table of some hundred rows."""
+    rows = ", ".join(f"({i}, '{text}', '{label}', {i < len(PHRASES)}, {PHRASE_K if i < len(PHRASES) else NOTICE_K})" for i, (text, label) in enumerate(PHRASES + NOTICES))
+    one = spark.sql(f"SELECT *, split(text, ' ') AS words FROM VALUES {rows} AS t(template, text, label, phrase, k)").withColumn("n_grams", F.size("words") - F.col("k") + 1)
+    placed = one.select("template", "label", "phrase", "k", "n_grams", "words", F.explode(F.expr("sequence(0, n_grams - 1)")).alias("at"))
+    hashed = [placed.filter(F.col("k") == k).withColumn("h", F.transform(F.slice("words", F.col("at") + 1, k), lambda w: F.xxhash64(w))).withColumn("hash", _grams("h", k)[0]) for k in (PHRASE_K, NOTICE_K)]
+    return hashed[0].unionByName(hashed[1]).select("template", "label", "phrase", "k", "n_grams", "at", F.array_join(F.slice("words", F.col("at") + 1, F.col("k")), " ").alias("gram"), "hash")
+
+
+def _places(k: int, known: list[int]):
+    """Where the k-gram hashes of column h are among those known."""
+    return F.filter(F.transform(_grams("h", k), lambda g, i: F.when(g.isin(*known), i)), lambda i: i.isNotNull())
+
+
+def _taken(places: str, k: int):
+    """(place, k, gram) with the words at each place, A-Z in lower case."""
+    words = lambda i: F.translate(F.array_join(F.slice("words", i + 1, k), " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.transform(places, lambda i: F.struct(i.alias("place"), F.lit(k).alias("k"), words(i).alias("gram")))
 
 
 def license_scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -55,34 +68,38 @@ def license_scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     share of a notice's k-grams in an accepted span, else 0. Null and empty texts have no words, no place and no label.
     Repeated rows stay, each with its own text's values, whatever their doc_id. Other columns are ignored.
     """
+    fixed = templates(spark)
+    known: dict[int, list[int]] = {PHRASE_K: [], NOTICE_K: []}
+    for r in fixed.select("k", "hash").distinct().collect():
+        known[r["k"]].append(r["hash"])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("_t"), F.length(text).alias("_l"), F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)).alias("words"))
-    hashed = rows.withColumn("h", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
-    exploded = hashed.select("_t", "_l", F.posexplode(F.concat(_grams("h", PHRASE_K), F.array(F.lit(None).cast("long")), _grams("h", NOTICE_K))).alias("place", "gram"), F.size("h").alias("n"))
-    # The 2-grams come first, then a null, then the 4-grams: places of the latter start after both.
-    breaks = F.greatest(F.col("n") - (PHRASE_K - 1), F.lit(0)) + 1
+    hashed = docs.select("doc_id", F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)).alias("words")).withColumn("h", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
+    placed = hashed.select("doc_id", "words", _places(PHRASE_K, known[PHRASE_K]).alias("p"), _places(NOTICE_K, known[NOTICE_K]).alias("q"))
+    rows = placed.select("doc_id", F.size("words").cast("long").alias("n_words"), F.concat(_taken("p", PHRASE_K), _taken("q", NOTICE_K)).alias("hits"))
+    rows = materialize(spark, rows.withColumn("uid", F.monotonically_increasing_id()), "hits")
     votes = (
-        exploded.join(F.broadcast(templates(spark)), "gram")
-        .withColumn("word", F.when(F.col("phrase"), F.col("place")).otherwise(F.col("place") - breaks))
-        .groupBy("_t", "_l", "template", "label", "phrase", "n_grams", (F.col("word") - F.col("at")).alias("diagonal"))
-        .agg(F.collect_set("at").alias("ats"), F.min("word").alias("low"), F.max("word").alias("high"))
-    )
+        rows.filter(F.size("hits") > 0).select("uid", F.inline("hits"))
+        .join(F.broadcast(fixed), ["k", "gram"])
+        .groupBy("uid", "template", "label", "phrase", "n_grams", (F.col("place") - F.col("at")).alias("diagonal"))
+        .agg(F.collect_set("at").alias("ats"), F.min("place").alias("low"), F.max("place").alias("high"))
+    )
     votes = materialize(spark, votes, "votes")
-    base = votes.filter(F.col("phrase") & (F.size("ats") == F.col("n_grams"))).select("_t", "_l", "label", F.col("diagonal").alias("start"), F.lit(1.0).alias("share"), "phrase")
-    order = "PARTITION BY _t, _l, template ORDER BY diagonal"
+    base = votes.filter(F.col("phrase") & (F.size("ats") == F.col("n_grams"))).select("uid", "label", F.col("diagonal").alias("start"), F.lit(1.0).alias("share"), "phrase")
+    notices = votes.filter(~F.col("phrase"))
+    alone = notices.withColumn("share", F.size("ats") / F.col("n_grams")).filter(F.col("share") >= COVERED).select("uid", "label", F.col("low").alias("start"), "share", F.lit(False).alias("phrase"))
+    order = "PARTITION BY uid, template ORDER BY diagonal"
     runs = (
-        votes.filter(~F.col("phrase"))
-        .withColumn("fresh", F.expr(f"CASE WHEN diagonal - lag(diagonal) OVER ({order}) <= {NEAR} THEN 0 ELSE 1 END"))
+        notices.withColumn("fresh", F.expr(f"CASE WHEN diagonal - lag(diagonal) OVER ({order}) <= {NEAR} THEN 0 ELSE 1 END"))
         .withColumn("run", F.expr(f"sum(fresh) OVER ({order})"))
-        .groupBy("_t", "_l", "template", "label", "n_grams", "run")
+        .groupBy("uid", "template", "label", "n_grams", "run")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("hit"), F.min("low").alias("low"), F.max("high").alias("high"))
         .withColumn("share", F.col("hit") / F.col("n_grams"))
         .filter((F.col("share") >= COVERED) & (F.col("high") - F.col("low") <= 1.5 * (F.col("n_grams") + NOTICE_K)))
-        .select("_t", "_l", "label", F.col("low").cast("int").alias("start"), "share", F.lit(False).alias("phrase"))
+        .select("uid", "label", F.col("low").alias("start"), "share", F.lit(False).alias("phrase"))
     )
     found = (
-        base.unionByName(runs)
-        .groupBy("_t", "_l")
+        base.unionByName(alone).unionByName(runs)
+        .groupBy("uid")
         .agg(
             F.count(F.when(F.col("phrase"), 1)).alias("n_base"),
             F.min(F.when(F.col("phrase"), F.col("start"))).cast("long").alias("first_word"),
@@ -91,10 +108,10 @@ def license_scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
             F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"),
             F.max("share").alias("score"),
         )
-    )
+    )
     return (
-        rows.select("doc_id", "_t", "_l", F.size("words").cast("long").alias("n_words"))
-        .join(found, ["_t", "_l"], "left")
+        rows.select("doc_id", "uid", "n_words")
+        .join(found, "uid", "left")
         .select(
             "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
             F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"),
@@ -115,7 +132,7 @@ base AS (SELECT doc_id, label, diagonal AS start, 1.0::DOUBLE AS share, phrase F
 fresh AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {NEAR} THEN 0 ELSE 1 END AS fresh FROM votes WHERE NOT phrase),
 run AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM fresh),
 spans AS (SELECT doc_id, template, label, n_grams, run, len(list_distinct(flatten(list(ats)))) AS hit, min(low) AS low, max(high) AS high FROM run GROUP BY ALL),
-found AS (SELECT * FROM base UNION ALL SELECT doc_id, label, low, hit / n_grams, false FROM spans WHERE hit / n_grams >= {COVERED} AND high - low <= 1.5 * (n_grams + {NOTICE_K})),
+found AS (SELECT * FROM base UNION ALL SELECT doc_id, label, low, len(ats) / n_grams, false FROM votes WHERE NOT phrase AND len(ats) / n_grams >= {COVERED} UNION ALL SELECT doc_id, label, low, hit / n_grams, false FROM spans WHERE hit / n_grams >= {COVERED} AND high - low <= 1.5 * (n_grams + {NOTICE_K})),
 f AS (SELECT doc_id, count(*) FILTER (phrase) AS n_base, min(start) FILTER (phrase) AS first_word, max(start) FILTER (phrase) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY doc_id)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0), 6) AS score
