@@ -53,3 +53,22 @@ def test_certified_rules_keep_the_risk(spark):
     got = quality_rules.quality_rules(spark, docs, labels)
     wrong = got.filter("doc_id % 10 <> 0 and not kept").count()
     assert wrong == 0 and got.filter("doc_id % 10 = 0 and kept").count() == 0
+
+
+def test_a_notice_after_its_own_beginnings(spark):
+    """Repeated first words make one long chain of diagonals; the verbatim notice has every vote on its own diagonal and stays."""
+    text = "licensed under cc by " * 4 + "licensed under cc by nc 4 0"
+    kelvin = "licensed under the Apache License, version 2.0 and the M\u0130T license and the apac\u212ae license"
+    got = {r.doc_id: r for r in licenses.license_scan(spark, spark.createDataFrame([(1, text), (2, kelvin), (2, kelvin)], "doc_id long, text string")).collect()}
+    assert got[1].labels == "cc-by-nc-4.0" and got[1].score == 1 and got[2].labels == "apache,apache-2.0" and got[2].n_base == 1
+
+
+def test_repeated_rows_are_one_trial(spark):
+    """500 good documents are too few to certify anything, however often their rows are repeated."""
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, words + (" ***" * 90 if i % 10 == 0 else "") + f" n{i}", None if i % 2 else "") for i in range(1000) for _ in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 0 if i % 10 == 0 else 1) for i in range(1000)], "doc_id long, quality int")
+    stats = quality_rules.statistics(docs)
+    assert {r.stratum for r in stats.select("stratum").distinct().collect()} == {"=", "null"}
+    assert quality_rules.cutoffs(stats, labels).count() == 0 and quality_rules.quality_rules(spark, docs, labels).filter("kept").count() == 3600  # a tenth fails the base rule

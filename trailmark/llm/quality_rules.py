@@ -61,7 +61,7 @@ def _n_repeat_words(df: DataFrame) -> DataFrame:
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, stratum and the integer statistics of each row's whole text; a null text has no words and no lines."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.select(F.col("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), text.alias("text"))
+    df = docs.select(F.col("doc_id"), F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("null")).alias("stratum"), text.alias("text"))
     df = df.withColumn("words", F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
     df = df.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)))
     df = _n_repeat_words(df)
@@ -98,7 +98,10 @@ def binomial_tail(k: str, n: str, alpha: float) -> Column:
 
 
 def cutoffs(stats: DataFrame, labels: DataFrame, total_risk: float = TOTAL_RISK, delta: float = DELTA) -> DataFrame:
-    """stratum, rule, cutoff of the certified and chosen cutoffs; a row for each stratum and rule at most."""
+    """stratum, rule, cutoff of the certified and chosen cutoffs; a row for each stratum and rule at most.
+
+    The tests take documents for independent trials: rows that repeat a document (its id and its statistics) count once.
+    """
     alpha = total_risk / len(RULES)
     marks = labels.groupBy("doc_id").agg(F.max(F.col("quality").cast("long")).alias("good")).filter("good is not null")
     hits = [
@@ -108,7 +111,7 @@ def cutoffs(stats: DataFrame, labels: DataFrame, total_risk: float = TOTAL_RISK,
         for name, sign in (("good", ">= 1"), ("bad", "< 1"))
     ]
     counted = (
-        stats.filter(f"NOT ({BASE_FAILED})").join(marks, "doc_id").groupBy("stratum").agg(F.sum(F.expr("CASE WHEN good >= 1 THEN 1L ELSE 0L END")).alias("n"), *hits)
+        stats.filter(f"NOT ({BASE_FAILED})").join(marks, "doc_id").distinct().groupBy("stratum").agg(F.sum(F.expr("CASE WHEN good >= 1 THEN 1L ELSE 0L END")).alias("n"), *hits)
     )
     tests = F.array(*[
         F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(c).cast("long").alias("cutoff"), F.col(f"{rule}_{i}_good").alias("good"), F.col(f"{rule}_{i}_bad").alias("bad"))
@@ -142,8 +145,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, total
     stats = materialize(spark, statistics(docs), "quality")
     chosen = cutoffs(stats, labels, total_risk, delta).groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("at"))
     failed = F.array(*[F.expr(f"CASE WHEN {left} > at['{rule}'] * {right} THEN '{rule}' END") for rule, left, right, _ in RULES])
+    # A stratum is there only if a rule is certified, which takes hundreds of labels (790 good ones with the defaults): a small table.
     return (
-        stats.join(chosen, "stratum", "left")
+        stats.join(F.broadcast(chosen), "stratum", "left")
         .withColumn("base_failed", F.expr(BASE_FAILED))
         .withColumn("failed_rules", F.array_join(F.when(F.col("at").isNotNull(), failed).otherwise(F.array().cast("array<string>")), ","))
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("failed_rules") == "")).alias("kept"), "failed_rules")
@@ -159,7 +163,7 @@ def oracle_sql(total_risk: float = TOTAL_RISK, delta: float = DELTA) -> str:
     sides = " ".join(f"WHEN rule = '{rule}' THEN {left} > cutoff * {right}" for rule, left, right, _ in RULES)
     count = lambda p: f"length(t) - length(regexp_replace(t, '{p}', '', 'g'))"
     return f"""
-WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce('=' || lang, 'null') AS stratum, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM d),
 g AS (SELECT doc_id, i, words[i:i+4] AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
 c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g),
@@ -170,7 +174,7 @@ s AS (SELECT w.doc_id, stratum, len(words) AS n_words, length(regexp_replace(t,
 b AS (SELECT *, {BASE_FAILED} AS base_failed FROM s),
 rules AS ({rules}),
 m AS (SELECT doc_id, max(quality) AS good FROM labels GROUP BY doc_id HAVING max(quality) IS NOT NULL),
-held AS (SELECT b.*, good FROM b JOIN m USING (doc_id) WHERE NOT base_failed),
+held AS (SELECT DISTINCT b.*, good FROM b JOIN m USING (doc_id) WHERE NOT base_failed),
 n AS (SELECT stratum, count(*) FILTER (good >= 1) AS n FROM held GROUP BY stratum),
 cells AS (SELECT stratum, rule, step, cutoff, count(*) FILTER (hit AND good >= 1) AS good, count(*) FILTER (hit AND good < 1) AS bad
   FROM (SELECT held.*, rule, step, cutoff, CASE {sides} END AS hit FROM held CROSS JOIN rules) GROUP BY ALL),
