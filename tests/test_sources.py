@@ -51,6 +51,92 @@ def test_frame_store(spark, tmp_path):
         framestore.read_header(str(tmp_path / "bad"))
 
 
+def test_store_header_and_trailer(spark, tmp_path):
+    """Crop box, skeleton, names, blocks without cells, a store behind a video, chunks, and the exact bytes of a small store."""
+    import struct
+    import zlib
+
+    path, video = str(tmp_path / "s.store"), str(tmp_path / "v.mp4")
+    c = spark.createDataFrame([(0, "b", 1, 2, 0.5, 0.25, -1.0), (700, "a", 0, 0, 0.75, 0.0, 0.0)], "frame long, part string, x long, y long, p double, ox double, oy double")
+    framestore.write(c, path, 6, 8, 4.0, frames=1300, fps=25.0, video=(100, 200), crop=(3, 5), skeleton=[(0, 1)])
+    h = framestore.read_header(path)
+    assert (h.frames, h.height, h.width, h.stride, h.parts, h.fps, h.video_height, h.video_width, h.crop, h.skeleton) == (1300, 6, 8, 4.0, ["a", "b"], 25.0, 100, 200, (3, 5), [(0, 1)])
+    (tmp_path / "v.mp4").write_bytes(b"some video" * 1000)
+    framestore.append_to(path, video)
+    for p in (path, video):
+        assert rows(framestore.read(spark, p)) == rows(c)
+    chunks = list(framestore.unpacked(framestore.pack(path), 400))
+    assert [b.num_rows for b in chunks] == [1, 1, 0, 0] and next(framestore.unpacked(framestore.pack(path))).num_rows == 2
+    with pytest.raises(ValueError, match="crop"):
+        framestore.write(c, path, 60, 80, 4.0, video=(100, 200), crop=(3, 5))
+        framestore.read_header(path)
+    framestore.write(c.filter("frame = 0"), path, 6, 8, 4.0)
+    data = (tmp_path / "s.store").read_bytes()
+    body = zlib.compress(struct.pack("<QIIfff", 1, 2, 1, 0.5, -1.0, 0.25), 6)
+    want = b"DLFSDLFH" + struct.pack("<QIIIddIIII", 1, 1, 6, 8, 30.0, 4.0, 24, 32, 2**32 - 1, 2**32 - 1) + b"DBPN" + b"\x01\x00b" + b"FLUP" + struct.pack("<Q", 0) + b"FDAT" + struct.pack("<BQ", 3, len(body)) + body
+    assert data == want + b"DLFE" + struct.pack("<Q", len(want))
+
+
+def test_tracking_a_store(spark, tmp_path):
+    """Both predictors from a store of a map larger than the test view's, in video pixels with offsets."""
+    path = str(tmp_path / "s.store")
+    data = [(f, part, 40 + f + 8 * i + k, 50 + 6 * i, 0.9 - 0.1 * i, 2.0, -1.0) for f in range(12) for i in range(2) for k, part in enumerate("ab")]
+    c = spark.createDataFrame(data, "frame long, part string, x long, y long, p double, ox double, oy double")
+    framestore.write(c, path, 80, 100, 4.0)
+    best = {(r.frame, r.part, r.body): (r.x, r.y) for r in api.track_store(spark, path, 2, "ArgMax").collect()}
+    assert best == {(f, part, i): ((40 + f + 8 * i + k) * 4 + 2 + 2, (50 + 6 * i) * 4 + 2 - 1) for f in range(12) for i in range(2) for k, part in enumerate("ab")}
+    assert api.track(spark, framestore.read(spark, path), 1, "ArgMax").count() == 24
+    got = {}
+    for r in api.track_store(spark, path, 2, "Segmented", downscaling=2.0).collect():
+        got.setdefault((r.frame, r.part), {})[r.body] = (r.x, r.y)
+    bodies = {b: i for b, (x, y) in got[0, "a"].items() for i in range(2) if y == pytest.approx(2 * ((50 + 6 * i) * 4 + 1))}
+    assert sorted(bodies.values()) == [0, 1]
+    for (f, part), found in got.items():
+        for b, (x, y) in found.items():
+            i = bodies[b]
+            assert (x, y) == (pytest.approx(2 * ((40 + f + 8 * i + "ab".index(part)) * 4 + 4), abs=1e-3), pytest.approx(2 * ((50 + 6 * i) * 4 + 1), abs=1e-3))
+
+
+def test_api_surface(spark, tmp_path):
+    c = cells(spark, SF)
+    with pytest.raises(ValueError, match="no pass"):
+        api.run_passes(c, ["Nothing"])
+    with pytest.raises(ValueError, match="no setting"):
+        api.run_passes(c, [["TopCells", {"much": 3}]])
+    got = api.run_passes(c, [["Threshold", {"threshold": 0.2}], ["TopCells", {"most": 5}], ["ClusterFrames", {"individuals": 2}], "Centroids"])
+    assert set(got.columns) == {"frame", "part", "ind", "x", "y", "p"} and got.count() > 0
+    assert api.pairs(["t"], ["a", "b"]) == [("t", "a"), ("t", "b")] and api.predictors()["Segmented"]["settings"]["segment_size"] == 200
+    with pytest.raises(ValueError):
+        api.pairs(["a", "b"], ["c", "d", "e"])
+
+    class Still:
+        """Every point stays at the origin."""
+
+        several, settings, calls = False, {}, []
+
+        def open(self):
+            self.calls.append("open")
+
+        def close(self):
+            self.calls.append("close")
+
+        def __call__(self, spark, cells, individuals, settings, meta):
+            return cells.select("frame", "part").distinct().selectExpr("*", "0L body", "0D x", "0D y", "1D likelihood")
+
+    still = Still()
+    api.register("Still", still)
+    try:
+        assert api.track(spark, c, 1, "Still").count() > 0 and still.calls == ["open", "close"]
+        with pytest.raises(ValueError, match="one individual"):
+            api.track(spark, c, 2, "Still")
+        with pytest.raises(ValueError, match="already"):
+            api.register("Still", still)
+    finally:
+        del api.PREDICTORS["Still"]
+    name = api.export_maps(c.groupBy("frame", "part", "x", "y").agg(F.max("p").alias("p")), str(tmp_path), "video", 24, 32, parts=["view"], threshold=0.2)
+    assert name.endswith("video_maps.store") and {r.part for r in framestore.read(spark, name).select("part").distinct().collect()} == {"view"}
+
+
 def test_streams(spark, tmp_path):
     from trailmark.operators import frames
 
@@ -115,3 +201,63 @@ def test_workspace_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
     remote = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         session.workspace(remote)
+
+
+def test_windows_sessions_and_repeats(spark, tmp_path):
+    import datetime
+
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    schema = "event_id long, ts timestamp, part string, p double"
+    data = [(i, at(m), "a", 0.5) for i, m in enumerate((0, 10, 20, 100, 110, 400))] + [(0, at(0), "a", 0.5), (99, at(5000), "z", 0.5)]
+    spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def run(make, name, mode="append"):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = make(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
+        q.awaitTermination()
+        return spark.table(name).collect()
+
+    assert sorted(r.cells for r in run(lambda s: streaming.sessions(s), "sessions") if r.part == "a") == [1, 2, 4]
+    assert sorted(r.cells for r in run(lambda s: streaming.windowed(s, length="2 hours"), "tumbling") if r.part == "a") == [1, 6]
+    assert sum(r.cells for r in run(lambda s: streaming.windowed(s, length="2 hours", slide="1 hour"), "sliding") if r.part == "a") == 14
+    assert len(run(lambda s: streaming.once(s), "once")) == 7
+    spark.range(4).selectExpr("id frame").write.parquet(str(tmp_path / "f"))
+    assert streaming.complete(spark, str(tmp_path / "f"), 4).count() == 4
+    with pytest.raises(ValueError, match="of 9"):
+        streaming.complete(spark, str(tmp_path / "f"), 9)
+
+
+def test_state(spark, tmp_path):
+    from trailmark.sources import state
+
+    path = str(tmp_path / "state")
+    cells_ = spark.createDataFrame([(0, "a", 0, 3, 2, 0.5), (0, "a", 0, 1, 2, 0.25), (1, "a", 0, 5, 5, 1.0)], "frame long, part string, ind long, x long, y long, p double")
+    flags = spark.createDataFrame([(1, "a", 0, True, True), (2, "b", 1, True, False)], "frame long, part string, ind long, ignore_clustering boolean, disable_occluded boolean")
+    with pytest.raises(ValueError):
+        state.load(spark, path)
+    first = state.records(cells_, cells_.filter("frame = 0"), flags)
+    assert state.save(spark, first, path) == 1
+    assert sorted((r.frame, r.ignore_clustering, len(r.src), len(r.orig)) for r in state.load(spark, path).collect()) == [(0, False, 2, 2), (1, True, 1, 0), (2, True, 0, 0)]
+    assert rows(state.cells_of(state.load(spark, path)).select(*cells_.columns)) == rows(cells_)
+    changed = state.records(cells_.filter("frame = 0 AND x = 3"), cells_.filter("frame = 0"), flags.limit(0))
+    assert state.save(spark, changed, path) == 2
+    (tmp_path / "state" / ".tmp-broken").mkdir()  # a save that broke off
+    assert sorted((r.frame, len(r.src)) for r in state.load(spark, path).collect()) == [(0, 1), (1, 1), (2, 0)]
+    assert sorted((r.frame, len(r.src)) for r in state.load(spark, path, 1).collect()) == [(0, 2), (1, 1), (2, 0)]
+    meta = {"fps": 30.0, "parts": ["a", "b"], "crop": None, "more": {"far": float("inf")}}
+    assert state.decode_metadata(state.encode_metadata(meta)) == meta
+    with pytest.raises(TypeError, match="more"):
+        state.encode_metadata({"more": object()})
+
+
+def test_import_instances(spark):
+    frames = spark.createDataFrame([(0, 0, 0, 0, 2), (1, 0, 2, 2, 4), (2, 1, 0, 4, 5), (3, 0, 3, 5, 5)], "frame_id long, video long, frame_idx long, instances_from long, instances_to long")
+    instances = spark.createDataFrame(
+        [(0, 5, 0, 1.0, 0, 2), (1, 5, 1, 0.9, 0, 2), (2, 5, 0, 1.0, 2, 4), (3, 6, 1, 0.9, 2, 4), (4, 5, 0, 1.0, 4, 6)], "position long, track long, kind long, score double, points_from long, points_to long"
+    )
+    points = spark.createDataFrame(
+        [(k, i, float(10 * k + i), 1.0, not (k == 1 and i >= 2), None if k == 0 else 0.75) for k in range(2) for i in range(6)], "kind long, position long, x double, y double, visible boolean, score double"
+    )
+    got = rows(tables.import_instances(frames, instances, points, ["n", "t"]))
+    assert [r for r in got if r[3:] != (0.0, 0.0, 0.0)] == [(0, 0, "n", 10.0, 1.0, 0.75), (0, 0, "t", 11.0, 1.0, 0.75), (2, 0, "n", 2.0, 1.0, 1.0), (2, 0, "t", 3.0, 1.0, 1.0)]
+    assert len(got) == 8  # the second track has no visible point

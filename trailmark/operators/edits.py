@@ -20,6 +20,47 @@ def current(log: DataFrame, key: tuple[str, ...] = ("frame", "part", "ind")) ->
     return log.filter("NOT undone").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def replay(log: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The edits of a log (version, action, ...) that stand: action 'undo' takes back the last one that does, 'redo' brings the last
+    one taken back again, and any other is an edit, after which nothing can be redone. Undo and redo with nothing to do are ignored.
+
+    The stack is sequential, over the edits that a user has made to a video (key `by`): a group of its own.
+    """
+
+    def run(pdf):
+        done, undone = [], []
+        pdf = pdf.sort_values("version", kind="stable").reset_index(drop=True)
+        for i, action in enumerate(pdf["action"]):
+            if action == "undo":
+                undone += [done.pop()] if done else []
+            elif action == "redo":
+                done += [undone.pop()] if undone else []
+            else:
+                done.append(i)
+                undone = []
+        return pdf.iloc[done]
+
+    return log.groupBy(*(by or (F.lit(0).alias("_one"),))).applyInPandas(run, log.schema)
+
+
+def point_edit(points: DataFrame, stride: float) -> tuple[DataFrame, DataFrame]:
+    """(cells, flags) of poses (frame, part, ind, x, y, p) set by a user in video pixels: a single cell with its offset, none where p is
+    0; the flags keep the frame out of clustering and its parts from being hidden."""
+    fx, fy = F.col("x") / stride, F.col("y") / stride
+    cells = points.filter("p > 0").select(
+        "frame", "part", "ind", F.floor(fx).cast("long").alias("x"), F.floor(fy).cast("long").alias("y"), F.col("p").cast("double").alias("p"),
+        ((fx - F.floor(fx) - 0.5) * stride).alias("ox"), ((fy - F.floor(fy) - 0.5) * stride).alias("oy"),
+    )
+    return cells, points.select("frame", "part", "ind", F.lit(True).alias("ignore_clustering"), F.lit(True).alias("disable_occluded"))
+
+
+def default_spread(sigma: float | None = None, longest_limb: float | None = None) -> float:
+    """The spread of a Gaussian edit in video pixels: the longest limb, else five sigma, five at least; 20 without either."""
+    if longest_limb is not None:
+        return max(5.0, longest_limb)
+    return 20.0 if sigma is None else max(5.0, 5.0 * sigma)
+
+
 def gaussian_cells(centres: DataFrame, spread: float, radius: int, strength: float) -> DataFrame:
     """Cells of a Gaussian about each centre (frame, part, x, y)."""
     d = F.array(*[F.lit(i) for i in range(-radius, radius + 1)])

@@ -6,14 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.math import clamp_into_cell, gaussian
-from trailmark.plans.cells import HEIGHT, STRIDE, WIDTH
 
+#: Video pixels a cell where a caller names no other stride.
+STRIDE = 8.0
 GROUP = ("frame", "part")
 NEG = float("-inf")
 
 
-def _order():
-    return [F.desc("p"), "y", "x", "event_id"]
+def _order(cells: DataFrame):
+    """The likeliest first, then the upper, then the left one; an event_id, where there is one, decides between equal places."""
+    return [F.desc("p"), "y", "x", *(c for c in ("event_id",) if c in cells.columns)]
+
+
+def with_offsets(cells: DataFrame) -> DataFrame:
+    """`cells` with ox and oy, 0 where the table has none."""
+    return cells.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) if c in cells.columns else F.lit(0.0) for c in ("ox", "oy")})
 
 
 def above(cells: DataFrame, threshold: float) -> DataFrame:
@@ -23,7 +30,7 @@ def above(cells: DataFrame, threshold: float) -> DataFrame:
 
 def top_k(cells: DataFrame, k: int, by: tuple[str, ...] = GROUP) -> DataFrame:
     """The k likeliest cells of each group, with their rank from 0; ties go to the upper, then the left cell."""
-    w = Window.partitionBy(*by).orderBy(*_order())
+    w = Window.partitionBy(*by).orderBy(*_order(cells))
     return cells.withColumn("ind", F.row_number().over(w) - 1).filter(F.col("ind") < k)
 
 
@@ -36,9 +43,10 @@ def to_cells(df: DataFrame, stride: float = STRIDE) -> DataFrame:
     return df.withColumn("x", F.floor(F.col("x") / stride).cast("long")).withColumn("y", F.floor(F.col("y") / stride).cast("long"))
 
 
-def argmax_pose(cells: DataFrame, n: int = 1) -> DataFrame:
-    """frame, part, ind, x, y, likelihood: the n likeliest points of each frame and part, in video coordinates."""
-    return to_video(top_k(cells, n)).select("frame", "part", F.col("ind").cast("int").alias("ind"), "x", "y", F.col("p").alias("likelihood"))
+def argmax_pose(cells: DataFrame, n: int = 1, stride: float = STRIDE) -> DataFrame:
+    """frame, part, ind, x, y, likelihood: the n likeliest points of each frame and part, in video coordinates with their offsets."""
+    top = to_video(top_k(with_offsets(cells), n), stride)
+    return top.select("frame", "part", F.col("ind").cast("int").alias("ind"), (F.col("x") + F.col("ox")).alias("x"), (F.col("y") + F.col("oy")).alias("y"), F.col("p").alias("likelihood"))
 
 
 # -- sparsification ----------------------------------------------------------------------------------------------------
@@ -47,20 +55,22 @@ def argmax_pose(cells: DataFrame, n: int = 1) -> DataFrame:
 def _recell(cells: DataFrame, stride: float) -> DataFrame:
     """The cell that a detection falls into with its offset, and the offset there."""
     fx, fy = F.col("x") + 0.5 + F.col("ox") / stride, F.col("y") + 0.5 + F.col("oy") / stride
-    return cells.select(*GROUP, "p", "event_id", F.floor(fx).cast("long").alias("x"), F.floor(fy).cast("long").alias("y"), (fx - F.floor(fx) - 0.5).alias("ox"), (fy - F.floor(fy) - 0.5).alias("oy"))
+    return cells.select(*GROUP, "p", *(c for c in ("event_id",) if c in cells.columns), F.floor(fx).cast("long").alias("x"), F.floor(fy).cast("long").alias("y"), (fx - F.floor(fx) - 0.5).alias("ox"), (fy - F.floor(fy) - 0.5).alias("oy"))
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    inside = df.filter((F.col("x") >= 0) & (F.col("x") < WIDTH) & (F.col("y") >= 0) & (F.col("y") < HEIGHT))
-    return inside.select(*GROUP, F.col("x").alias("cell_x"), F.col("y").alias("cell_y"), clamp_into_cell(F.col("x") + 0.5 + F.col("ox"), F.col("x")).alias("x"), clamp_into_cell(F.col("y") + 0.5 + F.col("oy"), F.col("y")).alias("y"), "p")
+def _placed(df: DataFrame, width: int | None, height: int | None) -> DataFrame:
+    for c, size in (("x", width), ("y", height)):
+        df = df if size is None else df.filter((F.col(c) >= 0) & (F.col(c) < size))
+    return df.select(*GROUP, F.col("x").alias("cell_x"), F.col("y").alias("cell_y"), clamp_into_cell(F.col("x") + 0.5 + F.col("ox"), F.col("x")).alias("x"), clamp_into_cell(F.col("y") + 0.5 + F.col("oy"), F.col("y")).alias("y"), "p")
 
 
-def sparsify(cells: DataFrame, mode: str = "OFFSET_DOMINATION", threshold: float = 0.001, stride: float = STRIDE, spread: int = 2, sigma: float = 1.0) -> DataFrame:
+def sparsify(cells: DataFrame, mode: str = "OFFSET_DOMINATION", threshold: float = 0.001, stride: float = STRIDE, spread: int = 2, sigma: float = 1.0, width: int | None = None, height: int | None = None) -> DataFrame:
     """One cell for each place, by mode: OFFSET_DOMINATION keeps the likeliest detection, OFFSET_COMBINATION averages,
-    OFFSET_SUMMATION adds and rescales to the former maximum, UPSCALE splats Gaussians on pixels, IGNORE_OFFSETS clips raw offsets."""
-    df = above(cells, threshold)
+    OFFSET_SUMMATION adds and rescales to the former maximum, UPSCALE splats Gaussians on pixels, IGNORE_OFFSETS clips raw offsets. With the size of the map (in cells), what its offset has moved
+    beyond the edge is dropped after merging."""
+    df = with_offsets(above(cells, threshold))
     if mode == "IGNORE_OFFSETS":
-        return _placed(df)
+        return _placed(df, width, height)
     if mode == "UPSCALE":
         d = F.array(*[F.lit(i) for i in range(-spread, spread + 1)])
         px, py = F.floor((F.col("x") + 0.5) * stride + F.col("ox")).cast("long"), F.floor((F.col("y") + 0.5) * stride + F.col("oy")).cast("long")
@@ -69,15 +79,16 @@ def sparsify(cells: DataFrame, mode: str = "OFFSET_DOMINATION", threshold: float
         return splat.groupBy(*GROUP, "x", "y").agg(F.max("p").alias("p")).filter(F.col("p") > threshold)
     moved = _recell(df, stride)
     key = (*GROUP, "x", "y")
-    best = [F.max_by(c, F.struct("p", -F.col("event_id"))).alias(c) for c in ("ox", "oy")]
+    tie = [-F.col("event_id")] if "event_id" in moved.columns else [F.col("ox"), F.col("oy")]
+    best = [F.max_by(c, F.struct("p", *tie)).alias(c) for c in ("ox", "oy")]
     if mode == "OFFSET_DOMINATION":
-        return _placed(moved.groupBy(*key).agg(*best, F.max("p").alias("p")))
+        return _placed(moved.groupBy(*key).agg(*best, F.max("p").alias("p")), width, height)
     if mode == "OFFSET_COMBINATION":
-        return _placed(moved.groupBy(*key).agg(F.avg("ox").alias("ox"), F.avg("oy").alias("oy"), F.avg("p").alias("p")))
+        return _placed(moved.groupBy(*key).agg(F.avg("ox").alias("ox"), F.avg("oy").alias("oy"), F.avg("p").alias("p")), width, height)
     if mode == "OFFSET_SUMMATION":
         summed = moved.groupBy(*key).agg(*best, F.sum("p").alias("s"), F.max("p").alias("m"))
         w = Window.partitionBy(*GROUP)
-        return _placed(summed.withColumn("p", F.col("s") * F.max("m").over(w) / F.max("s").over(w)))
+        return _placed(summed.withColumn("p", F.col("s") * F.max("m").over(w) / F.max("s").over(w)), width, height)
     raise ValueError(f"no such mode: {mode}")
 
 
@@ -191,11 +202,13 @@ def offset_field(cells: DataFrame, displacement: float, stride: float = STRIDE)
     return cells.withColumn("length", F.sqrt(F.col("ox") ** 2 + F.col("oy") ** 2) / stride).filter(F.col("length") > displacement)
 
 
-def dense_rows(cells: DataFrame, width: int = WIDTH) -> DataFrame:
-    """frame, part, y, probs: dense rows of the map, zero where there is no cell."""
-    filled = distinct_cells(cells).groupBy(*GROUP, "y").agg(F.map_from_entries(F.collect_list(F.struct("x", "p"))).alias("at"))
-    row = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("at", i.cast("long")), F.lit(0.0)))
-    return filled.select(*GROUP, "y", row.alias("probs"))
+def dense_rows(cells: DataFrame, width: int) -> DataFrame:
+    """frame, part, y, probs, off_x, off_y: dense rows of the map with the offset planes, zero where there is no cell."""
+    best = F.max_by(F.struct("p", "ox", "oy"), F.struct("p", "ox", "oy")).alias("v")
+    placed = with_offsets(cells).groupBy(*GROUP, "x", "y").agg(best)
+    filled = placed.groupBy(*GROUP, "y").agg(F.map_from_entries(F.collect_list(F.struct(F.col("x").cast("long"), "v"))).alias("at"))
+    row = lambda c: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("at", i.cast("long"))[c], F.lit(0.0)))
+    return filled.select(*GROUP, "y", row("p").alias("probs"), row("ox").alias("off_x"), row("oy").alias("off_y"))
 
 
 def local_refine(cells: DataFrame, radius: int = 1) -> DataFrame:

@@ -68,6 +68,19 @@ def moments(hist: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return hist.groupBy(*by).agg((s / n).alias("avg"), F.sqrt(F.greatest(F.sum(F.col("freq") * F.col("mean") ** 2) / n - (s / n) ** 2, F.lit(0.0))).alias("std"))
 
 
+def std_about(hist: DataFrame, centres: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """std: the root of the mean squared difference of the bins' means from given centres (by, value)."""
+    d = hist.join(centres, list(by)) if by else hist.crossJoin(F.broadcast(centres))
+    return d.groupBy(*by).agg(F.sqrt(F.sum(F.col("freq") * (F.col("mean") - F.col("value")) ** 2) / F.sum("freq")).alias("std"))
+
+
+def bin_of(hist: DataFrame, values: DataFrame, value: str, size: float, offset: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """`values` with the bin that each falls into, its freq and mean; an empty bin has freq 0 and the value itself as its mean."""
+    placed = values.withColumn("bin", ((F.col(value) - offset) / size).cast("long") * size + offset)
+    got = placed.join(hist.select(*by, "bin", "freq", "mean"), [*by, "bin"], "left")
+    return got.withColumns({"freq": F.coalesce("freq", F.lit(0)), "mean": F.coalesce("mean", F.col(value).cast("double"))})
+
+
 def motion_sigma(points: DataFrame, size: float = 2.0, ignore_below: float = 1.0, factor: float = 3.0) -> DataFrame:
     """sigma: the scaled median of the nearest moves of at least `ignore_below`; 1 if it would be below 0.1."""
     moves = nearest_move(points).filter(F.col("moved") >= ignore_below)
@@ -95,6 +108,35 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.filter("part_a <> part_b").select(F.least("part_a", "part_b").alias("part_a"), F.greatest("part_a", "part_b").alias("part_b")).distinct()
 
 
+def manual_skeleton(weights: DataFrame) -> DataFrame:
+    """part_a, part_b, avg, std for limb lengths (part_a, part_b, length) given by a user instead of fitted: the deviation is 1."""
+    named = weights.filter("part_a <> part_b").select(F.least("part_a", "part_b").alias("part_a"), F.greatest("part_a", "part_b").alias("part_b"), F.col("length").cast("double").alias("avg"))
+    return named.groupBy("part_a", "part_b").agg(F.max("avg").alias("avg")).withColumn("std", F.lit(1.0))
+
+
+def skeleton_components(edges: DataFrame) -> DataFrame:
+    """part, component (its smallest part) for the parts of a body plan's edges; a plan has a few dozen edges, one group."""
+
+    def run(pdf):
+        import pandas as pd
+
+        from trailmark.operators.kernels import components_of
+
+        parts = sorted({*pdf["part_a"], *pdf["part_b"]})
+        labels = components_of(len(parts), [(parts.index(a), parts.index(b)) for a, b in zip(pdf["part_a"], pdf["part_b"], strict=True)])
+        first = {label: part for label, part in reversed(list(zip(labels.tolist(), parts, strict=True)))}
+        return pd.DataFrame({"part": parts, "component": [first[x] for x in labels.tolist()]})
+
+    return edges.groupBy(F.lit(0).alias("_one")).applyInPandas(run, "part string, component string")
+
+
+def max_product(points: DataFrame, sigma: float) -> DataFrame:
+    """frame, part, ind, best: the best of the previous frame's points' log probability plus the log of the Gaussian move from there."""
+    pairs = points.join(previous(points, "part"), ["frame", "part"])
+    score = F.when(F.col("pp") > 0, F.log("pp")) - ((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2) / (2 * sigma * sigma)
+    return pairs.groupBy("frame", "part", "ind").agg(F.max(score).alias("best"))
+
+
 def fit_skeleton(points: DataFrame, edges: DataFrame, size: float = 2.0) -> DataFrame:
     """part_a, part_b, avg, std: median limb length and its scaled median deviation (1 if below 0.1)."""
     by = ("part_a", "part_b")

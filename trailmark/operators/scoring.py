@@ -15,11 +15,12 @@ def part_separation(points: DataFrame) -> DataFrame:
     return pairs.groupBy("frame", "part").agg(F.min(distance("x", "y", "px", "py")).alias("min_dist"), F.avg(F.col("p") * F.col("pp")).alias("conf"))
 
 
-def frame_scores(points: DataFrame, parts: int, individuals: int, sigma: DataFrame | float, skeleton: DataFrame | None = None, diagonal: float = 40.0, outlier: float = 3.0) -> DataFrame:
+def frame_scores(points: DataFrame, parts: int, individuals: int, sigma: DataFrame | float, skeleton: DataFrame | None = None, diagonal: float = 0.0, outlier: float = 3.0) -> DataFrame:
     """frame, fallback, score, is_valid: the spread of the individuals weighted by confidence, less limb deviations.
 
     score is null (minus infinity) if a point is missing, individuals coincide, overlap (largest separation below sigma, only
-    with a skeleton), or a limb is further than `outlier` standard deviations from its mean length.
+    with a skeleton), or a limb is further than `outlier` standard deviations from its mean length. Limb deviations are shares of
+    1 / (individuals * degree of the part); a limb of a missing point, and one to a part without any, counts the map's `diagonal`.
     """
     separation = part_separation(points).groupBy("frame").agg(
         F.sum(F.col("min_dist") * F.col("conf")).alias("geometric"), F.count(F.lit(1)).alias("paired"), F.min("min_dist").alias("closest"), F.max("min_dist").alias("widest")
@@ -38,8 +39,10 @@ def frame_scores(points: DataFrame, parts: int, individuals: int, sigma: DataFra
             F.sum(F.coalesce("m", F.lit(diagonal)) / (individuals * F.col("degree"))).alias("limbs"),
             F.max(F.when(F.col("m").isNull() | (F.col("m") / F.col("std") > outlier), 1).otherwise(0)).alias("outlying"),
         )
-        df = df.join(per, "frame", "left")
-        limbs = F.coalesce("limbs", F.lit(0.0))
+        # Each individual of a linked part has its limbs' shares, 1 / individuals together; those of missing ones cost the diagonal.
+        linked = points.select("frame", "part", "ind").distinct().join(F.broadcast(degree), "part").groupBy("frame").agg(F.count(F.lit(1)).alias("_here"))
+        df = df.join(per, "frame", "left").join(linked, "frame", "left").join(F.broadcast(degree.agg(F.count(F.lit(1)).alias("_linked"))))
+        limbs = F.coalesce("limbs", F.lit(0.0)) + (F.col("_linked") * individuals - F.coalesce("_here", F.lit(0))) * F.lit(diagonal / individuals)
         bad = bad | (F.coalesce("outlying", F.lit(0)) > 0)
         if isinstance(sigma, DataFrame):
             df = df.crossJoin(F.broadcast(sigma.select(F.col("sigma").alias("_sigma"))))
@@ -89,11 +92,11 @@ def flagged(scores: DataFrame, column: str, threshold: float) -> DataFrame:
     return scores.filter(F.col(column) > threshold)
 
 
-def _nearest(good: Column, ahead: bool) -> Column:
-    w = Window.partitionBy(F.lit(0)).orderBy("frame")
+def _nearest(good: Column, ahead: bool, by: tuple[str, ...]) -> Column:
+    w = Window.partitionBy(*(by or (F.lit(0),))).orderBy("frame")
     return F.first(F.when(good, F.col("frame")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) if ahead else F.last(F.when(good, F.col("frame")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
 
 
-def neighbours(scores: DataFrame, flag: Column) -> DataFrame:
-    """frame, before, after: the nearest flagged frames on either side; one row a frame of one video."""
-    return scores.select("frame", _nearest(flag, False).alias("before"), _nearest(flag, True).alias("after"))
+def neighbours(scores: DataFrame, flag: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """frame, before, after: the nearest flagged frames on either side; `by` is the key of the video where the table has several."""
+    return scores.select(*by, "frame", _nearest(flag, False, by).alias("before"), _nearest(flag, True, by).alias("after"))

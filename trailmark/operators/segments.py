@@ -32,10 +32,29 @@ def endpoint_segments(scores: np.ndarray, fallback: np.ndarray, size: int = 200)
     return out
 
 
-def segments_of(scores: DataFrame, size: int = 200, frames: int | None = None) -> DataFrame:
-    """seg_id, start, end, fix, score from frame scores (frame, score, fallback) by endpoint_segments.
+def midpoint_segments(scores: np.ndarray, size: int = 200) -> list[tuple[int, int, int, float]]:
+    """(start, end, fix or -1, score) of segments about their fix frames: by falling score (larger index first among equals), a frame
+    takes what is free from size / 2 frames before it to size / 2 after it; frames without a score get segments without a fix frame.
+    Without any score there is none, which is an error where there are frames."""
+    n = len(scores)
+    taken, out = np.full(n, False), []
+    for f in np.argsort(scores, kind="stable")[::-1]:
+        if taken[f]:
+            continue
+        if not np.isfinite(scores[f]) and not out:
+            raise ValueError("no frame has a score")
+        a, b = max(0, int(f - size / 2)), min(n, int(f + size / 2))
+        free = np.flatnonzero(~taken[a:b])
+        taken[a:b] = True
+        fix = int(f) if np.isfinite(scores[f]) else -1
+        out.append((a + int(free[0]), a + int(free[-1]) + 1, fix, float(scores[f]) if fix >= 0 else -np.inf))
+    return sorted(out)
+
+
+def segments_of(scores: DataFrame, size: int = 200, frames: int | None = None, by: tuple[str, ...] = (), method: str = "endpoint") -> DataFrame:
+    """seg_id, start, end, fix, score from frame scores (frame, score, fallback) by endpoint_segments or midpoint_segments.
 
-    Greedy suppression is sequential, over one number a frame of one video: a group of its own, not the driver.
+    Greedy suppression is sequential, over one number a frame of a video: a video is a group of its own (key `by`), not the driver.
     """
     last = frames
 
@@ -47,10 +66,14 @@ def segments_of(scores: DataFrame, size: int = 200, frames: int | None = None) -
         at = pdf["frame"].to_numpy()
         score[at] = pdf["score"].fillna(-np.inf).to_numpy()
         back[at] = pdf["fallback"].fillna(-np.inf).to_numpy()
-        rows = endpoint_segments(score, back, size)
-        return pd.DataFrame([(i, *r[:3], None if not np.isfinite(r[3]) else r[3]) for i, r in enumerate(rows)], columns=["seg_id", "start", "end", "fix", "score"])
+        rows = endpoint_segments(score, back, size) if method == "endpoint" else midpoint_segments(score, size)
+        out = pd.DataFrame([(i, *r[:3], None if not np.isfinite(r[3]) else r[3]) for i, r in enumerate(rows)], columns=["seg_id", "start", "end", "fix", "score"])
+        for c in by:
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
 
-    return scores.groupBy(F.lit(0).alias("_video")).applyInPandas(run, "seg_id long, start long, end long, fix long, score double")
+    kinds = "".join(f"{c} {scores.schema[c].dataType.simpleString()}, " for c in reversed(by))
+    return scores.groupBy(*(by or (F.lit(0).alias("_video"),))).applyInPandas(run, f"{kinds}seg_id long, start long, end long, fix long, score double")
 
 
 def frame_to_segment(frames: DataFrame, segments: DataFrame, span: int = 256) -> DataFrame:
@@ -72,15 +95,15 @@ def cut_split(frames: DataFrame, cuts: list[int]) -> DataFrame:
     return frames.withColumn("piece", piece)
 
 
-def run_levels(segments: DataFrame) -> DataFrame:
+def run_levels(segments: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """seg_id, level, before, anchor: the distance in segments to the nearest solved one (fix >= 0), whether it lies before, and
     which it is; of two as near, the later one."""
-    w = Window.partitionBy(F.lit(0)).orderBy("seg_id")
+    w = Window.partitionBy(*(by or (F.lit(0),))).orderBy("seg_id")
     good = F.when(F.col("fix") >= 0, F.col("seg_id"))
     df = segments.withColumn("_l", F.last(good, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_r", F.first(good, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
     dl, dr = F.col("seg_id") - F.col("_l"), F.col("_r") - F.col("seg_id")
     earlier = dl < F.coalesce(dr, F.lit(1 << 40))
-    return df.select("seg_id", F.coalesce(F.least(dl, dr), F.lit(0)).alias("level"), F.coalesce(earlier & (dl > 0), F.lit(False)).alias("before"), F.when(earlier, F.col("_l")).otherwise(F.coalesce("_r", "_l")).alias("anchor"))
+    return df.select(*by, "seg_id", F.coalesce(F.least(dl, dr), F.lit(0)).alias("level"), F.coalesce(earlier & (dl > 0), F.lit(False)).alias("before"), F.when(earlier, F.col("_l")).otherwise(F.coalesce("_r", "_l")).alias("anchor"))
 
 
 def run_ids(df: DataFrame, by: tuple[str, ...], order: str, value: str) -> DataFrame:

@@ -12,20 +12,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailmark.operators import frames, kernels, motion, scoring, segments, viterbi
-from trailmark.plans.cells import HEIGHT, STRIDE, WIDTH
 
 
-def cluster(cells: DataFrame, n: int, linkage: str = "complete") -> DataFrame:
-    """The cells of each frame and part split among n individuals (column ind); where that fails everyone has all of them."""
+def cluster(cells: DataFrame, n: int, linkage: str = "complete", stride: float = 1.0) -> DataFrame:
+    """The cells of each frame and part split among n individuals (column ind); where that fails everyone has all of them.
+
+    Distances are in pixels, of which a cell has `stride`. A table may have a flag ignore_clustering: such frames keep all cells for everyone.
+    """
+    for c, default in (("event_id", F.lit(0).cast("long")), ("ignore_clustering", F.lit(False))):
+        if c not in cells.columns:
+            cells = cells.withColumn(c, default)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x", "event_id"], kind="stable")
-        labels = kernels.cluster_cells(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), pdf["p"].to_numpy(float), n, linkage)
+        labels = None
+        if not pdf.pop("ignore_clustering").any():
+            labels = kernels.cluster_cells(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), pdf["p"].to_numpy(float), n, linkage, scale=stride * stride)
         if labels is None:
             return pd.concat([pdf.assign(ind=i) for i in range(n)])
         return pdf.assign(ind=labels)
 
-    keep = cells.select("frame", "part", "x", "y", "p", "event_id")
+    keep = cells.select("frame", "part", "x", "y", "p", "event_id", "ignore_clustering")
     kind = keep.schema["x"].dataType.simpleString()
     return keep.groupBy("frame", "part").applyInPandas(run, f"frame long, part string, x {kind}, y {kind}, p double, event_id long, ind long")
 
@@ -112,7 +119,7 @@ def solve_segments(cells: DataFrame, clustered: DataFrame, segs: DataFrame, part
             centres = own.assign(wx=own["x"] * own["p"], wy=own["y"] * own["p"]).groupby(["part", "ind"], sort=True).agg(wx=("wx", "sum"), wy=("wy", "sum"), w=("p", "sum"), x=("x", "mean"), y=("y", "mean"), p=("p", "max")).reset_index()
             centres["x"] = np.where(centres["w"] > 0, centres["wx"] / centres["w"].where(centres["w"] > 0, 1), centres["x"]) + 0.5
             centres["y"] = np.where(centres["w"] > 0, centres["wy"] / centres["w"].where(centres["w"] > 0, 1), centres["y"]) + 0.5
-            body = fix_assignment(centres, skeleton, n, algorithm)
+            body = fix_assignment(centres.assign(x=centres["x"] * cfg.scale, y=centres["y"] * cfg.scale), skeleton, n, algorithm)
             own["ind"] = [body[p, int(i)] for p, i in zip(own["part"], own["ind"], strict=True)]
         poses = _solve_segment(whole, own, fix, parts, n, cfg, radius)
         seg = whole.groupby("frame")["seg_id"].first()
@@ -166,14 +173,15 @@ def stitch(spark: SparkSession, poses: DataFrame, segs: DataFrame, n: int, by_pa
     return spark.createDataFrame(rows, "anchor long, part string, ind long, body long")
 
 
-def sparse_cells(cells: DataFrame, mode: str, threshold: float) -> DataFrame:
-    """The cells sparsified by mode, placed as the tracker takes them: half a cell before their centre. Without offsets these are 0."""
-    for c in ("ox", "oy"):
-        if c not in cells.columns:
-            cells = cells.withColumn(c, F.lit(0.0))
-    df = frames.sparsify(cells, mode, threshold)
+def sparse_cells(cells: DataFrame, mode: str, threshold: float, stride: float = frames.STRIDE, width: int | None = None, height: int | None = None) -> DataFrame:
+    """The cells sparsified by mode, placed as the tracker takes them: half a cell before their centre. Without offsets these are 0.
+
+    With the size of the map (in cells), what lies beyond its edge is dropped; it has no negative places anyway.
+    """
+    df = frames.sparsify(cells, mode, threshold, stride, 2, 1.0, width, height)
     if mode == "UPSCALE":
-        df = df.filter((F.col("x") >= 0) & (F.col("x") < WIDTH * STRIDE) & (F.col("y") >= 0) & (F.col("y") < HEIGHT * STRIDE))
+        for c, size in (("x", width), ("y", height)):
+            df = df.filter((F.col(c) >= 0) & (F.lit(True) if size is None else F.col(c) < size * stride))
     half = 0.0 if mode == "UPSCALE" else 0.5
     # Rows of one place and p are alike from here on, so that nothing depends on their event.
     return df.select("frame", "part", (F.col("x") - half).cast("double").alias("x"), (F.col("y") - half).cast("double").alias("y"), "p", F.lit(0).cast("long").alias("event_id"))
@@ -181,35 +189,49 @@ def sparse_cells(cells: DataFrame, mode: str, threshold: float) -> DataFrame:
 
 def track(
     spark: SparkSession, cells: DataFrame, n: int, segment_size: int = 200, threshold: float = 0.001, max_cells: int = 100, use_skeleton: bool = True, cfg: viterbi.Settings | None = None, intermediate=None,
-    sparsification: str | None = None, relaxed_radius: float = 0.0, algorithm: str = "hungarian", outlier: float = 3.0,
+    sparsification: str | None = None, relaxed_radius: float = 0.0, algorithm: str = "hungarian", outlier: float = 3.0, map_stride: float = frames.STRIDE, width: int | None = None, height: int | None = None,
+    pixels: bool = False, downscaling: float = 1.0, skeleton_edges: DataFrame | None = None, limb_lengths: DataFrame | None = None,
 ) -> DataFrame:
     """frame, part, body, x, y, likelihood for n individuals; frames without any cell of a part are hidden or not entered.
 
-    Without a mode of sparsification the cells are taken as they are. UPSCALE tracks pixels (so the relaxed radius is in pixels);
-    its poses are in cells like all others.
+    Without a mode of sparsification the cells are taken as they are. A cell is `map_stride` pixels wide; with `pixels` all distances
+    (clusters, motion, limbs, scores, moves) are in pixels and the poses are in video pixels, that is times `downscaling` where the
+    video has been made smaller; else both are in cells. UPSCALE tracks pixels (so the relaxed radius is in pixels).
+    `skeleton_edges` (part_a, part_b) are the limbs, all pairs of parts by default; `limb_lengths` (part_a, part_b, length) replaces
+    the fit. `width` and `height` are those of the map in cells, as far as known.
     `intermediate` writes and rereads a table that is used more than once (session.materialize by default).
     """
     from trailmark.session import materialize
 
     keep = intermediate or (lambda df, name: materialize(spark, df, name))
-    chosen = sparse_cells(cells, sparsification, threshold) if sparsification else frames.above(cells, threshold)
-    stride = STRIDE if sparsification == "UPSCALE" else 1.0
+    chosen = sparse_cells(cells, sparsification, threshold, map_stride, width, height) if sparsification else frames.above(cells, threshold)
+    fine = map_stride if sparsification == "UPSCALE" else 1.0  # places of the table in a cell
+    stride = map_stride / fine if pixels else 1.0  # units of length in a place of the table
     sparse = keep(frames.top_k(chosen, max_cells).drop("ind"), "cells")
-    clustered = keep(cluster(sparse, n), "clustered")
-    points = keep(frames.weighted_centroid(clustered, ("frame", "part", "ind")), "points")
+    clustered = keep(cluster(sparse, n, stride=stride), "clustered")
+    centres = frames.weighted_centroid(clustered, ("frame", "part", "ind"))
+    points = keep(centres.withColumns({c: F.col(c) * stride for c in ("x", "y")}) if stride != 1 else centres, "points")
     parts = sorted(r["part"] for r in points.select("part").distinct().collect())
     sigma = (motion.motion_sigma(points).first() or {"sigma": 1.0})["sigma"]
-    skeleton = motion.fit_skeleton(points, motion.all_edges(points)).toPandas() if use_skeleton else pd.DataFrame(columns=["part_a", "part_b", "avg", "std"])
+    skeleton = pd.DataFrame(columns=["part_a", "part_b", "avg", "std"])
+    if limb_lengths is not None:
+        skeleton = motion.manual_skeleton(limb_lengths).toPandas()
+    elif use_skeleton:
+        skeleton = motion.fit_skeleton(points, motion.all_edges(points) if skeleton_edges is None else motion.undirected(skeleton_edges)).toPandas()
     links: dict = {}
     for r in skeleton.itertuples():
         links.setdefault(r.part_a, {})[r.part_b] = (r.avg, r.std)
         links.setdefault(r.part_b, {})[r.part_a] = (r.avg, r.std)
     limbs = spark.createDataFrame(skeleton, "part_a string, part_b string, avg double, std double") if len(skeleton) else None
-    scores = scoring.frame_scores(points, len(parts), n, sigma, limbs, 40.0 * stride, outlier)
+    if width is None or height is None:
+        far = sparse.agg(F.max("x"), F.max("y")).first()
+        width, height = (width or ((far[0] or 0) + 1) / fine), (height or ((far[1] or 0) + 1) / fine)
+    scores = scoring.frame_scores(points, len(parts), n, sigma, limbs, float(np.hypot(width, height)) * fine * stride, outlier)
     segs = keep(segments.segments_of(scores, segment_size), "segments")
     base = cfg or viterbi.Settings()
-    solver = viterbi.Settings(**{**base.__dict__, "sigma": sigma, "links": links})
+    solver = viterbi.Settings(**{**base.__dict__, "sigma": sigma, "links": links, "scale": stride})
     poses = keep(solve_segments(sparse, clustered, segs, parts, n, solver, skeleton, algorithm, relaxed_radius), "poses")
-    order = stitch(spark, poses, segs, n, by_part=not use_skeleton)
+    order = stitch(spark, poses, segs, n, by_part=not links)
     placed = poses.join(order, ["anchor", "part", "ind"]).select("frame", "part", F.col("body").cast("long").alias("body"), "x", "y", F.col("p").alias("likelihood"))
-    return placed if stride == 1 else placed.withColumns({c: F.when(F.col(c) >= 0, F.col(c) / stride).otherwise(F.col(c)) for c in ("x", "y")})
+    unit = map_stride / fine * downscaling if pixels else 1 / fine
+    return placed if unit == 1 else placed.withColumns({c: F.when(F.col(c) >= 0, F.col(c) * unit).otherwise(F.col(c)) for c in ("x", "y")})

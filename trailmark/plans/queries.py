@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.functions import math as fm
-from trailmark.operators import edits, frames, motion, scoring, segments, tracking
+from trailmark.operators import edits, frames, motion, poses, scoring, segments, tracking
+from trailmark.plans.cells import HEIGHT, STRIDE, WIDTH
 from trailmark.plans.cells import SQL as CELLS
 from trailmark.plans.cells import cells as _cells
 from trailmark.session import materialize
@@ -53,12 +54,12 @@ def split(c: DataFrame) -> DataFrame:
 # -- top-k and poses ----------------------------------------------------------------------------------------------------
 
 
-@query(f"{TOP} SELECT frame, part, ind::INT AS ind, x * 8.0 + 4 AS x, y * 8.0 + 4 AS y, round(p, 6) AS likelihood FROM ranked WHERE ind = 0")
+@query(f"{TOP} SELECT frame, part, ind::INT AS ind, x * 8.0 + 4 + ox AS x, y * 8.0 + 4 + oy AS y, round(p, 6) AS likelihood FROM ranked WHERE ind = 0")
 def argmax_pose(c):
     return r6(frames.argmax_pose(c), "likelihood")
 
 
-@query(f"{TOP} SELECT frame, part, ind::INT AS ind, x * 8.0 + 4 AS x, y * 8.0 + 4 AS y, round(p, 6) AS likelihood FROM points")
+@query(f"{TOP} SELECT frame, part, ind::INT AS ind, x * 8.0 + 4 + ox AS x, y * 8.0 + 4 + oy AS y, round(p, 6) AS likelihood FROM ranked WHERE ind < {N}")
 def topk_individuals(c):
     return r6(frames.argmax_pose(c, N), "likelihood")
 
@@ -70,23 +71,23 @@ def sparsify_threshold_topk(c):
 
 @query(f"{RECELL}, g AS (SELECT frame, part, x, y, arg_max(ox, (p, -event_id)) AS ox, arg_max(oy, (p, -event_id)) AS oy, max(p) AS p FROM m GROUP BY ALL) {PLACED}")
 def sparsify_domination(c):
-    return r6(frames.sparsify(c, "OFFSET_DOMINATION"), "x", "y", "p")
+    return r6(frames.sparsify(c, "OFFSET_DOMINATION", width=WIDTH, height=HEIGHT), "x", "y", "p")
 
 
 @query(f"{RECELL}, g AS (SELECT frame, part, x, y, avg(ox) AS ox, avg(oy) AS oy, avg(p) AS p FROM m GROUP BY ALL) {PLACED}")
 def sparsify_combination(c):
-    return r6(frames.sparsify(c, "OFFSET_COMBINATION"), "x", "y", "p")
+    return r6(frames.sparsify(c, "OFFSET_COMBINATION", width=WIDTH, height=HEIGHT), "x", "y", "p")
 
 
 @query(f"""{RECELL}, s AS (SELECT frame, part, x, y, arg_max(ox, (p, -event_id)) AS ox, arg_max(oy, (p, -event_id)) AS oy, sum(p) AS s, max(p) AS m FROM m GROUP BY ALL),
  g AS (SELECT frame, part, x, y, ox, oy, s * max(m) OVER w / max(s) OVER w AS p FROM s WINDOW w AS (PARTITION BY frame, part)) {PLACED}""")
 def sparsify_summation(c):
-    return r6(frames.sparsify(c, "OFFSET_SUMMATION"), "x", "y", "p")
+    return r6(frames.sparsify(c, "OFFSET_SUMMATION", width=WIDTH, height=HEIGHT), "x", "y", "p")
 
 
 @query(f"g AS (SELECT * FROM cells WHERE p > 0.001) {PLACED}")
 def sparsify_ignore_offsets(c):
-    return r6(frames.sparsify(c, "IGNORE_OFFSETS"), "x", "y", "p")
+    return r6(frames.sparsify(c, "IGNORE_OFFSETS", width=WIDTH, height=HEIGHT), "x", "y", "p")
 
 
 @query("""s AS (SELECT frame, part, p, floor((x + 0.5) * 8 + ox)::BIGINT + dx AS x, floor((y + 0.5) * 8 + oy)::BIGINT + dy AS y, dx, dy FROM cells, (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy) WHERE p > 0.001),
@@ -100,11 +101,11 @@ def weighted_centroid(c):
     return r6(frames.weighted_centroid(split(c), ("frame", "part", "ind")), "x", "y", "p")
 
 
-@query(f"""top AS (SELECT * FROM (SELECT *, {RN} AS n FROM cells WHERE x < 16) WHERE n = 1),
+@query(f"""top AS (SELECT * FROM (SELECT *, {RN} AS n FROM cells) WHERE n = 1),
  near AS (SELECT c.*, row_number() OVER (PARTITION BY c.frame, c.part ORDER BY c.p DESC, c.y, c.x, c.event_id) AS n FROM cells c JOIN top t ON c.frame = t.frame AND c.part = t.part WHERE (c.x - t.x) ** 2 + (c.y - t.y) ** 2 <= 9)
  SELECT frame, part, x, y, round(p, 6) AS p FROM near WHERE n = 1""")
 def relaxed_maximum(c):
-    return r6(frames.relaxed_maximum(c.filter("x < 16"), c, 3.0), "p")
+    return r6(frames.relaxed_maximum(c, c, 3.0), "p")
 
 
 @query(f"""{PLACES} SELECT frame, part, x, y, round(p, 6) AS p FROM d WHERE NOT EXISTS (SELECT 1 FROM d n WHERE n.frame = d.frame AND n.part = d.part AND abs(n.x - d.x) <= 1 AND abs(n.y - d.y) <= 1
@@ -190,8 +191,7 @@ def interp_transition(c):
 
 @query(f"{PAIRS} SELECT frame, part, ind, round(max(ln(CASE WHEN pp > 0 THEN pp END) - (dx * dx + dy * dy) / 32.0), 6) AS best FROM pairs GROUP BY ALL")
 def max_product_step(c):
-    score = F.when(F.col("pp") > 0, F.log("pp")) - (F.col("dx") ** 2 + F.col("dy") ** 2) / (2 * SIGMA * SIGMA)
-    return pairs(c).groupBy("frame", "part", "ind").agg(F.round(F.max(score), 6).alias("best"))
+    return r6(motion.max_product(points(c), SIGMA), "best")
 
 
 @query("SELECT frame, part, event_id, round(CASE WHEN sum(p) OVER w > 0 THEN p / sum(p) OVER w ELSE 0 END, 6) AS p FROM cells WINDOW w AS (PARTITION BY frame)")
@@ -232,15 +232,16 @@ def quartic_skeleton(c):
 
 @query(f"{PLACES} SELECT frame, part, y, string_agg(x || ':' || round(p * 10000)::BIGINT, ' ' ORDER BY x) FILTER (p > 0) AS filled FROM d GROUP BY ALL")
 def dense_rows(c):
-    rows = frames.dense_rows(c)
+    rows = frames.dense_rows(c, WIDTH)
     named = F.transform("probs", lambda p, i: F.when(p > 0, F.concat(i.cast("string"), F.lit(":"), F.round(p * 10000).cast("long").cast("string"))))
     text = F.array_join(F.filter(named, lambda s: s.isNotNull()), " ")
     return rows.select("frame", "part", "y", F.when(text != "", text).alias("filled"))
 
 
-@query("SELECT frame, part, event_id, round(1 / (1 + exp(-(p * 8 - 4))), 6) AS p, round(greatest(least(p * 1.5, 1), 0), 6) AS clipped FROM cells")
+@query("SELECT frame, part, event_id, round(1 / (1 + exp(-(p * 8 - 4))), 6) AS p, round(greatest(least(p * 1.5, 1), 0), 6) AS clipped, greatest(least(ox * 2.5, 8), -8) AS ox, greatest(least(oy * 2.5, 8), -8) AS oy FROM cells")
 def inference_post(c):
-    return c.select("frame", "part", "event_id", F.round(1 / (1 + F.exp(-(F.col("p") * 8 - 4))), 6).alias("p"), F.round(F.greatest(F.least(F.col("p") * 1.5, F.lit(1.0)), F.lit(0.0)), 6).alias("clipped"))
+    maps = c.select("frame", "part", "event_id", F.col("p").alias("logit"), F.col("ox").alias("lx"), F.col("oy").alias("ly"), poses.clipped(F.col("p"), 1.5).alias("clipped"))
+    return r6(poses.decoded(maps, STRIDE, 2.5, 8.0, -4.0), "p", "clipped")
 
 
 # -- motion and skeleton -------------------------------------------------------------------------------------------------
@@ -305,14 +306,15 @@ SCORES = f"""{LIMBS}, sep AS (SELECT a.frame, a.part, min(sqrt((a.x - b.x) ** 2
  lim AS (SELECT a.frame, a.part, a.ind, ed.other, std, degree, min(abs(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) - avg)) AS m FROM points a JOIN ed USING (part) JOIN dgr USING (part) LEFT JOIN points b ON b.frame = a.frame AND b.part = ed.other GROUP BY ALL),
  per AS (SELECT frame, sum(coalesce(m, 40) / ({N} * degree)) AS limbs, max(CASE WHEN m IS NULL OR m / std > 3 THEN 1 ELSE 0 END) AS outlying FROM lim GROUP BY frame),
  cnt AS (SELECT frame, count(*) AS n FROM points GROUP BY frame),
- sc AS (SELECT frame, coalesce(geometric, 0) - coalesce(limbs, 0) AS fallback, NOT (n < 5 * {N} OR coalesce(paired, 0) < 5 OR coalesce(closest, 0) <= 1e-9 OR coalesce(outlying, 0) > 0 OR coalesce(widest, 0) < {SIGMA}) AS is_valid
-  FROM cnt LEFT JOIN geo USING (frame) LEFT JOIN per USING (frame))"""
+ here AS (SELECT frame, count(*) AS here FROM (SELECT DISTINCT frame, part, ind FROM points) JOIN dgr USING (part) GROUP BY frame),
+ sc AS (SELECT frame, coalesce(geometric, 0) - coalesce(limbs, 0) - 40.0::DOUBLE / {N} * ((SELECT count(*) FROM dgr) * {N} - coalesce(here, 0)) AS fallback, NOT (n < 5 * {N} OR coalesce(paired, 0) < 5 OR coalesce(closest, 0) <= 1e-9 OR coalesce(outlying, 0) > 0 OR coalesce(widest, 0) < {SIGMA}) AS is_valid
+  FROM cnt LEFT JOIN geo USING (frame) LEFT JOIN per USING (frame) LEFT JOIN here USING (frame))"""
 
 
 def scores(c):
     p = materialize(c.sparkSession, points(c), "points")
     skeleton = materialize(c.sparkSession, motion.fit_skeleton(p, motion.all_edges(p)), "skeleton")
-    return scoring.frame_scores(p, 5, N, SIGMA, skeleton)
+    return scoring.frame_scores(p, 5, N, SIGMA, skeleton, 40.0)
 
 
 @query(f"{SCORES} SELECT frame, round(fallback, 6) AS fallback, CASE WHEN is_valid THEN round(fallback, 6) END AS score, is_valid FROM sc")
@@ -388,21 +390,33 @@ def run_ids(c):
     return segments.run_ids(t, ("part",), "frame", "high")
 
 
-@query("l AS (SELECT DISTINCT part, frame FROM cells WHERE event_id % 2 = 0), r AS (SELECT part, frame, max(event_id) AS v FROM cells WHERE event_id % 7 = 1 GROUP BY ALL) SELECT l.part, l.frame, r.v AS found, r.frame AS found_at FROM l ASOF LEFT JOIN r ON l.part = r.part AND l.frame >= r.frame")
+ASOF = "l AS (SELECT DISTINCT part, frame FROM cells), r AS (SELECT part, frame, max(event_id) AS v FROM cells WHERE p > 0.5 GROUP BY ALL)"
+
+
+def _likely(c):
+    return c.filter("p > 0.5").groupBy("part", "frame").agg(F.max("event_id").alias("v"))
+
+
+@query(f"{ASOF} SELECT l.part, l.frame, r.v AS found, r.frame AS found_at FROM l ASOF LEFT JOIN r ON l.part = r.part AND l.frame >= r.frame")
 def as_of_lookup(c):
-    right = c.filter("event_id % 7 = 1").groupBy("part", "frame").agg(F.max("event_id").alias("v"))
-    return segments.as_of(c.filter("event_id % 2 = 0").select("part", "frame").distinct(), right, "frame", ("part",), "v")
+    """For each part and frame the last frame up to it that has a cell of more than a half."""
+    return segments.as_of(c.select("part", "frame").distinct(), _likely(c), "frame", ("part",), "v")
+
+
+@query(f"{ASOF} SELECT l.part, l.frame, r.v AS found, r.frame AS found_at FROM l ASOF LEFT JOIN r ON l.part = r.part AND l.frame <= r.frame")
+def as_of_ahead(c):
+    return segments.as_of(c.select("part", "frame").distinct(), _likely(c), "frame", ("part",), "v", ahead=True)
 
 
 @query("SELECT max(frame) + 1 AS frames, count(DISTINCT frame) AS with_cells, count(DISTINCT part) AS parts FROM cells")
 def frame_count(c):
-    return c.agg((F.max("frame") + 1).alias("frames"), F.countDistinct("frame").alias("with_cells"), F.countDistinct("part").alias("parts"))
+    return poses.frame_count(c)
 
 
 @query("w AS (SELECT * FROM (VALUES (0, 9), (1, 3), (2, 9), (3, 77)) v(ord, frame)) SELECT ord, frame, part, x, y, round(p, 6) AS p FROM w JOIN cells USING (frame)")
 def frame_extract(c, spark, sf_dir):
     wanted = spark.sql("SELECT * FROM VALUES (0, 9L), (1, 3L), (2, 9L), (3, 77L) AS v(ord, frame)")
-    return r6(c.join(F.broadcast(wanted), "frame").select("ord", "frame", "part", "x", "y", "p"), "p")
+    return r6(poses.frame_extract(c.select("frame", "part", "x", "y", "p"), wanted), "p")
 
 
 # -- edits ---------------------------------------------------------------------------------------------------------------
@@ -462,8 +476,7 @@ def render_plan(c):
 
 @query("SELECT frame, part, 'SOURCE' AS plane, x, y, round(p, 6) AS p FROM cells UNION ALL SELECT frame, part, 'FRAME', x, y, round(p, 6) FROM cells WHERE p > 0.1 UNION ALL SELECT frame, part, 'OCCLUDED', x, y, round(p * 1e-8, 6) FROM cells WHERE p <= 0.1")
 def state_planes(c):
-    plane = lambda df, name: df.select("frame", "part", F.lit(name).alias("plane"), "x", "y", "p")
-    return r6(plane(c, "SOURCE").union(plane(c.filter("p > 0.1"), "FRAME")).union(plane(c.filter("p <= 0.1").withColumn("p", F.col("p") * 1e-8), "OCCLUDED")), "p")
+    return r6(poses.state_planes(c, 0.1), "p")
 
 
 # -- kernels -------------------------------------------------------------------------------------------------------------
@@ -506,9 +519,11 @@ def assign_greedy(c):
     return _assigned(c, "greedy")
 
 
-@query()
+@query(f"""{PLACES}, n AS (SELECT *, row_number() OVER (PARTITION BY frame, part ORDER BY y, x) AS i FROM d), l AS (SELECT a.frame, a.part, a.i, b.i AS j FROM n a JOIN n b ON a.frame = b.frame AND a.part = b.part AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 4),
+ r AS (WITH RECURSIVE reach AS (SELECT frame, part, i, i AS root FROM n UNION SELECT l.frame, l.part, l.j, reach.root FROM reach JOIN l USING (frame, part, i)) SELECT frame, part, i, min(root) AS root FROM reach GROUP BY ALL)
+ SELECT frame, part, x, y, dense_rank() OVER (PARTITION BY frame, part ORDER BY root) - 1 AS component FROM n JOIN r USING (frame, part, i)""")
 def components(c):
-    """Places of each frame and part linked within two cells: connected components (labels of frames mod 10 = 0 agree with SQL in the tests)."""
+    """Places of each frame and part linked within two cells: connected components, numbered by first appearance in (y, x) order."""
     import pandas as pd
 
     from trailmark.operators.kernels import components_of
@@ -545,19 +560,91 @@ def track_individuals(c, spark, sf_dir):
 
 @query(f"{TOP} SELECT part, ind, count(*) AS n, round(avg(p), 6) AS p FROM points GROUP BY ROLLUP (part, ind)")
 def rollup_parts(c):
-    return r6(points(c).rollup("part", "ind").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("p")), "p")
+    return r6(poses.rollup_parts(points(c)), "p")
 
 
 @query(f"{TOP} SELECT frame, max(CASE WHEN part = 'click' THEN x END) AS click_x, max(CASE WHEN part = 'view' THEN x END) AS view_x FROM points WHERE ind = 0 GROUP BY frame")
 def pose_pivot(c):
-    return points(c, 1).groupBy("frame").pivot("part", ["click", "view"]).agg(F.max("x")).withColumnsRenamed({"click": "click_x", "view": "view_x"})
+    return poses.pose_pivot(points(c, 1), ["click", "view"])
 
 
 @query(f"{TOP} SELECT frame, part, ind, round(p * 2, 6) AS p FROM points WHERE frame BETWEEN 10 AND 90 AND frame % 4 = 2")
 def pose_slice(c):
-    return points(c).filter(F.col("frame").between(10, 90) & (F.col("frame") % 4 == 2)).select("frame", "part", "ind", F.round(F.col("p") * 2, 6).alias("p"))
+    return poses.pose_slice(points(c), 10, 91, 4).select("frame", "part", "ind", F.round(F.col("p") * 2, 6).alias("p"))
 
 
-@query("SELECT part, count(DISTINCT frame) AS frames, count(*) AS cells FROM cells GROUP BY part HAVING count(DISTINCT frame) > 10")
+@query("SELECT frame, part, x, y, event_id, round(p, 6) AS p, CASE part WHEN 'view' THEN 0 ELSE 1 END AS place FROM cells WHERE part IN ('view', 'click')")
 def part_selection(c):
-    return c.groupBy("part").agg(F.countDistinct("frame").alias("frames"), F.count(F.lit(1)).alias("cells")).filter("frames > 10")
+    return r6(poses.part_selection(c.select("frame", "part", "x", "y", "event_id", "p"), ["view", "click"]), "p")
+
+
+@query("SELECT part, frame, x, y, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY p DESC, frame, y, x) AS n FROM cells) WHERE n = 1")
+def top_frame(c):
+    return r6(poses.top_frame(c), "p")
+
+
+@query(f"{TOP} SELECT a.frame, a.part, a.ind, a.x, a.y, b.x AS px, b.y AS py, round(a.p, 6) AS p, round(b.p, 6) AS pp FROM points a LEFT JOIN points b ON b.frame = a.frame - 1 AND b.part = a.part AND b.ind = a.ind")
+def ordered_pass(c):
+    return r6(poses.with_prior(points(c)), "p", "pp")
+
+
+@query(f"{TOP} SELECT a.frame, a.part, a.ind, a.x, a.y, b.x AS px, b.y AS py, round(a.p, 6) AS p, round(b.p, 6) AS pp FROM points a LEFT JOIN points b ON b.frame = a.frame + 1 AND b.part = a.part AND b.ind = a.ind")
+def ordered_pass_back(c):
+    return r6(poses.with_prior(points(c), 1), "p", "pp")
+
+
+@query(f"{PLACES} SELECT frame, part, count(*) AS n, string_agg(y || ':' || x, ' ' ORDER BY y, x) AS places FROM d GROUP BY ALL")
+def coordinate_sort(c):
+    named = F.array_join(F.transform("places", lambda q: F.concat(q["y"].cast("string"), F.lit(":"), q["x"].cast("string"))), " ")
+    return poses.ordered_places(c).withColumn("places", named)
+
+
+@query(f"""{SIDES}, l AS (SELECT *, row_number() OVER (PARTITION BY frame, part ORDER BY y, x) - 1 AS left_index FROM a), r AS (SELECT *, row_number() OVER (PARTITION BY frame, part ORDER BY y, x) - 1 AS right_index FROM b)
+ SELECT frame, part, x, y, left_index, right_index FROM l JOIN r USING (frame, part, x, y)""")
+def intersection_indices(c):
+    return poses.common_indices(*sides(c)).withColumns({k: F.col(k).cast("long") for k in ("left_index", "right_index")})
+
+
+@query(f"{TOP} SELECT frame, part, ind, (CASE part WHEN 'click' THEN 0 WHEN 'view' THEN 4 END)::INT AS colour, (ind % 4)::INT AS shape FROM points WHERE part IN ('click', 'view')")
+def colour_index(c):
+    return poses.colour_index(points(c).filter(F.col("part").isin("click", "view")), ["click", "view"], 8).select("frame", "part", "ind", "colour", "shape")
+
+
+@query(f"{HIST}, {QUANT} SELECT round(sqrt(sum(freq * (mean - value) ** 2) / sum(freq)), 6) AS std FROM h, m")
+def histogram_std(c):
+    h = motion.histogram(motion.nearest_move(points(c)).filter("moved >= 1"), "moved", 2.0, 1.0)
+    return r6(motion.std_about(h, motion.quantile(h, 0.5)), "std")
+
+
+@query(f"{HIST}, v AS (SELECT (i * 0.7)::DOUBLE + 1 AS moved FROM range(0, 60) t(i)) SELECT round(v.moved, 6) AS moved, trunc((v.moved - 1) / 2) * 2 + 1.0 AS bin, coalesce(freq, 0) AS freq, round(coalesce(mean, v.moved), 6) AS mean FROM v LEFT JOIN h ON h.bin = trunc((v.moved - 1) / 2)::BIGINT * 2 + 1.0")
+def histogram_lookup(c, spark, sf_dir):
+    h = motion.histogram(motion.nearest_move(points(c)).filter("moved >= 1"), "moved", 2.0, 1.0)
+    return r6(motion.bin_of(h, spark.range(60).select((F.col("id") * 0.7 + 1).alias("moved")), "moved", 2.0, 1.0), "moved", "mean")
+
+
+@query("v AS (SELECT * FROM (VALUES ('view', 'click', 5.0), ('click', 'view', 7.0), ('cart', 'view', 3.0), ('view', 'view', 1.0)) t(a, b, length)) SELECT least(a, b) AS part_a, greatest(a, b) AS part_b, max(length)::DOUBLE AS avg, 1.0::DOUBLE AS std FROM v WHERE a <> b GROUP BY ALL")
+def manual_skeleton(c, spark, sf_dir):
+    return motion.manual_skeleton(spark.sql("SELECT * FROM VALUES ('view', 'click', 5D), ('click', 'view', 7D), ('cart', 'view', 3D), ('view', 'view', 1D) AS t(part_a, part_b, length)"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'a'), ('b', 'a'), ('c', 'a'), ('x', 'x'), ('y', 'x')) t(part, component)")
+def skeleton_components(c, spark, sf_dir):
+    return motion.skeleton_components(spark.sql("SELECT * FROM VALUES ('c', 'b'), ('b', 'a'), ('y', 'x') AS t(part_a, part_b)"))
+
+
+@query(f"{TOP} SELECT frame, part, ind, floor((x * 8.0 + 3) / 8)::BIGINT AS x, floor((y * 8.0 + 6) / 8)::BIGINT AS y, round(p, 6) AS p, -1.0::DOUBLE AS ox, 2.0::DOUBLE AS oy FROM points WHERE p > 0")
+def point_edit(c):
+    at = points(c).withColumns({"x": F.col("x") * 8.0 + 3, "y": F.col("y") * 8.0 + 6})
+    return r6(edits.point_edit(at, 8.0)[0], "p", "ox", "oy")
+
+
+@query(f"{SEGS}, t AS (SELECT DISTINCT seg_id FROM seg JOIN (SELECT DISTINCT frame FROM cells WHERE frame % 10 = 3 AND frame < 60) ON frame >= start AND frame < \"end\") SELECT seg.* FROM seg JOIN t USING (seg_id)")
+def touched_segments(c, spark, sf_dir):
+    return edits.touched_segments(fixed_segments(spark), c.filter("frame % 10 = 3 AND frame < 60").select("frame"))
+
+
+@query("SELECT frame, part, x, y, event_id, round(p, 6) AS p FROM cells WHERE p > 0.2 AND part IN ('click', 'view')")
+def exported_maps(c):
+    from trailmark import api
+
+    return r6(api.exported(c.select("frame", "part", "x", "y", "event_id", "p"), ["click", "view"], 0.2), "p")

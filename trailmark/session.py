@@ -65,6 +65,15 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def filesystem(path: str):
+    """The pyarrow file system of a path or URI (a local or mounted path, HDFS, S3 and the like), and the path there; for tasks."""
+    from pyarrow import fs
+
+    if path.startswith("file:/"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else (fs.LocalFileSystem(), path)
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables of `materialize` that nothing reads any more."""
     for df in tables:

@@ -1,27 +1,41 @@
 """A binary frame store of probability maps as a Python data source: spark.read.format("framestore").
 
-Layout, little endian: magic 'TMFS', u32 version, u64 frames, u32 parts, u32 height, u32 width, f64 stride, part names (u16
-length, UTF-8), then a lookup of u64 offsets (frames + 1), then a block for each frame: for each part u8 flags (1 sparse,
-2 offsets), u32 size and zlib-compressed columns (sparse: u16 y, u16 x, f32 p[, f32 oy, f32 ox]; dense: f32 map).
-Readers plan one partition for each range of frames and seek to it; filters on frame and p are pushed into the reader.
-A map is stored sparse if three columns of cells are no larger than the dense map.
+All numbers are little endian. A store is the chunks of `MAGIC` in order: the header (u64 frames, u32 parts, u32 height, u32 width, f64
+frame rate, f64 stride, u32 video height, u32 video width, u32 crop y, u32 crop x, the largest u32 for no crop), the part names (u16
+length, UTF-8), a lookup (a u64 for each frame: its place in the data), optionally a skeleton (u32 count, pairs of u32 part numbers;
+before or after the lookup), the data, and at the end a trailer with the store's length, by which it is found behind a video that it has
+been appended to. A frame has a map for each part: u8 flags (1 sparse, 2 offsets), u64 length, and zlib-compressed columns: sparse
+u64 n, u32 y, u32 x, f32 p[, f32 offset y, f32 offset x], dense f32 p[, offset y, offset x] row by row. A map is stored sparse if it
+has a third of its cells or fewer.
+
+Readers plan one partition for each range of frames and read that range of the lookup; filters on frame and p are pushed into them.
 """
 
 from __future__ import annotations
 
 import base64
-import os
+import io
 import struct
 import uuid
 import zlib
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-MAGIC = b"TMFS"
+from trailmark.session import filesystem, materialize, release
+
+# Fixed values of the format.
+MAGIC = {"file": b"DLFS", "header": b"DLFH", "parts": b"DBPN", "lookup": b"FLUP", "skeleton": b"DSKL", "data": b"FDAT", "end": b"DLFE"}
+_HEADER = struct.Struct("<QIIIddIIII")
+NO_CROP = 2**32 - 1
+SPARSE_SHARE = 3
+
 SCHEMA = "frame long, part string, x long, y long, p double, ox double, oy double"
+_ARROW = pa.schema([("frame", pa.int64()), ("part", pa.string()), ("x", pa.int64()), ("y", pa.int64()), ("p", pa.float64()), ("ox", pa.float64()), ("oy", pa.float64())])
 FRAMES_A_PARTITION = 512
 
 
@@ -32,90 +46,173 @@ class Header:
     width: int
     stride: float
     parts: list[str]
-    offsets: np.ndarray
-
-
-def _encode(cells: list[tuple], height: int, width: int, level: int) -> bytes:
-    """cells: (x, y, p, ox, oy) of one frame and part."""
-    a = np.array(cells, float).reshape(-1, 5)
-    offsets = bool(np.any(a[:, 3:]))
-    if len(a) * 3 <= height * width or offsets:
-        flags = 1 | (2 if offsets else 0)
-        columns = [a[:, 1].astype("<u2").tobytes(), a[:, 0].astype("<u2").tobytes(), a[:, 2].astype("<f4").tobytes()]
-        if offsets:
-            columns += [a[:, 4].astype("<f4").tobytes(), a[:, 3].astype("<f4").tobytes()]
-        raw = b"".join(columns)
+    fps: float = 30.0
+    video_height: int = 0
+    video_width: int = 0
+    crop: tuple[int, int] | None = None  # y, x
+    skeleton: list[tuple[int, int]] = field(default_factory=list)
+    lookup: int = 0  # where the lookup and the data begin in the file
+    data: int = 0
+
+
+def _encode(cells: np.ndarray, height: int, width: int, level: int) -> bytes:
+    """cells: rows of x, y, p, ox, oy of one frame and part, in (y, x) order."""
+    offsets = bool(np.any(cells[:, 3:]))
+    y, x = cells[:, 1].astype(int), cells[:, 0].astype(int)
+    planes = [cells[:, 2], *((cells[:, 4], cells[:, 3]) if offsets else ())]
+    if len(cells) * SPARSE_SHARE <= height * width:
+        raw = b"".join([struct.pack("<Q", len(cells)), y.astype("<u4").tobytes(), x.astype("<u4").tobytes(), *(v.astype("<f4").tobytes() for v in planes)])
     else:
-        flags = 0
-        dense = np.zeros((height, width), "<f4")
-        dense[a[:, 1].astype(int), a[:, 0].astype(int)] = a[:, 2]
-        raw = dense.tobytes()
+        raw = b""
+        for v in planes:
+            dense = np.zeros((height, width), "<f4")
+            dense[y, x] = v
+            raw += dense.tobytes()
+    flags = (len(cells) * SPARSE_SHARE <= height * width) | offsets << 1
     body = zlib.compress(raw, level)
-    return struct.pack("<BI", flags, len(body)) + body
+    return struct.pack("<BQ", flags, len(body)) + body
 
 
 def _decode(data: bytes, at: int, height: int, width: int) -> tuple[np.ndarray, int]:
-    """(rows of x, y, p, ox, oy; the position after the block)."""
-    flags, size = struct.unpack_from("<BI", data, at)
-    raw = zlib.decompress(data[at + 5 : at + 5 + size])
+    """(rows of x, y, p, ox, oy; the position after the map)."""
+    flags, size = struct.unpack_from("<BQ", data, at)
+    raw = zlib.decompress(data[at + 9 : at + 9 + size])
     if flags & 1:
-        n = len(raw) // (16 if flags & 2 else 8)
-        y, x = np.frombuffer(raw, "<u2", n), np.frombuffer(raw, "<u2", n, 2 * n)
-        p = np.frombuffer(raw, "<f4", n, 4 * n)
-        oy, ox = (np.frombuffer(raw, "<f4", n, 8 * n), np.frombuffer(raw, "<f4", n, 12 * n)) if flags & 2 else (np.zeros(n), np.zeros(n))
+        n = struct.unpack_from("<Q", raw)[0]
+        column = lambda i, kind: np.frombuffer(raw, kind, n, 8 + 4 * n * i).astype(float)
+        y, x, p = column(0, "<u4"), column(1, "<u4"), column(2, "<f4")
+        oy, ox = (column(3, "<f4"), column(4, "<f4")) if flags & 2 else (np.zeros(n), np.zeros(n))
     else:
-        dense = np.frombuffer(raw, "<f4").reshape(height, width)
-        y, x = np.nonzero(dense)
-        p, ox, oy = dense[y, x], np.zeros(len(x)), np.zeros(len(x))
-    return np.stack([x.astype(float), y.astype(float), p.astype(float), ox.astype(float), oy.astype(float)], 1), at + 5 + size
+        planes = np.frombuffer(raw, "<f4").reshape(-1, height, width).astype(float)
+        y, x = np.nonzero(planes[0])
+        p = planes[0][y, x]
+        oy, ox = (planes[1][y, x], planes[2][y, x]) if flags & 2 else (np.zeros(len(x)), np.zeros(len(x)))
+    return np.stack([x, y, p, ox, oy], 1), at + 9 + size
+
+
+def parse_header(f, where: str = "the file") -> Header:
+    """The header of a store in a binary file, whether it begins there or stands behind other content."""
+    start = 0
+    if f.read(4) != MAGIC["file"]:
+        size = f.seek(0, io.SEEK_END)
+        f.seek(max(0, size - 12))
+        tail = f.read(12)
+        if tail[:4] != MAGIC["end"] or struct.unpack("<Q", tail[4:])[0] > size - 12:
+            raise ValueError(f"{where} is not a frame store")
+        start = size - 12 - struct.unpack("<Q", tail[4:])[0]
+        f.seek(start)
+        if f.read(4) != MAGIC["file"]:
+            raise ValueError(f"{where} is not a frame store")
+
+    def expect(found: bytes, name: str) -> None:
+        if found != MAGIC[name]:
+            raise ValueError(f"{where}: no {name} chunk")
+
+    expect(f.read(4), "header")
+    frames, parts, height, width, fps, stride, video_height, video_width, crop_y, crop_x = _HEADER.unpack(f.read(_HEADER.size))
+    expect(f.read(4), "parts")
+    names = []
+    for _ in range(parts):
+        (n,) = struct.unpack("<H", f.read(2))
+        names.append(f.read(n).decode())
+    h = Header(frames, height, width, stride, names, fps, video_height, video_width, None if NO_CROP in (crop_y, crop_x) else (crop_y, crop_x))
+    if h.crop and (crop_y + height * stride > video_height or crop_x + width * stride > video_width):
+        raise ValueError(f"{where}: the crop box does not lie in the video")
+    chunk = f.read(4)
+    while chunk != MAGIC["data"]:
+        if chunk == MAGIC["lookup"]:
+            h.lookup = f.tell()
+            f.seek(h.lookup + 8 * frames)
+            chunk = f.read(4)
+        elif chunk == MAGIC["skeleton"]:
+            f.read(4)  # writers disagree on what is counted, so pairs are read up to the next chunk
+            while (chunk := f.read(4)) not in (MAGIC["lookup"], MAGIC["data"], b""):
+                h.skeleton.append(struct.unpack("<II", chunk + f.read(4)))
+        else:
+            raise ValueError(f"{where}: no data chunk")
+    if not h.lookup:
+        raise ValueError(f"{where}: no lookup chunk")
+    h.data = f.tell()
+    return h
 
 
 def read_header(path: str) -> Header:
-    with open(path, "rb") as f:
-        if f.read(4) != MAGIC:
-            raise ValueError(f"{path} is not a frame store")
-        _, frames, parts, height, width, stride = struct.unpack("<IQIIId", f.read(32))
-        names = []
-        for _ in range(parts):
-            (n,) = struct.unpack("<H", f.read(2))
-            names.append(f.read(n).decode())
-        offsets = np.frombuffer(f.read(8 * (frames + 1)), "<u8")
-    return Header(frames, height, width, stride, names, offsets)
-
-
-def write(cells: DataFrame, path: str, height: int, width: int, stride: float = 8.0, threshold: float = 1e-7, level: int = 6, frames: int | None = None) -> None:
-    """Write cells (frame, part, x, y, p[, ox, oy]) above the threshold; the driver streams one frame after the other into one file.
-
-    A store is one file by its format; the largest unit held is a frame. The file appears whole, by renaming.
+    fs, name = filesystem(path)
+    with fs.open_input_file(name) as f:
+        return parse_header(f, path)
+
+
+def _frames(f, h: Header, start: int, end: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(frame, a table of cells for each part) of a range of frames; only its part of the lookup is read."""
+    f.seek(h.lookup + 8 * start)
+    places = np.frombuffer(f.read(8 * (end - start)), "<u8")
+    for frame, place in zip(range(start, end), places.tolist(), strict=True):
+        f.seek(h.data + place)
+        maps = []
+        for _ in h.parts:
+            head = f.read(9)
+            maps.append(_decode(head + f.read(struct.unpack("<BQ", head)[1]), 0, h.height, h.width)[0])
+        yield frame, maps
+
+
+def _batch(rows: list[tuple[int, str, np.ndarray]]) -> pa.RecordBatch:
+    n = [len(a) for *_, a in rows]
+    a = np.concatenate([a for *_, a in rows])
+    part = pa.array([p for _, p, _ in rows], pa.string()).take(pa.array(np.repeat(np.arange(len(rows)), n)))
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat([f for f, *_ in rows], n)), part, *(pa.array(a[:, i].astype(np.int64)) for i in (0, 1)), *(pa.array(a[:, i]) for i in (2, 3, 4))], schema=_ARROW)
+
+
+def write(cells: DataFrame, path: str, height: int, width: int, stride: float = 8.0, threshold: float = 1e-7, level: int = 6, frames: int | None = None, fps: float = 30.0,
+          video: tuple[int, int] | None = None, crop: tuple[int, int] | None = None, parts: list[str] | None = None, skeleton: list[tuple[int, int]] = ()) -> None:
+    """Write cells (frame, part, x, y, p[, ox, oy]) above the threshold.
+
+    Tasks encode blocks of frames, which are written to the workspace; a store being one file by its format, the driver then copies
+    block after block behind the header. The file appears whole, by renaming. `video` is the size (height, width) of the video, that of
+    the maps in pixels by default; `parts` are all parts by name by default; cells of no part or beyond the map are an error.
     """
+    import pandas as pd
     from pyspark.sql import functions as F
 
+    spark = cells.sparkSession
     for c in ("ox", "oy"):
         if c not in cells.columns:
             cells = cells.withColumn(c, F.lit(0.0))
-    parts = sorted(r["part"] for r in cells.select("part").distinct().collect())
-    n = frames if frames is not None else (cells.agg(F.max("frame")).first()[0] or 0) + 1
-    head = MAGIC + struct.pack("<IQIIId", 1, n, len(parts), height, width, stride) + b"".join(struct.pack("<H", len(p.encode())) + p.encode() for p in parts)
-    made = f"{path}.{uuid.uuid4().hex}.tmp"
-    rows = cells.filter(F.col("p") > threshold).select("frame", "part", "x", "y", "p", "ox", "oy").orderBy("frame", "part", "y", "x").toLocalIterator()
-    row = next(rows, None)
-    with open(made, "wb") as f:
-        f.write(head)
-        table = f.tell()
-        f.write(b"\0" * 8 * (n + 1))
-        offsets = []
-        for frame in range(n):
-            offsets.append(f.tell())
-            for part in parts:
-                block = []
-                while row is not None and row["frame"] == frame and row["part"] == part:
-                    block.append((row["x"], row["y"], row["p"], row["ox"], row["oy"]))
-                    row = next(rows, None)
-                f.write(_encode(block, height, width, level))
-        offsets.append(f.tell())
-        f.seek(table)
-        f.write(np.array(offsets, "<u8").tobytes())
-    os.replace(made, path)
+    names = parts if parts is not None else sorted(r["part"] for r in cells.select("part").distinct().collect())
+    n = frames if frames is not None else (cells.agg(F.max("frame")).first()[0] if cells.take(1) else -1) + 1
+    numbers = {p: i for i, p in enumerate(names)}
+
+    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(pdf["block"].iloc[0]) * FRAMES_A_PARTITION
+        maps = {}
+        pdf = pdf[pdf["p"] > threshold].sort_values(["frame", "part", "y", "x"], kind="stable")
+        if len(pdf) and not (pdf["x"].between(0, width - 1).all() and pdf["y"].between(0, height - 1).all() and set(pdf["part"]) <= set(numbers)):
+            raise ValueError("cells of no part or beyond the map")
+        for (frame, part), g in pdf.groupby(["frame", "part"], sort=False):
+            maps[int(frame), part] = g[["x", "y", "p", "ox", "oy"]].to_numpy(float)
+        none = np.zeros((0, 5))
+        made = [b"".join(_encode(maps.get((f, p), none), height, width, level) for p in names) for f in range(first, min(n, first + FRAMES_A_PARTITION))]
+        return pd.DataFrame({"block": [first // FRAMES_A_PARTITION], "sizes": [[len(x) for x in made]], "data": [b"".join(made)]})
+
+    block = F.floor(F.col("frame") / FRAMES_A_PARTITION).alias("block")
+    kept = cells.select(block, "frame", F.col("part").cast("string").alias("part"), *(F.col(c).cast("long").alias(c) for c in "xy"), *(F.col(c).cast("double").alias(c) for c in ("p", "ox", "oy")))
+    every = spark.range(-(-n // FRAMES_A_PARTITION)).select(F.col("id").alias("block"))
+    kept = every.join(kept, "block", "left").withColumns({"p": F.coalesce("p", F.lit(-1.0))})
+    blocks = materialize(spark, kept.groupBy("block").applyInPandas(encode, "block long, sizes array<long>, data binary"), "store")
+    sizes = [x for r in blocks.select("block", "sizes").orderBy("block").collect() for x in r["sizes"]]
+    head = [MAGIC["file"], MAGIC["header"], _HEADER.pack(n, len(names), height, width, fps, stride, *(video or (int(height * stride), int(width * stride))), *(crop or (NO_CROP, NO_CROP)))]
+    head += [MAGIC["parts"], *(struct.pack("<H", len(p.encode())) + p.encode() for p in names), MAGIC["lookup"], (np.cumsum([0, *sizes])[:-1] if sizes else np.zeros(0)).astype("<u8").tobytes()]
+    if skeleton:
+        head += [MAGIC["skeleton"], struct.pack("<I", len(skeleton)), *(struct.pack("<II", a, b) for a, b in skeleton)]
+    head.append(MAGIC["data"])
+    fs, name = filesystem(path)
+    made = f"{name}.{uuid.uuid4().hex}.tmp"
+    with fs.open_output_stream(made, compression=None) as f:
+        f.write(b"".join(head))
+        for r in blocks.select("data").orderBy("block").toLocalIterator():
+            f.write(bytes(r["data"]))
+        f.write(MAGIC["end"] + struct.pack("<Q", sum(map(len, head)) + sum(sizes)))
+    fs.move(made, name)
+    release(spark, blocks)
 
 
 @dataclass
@@ -149,16 +246,22 @@ class Reader(DataSourceReader):
         return [Range(a, min(end, a + FRAMES_A_PARTITION)) for a in range(self.low, end, FRAMES_A_PARTITION)] or [Range(0, 0)]
 
     def read(self, partition: Range):
-        h = read_header(self.path)
-        with open(self.path, "rb") as f:
-            for frame in range(partition.start, partition.end):
-                f.seek(int(h.offsets[frame]))
-                data, at = f.read(int(h.offsets[frame + 1] - h.offsets[frame])), 0
-                for part in h.parts:
-                    cells, at = _decode(data, at, h.height, h.width)
-                    for x, y, p, ox, oy in cells.tolist():
-                        if self.least is None or p > self.least:
-                            yield frame, part, int(x), int(y), p, ox, oy
+        """Arrow batches of some ten thousand cells."""
+        fs, name = filesystem(self.path)
+        with fs.open_input_file(name) as f:
+            h = parse_header(f, self.path)
+            rows, held = [], 0
+            for frame, maps in _frames(f, h, partition.start, partition.end):
+                for part, a in zip(h.parts, maps, strict=True):
+                    a = a if self.least is None else a[a[:, 2] > self.least]
+                    if len(a):
+                        rows.append((frame, part, a))
+                        held += len(a)
+                if held > 20_000:
+                    yield _batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows)
 
 
 class FrameStore(DataSource):
@@ -174,17 +277,42 @@ class FrameStore(DataSource):
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of a store; a store appended to a video is found by its trailer."""
     spark.dataSource.register(FrameStore)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("framestore").load(path)
 
 
+def append_to(store: str, video: str) -> None:
+    """Put a store behind the content of another file, from which it can be read as before."""
+    fs, name = filesystem(store)
+    to, video_name = filesystem(video)
+    made = f"{video_name}.{uuid.uuid4().hex}.tmp"
+    with to.open_output_stream(made, compression=None) as out:
+        for source, path in ((to, video_name), (fs, name)):
+            with source.open_input_stream(path, compression=None) as f:
+                while data := f.read(8 << 20):
+                    out.write(data)
+    to.move(made, video_name)
+
+
 def pack(path: str) -> str:
     """A store as text."""
-    with open(path, "rb") as f:
+    fs, name = filesystem(path)
+    with fs.open_input_file(name) as f:
         return base64.b64encode(f.read()).decode()
 
 
 def unpack(text: str, path: str) -> None:
-    with open(path, "wb") as f:
+    fs, name = filesystem(path)
+    with fs.open_output_stream(name, compression=None) as f:
         f.write(base64.b64decode(text))
+
+
+def unpacked(text: str, chunk: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The cells of a store given as text, a batch for all frames or for each `chunk` frames."""
+    f = io.BytesIO(base64.b64decode(text))
+    h = parse_header(f)
+    step = chunk or max(1, h.frames)
+    for a in range(0, h.frames, step):
+        yield _batch([(frame, part, cells) for frame, maps in _frames(f, h, a, min(h.frames, a + step)) for part, cells in zip(h.parts, maps, strict=True)])

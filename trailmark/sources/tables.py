@@ -114,6 +114,31 @@ def import_csv(spark: SparkSession, path: str) -> DataFrame:
     return spine.crossJoin(F.broadcast(keys)).join(found, ["frame", "body", "part"], "left").fillna(0.0, list(COORDS)).select("frame", "body", "part", *COORDS)
 
 
+def import_instances(frames: DataFrame, instances: DataFrame, points: DataFrame, parts: list[str], video: int = 0) -> DataFrame:
+    """Poses of an annotation project's tables: frames (frame_id, video, frame_idx, instances_from, instances_to), instances (position, track,
+    kind: 0 by a user, 1 predicted, score, points_from, points_to) and points (kind, position, x, y, visible, score), ranges by position.
+
+    Of one video; where a track has several instances in a frame, a predicted one goes over a user's, then the later one. The
+    likelihood is the point's score where it is visible, else 0. Tracks without any visible point are left out, the others numbered in
+    order; frames without an instance of a track get zeros.
+    """
+    own = frames.filter(F.col("video") == video)
+    found = own.filter("instances_to > instances_from").select("frame_idx", F.explode(F.sequence(F.col("instances_from"), F.col("instances_to") - 1)).alias("position"))
+    best = F.max_by(F.struct("kind", "points_from", "points_to"), F.struct("kind", "position")).alias("i")
+    chosen = found.join(instances, "position").groupBy("frame_idx", "track").agg(best).select("frame_idx", "track", "i.*").filter("points_to > points_from")
+    placed = chosen.select("frame_idx", "track", "kind", F.posexplode(F.sequence(F.col("points_from"), F.col("points_to") - 1)).alias("n", "position"))
+    seen = F.col("visible").cast("boolean")
+    got = placed.join(points, ["kind", "position"]).select(
+        F.col("frame_idx").alias("frame"), "track", F.element_at(F.array(*[F.lit(p) for p in parts]), (F.col("n") + 1).cast("int")).alias("part"), "x", "y", F.when(seen, F.coalesce("score", F.lit(1.0))).otherwise(0.0).alias("likelihood")
+    )
+    tracks = [r["track"] for r in got.groupBy("track").agg(F.max("likelihood").alias("l")).filter("l > 0").orderBy("track").collect()]
+    spark = frames.sparkSession
+    keys = spark.createDataFrame([(t, b, p) for b, t in enumerate(tracks) for p in parts], "track long, body long, part string")
+    last = own.agg(F.max("frame_idx")).first()[0]
+    spine = spark.range((last if last is not None else -1) + 1).select(F.col("id").alias("frame"))
+    return spine.crossJoin(F.broadcast(keys)).join(got, ["frame", "track", "part"], "left").fillna(0.0, list(COORDS)).select("frame", "body", "part", *COORDS)
+
+
 def sniff(spark: SparkSession, path: str) -> DataFrame:
     """The first reader that can read the path."""
     for reader in (read_csv, import_csv):

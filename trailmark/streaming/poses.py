@@ -31,9 +31,28 @@ def store(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed(stream: DataFrame, late: str = "1 hour", length: str = "6 hours") -> DataFrame:
-    """Cells and mean probability by part and time window, late rows up to `late`."""
-    return stream.withWatermark("ts", late).groupBy(F.window("ts", length), "part").agg(F.count(F.lit(1)).alias("cells"), F.avg("p").alias("p"))
+def windowed(stream: DataFrame, late: str = "1 hour", length: str = "6 hours", slide: str | None = None) -> DataFrame:
+    """Cells and mean probability by part and time window, tumbling or sliding; rows that are later than `late` are dropped."""
+    return stream.withWatermark("ts", late).groupBy(F.window("ts", length, slide), "part").agg(F.count(F.lit(1)).alias("cells"), F.avg("p").alias("p"))
+
+
+def sessions(stream: DataFrame, late: str = "1 hour", gap: str = "30 minutes") -> DataFrame:
+    """Cells and mean probability by part and session: rows that are less than `gap` apart belong together."""
+    return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "part").agg(F.count(F.lit(1)).alias("cells"), F.avg("p").alias("p"))
+
+
+def once(stream: DataFrame, late: str = "1 hour", keys: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """Each event once, however often it is sent within the time that the watermark allows; the state is as large as that time's keys."""
+    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
+
+
+def complete(spark, path: str, total: int) -> DataFrame:
+    """The poses of batch_poses; an error if they are not of as many frames as the video has."""
+    poses = spark.read.parquet(path)
+    found = poses.select("frame").distinct().count()
+    if found != total:
+        raise ValueError(f"poses of {found} frames, of {total}")
+    return poses
 
 
 def online(stream: DataFrame, n: int = 1, sigma: float = 3.0) -> DataFrame:
