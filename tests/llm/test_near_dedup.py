@@ -66,6 +66,14 @@ def test_groups_of_many_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 2, 80)
 
 
+def test_ids_of_another_type(spark):
+    rows = corpus(4)
+    name = lambda d: f"d{d:05d}"
+    got = near_dedup.near_duplicates(spark, spark.createDataFrame([(name(d), t) for d, t in rows] + [(None, "a b c")], "doc_id string, text string"), k=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id} == {name(d): (n, name(c)) for d, (n, c) in brute(rows, 2, 80).items()}
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
 def test_odd_rows(spark, odd, none):
     got = near_dedup.near_duplicates(spark, odd, k=2).collect()
     assert len(got) == 10

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailmark.llm import texthash as th
 from trailmark.session import materialize, release
@@ -236,7 +237,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     the same set, component_id the smallest reachable one, kept marks that document. Null, empty and blank texts have no
     shingle and link with nothing. Rows with a null doc_id are not linked: their component_id is null and they are kept.
     Repeated rows stay, each with the same values; texts under one doc_id count as one document. Other columns are ignored.
+    Ids that are no whole numbers are taken in the order of their type; there every row is a document of its own, also without an id.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return _numbered(spark, docs, k, percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = materialize(spark, docs.mapInArrow(_signatures(k), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "signatures")
     classes = materialize(
@@ -286,6 +290,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     )
 
 
+def _numbered(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """near_duplicates of rows that get a number first; the numbers are written, so that they stay what they are."""
+    rows = materialize(spark, docs.select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id()), "numbered")
+    got = near_duplicates(spark, rows.select(F.col("uid").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("uid"), "n_shingles", F.col("component_id").alias("c"), F.col("class_id").alias("e"))
+    named = got.join(rows.select("uid", "doc_id"), "uid")
+    smallest = lambda key, out: named.groupBy(key).agg(F.min("doc_id").alias(out))
+    joined = named.join(smallest("c", "component_id"), "c").join(smallest("e", "class_id"), "e")
+    return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "class_id")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that near_duplicates keeps, one for each doc_id; rows with a null doc_id all stay."""
     kept = near_duplicates(spark, docs, k, percent).filter("kept and doc_id is not null").select("doc_id").distinct()

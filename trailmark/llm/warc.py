@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmark.session import filesystem
+
 SCHEMA = "page_id long, warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, headers string, block binary"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 DATE = "1970-01-01T00:00:00Z"
@@ -307,12 +309,3 @@ def _records(path: str):
     with fs.open_input_file(name) as f:
         for part in parse(f):
             yield _row(*part)
-
-
-def filesystem(path: str):
-    """The pyarrow file system of a path or URI, and the path there."""
-    from pyarrow import fs
-
-    if path.startswith("file:/"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else (fs.LocalFileSystem(), path)
