@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and returns a DataFrame; all but the last
 return the columns of `documents`. Between stages the rows are written as Parquet and read again.
+
+Rows with a null or empty text or without a letter go in the first two stages; a null language is filled in, a null source is a source of
+its own. Of rows with one doc_id one stays, rows without an id all stay. Empty tables give no row. Columns beyond those of
+`documents` are carried up to the last stage; one with the name of an operator's result (kept, score, ...) has its values afterwards.
 """
 
 from __future__ import annotations
