@@ -26,3 +26,14 @@ def test_stages(spark):
     assert len(kept["quality classifier"]) > 700 and len(kept["language id"]) > 0.99 * len(kept["quality classifier"])
     whole = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in whole.select("doc_id").distinct().collect()} == kept["decontamination"]
+
+
+def test_odd_and_empty_tables(spark, odd, none, tmp_path):
+    bench = spark.createDataFrame([(1, "the same text of some words that comes twice in here"), (None, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (None, 1, None), (6, None, 1)], "doc_id long, quality int, toxic int")
+    for name, docs, want in (("odd", odd, {None, 4, 7}), ("none", none, set())):
+        sf = str(tmp_path / name)
+        docs.write.parquet(f"{sf}/documents.parquet")
+        bench.write.parquet(f"{sf}/benchmark.parquet")
+        (labels if name == "odd" else labels.limit(0)).write.parquet(f"{sf}/labels.parquet")
+        assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == want
