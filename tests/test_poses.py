@@ -170,3 +170,20 @@ def test_manual_skeleton_reaches_the_tracker(spark):
 
 def test_default_spread():
     assert edits.default_spread() == 20 and edits.default_spread(0.5) == 5 and edits.default_spread(3.0) == 15 and edits.default_spread(3.0, 40.0) == 40
+
+
+def test_symmetric_and_bounds(spark):
+    from trailmark.functions import math as fm
+    from trailmark.operators import kernels
+
+    w = np.arange(16.0).reshape(4, 4)
+    got = kernels.symmetric(w, 7.0)
+    assert (got == got.T).all() and (np.diag(got) == 7).all() and got[0, 3] == w[3, 0] and got[2, 1] == w[2, 1]
+    # no four points of a unit square are further apart than its corners, and the bound falls with their number
+    assert fm.separation_bound(4) == 1 and all(fm.separation_bound(n) >= fm.separation_bound(n + 1) for n in range(2, 40))
+    dx = np.array([0.0, 3.0])
+    assert np.allclose(fm.log_gaussian_table(dx, dx, 3.0), [0, -1])
+    back = frames.to_cells(frames.to_video(spark.createDataFrame([(3, 5)], "x long, y long"), 4.0), 4.0).first()
+    assert (back.x, back.y) == (3, 5)
+    share = scoring.bound_normalised(spark.createDataFrame([(0, 10.0)], "frame long, score double"), 0.5, 40, 10, 2).first().share
+    assert share == pytest.approx(10 / (0.5 * 20 * 2))

@@ -154,6 +154,14 @@ def minimum_spanning_tree(w: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def symmetric(w: np.ndarray, diagonal: float = np.inf) -> np.ndarray:
+    """A matrix whose upper part is that of the lower one, with the diagonal filled."""
+    low = np.tril(np.asarray(w, float), -1)
+    out = low + low.T
+    np.fill_diagonal(out, diagonal)
+    return out
+
+
 def shortest_paths(graph: dict, start) -> dict:
     """Distances from `start` in a graph {node: {node: weight}} without negative weights."""
     out: dict = {}

@@ -189,9 +189,10 @@ def interp_transition(c):
     return pairs(c).select("frame", "part", "ind", "other", F.round(fm.interpolated(F.col("dx"), F.col("dy"), SIGMA, 0.75), 6).alias("g"))
 
 
-@query(f"{PAIRS} SELECT frame, part, ind, round(max(ln(CASE WHEN pp > 0 THEN pp END) - (dx * dx + dy * dy) / 32.0), 6) AS best FROM pairs GROUP BY ALL")
+@query("SELECT c.frame, c.part, c.event_id, round(max(ln(CASE WHEN q.p > 0 THEN q.p END) - ((c.x - q.x) ** 2 + (c.y - q.y) ** 2) / 32.0), 6) AS best FROM cells c JOIN cells q ON c.frame = q.frame + 1 AND c.part = q.part GROUP BY ALL")
 def max_product_step(c):
-    return r6(motion.max_product(points(c), SIGMA), "best")
+    """All cells of a frame against all of the one before."""
+    return r6(motion.max_product(c.withColumnRenamed("event_id", "ind"), SIGMA), "best").withColumnRenamed("ind", "event_id")
 
 
 @query("SELECT frame, part, event_id, round(CASE WHEN sum(p) OVER w > 0 THEN p / sum(p) OVER w ELSE 0 END, 6) AS p FROM cells WINDOW w AS (PARTITION BY frame)")
