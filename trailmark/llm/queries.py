@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import cotraining, decontaminate, html_extract, language_id, licenses, near_dedup, packing, quality_rules, sharding, warc
+from trailmark.llm import collocations, cotraining, decontaminate, html_extract, language_id, lexical, licenses, near_dedup, packing, pieces, quality_rules, sharding, warc
 from trailmark.session import table
 
 
@@ -70,6 +70,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two and three words in each language."""
+    return collocations.collocations(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the text that they give."""
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return lexical.ranked(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_decontamination": op1_decontamination,
@@ -82,8 +97,13 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_collocations": op11_collocations,
+    "op12_pieces": op12_pieces,
+    "op13_lexical": op13_lexical,
 }
 ORACLE_SQL = {
     "op5_license_scan": licenses.oracle_sql(),
     "op10_quality_rules": quality_rules.oracle_sql(),
+    "op11_collocations": collocations.oracle_sql(),
+    "op13_lexical": lexical.oracle_sql(),
 }
