@@ -2,10 +2,10 @@
 
 A sample of the documents proposes phrases: all words, and all phrases of up to `most` words, that are frequent in it. A full pass then counts,
 exactly and over all documents, the proposed phrases and their negative border: phrases that are not proposed but whose two
-parts without the last and without the first word are. Words have no parts, so the first pass counts them all. If a phrase of the border
-turns out frequent, phrases that contain it may be frequent too; it is proposed with the others, and a further pass counts what that
-brings in and nothing that was counted before. When no phrase of the border is frequent, the proposal is closed and no frequent
-phrase is missing, whatever the sample was: a bad sample costs passes, never results.
+parts without the last and without the first word are. Words have no parts, so the first pass counts them all. If no phrase of the border
+turns out frequent, no frequent phrase is missing. Otherwise phrases that contain it may be frequent too: an expansion pass proposes
+all phrases that are frequent so far, adds the border of the proposal, the border of that, and so on until it is closed, and counts what
+was not counted before. So the result does not depend on the sample; a bad one costs time.
 
 Proposals are kept as bit maps, one for each length, indexed by a hash of the phrase. Their size follows the number of proposed phrases up to
 `BITS`; a phrase that is taken for a proposed one only because of its bit is counted for nothing, but its count is exact. So the
@@ -16,7 +16,6 @@ megabytes of text with array sorts before Spark adds the counts up.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ LEAST, MOST, SHOWN = 10, 3, 2000
 #: One of so many documents is in the sample; a phrase is proposed if the sample has it so often.
 SAMPLE, PROPOSED = 8, 2
 #: Largest bit map: 2 ** BITS bits, 16 MB. Text bytes whose phrases a task counts at a time.
-BITS, CHUNK = 27, 16 << 20
+BITS, CHUNK = 27, 6 << 20
 SALTS = 64
 _BREAK = np.zeros(256, bool)
 _BREAK[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
@@ -69,20 +68,20 @@ def _vocabulary(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arr
     return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offs.astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())])
 
 
-def chunk_counts(langs: pa.Array, column: pa.Array, most: int, passes: list[Proposal] | None, everything: bool):
+def chunk_counts(langs: pa.Array, column: pa.Array, most: int, passes: list[Proposal] | None):
     """(k, language, phrase, count) tables of the phrases in some texts; k = 0 is the number of words.
 
-    `passes` are the proposals so far: what the last one lets in and no earlier one did is counted, words in the first pass only.
-    `everything` counts all phrases (for the sample).
+    `passes` are the proposals so far: what the last one lets in and no earlier one did is counted, words in the first pass only. A
+    proposal lets a phrase in if it has both of its parts; one after the first, that makes an expansion pass, also if it lets them in itself
+    and they have not been counted yet. Without `passes` all phrases are counted.
     """
     buf, offs = th.text_buffers(column)
     starts, ends, first = th.word_spans(buf, offs, _SPLIT)
     if not len(starts):
         return
     names, code = np.unique(np.array(langs.to_pylist(), dtype=object), return_inverse=True)
-    salt = _salts(names)
-    row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    h = th.mix(th.word_hashes(buf, starts, ends) ^ salt[code[row]])
+    row = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(first))
+    h = th.mix(th.word_hashes(buf, starts, ends) ^ _salts(names)[code[row]])
     _, example, word = np.unique(h, return_index=True, return_inverse=True)
     words, lang = _vocabulary(buf, starts[example], ends[example]), code[row[example]]
     language = pa.array(names.tolist(), pa.string())
@@ -90,41 +89,36 @@ def chunk_counts(langs: pa.Array, column: pa.Array, most: int, passes: list[Prop
     def table(k: int, langs: np.ndarray, phrase: pa.Array, n: np.ndarray):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), language.take(pa.array(langs)), phrase.cast(pa.string()), pa.array(n.astype(np.int64))], names=["k", "lang", "phrase", "c"])
 
-    if everything or len(passes) == 1:
+    if not passes or len(passes) == 1:
         total = np.bincount(code[row], minlength=len(names))
         yield table(0, np.arange(len(names)), pa.array([""] * len(names), pa.large_string()), total)
         yield table(1, lang, words, np.bincount(word, minlength=len(example)))
     breaks = np.searchsorted(np.flatnonzero(_BREAK[buf]), starts)
     joined = (row[1:] == row[:-1]) & (breaks[1:] == breaks[:-1])
-    place = np.arange(len(h))  # where phrases of k - 1 words begin
-    phrase = word  # a number for each of them
-    shorter = h
+    del breaks, row, starts, ends
+    # Where the phrases of k - 1 words begin, their hashes and numbers, the words of each number, and which passes have let them in.
+    place, hashes, number, spelled = np.arange(len(h)), h, word, None
+    let_in = [np.ones(len(h), bool)] * len(passes or [None])
     for k in range(2, most + 1):
-        going = np.ones(len(place) - 1, bool) if len(place) else np.zeros(0, bool)
-        going = (place[1:] == place[:-1] + 1) & joined[place[1:] + k - 3] if k > 2 else joined
-        head, tail = shorter[:-1][going], shorter[1:][going]
-        begin, stem = place[:-1][going], phrase[:-1][going]
-        hashes = _next(head, h[begin + k - 1])
-        if everything:
-            counted = np.ones(len(begin), bool)
-        else:
-            inside = [p.has(k - 1, head) & p.has(k - 1, tail) for p in passes]
-            counted = inside[-1] & ~np.logical_or.reduce([*inside[:-1], np.zeros(len(begin), bool)])
-            known = np.logical_or.reduce(inside)  # longer phrases have parts that are let in by now
-        last = word[begin + k - 1]
-        both = stem.astype(np.int64) << 32 | last
-        seen = both[counted]
-        if len(seen):
-            distinct, n = np.unique(seen, return_counts=True)
-            ids = _spelled(distinct, stems if k > 2 else None)  # noqa: F821
-            yield table(k, lang[ids[0]], _texts(words, ids), n)
-        if k == most:
-            return
-        kept = np.ones(len(begin), bool) if everything else known
-        stems, phrase = np.unique(both[kept], return_inverse=True)
-        stems = _spelled(stems, None if k == 2 else previous)  # noqa: F821
-        previous = stems
-        place, shorter = begin[kept], hashes[kept]
+        after = np.flatnonzero((place[1:] == place[:-1] + 1) & joined[place[1:] + k - 3])
+        nowhere = np.zeros(len(place), bool)
+        parts = let_in
+        if passes:
+            before = [np.logical_or.reduce([nowhere, *let_in[:i]]) for i in range(len(passes))]
+            parts = [x & (p.has(k - 1, hashes) | ~old) if i and k > 2 else x & p.has(k - 1, hashes) for i, (p, x, old) in enumerate(zip(passes, let_in, before, strict=True))]
+        let_in = [x[after] & x[after + 1] for x in parts]
+        place, hashes = place[after], _next(hashes[after], h[place[after] + k - 1])
+        both = number[after].astype(np.int64) << 32 | word[place + k - 1]
+        counted = let_in[-1] & ~np.logical_or.reduce([np.zeros(len(after), bool), *let_in[:-1]])
+        distinct, n = np.unique(both[counted], return_counts=True)
+        for a in range(0, len(distinct), 1 << 18):
+            ids = _spelled(distinct[a : a + (1 << 18)], spelled)
+            yield table(k, lang[ids[0]], _texts(words, ids), n[a : a + (1 << 18)])
+        if k < most:
+            some = np.flatnonzero(np.logical_or.reduce(let_in))
+            distinct, number = np.unique(both[some], return_inverse=True)
+            spelled = _spelled(distinct, spelled)
+            place, hashes, let_in = place[some], hashes[some], [x[some] for x in let_in]
 
 
 def _spelled(both: np.ndarray, stems: list[np.ndarray] | None) -> list[np.ndarray]:
@@ -151,10 +145,10 @@ def _counted(docs: DataFrame, most: int, passes: list[Proposal] | None, least: i
                 texts.append(part.column(1).cast(pa.large_string()))
                 held += texts[-1].nbytes
                 if held >= CHUNK:
-                    yield from chunk_counts(pa.concat_arrays(langs), pa.concat_arrays(texts), most, shared.value, shared.value is None)
+                    yield from chunk_counts(pa.concat_arrays(langs), pa.concat_arrays(texts), most, shared.value)
                     langs, texts, held = [], [], 0
         if langs:
-            yield from chunk_counts(pa.concat_arrays(langs), pa.concat_arrays(texts), most, shared.value, shared.value is None)
+            yield from chunk_counts(pa.concat_arrays(langs), pa.concat_arrays(texts), most, shared.value)
 
     counts = docs.mapInArrow(run, "k int, lang string, phrase string, c long")
     return counts.groupBy("k", "lang", "phrase").agg(F.sum("c").alias("c")).filter(f"c >= {least} OR k = 0")
@@ -217,21 +211,18 @@ def _outside(rows: DataFrame, passes: list[Proposal], most: int) -> DataFrame:
 def frequent_phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, most: int = MOST, sample: int = SAMPLE, proposed: int = PROPOSED) -> DataFrame:
     """k, lang, phrase, c: every phrase of up to `most` words with c >= `least` occurrences in the texts of a language, and the number of words (k = 0, phrase '').
 
-    The table is complete and exact for any sample; `sample` and `proposed` only decide how many passes it takes.
+    The table is complete and exact for any sample; `sample` and `proposed` only decide how much each pass counts.
     """
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     part = docs.filter(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0) if sample > 1 else docs
-    tried = materialize(spark, _counted(part, most, None, proposed), "sampled")
+    tried = materialize(spark, _counted(part, most - 1, None, proposed), "sampled")  # only phrases with a word to spare are part of others
     passes = [_proposal(spark, tried, most)]
     release(spark, tried)
-    results = []
-    while True:
-        found = materialize(spark, _counted(docs, most, passes, least), "counted")
-        results.append(found)
-        # Only phrases with a word to spare can make longer ones frequent.
-        if _outside(found, passes, most).isEmpty():
-            return reduce(DataFrame.unionByName, results)
-        passes.append(_proposal(spark, reduce(DataFrame.unionByName, results), most))
+    found = materialize(spark, _counted(docs, most, passes, least), "counted")
+    if _outside(found, passes, most).isEmpty():
+        return found
+    passes.append(_proposal(spark, found, most))
+    return found.unionByName(materialize(spark, _counted(docs, most, passes, least), "expanded"))
 
 
 def _decimal(c: str) -> Column:
