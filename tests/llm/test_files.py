@@ -52,7 +52,10 @@ def test_settled_store(spark, tmp_path, monkeypatch):
         store.append(docs.filter((turn >= some[0]) & (turn < some[1])))
     assert store.versions() == [1, 2, 3] and store.manifest().agg(F.sum("rows")).first()[0] == docs.count() and store.manifest(2).count() < store.manifest().count()
     version = store.settle()
-    assert store.versions() == [version] and store.compact() == store.compact(True) == version
+    assert store.versions() == list(range(1, version + 1)) and store.compact() == store.compact(True) == version
+    assert same(docs.filter((turn >= 0) & (turn < 8)), store.read(1))  # settling leaves older versions to their readers
+    store.vacuum(2)
+    assert store.versions() == [version - 1, version]
     shards = store.manifest().collect()
     assert sum(s.bytes * 2 <= target for s in shards) <= 1 and all(s.bytes <= 1.5 * target or s.rows < 5 for s in shards)
     tiny = docs.filter("doc_id < 3")
@@ -63,6 +66,62 @@ def test_settled_store(spark, tmp_path, monkeypatch):
     assert same(docs.unionByName(docs.filter("doc_id < 60")), store.read())
 
 
+def test_store_race(spark, tmp_path, monkeypatch):
+    """A writer between its write and its commit loses nothing to another one that compacts, commits and cleans up meanwhile."""
+    rows = spark.range(400).selectExpr("id AS doc_id", "repeat('word ', 20) AS text")
+    a, b = (sharding.ShardStore(spark, str(tmp_path / "store"), target=20_000, fan_in=4) for _ in range(2))
+    a.append(rows.filter("doc_id < 100"))
+    commit = sharding.ShardStore._commit
+
+    def late(self, changes, version, part=None, dropped=None):
+        if self is a:
+            monkeypatch.setattr(sharding.ShardStore, "_commit", commit)
+            b.append(rows.filter("doc_id >= 100 AND doc_id < 200"))
+            b.settle()
+            b.vacuum()
+        return commit(self, changes, version, part, dropped)
+
+    monkeypatch.setattr(sharding.ShardStore, "_commit", late)
+    a.append(rows.filter("doc_id >= 200 AND doc_id < 300"))
+    assert same(rows.filter("doc_id < 300"), b.read())
+    # A compaction whose shards another one has merged meanwhile is planned anew; one beside an arrival is kept.
+    monkeypatch.setattr(sharding.ShardStore, "_commit", late)
+    a.compact()
+    assert same(rows.filter("doc_id < 300"), a.read().select("doc_id", "text").distinct())
+    assert a.manifest().agg(F.sum("rows")).first()[0] == 400 and not list((tmp_path / "store" / "claims").glob("[ac]*"))
+    version = a.settle()
+    a.vacuum()
+    assert a.versions() == [version] and a.read().count() == 400
+    # Files of a commit that are gone are an error for readers and writers, never fewer rows.
+    part = a.manifest().first()["part"]
+    a._delete(a._part(part))
+    with pytest.raises(sharding.Missing):
+        a.read()
+    with pytest.raises(sharding.Missing):
+        a._commit(spark.createDataFrame([], sharding._DELTA), version + 1, "a00000099nothing")
+    # The remains of a job that died stay while its claim may be of use.
+    rows.selectExpr("doc_id", "text", "0L AS _slot").write.partitionBy("_slot").parquet(a._part("a00000100dead"))
+    a._claim("a00000100dead")
+    a.vacuum()
+    assert "a00000100dead" in a._parts()
+    monkeypatch.setattr(sharding, "CLAIM_S", -1)
+    a.vacuum()
+    assert "a00000100dead" not in a._parts()
+
+
+def test_slots_follow_partitions(spark, tmp_path):
+    """One large partition beside small ones does not make the shards of the small ones tiny; a row above the target is a shard."""
+    small = spark.range(0, 400, 1, 8).selectExpr("id AS doc_id", "repeat('word ', 20) AS text")
+    large = spark.range(1000, 7000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 20) AS text")
+    store = sharding.ShardStore(spark, str(tmp_path / "store"), target=200_000, fan_in=8)
+    store.append(small.unionByName(large))
+    sizes = [r["bytes"] for r in store.manifest().collect()]
+    assert min(sizes) > 25_000 / 8 and max(sizes) < 2 * 25_000 and sum(r["rows"] for r in store.manifest().collect()) == 6400
+    store.append(spark.range(1).selectExpr("-1L AS doc_id", "repeat('long ', 100000) AS text"))
+    store.settle()
+    assert store.read().count() == 6401 and store.read().filter("doc_id = -1 AND shard_bytes > 500000").count() == 1
+
+
 def test_store_columns(spark, tmp_path):
     store = sharding.ShardStore(spark, str(tmp_path / "store"))
     assert store.read().count() == 0 and store.settle() == 0

@@ -7,14 +7,19 @@ merges what is left over in the tiers. Sizes are those of texts before compressi
 
 A version's manifest is a Parquet folder with the shards that it adds and drops, and every `SNAPSHOT`-th has all its shards beside
 that, so a commit writes as much as has changed. It is written under a temporary name and renamed, which fails if another writer was
-first. Readers see one version as a whole; nothing is changed in place, and a job that dies leaves unlisted files only, which
-`vacuum` removes with versions that are no longer wanted.
+first; the loser takes the next version, after a compaction only if the shards that it merged are still there. Readers see one version
+as a whole, nothing is changed in place, and old versions can be read until `vacuum` is asked to forget them.
+
+A writer claims the name of its part before it writes the first file and gives the claim up after its commit. `vacuum` looks at the files first, at
+the claims next and at the versions last, so a part that it finds neither claimed nor listed belongs to no commit, made or to come:
+the remains of a job that died, whose claim counts for nothing after `CLAIM_S` seconds.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,6 +33,7 @@ FAN_IN = 8
 PLANNED_TOGETHER = 50_000
 LISTED = 100_000
 ROW_BYTES = 64
+CLAIM_S = 7 * 86400
 SNAPSHOT = 10
 _MANIFEST = "shard_id string, part string, slot long, tier int, rows long, bytes long, checksum long, parents long"
 _DELTA = f"{_MANIFEST}, added boolean"
@@ -37,6 +43,10 @@ class Conflict(RuntimeError):
     """Another writer has committed this version."""
 
 
+class Missing(RuntimeError):
+    """A part that a manifest lists, or is about to list, is not there."""
+
+
 class ShardStore:
     """`root`: a folder shared by all workers. Rows have a column doc_id and a column text; others are stored as they are.
 
@@ -88,15 +98,39 @@ class ShardStore:
         live = shards.unionByName(changes.filter("added").drop("added"))
         return live.join(changes.filter("NOT added").select("shard_id"), "shard_id", "left_anti")
 
-    def _commit(self, changes: DataFrame, version: int) -> int:
-        """changes: the shards that the version adds, and those that it drops (added = false)."""
+    def _commit(self, changes: DataFrame, version: int, part: str | None = None, dropped: DataFrame | None = None) -> int:
+        """Commit the shards that a version adds, and those that it drops (added = false), as `version` or the first free one after it.
+
+        Raises Conflict if another writer has dropped one of the shards in `dropped` meanwhile, or if the version is taken and no `part` is added.
+        """
         made = f"{self.root}/manifest/.tmp-{uuid.uuid4().hex}"
         changes.select(*[c.split()[0] for c in _DELTA.split(", ")]).write.parquet(f"{made}/delta")
-        self._rename(made, self._at(version))
+        while True:
+            if part and not self._exists(self._part(part)):
+                raise Missing(f"the files of part {part} have gone before they were committed")
+            try:
+                self._rename(made, self._at(version))
+                break
+            except Conflict:
+                gone = dropped is not None and not dropped.join(self.manifest(), "shard_id", "left_anti").isEmpty()
+                if part is None or gone:
+                    self._delete(made)
+                    raise
+                version += 1
         if version % SNAPSHOT == 0:
             self._snapshot(version)
         return version
 
+    def _part(self, part: str) -> str:
+        return f"{self.root}/data/_part={part}"
+
+    def _claim(self, part: str) -> str:
+        """Say that a part is being written; `vacuum` leaves it alone until the claim is deleted."""
+        path = f"{self.root}/claims/{part}"
+        p, fs = self._fs(path)
+        fs.create(p).close()
+        return path
+
     def _snapshot(self, version: int) -> None:
         """All shards of a version beside what it changes; the same whoever writes it, so that a second writer may fail."""
         if not self._exists(f"{self._at(version)}/all"):
@@ -143,7 +177,7 @@ class ShardStore:
 
     def _write(self, rows: DataFrame, part: str) -> DataFrame:
         """Write rows with a column _slot as one shard each, and describe what has been written, from the files."""
-        path = f"{self.root}/data/_part={part}"
+        path = self._part(part)
         rows.write.partitionBy("_slot").option("compression", "zstd").parquet(path)
         kinds = rows.schema["_slot"].dataType
         written = self.spark.read.schema(rows.schema).parquet(path)
@@ -161,16 +195,21 @@ class ShardStore:
     def append(self, docs: DataFrame) -> int:
         """Add an arrival as small shards; returns the new version. Nothing is shuffled: each partition of the arrival writes its own
         shards, and deals its rows to several by a hash where they would be larger than a fan-in-th of the target."""
-        docs = self._fitted(docs)
-        size = docs.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(self._bytes()).alias("bytes")).agg(F.max("bytes")).collect()[0][0] or 0
-        slots = max(1, -(-size * self.fan_in // self.target))
+        docs = self._fitted(docs).withColumn("_p", F.spark_partition_id())
+        piece = self.target // self.fan_in
+        sizes = docs.groupBy("_p").agg(F.sum(self._bytes()).alias("bytes")).select("_p", F.ceil(F.col("bytes") / piece).alias("_slots"))
         version = (self.versions() or [0])[-1] + 1
-        part = f"a{version:08d}{uuid.uuid4().hex[:6]}"
-        if not size:
+        slots = self.spark.createDataFrame(sizes.collect(), sizes.schema)  # a row a partition
+        if slots.isEmpty():
             return self._commit(self.spark.createDataFrame([], _DELTA), version)
-        slot = F.spark_partition_id().cast("long") * slots + F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots))
-        made = self._write(docs.withColumn("_slot", slot), part)
-        return self._commit(made.withColumn("parents", F.lit(0).cast("long")).withColumn("added", F.lit(True)), version)
+        part = f"a{version:08d}{uuid.uuid4().hex[:6]}"
+        claim = self._claim(part)
+        dealt = docs.join(F.broadcast(slots), "_p", "left")
+        slot = F.col("_p").cast("long") * (1 << 32) + F.pmod(F.xxhash64("doc_id", "text"), F.coalesce("_slots", F.lit(1)))
+        made = self._write(dealt.withColumn("_slot", slot).drop("_p", "_slots"), part)
+        version = self._commit(made.withColumn("parents", F.lit(0).cast("long")).withColumn("added", F.lit(True)), version, part)
+        self._delete(claim)
+        return version
 
     def plan(self, across: bool = False) -> DataFrame:
         """The manifest with `run`, the run that each shard of up to half the target goes to; null for shards that stay as they are.
@@ -200,14 +239,23 @@ class ShardStore:
         if not n:
             return version
         part = f"c{version + 1:08d}{uuid.uuid4().hex[:6]}"
+        claim = self._claim(part)
         merged = self._rows(runs.select(F.col("part").alias("_part"), F.col("slot").alias("_slot"), "run"), shards).drop("_part", "_slot").withColumnRenamed("run", "_slot")
         made = self._write(merged.repartition(n, "_slot"), part)
         parents = runs.groupBy(F.col("run").alias("slot")).agg(F.count(F.lit(1)).alias("parents"), F.pmod(F.sum(F.col("checksum").cast("decimal(38,0)")), F.lit(1 << 62)).cast("long").alias("was"), F.sum("rows").alias("had"))
         checked = made.join(parents, "slot").withColumn("parents", F.expr("CASE WHEN was = checksum AND had = rows THEN parents ELSE raise_error('a merged shard differs from its parents') END"))
-        return self._commit(checked.drop("was", "had").withColumn("added", F.lit(True)).unionByName(runs.drop("run").withColumn("added", F.lit(False))), version + 1)
+        changes = checked.drop("was", "had").withColumn("added", F.lit(True)).unionByName(runs.drop("run").withColumn("added", F.lit(False)))
+        try:
+            version = self._commit(changes, version + 1, part, runs.select("shard_id"))
+        except Conflict:  # another compaction was first
+            self._delete(self._part(part))
+            self._delete(claim)
+            return self.compact(across)
+        self._delete(claim)
+        return version
 
     def settle(self) -> int:
-        """Compact until no tier has a run, then what is left over across the tiers; files of no version but the last are removed on the way."""
+        """Compact until no tier has a run, then what is left over across the tiers; older versions stay until `vacuum`."""
         version, across = None, False
         while True:
             new = self.compact(across)
@@ -215,8 +263,6 @@ class ShardStore:
                 if across:
                     return new
                 across = True
-            else:
-                self.vacuum()
             version = new
 
     def _rows(self, shards: DataFrame, count: int) -> DataFrame:
@@ -232,26 +278,42 @@ class ShardStore:
         return self.spark.read.schema(schema).parquet(f"{self.root}/data").join(shards, ["_part", "_slot"])
 
     def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version, with shard_id, tier, shard_rows and shard_bytes."""
+        """All rows of a version, with shard_id, tier, shard_rows and shard_bytes; Missing if the files of a shard that it lists are not there."""
         manifest = self.manifest(version)
+        if gone := {r["part"] for r in manifest.select("part").distinct().toLocalIterator()} - set(self._parts()):
+            raise Missing(f"parts {sorted(gone)} of the manifest have no files")
         listed = manifest.select(F.col("part").alias("_part"), F.col("slot").alias("_slot"), F.col("shard_id"), "tier", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
         return self._rows(listed, manifest.count()).drop("_part", "_slot")
 
+    def _parts(self) -> list[str]:
+        p, fs = self._fs(f"{self.root}/data")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return [n.removeprefix("_part=") for n in names if n.startswith("_part=")]
+
+    def _claimed(self) -> set[str]:
+        """Parts that a writer is at work on; claims of jobs that died long ago are deleted."""
+        p, fs = self._fs(f"{self.root}/claims")
+        out = set()
+        for s in fs.listStatus(p) if fs.exists(p) else []:
+            if time.time() - s.getModificationTime() / 1000 < CLAIM_S:
+                out.add(s.getPath().getName())
+            else:
+                fs.delete(s.getPath(), True)
+        return out
+
     def vacuum(self, keep: int = 1) -> None:
-        """Forget all but the last `keep` versions, and delete the parts that none of them lists."""
-        known = self.versions()
+        """Forget all but the last `keep` versions, whose readers must be done, and delete the parts that none of the others lists or claims."""
+        parts, claimed, known = self._parts(), self._claimed(), self.versions()  # in this order, see above
         if not known:
             return
         for v in known[-keep:]:
             self._snapshot(v)
-        used = {r["part"] for v in known[-keep:] for r in self.manifest(v).select("part").distinct().collect()}
+        used = {r["part"] for v in known[-keep:] for r in self.manifest(v).select("part").distinct().toLocalIterator()}
         for v in known[:-keep]:
             self._delete(self._at(v))
-        p, fs = self._fs(f"{self.root}/data")
-        for s in fs.listStatus(p) if fs.exists(p) else []:
-            name = s.getPath().getName()
-            if name.startswith("_part=") and name.removeprefix("_part=") not in used:
-                fs.delete(s.getPath(), True)
+        for part in parts:
+            if part not in used and part not in claimed:
+                self._delete(self._part(part))
 
 
 def shard(spark: SparkSession, docs: DataFrame, arrivals: int = 4, target: int = TARGET, fan_in: int = FAN_IN) -> DataFrame:
