@@ -20,10 +20,10 @@ def plain(rows, least=10, most=3, shown=2000):
     for lang, text in rows:
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
             w = re.findall(r"[^\x20\x09]+", piece)
-            n[lang or "und"] += len(w)
+            n["und" if lang is None else lang] += len(w)
             for k in range(1, most + 1):
                 for i in range(len(w) - k + 1):
-                    f[lang or "und", tuple(w[i : i + k])] += 1
+                    f["und" if lang is None else lang, tuple(w[i : i + k])] += 1
     found = {key: a for key, a in f.items() if a >= least and len(key[1]) > 1}
     out = collections.defaultdict(list)
     for (lang, p), a in found.items():
@@ -72,7 +72,7 @@ def test_any_sample(spark, sample, proposed):
 
 
 def test_plain(spark, monkeypatch):
-    rows = texts(2)
+    rows = [*texts(2), ("a\tb", "one two " * 12), ("", "one two " * 12)]
     docs = spark.createDataFrame(rows, "lang string, text string")
     assert got(collocations.collocations(spark, docs)) == plain(rows)
     assert got(collocations.collocations(spark, docs, shown=5)) == plain(rows, shown=5)
@@ -112,4 +112,4 @@ def test_hashes_agree():
     assert len(set(h.tolist())) == 3
     p = collocations.Proposal(tuple(np.full(1 << 13, 255, np.uint8) for _ in range(2)))
     seen = [r for t in collocations.chunk_counts(langs, phrases, 3, [p]) for r in t.to_pylist()]
-    assert {(r["k"], r["lang"], r["phrase"], r["c"]) for r in seen if r["k"] > 1} == {(2, "en", "new york", 1), (2, "en", "york city", 1), (3, "en", "new york city", 1)}
+    assert {(r["key"], r["c"]) for r in seen if " " in r["key"]} == {("en\tnew york", 1), ("en\tyork city", 1), ("en\tnew york city", 1)}

@@ -10,7 +10,8 @@ was not counted before. So the result does not depend on the sample; a bad one c
 Proposals are kept as bit maps, one for each length, indexed by a hash of the phrase. Their size follows the number of proposed phrases up to
 `BITS`; a phrase that is taken for a proposed one only because of its bit is counted for nothing, but its count is exact. So the
 broadcast is bounded, however many phrases there are, while all counts stay in shuffled tables. A task counts the phrases of some
-megabytes of text with array sorts before Spark adds the counts up.
+megabytes of text with array sorts. What is left is nearly distinct, so it is shuffled as it is, a key of language and phrase and a count, and
+added up behind the shuffle only.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ LEAST, MOST, SHOWN = 10, 3, 2000
 #: One of so many documents is in the sample; a phrase is proposed if the sample has it so often.
 SAMPLE, PROPOSED = 8, 2
 #: Largest bit map: 2 ** BITS bits, 16 MB. Text bytes whose phrases a task counts at a time.
-BITS, CHUNK = 27, 6 << 20
+BITS, CHUNK = 27, 4 << 20
 SALTS = 64
 _BREAK = np.zeros(256, bool)
 _BREAK[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
@@ -55,9 +56,9 @@ def _next(longer: np.ndarray, word: np.ndarray) -> np.ndarray:
     return th.mix(longer * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def _texts(words: pa.Array, ids: list[np.ndarray]) -> pa.Array:
-    """Phrases of the words of these numbers."""
-    parts = [words.take(pa.array(i)) for i in ids]
+def _keys(named: pa.Array, words: pa.Array, ids: list[np.ndarray]) -> pa.Array:
+    """Phrases of the words of these numbers, the first one with its language before it."""
+    parts = [named.take(pa.array(ids[0])), *(words.take(pa.array(i)) for i in ids[1:])]
     return pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if len(parts) > 1 else parts[0]
 
 
@@ -69,7 +70,7 @@ def _vocabulary(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arr
 
 
 def chunk_counts(langs: pa.Array, column: pa.Array, most: int, passes: list[Proposal] | None):
-    """(k, language, phrase, count) tables of the phrases in some texts; k = 0 is the number of words.
+    """(key, c) tables of the phrases in some texts: language, tab, phrase, and its count; without a phrase the number of words.
 
     `passes` are the proposals so far: what the last one lets in and no earlier one did is counted, words in the first pass only. A
     proposal lets a phrase in if it has both of its parts; one after the first, that makes an expansion pass, also if it lets them in itself
@@ -83,16 +84,16 @@ def chunk_counts(langs: pa.Array, column: pa.Array, most: int, passes: list[Prop
     row = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(first))
     h = th.mix(th.word_hashes(buf, starts, ends) ^ _salts(names)[code[row]])
     _, example, word = np.unique(h, return_index=True, return_inverse=True)
-    words, lang = _vocabulary(buf, starts[example], ends[example]), code[row[example]]
-    language = pa.array(names.tolist(), pa.string())
+    words = _vocabulary(buf, starts[example], ends[example])
+    language = pa.array([f"{n}\t" for n in names.tolist()], pa.large_string())
+    named = pc.binary_join_element_wise(language.take(pa.array(code[row[example]])), words, pa.scalar("", pa.large_string()))
 
-    def table(k: int, langs: np.ndarray, phrase: pa.Array, n: np.ndarray):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int32)), language.take(pa.array(langs)), phrase.cast(pa.string()), pa.array(n.astype(np.int64))], names=["k", "lang", "phrase", "c"])
+    def table(keys: pa.Array, n: np.ndarray):
+        return pa.RecordBatch.from_arrays([keys.cast(pa.string()), pa.array(n.astype(np.int64))], names=["key", "c"])
 
     if not passes or len(passes) == 1:
-        total = np.bincount(code[row], minlength=len(names))
-        yield table(0, np.arange(len(names)), pa.array([""] * len(names), pa.large_string()), total)
-        yield table(1, lang, words, np.bincount(word, minlength=len(example)))
+        yield table(language, np.bincount(code[row], minlength=len(names)))
+        yield table(named, np.bincount(word, minlength=len(example)))
     breaks = np.searchsorted(np.flatnonzero(_BREAK[buf]), starts)
     joined = (row[1:] == row[:-1]) & (breaks[1:] == breaks[:-1])
     del breaks, row, starts, ends
@@ -112,8 +113,7 @@ def chunk_counts(langs: pa.Array, column: pa.Array, most: int, passes: list[Prop
         counted = let_in[-1] & ~np.logical_or.reduce([np.zeros(len(after), bool), *let_in[:-1]])
         distinct, n = np.unique(both[counted], return_counts=True)
         for a in range(0, len(distinct), 1 << 18):
-            ids = _spelled(distinct[a : a + (1 << 18)], spelled)
-            yield table(k, lang[ids[0]], _texts(words, ids), n[a : a + (1 << 18)])
+            yield table(_keys(named, words, _spelled(distinct[a : a + (1 << 18)], spelled)), n[a : a + (1 << 18)])
         if k < most:
             some = np.flatnonzero(np.logical_or.reduce(let_in))
             distinct, number = np.unique(both[some], return_inverse=True)
@@ -150,8 +150,10 @@ def _counted(docs: DataFrame, most: int, passes: list[Proposal] | None, least: i
         if langs:
             yield from chunk_counts(pa.concat_arrays(langs), pa.concat_arrays(texts), most, shared.value)
 
-    counts = docs.mapInArrow(run, "k int, lang string, phrase string, c long")
-    return counts.groupBy("k", "lang", "phrase").agg(F.sum("c").alias("c")).filter(f"c >= {least} OR k = 0")
+    counts = docs.mapInArrow(run, "key string, c long").repartition("key").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("key").endswith("\t") | (F.col("c") >= least))
+    phrase = F.substring_index("key", "\t", -1)  # words hold no tab
+    k = F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ")))
+    return counts.select(k.alias("k"), F.expr("substring(key, 1, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang"), phrase.alias("phrase"), "c")
 
 
 def _hashes(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
