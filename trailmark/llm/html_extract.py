@@ -330,6 +330,38 @@ def features(tree: Tree) -> np.ndarray:
     return np.concatenate([np.stack(columns, 1), *flags], 1).astype(np.float32)
 
 
+def tied(tree: Tree, odds: np.ndarray) -> np.ndarray:
+    """The odds with those of like places in the items of a list evened out: each node has the mean of all with its path in an item.
+
+    Items are the li, dt, dd and tr of one parent, and three or more children, all of one element and class, that begin alike.
+    """
+    n = len(tree.tag)
+    kids: list[list[int]] = [[] for _ in range(n)]
+    for i in range(1, n):
+        kids[tree.parent[i]].append(i)
+    place: list[tuple | None] = [None] * n
+    groups: dict[tuple, list[int]] = {}
+    alike: dict[int, bool] = {}
+    for i in range(1, n):
+        p = tree.parent[i]
+        if tree.tag[i] in ("li", "dt", "dd", "tr"):
+            place[i] = (p, tree.tag[i])
+        elif place[p] is not None:
+            place[i] = (*place[p], tree.tag[i])
+        elif tree.tag[i] not in ("p", "#text") and len(kids[p]) > 2:
+            if p not in alike:
+                alike[p] = len({(tree.tag[k], tree.names[k], tree.tag[kids[k][0]] if kids[k] else "") for k in kids[p]}) == 1
+            if alike[p]:
+                place[i] = (p, tree.tag[i])
+        if place[i] is not None and len(place[i]) < 8:
+            groups.setdefault(place[i], []).append(i)
+    out = odds.copy()
+    for some in groups.values():
+        if len(some) > 1:
+            out[some] = odds[some].mean()
+    return out
+
+
 def decode(tree: Tree, odds: np.ndarray) -> np.ndarray:
     """Which nodes are open: the likeliest assignment in which no open node lies under a shut one. The root is open."""
     n = len(tree.tag)
@@ -494,14 +526,22 @@ class Maker:
             parts.append(head)
             if self.chance(0.15):
                 parts.append(self.aside("byline"))
-        for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 9, 14])):
+        style, count = rng.random(), rng.choice([0, 1, 1, 2, 3, 5, 9, 14])
+        if style < 0.14:  # an article that is a list, most of it
+            parts += [self.listing() for _ in range(rng.randint(1, 2))]
+            count = rng.choice([0, 0, 1, 2])
+        elif style < 0.18:  # an article of a word or two
+            parts.append(self.el("p", self.words(rng.randint(1, 3)), 1))
+            count = 0
+        links = 0.9 if style > 0.94 else 0.03
+        for _ in range(count):
             x = rng.random()
             if x < 0.72:
-                parts.append(self.paragraph(1))
+                parts.append(self.linked() if self.chance(links) else self.paragraph(1))
             elif x < 0.78:
                 parts.append(self.el(rng.choice(["h2", "h3"]), self.words(rng.randint(1, 6)), 1))
             elif x < 0.84:
-                parts.append(self.el(rng.choice(["ul", "ol"]), "".join(self.el("li", self.words(rng.randint(1, 14)), 1) for _ in range(rng.randint(2, 6))), 1))
+                parts.append(self.listing())
             elif x < 0.87:
                 parts.append(self.el("blockquote", self.paragraph(1), 1))
             elif x < 0.90:
@@ -516,6 +556,30 @@ class Maker:
             parts.append(self.el("div", self.words(rng.randint(1, 60)), 1))
         return "".join(self.mixed(parts))
 
+    def listing(self) -> str:
+        """A list in the main text: of words, sentences or links among them, of paragraphs, or of items with headings of their own."""
+        rng = self.rng
+        kind, head = rng.random(), rng.choice(["h2", "h3", "h4", "strong", "b"])
+        item, holder = ("li", rng.choice(["ul", "ol"])) if self.chance(0.65) else (rng.choice(["div", "section", "article"]), "div")
+        if kind < 0.4:
+            some = [self.words(rng.randint(1, 14)) for _ in range(rng.randint(2, 6))]
+        elif kind < 0.5:
+            some = [self.words(rng.randint(4, 30)) + " " + self.link(rng.randint(1, 4)) + rng.choice(["", ".", " " + self.words(5)]) for _ in range(rng.randint(2, 6))]
+        elif kind < 0.65:
+            some = [self.paragraph(1, 3, 50) for _ in range(rng.randint(1, 6))]
+        elif kind < 0.75:
+            pairs = "".join(self.el("dt", self.words(rng.randint(1, 4)), 1) + self.el("dd", self.words(rng.randint(3, 40)), 1) for _ in range(rng.randint(1, 6)))
+            return self.el("dl", pairs, 1)
+        else:
+            text = lambda: self.words(rng.randint(4, 60)) if self.chance(0.5) else "".join(self.paragraph(1, 5, 60) for _ in range(rng.randint(1, 2)))
+            some = [self.el(head, self.words(rng.randint(1, 6)), 1) + text() for _ in range(rng.randint(2, 7))]
+        return self.el(holder, "".join(self.el(item, x, 1) for x in some), 1)
+
+    def linked(self) -> str:
+        """A paragraph that is a link as a whole, or nearly so."""
+        text = f'<a href="/{self.rng.randint(1, 99)}">{self.words(self.rng.randint(6, 50))}</a>'
+        return self.el("p", text + (" " + self.words(self.rng.randint(1, 4)) if self.chance(0.3) else ""), 1)
+
     def mixed(self, parts: list[str]) -> list[str]:
         """Parts of the main text with some others between and after them."""
         first = 1 if len(parts) > 1 else 0
@@ -591,11 +655,11 @@ def truth(tree: Tree) -> np.ndarray:
 
 
 @functools.lru_cache(1)
-def model(pages: int = 2500, seed: int = 11) -> Boosted:
+def model(pages: int = 3000, seed: int = 11) -> Boosted:
     rng = random.Random(seed)
     trees = [parse(made_page(rng)) for _ in range(pages)]
     x, y = np.concatenate([features(t) for t in trees]), np.concatenate([truth(t) for t in trees])
-    return Boosted(trees=90, depth=5).fit(x, y.astype(float))
+    return Boosted(trees=110, depth=6, rows=0.4).fit(x, y.astype(float))
 
 
 def extract(pages: list[str], boosted: Boosted) -> list[str]:
@@ -605,7 +669,7 @@ def extract(pages: list[str], boosted: Boosted) -> list[str]:
     odds = boosted.log_odds(np.concatenate(rows)) if rows else np.zeros(0)
     out, at = [], 0
     for tree, x in zip(trees, rows, strict=True):
-        out.append(main_text(tree, decode(tree, odds[at : at + len(x)])))
+        out.append(main_text(tree, decode(tree, tied(tree, odds[at : at + len(x)]))))
         at += len(x)
     return out
 
