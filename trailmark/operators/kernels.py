@@ -60,6 +60,26 @@ def greedy(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def peaks_of(x: np.ndarray, y: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Which cells have no larger p among their eight neighbours; equal neighbours are allowed to the right, below and below right only.
+
+    Of cells at one place the likeliest counts for its neighbours, and they are all a peak or none.
+    """
+    cx, cy = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
+    key = (cy << 32) + cx
+    every, which = np.unique(key, return_inverse=True)
+    best = np.full(len(every), -np.inf)
+    np.maximum.at(best, which, p)
+    peak = np.ones(len(every), bool)
+    for dx, dy in ((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)):
+        other = every + (dy << 32) + dx
+        at = np.minimum(np.searchsorted(every, other), max(0, len(every) - 1))
+        there = every[at] == other
+        beaten = (best[at] > best) | ((best[at] == best) & (not (dx >= 0 and dy >= 0)))
+        peak &= ~(there & beaten)
+    return peak[which]
+
+
 ASSIGN = {"hungarian": hungarian, "greedy": greedy}
 
 #: Lance-Williams weights (of i, of j, of their distance, of the absolute difference) for sizes of i, j and k.

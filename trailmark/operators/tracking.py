@@ -14,11 +14,28 @@ from pyspark.sql import functions as F
 from trailmark.operators import frames, kernels, motion, scoring, segments, viterbi
 
 
-def cluster(cells: DataFrame, n: int, linkage: str = "complete", stride: float = 1.0) -> DataFrame:
+def cluster_peaks(x: np.ndarray, y: np.ndarray, p: np.ndarray, n: int, linkage: str = "complete", stride: float = 1.0) -> np.ndarray | None:
+    """The individual of each cell by clusters of the peaks: every cell goes to the nearest centre of a cluster's peaks, the first of
+    equally near ones; None where there are too few peaks or they can't be split."""
+    at = np.flatnonzero(kernels.peaks_of(x, y, p))
+    if n == 1:
+        return np.zeros(len(x), int)
+    labels = kernels.cluster_cells(x[at], y[at], p[at], n, linkage, scale=stride * stride) if len(at) >= n else None
+    if labels is None:
+        return None
+    away = [(x - x[at][labels == i].mean()) ** 2 + (y - y[at][labels == i].mean()) ** 2 for i in range(n)]
+    return np.argmin(away, axis=0)
+
+
+def cluster(cells: DataFrame, n: int, linkage: str = "complete", stride: float = 1.0, nodes: str = "ALL") -> DataFrame:
     """The cells of each frame and part split among n individuals (column ind); where that fails everyone has all of them.
 
+    With nodes="PEAKS" only the peaks of a map are clustered, and the other cells go to the nearest cluster (`cluster_peaks`).
+
     Distances are in pixels, of which a cell has `stride`. A table may have a flag ignore_clustering: such frames keep all cells for everyone.
     """
+    if nodes not in ("ALL", "PEAKS"):
+        raise ValueError(f"nodes: {nodes!r}")
     for c, default in (("event_id", F.lit(0).cast("long")), ("ignore_clustering", F.lit(False))):
         if c not in cells.columns:
             cells = cells.withColumn(c, default)
@@ -27,7 +44,8 @@ def cluster(cells: DataFrame, n: int, linkage: str = "complete", stride: float =
         pdf = pdf.sort_values(["y", "x", "event_id"], kind="stable")
         labels = None
         if not pdf.pop("ignore_clustering").any():
-            labels = kernels.cluster_cells(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), pdf["p"].to_numpy(float), n, linkage, scale=stride * stride)
+            xyp = [pdf[c].to_numpy(float) for c in ("x", "y", "p")]
+            labels = cluster_peaks(*xyp, n, linkage, stride) if nodes == "PEAKS" else kernels.cluster_cells(*xyp, n, linkage, scale=stride * stride)
         if labels is None:
             return pd.concat([pdf.assign(ind=i) for i in range(n)])
         return pdf.assign(ind=labels)

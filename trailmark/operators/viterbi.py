@@ -65,22 +65,22 @@ class Track:
         return Track(none, np.zeros(0), none, np.zeros(0), NEG)
 
 
+def _places(xy: np.ndarray) -> np.ndarray:
+    """The integer cell of each place, as one number."""
+    cell = np.floor(xy).astype(np.int64)
+    return (cell[:, 1] << 32) + cell[:, 0]
+
+
 def _union(a: np.ndarray, pa: np.ndarray, b: np.ndarray, pb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Full outer join of two cell sets on their integer cells, with the larger score."""
+    """Full outer join of two cell sets on their integer cells, with the larger score; each cell stands where it first came."""
     if not len(b):
         return a, pa
-    place: dict[tuple, int] = {}
-    xy, score = [], []
-    for pts, ps in ((a, pa), (b, pb)):
-        for q, s in zip(pts, ps, strict=True):
-            key = (int(np.floor(q[0])), int(np.floor(q[1])))
-            if key in place:
-                score[place[key]] = max(score[place[key]], s)
-            else:
-                place[key] = len(xy)
-                xy.append(q)
-                score.append(s)
-    return np.array(xy).reshape(-1, 2), np.array(score)
+    xy, score = np.concatenate([a, b]), np.concatenate([pa, pb])
+    _, first, which = np.unique(_places(xy), return_index=True, return_inverse=True)
+    best = np.full(len(first), NEG)
+    np.maximum.at(best, which, score)
+    order = np.argsort(first)
+    return xy[first[order]], best[order]
 
 
 def _survivors(xy: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,9 +104,11 @@ def _reach(cur: np.ndarray, prior: list[tuple[np.ndarray, np.ndarray]], step) ->
     """The best of predecessor score plus step for each current place."""
     best = np.full(len(cur), NEG)
     for xy, score in prior:
-        if len(xy) and len(cur):
-            d = np.sqrt(((cur[:, None, :] - xy[None, :, :]) ** 2).sum(2))
-            best = np.maximum(best, (step(d) + score[None, :]).max(1))
+        some = score > NEG  # the others lead nowhere
+        if some.any() and len(cur):
+            xy, score = xy[some], score[some]
+            d = np.sqrt((cur[:, :1] - xy[:, 0]) ** 2 + (cur[:, 1:] - xy[:, 1]) ** 2)
+            best = np.maximum(best, (step(d) + score).max(1))
     return best
 
 
@@ -154,17 +156,17 @@ def forward(prior: dict, part, inds: int, xy: np.ndarray, p: np.ndarray, cfg: Se
         made.append(Track(xy, seen, hxy, hidden, out))
     # Visible cells are the same for all; hidden ones are matched by their integer cells.
     top_seen = np.max([t.seen_score for t in made], 0) if len(xy) else np.zeros(0)
-    keys = [[(int(np.floor(a)), int(np.floor(b))) for a, b in t.hidden] for t in made]
-    top_hidden: dict[tuple, float] = {}
-    for ks, t in zip(keys, made, strict=True):
-        for key, s in zip(ks, t.hidden_score, strict=True):
-            top_hidden[key] = max(top_hidden.get(key, NEG), s)
+    sizes = [len(t.hidden) for t in made]
+    _, keys = np.unique(_places(np.concatenate([t.hidden for t in made])), return_inverse=True)
+    top_hidden = np.full(int(keys.max()) + 1 if len(keys) else 0, NEG)
+    np.maximum.at(top_hidden, keys, np.concatenate([t.hidden_score for t in made]))
+    keys = np.split(keys, np.cumsum(sizes)[:-1])
     result = {}
     for i, (ks, t) in enumerate(zip(keys, made, strict=True)):
         best_seen = int(t.seen_score.argmax()) if len(t.seen_score) else -1
         best_hidden = int(t.hidden_score.argmax()) if len(t.hidden_score) else -1
         t.seen_score = np.where(t.seen_score < top_seen, NEG, t.seen_score)
-        t.hidden_score = np.array([NEG if s < top_hidden[key] else s for key, s in zip(ks, t.hidden_score, strict=True)])
+        t.hidden_score = np.where(t.hidden_score < top_hidden[ks], NEG, t.hidden_score)
         if not np.isfinite(t.seen_score).any() and not np.isfinite(t.hidden_score).any():
             # Beaten everywhere: it is hidden at its best place (or seen there), which nobody else may take any more.
             if not no_hidden and best_hidden >= 0:
@@ -190,21 +192,38 @@ def backtrace(later: dict, current: dict, part, ind: int, cfg: Settings) -> Trac
     return _normal(Track(t.seen, seen, t.hidden, hidden, out))
 
 
+NOTHING = (np.zeros((0, 2)), np.zeros(0))
+
+
+def advance(before: dict, maps: list[dict], parts: list, inds: int, cfg: Settings) -> list[dict]:
+    """The tracks of frames that follow each other, given those of the frame before; maps: part -> (xy, p) of each."""
+    out = []
+    for m in maps:
+        before = {k: t for part in parts for k, t in forward(before, part, inds, *m.get(part, NOTHING), cfg).items()}
+        out.append(before)
+    return out
+
+
+def retreat(later: dict | None, states: list[dict], parts: list, inds: int, cfg: Settings) -> list[dict]:
+    """The tracks of frames that follow each other, reached from the tracks of the frame after them, if there is one."""
+    out = []
+    for s in reversed(states):
+        later = s if later is None else {(p, i): backtrace(later, s, p, i, cfg) for p in parts for i in range(inds)}
+        out.append(later)
+    return out[::-1]
+
+
 def solve(frames: dict[int, dict], fix: int, fixed: dict, parts: list, inds: int, cfg: Settings) -> dict[int, dict]:
-    """Tracks of all frames of a segment: outwards from the fix frame and back to it.
+    """Tracks of all frames of a chain: outwards from the fix frame and back to it.
 
     frames: frame -> part -> (xy, p); fixed: (part, ind) -> (xy, p) of the fix frame.
     """
-    none = (np.zeros((0, 2)), np.zeros(0))
-    states = {fix: {key: start(*fixed.get(key, none), cfg) for key in ((p, i) for p in parts for i in range(inds))}}
+    states = {fix: {key: start(*fixed.get(key, NOTHING), cfg) for key in ((p, i) for p in parts for i in range(inds))}}
     for direction in (1, -1):
         order = sorted((f for f in frames if (f - fix) * direction > 0), reverse=direction < 0)
-        before = fix
-        for f in order:
-            states[f] = {k: t for part in parts for k, t in forward(states[before], part, inds, *frames[f].get(part, none), cfg).items()}
-            before = f
-        for later, f in zip(order[::-1], [*order[-2::-1], fix] if order else [], strict=False):
-            states[f] = {(p, i): backtrace(states[later], states[f], p, i, cfg) for p in parts for i in range(inds)}
+        if order:
+            way = [states[fix], *advance(states[fix], [frames[f] for f in order], parts, inds, cfg)]
+            states.update(zip([fix, *order], retreat(None, way, parts, inds, cfg), strict=True))
     return states
 
 
