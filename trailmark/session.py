@@ -29,6 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _RUN = uuid.uuid4().hex[:12]
+_fallback: str | None = None  # for sessions on one machine without a shared folder
 
 
 def workspace(spark: SparkSession) -> str:
@@ -37,12 +38,12 @@ def workspace(spark: SparkSession) -> str:
     Where that is unset, a session on one machine gets a temporary folder; on a cluster, whose workers would each write to a disk
     of their own, that is an error.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    global _fallback
+    where = spark.conf.get("spark.checkpoint.dir", None) or _fallback
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all workers share")
-        where = tempfile.mkdtemp(prefix="trailmark-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _fallback = tempfile.mkdtemp(prefix="trailmark-")
     return f"{where.rstrip('/')}/trailmark/{_RUN}"
 
 

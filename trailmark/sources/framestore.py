@@ -168,7 +168,7 @@ def write(cells: DataFrame, path: str, height: int, width: int, stride: float =
 
     Tasks encode blocks of frames, which are written to the workspace; a store being one file by its format, the driver then copies
     block after block behind the header. The file appears whole, by renaming. `video` is the size (height, width) of the video, that of
-    the maps in pixels by default; `parts` are all parts by name by default; cells of no part or beyond the map are an error.
+    the maps in pixels by default; `parts` are all parts by name by default; cells of no part, beyond the map or in frames below 0 or from `frames` on are an error.
     """
     import pandas as pd
     from pyspark.sql import functions as F
@@ -183,6 +183,8 @@ def write(cells: DataFrame, path: str, height: int, width: int, stride: float =
 
     def encode(pdf: pd.DataFrame) -> pd.DataFrame:
         first = int(pdf["block"].iloc[0]) * FRAMES_A_PARTITION
+        if not pdf["frame"].dropna().between(0, n - 1).all():
+            raise ValueError("cells in frames that the store does not have")
         maps = {}
         pdf = pdf[pdf["p"] > threshold].sort_values(["frame", "part", "y", "x"], kind="stable")
         if len(pdf) and not (pdf["x"].between(0, width - 1).all() and pdf["y"].between(0, height - 1).all() and set(pdf["part"]) <= set(numbers)):
@@ -196,7 +198,7 @@ def write(cells: DataFrame, path: str, height: int, width: int, stride: float =
     block = F.floor(F.col("frame") / FRAMES_A_PARTITION).alias("block")
     kept = cells.select(block, "frame", F.col("part").cast("string").alias("part"), *(F.col(c).cast("long").alias(c) for c in "xy"), *(F.col(c).cast("double").alias(c) for c in ("p", "ox", "oy")))
     every = spark.range(-(-n // FRAMES_A_PARTITION)).select(F.col("id").alias("block"))
-    kept = every.join(kept, "block", "left").withColumns({"p": F.coalesce("p", F.lit(-1.0))})
+    kept = every.join(kept, "block", "full_outer").withColumns({"p": F.coalesce("p", F.lit(-1.0))})
     blocks = materialize(spark, kept.groupBy("block").applyInPandas(encode, "block long, sizes array<long>, data binary"), "store")
     sizes = [x for r in blocks.select("block", "sizes").orderBy("block").collect() for x in r["sizes"]]
     head = [MAGIC["file"], MAGIC["header"], _HEADER.pack(n, len(names), height, width, fps, stride, *(video or (int(height * stride), int(width * stride))), *(crop or (NO_CROP, NO_CROP)))]

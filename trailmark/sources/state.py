@@ -57,8 +57,15 @@ def save(spark: SparkSession, rows: DataFrame, path: str) -> int:
     rows.write.parquet(made)
     source, fs = _fs(spark, made)
     target, _ = _fs(spark, f"{path}/version={version}")
-    if fs.exists(target) or not fs.rename(source, target):
-        raise RuntimeError(f"version {version} is there already")
+    jvm = spark._jvm
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:  # unlike FileSystem.rename this never moves a folder into one that is there
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), spark._jsc.hadoopConfiguration()).rename(source, target, none)
+    except Exception as e:
+        if fs.exists(target):
+            fs.delete(source, True)
+            raise RuntimeError(f"version {version} is there already") from e
+        raise
     return version
 
 
