@@ -84,3 +84,17 @@ def test_odd_rows(spark, odd, none):
     assert near_dedup.near_duplicates(spark, none).count() == 0
     left = near_dedup.one_of_each(spark, odd, k=2)
     assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 5, 7, 8] and left.columns == odd.columns
+
+
+def test_one_row_of_each_text(spark):
+    """Unrelated texts under one doc_id all stay; which row of a group stays is defined by its doc_id and its text."""
+    a, b = "one two three four five six seven eight nine ten", "a wholly other text of some nine or ten words"
+    rows = [(7, a, 1), (7, b, 2), (3, a.upper(), 3), (7, a, 4), (None, a, 5), (None, a, 6), (9, "", 7), (9, "", 8), (9, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = near_dedup.one_of_each(spark, docs)
+    assert got.columns == docs.columns and sorted(r.n for r in got.collect()) == [2, 3, 5, 6, 7, 8, 9]
+    alone = near_dedup.one_of_each(spark, docs.filter("n in (1, 3, 9)"))
+    assert sorted(r.n for r in alone.collect()) == [3, 9]
+    ties = spark.createDataFrame([(1, a + " x", 1), (1, a + " X", 2), (1, a.upper() + " x", 3)] * 2, "doc_id long, text string, n int")
+    (one,) = near_dedup.one_of_each(spark, ties.repartition(3)).collect()
+    assert [one.n] == [r.n for r in near_dedup.one_of_each(spark, ties.orderBy("n").coalesce(1)).collect()]

@@ -301,7 +301,18 @@ def _numbered(spark: SparkSession, docs: DataFrame, k: int, percent: int) -> Dat
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` that near_duplicates keeps, one for each doc_id; rows with a null doc_id all stay."""
-    kept = near_duplicates(spark, docs, k, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
+    """One row of `docs` of each group of near-duplicates, that of the smallest doc_id; rows with a null doc_id all stay.
+
+    Where rows share a doc_id, each is a document of its own, so that different texts all stay; of a group's rows with the smallest doc_id
+    the one with the smallest hash of its text does.
+    """
     named = docs.filter("doc_id is not null")
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        kept = near_duplicates(spark, docs, k, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
+        one = named.join(kept, "doc_id", "left_semi")
+    else:
+        rows = materialize(spark, named.withColumn("_uid", F.monotonically_increasing_id()), "numbered")
+        groups = near_duplicates(spark, rows.select(F.col("_uid").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("_uid"), F.col("component_id").alias("_group"))
+        first = groups.join(rows.select("_uid", F.struct("doc_id", F.xxhash64("text"), "_uid").alias("_order")), "_uid").groupBy("_group").agg(F.min_by("_uid", "_order").alias("_uid"))
+        one = rows.join(first.select("_uid"), "_uid", "left_semi").drop("_uid")
+    return one.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
