@@ -197,7 +197,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, window: int = WINDOW,
     tokens = docs.mapInArrow(tokenize, f"doc_id {kind}, queue string, n long, crc long, ids binary")
     stored = materialize(spark, tokens.withColumn("uid", F.monotonically_increasing_id()), "tokens")
     counted = materialize(spark, stored.groupBy("queue").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens")), "queues")
-    rows = stored.select("uid", "queue", "n", F.xxhash64("doc_id", "n", "crc").alias("mixed"))
+    rows = stored.select("uid", "queue", "n", F.xxhash64("doc_id", "n", "crc", "uid").alias("mixed"))
     at = places(rows, _queues(counted, target, window), counted.count(), packet)
 
     def pieces(batches):
