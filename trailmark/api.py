@@ -20,6 +20,7 @@ class Meta:
     width: int | None = None
     height: int | None = None
     downscaling: float = 1.0
+    by: tuple[str, ...] = ()  # the columns of the video's key, where a table has several
 
 
 @dataclass(frozen=True)
@@ -57,6 +58,8 @@ class Predictor(Protocol):
 
 def arg_max(spark: SparkSession, cells: DataFrame, individuals: int, settings: Settings, meta: Meta | None = None) -> DataFrame:
     """The likeliest cells, always in video pixels."""
+    if meta and meta.by:
+        raise ValueError("ArgMax takes one video")
     return frames.argmax_pose(cells, individuals, (meta or Meta()).stride).withColumnRenamed("ind", "body")
 
 
@@ -65,7 +68,7 @@ def segmented(spark: SparkSession, cells: DataFrame, individuals: int, settings:
     return tracking.track(
         spark, cells, individuals, settings.segment_size, settings.threshold, settings.max_cells_per_frame,
         sparsification=settings.sparsification_mode, relaxed_radius=settings.relaxed_maximum_radius, algorithm=settings.assignment_algorithm, outlier=settings.outlier_threshold,
-        map_stride=m.stride, width=m.width, height=m.height, pixels=meta is not None, downscaling=m.downscaling,
+        map_stride=m.stride, width=m.width, height=m.height, pixels=meta is not None, downscaling=m.downscaling, by=m.by,
     )
 
 
@@ -112,7 +115,7 @@ PASSES: dict[str, Callable[..., DataFrame]] = {
     "Threshold": lambda df, threshold=0.001: frames.above(df, threshold),
     "Sparsify": lambda df, mode="OFFSET_DOMINATION", threshold=0.001, stride=frames.STRIDE, width=None, height=None: tracking.sparse_cells(df, mode, threshold, stride, width, height),
     "TopCells": lambda df, most=100: frames.top_k(df, most).drop("ind"),
-    "ClusterFrames": lambda df, individuals=2, linkage="complete", stride=1.0: tracking.cluster(df, individuals, linkage, stride),
+    "ClusterFrames": lambda df, individuals=2, linkage="complete", stride=1.0, nodes="ALL": tracking.cluster(df, individuals, linkage, stride, nodes),
     "Centroids": lambda df: frames.weighted_centroid(df, ("frame", "part", "ind")),
     "NormaliseFrames": lambda df: frames.normalise(df),
 }

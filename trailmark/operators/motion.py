@@ -81,20 +81,22 @@ def bin_of(hist: DataFrame, values: DataFrame, value: str, size: float, offset:
     return got.withColumns({"freq": F.coalesce("freq", F.lit(0)), "mean": F.coalesce("mean", F.col(value).cast("double"))})
 
 
-def motion_sigma(points: DataFrame, size: float = 2.0, ignore_below: float = 1.0, factor: float = 3.0) -> DataFrame:
-    """sigma: the scaled median of the nearest moves of at least `ignore_below`; 1 if it would be below 0.1."""
-    moves = nearest_move(points).filter(F.col("moved") >= ignore_below)
+def motion_sigma(points: DataFrame, size: float = 2.0, ignore_below: float = 1.0, factor: float = 3.0, video: Column | None = None) -> DataFrame:
+    """sigma: the scaled median of the nearest moves of at least `ignore_below`; 1 if it would be below 0.1. A row for each `video`, of the frame."""
+    moves, by = nearest_move(points).filter(F.col("moved") >= ignore_below), ()
+    if video is not None:
+        moves, by = moves.withColumn("video", video), ("video",)
     s = F.col("value") / MAD_SCALE * factor
-    return quantile(histogram(moves, "moved", size, ignore_below), 0.5).select(F.when(s < 0.1, 1.0).otherwise(s).alias("sigma"))
+    return quantile(histogram(moves, "moved", size, ignore_below, by), 0.5, by).select(*by, F.when(s < 0.1, 1.0).otherwise(s).alias("sigma"))
 
 
-def limb_lengths(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """part_a, part_b, length: for each edge and each individual of either part, the nearest of the other part in the next frame."""
+def limb_lengths(points: DataFrame, edges: DataFrame, video: Column | None = None) -> DataFrame:
+    """[video,] part_a, part_b, length: for each edge and each individual of either part, the nearest of the other part in the next frame."""
     both = edges.select("part_a", "part_b", F.col("part_a").alias("part"), F.col("part_b").alias("other")).union(edges.select("part_a", "part_b", F.col("part_b").alias("part"), F.col("part_a").alias("other")))
     before = previous(points, "part", "ind").join(F.broadcast(both), "part")
     now = points.select("frame", F.col("part").alias("other"), "x", "y")
     near = before.join(now, ["frame", "other"]).groupBy("part_a", "part_b", "frame", "part", "ind").agg(F.min(distance("x", "y", "px", "py")).alias("length"))
-    return near.select("part_a", "part_b", "length")
+    return near.select(*([] if video is None else [video.alias("video")]), "part_a", "part_b", "length")
 
 
 def all_edges(points: DataFrame) -> DataFrame:
@@ -137,11 +139,11 @@ def max_product(points: DataFrame, sigma: float) -> DataFrame:
     return pairs.groupBy("frame", "part", "ind").agg(F.max(score).alias("best"))
 
 
-def fit_skeleton(points: DataFrame, edges: DataFrame, size: float = 2.0) -> DataFrame:
-    """part_a, part_b, avg, std: median limb length and its scaled median deviation (1 if below 0.1)."""
-    by = ("part_a", "part_b")
+def fit_skeleton(points: DataFrame, edges: DataFrame, size: float = 2.0, video: Column | None = None) -> DataFrame:
+    """[video,] part_a, part_b, avg, std: median limb length and its scaled median deviation (1 if below 0.1)."""
+    by = (*(() if video is None else ("video",)), "part_a", "part_b")
     # A few rows for each edge, read twice below: written once, so that the pairs are not formed again.
-    hist = materialize(points.sparkSession, histogram(limb_lengths(points, edges), "length", size, 0.0, by), "limbs")
+    hist = materialize(points.sparkSession, histogram(limb_lengths(points, edges, video), "length", size, 0.0, by), "limbs")
     centre = quantile(hist, 0.5, by)
     s = F.col("value") / MAD_SCALE
     spread = deviation(hist, centre, by).select(*by, F.when(s < 0.1, 1.0).otherwise(s).alias("std"))

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from trailmark.operators.motion import distance, previous
 
 
+#: Places of frames for each video: frame numbers of a table of several videos are video * 2**STEP_BITS + frame, so no step joins two videos.
+STEP_BITS = 40
+
+
+def video_of(frame: str = "frame") -> Column:
+    """The number of a frame's video."""
+    return F.shiftright(frame, STEP_BITS)
+
+
 def part_separation(points: DataFrame) -> DataFrame:
     """frame, part, min_dist, conf: over the pairs of individuals, the smallest distance and the mean product of p."""
     a, b = points.select("frame", "part", "ind", "x", "y", "p"), points.select("frame", "part", F.col("ind").alias("other"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("p").alias("pp"))
@@ -21,34 +30,43 @@ def frame_scores(points: DataFrame, parts: int, individuals: int, sigma: DataFra
     score is null (minus infinity) if a point is missing, individuals coincide, overlap (largest separation below sigma, only
     with a skeleton), or a limb is further than `outlier` standard deviations from its mean length. Limb deviations are shares of
     1 / (individuals * degree of the part); a limb of a missing point, and one to a part without any, counts the map's `diagonal`.
+    With several videos `sigma` is a table (video, sigma, diagonal) and the skeleton has a column video, too; a frame's video is `video_of`.
     """
+    video = video_of() if isinstance(sigma, DataFrame) and "video" in sigma.columns else None
     separation = part_separation(points).groupBy("frame").agg(
         F.sum(F.col("min_dist") * F.col("conf")).alias("geometric"), F.count(F.lit(1)).alias("paired"), F.min("min_dist").alias("closest"), F.max("min_dist").alias("widest")
     )
     found = points.groupBy("frame").agg(F.count(F.lit(1)).alias("points"))
     df = found.join(separation, "frame", "left")
+    by = [] if video is None else ["video"]
+    small = F.broadcast if video is None else lambda d: d  # the tables of one body plan; those of many videos may be large
+    if video is not None:
+        df = df.withColumn("video", video).join(sigma.select("video", F.col("sigma").alias("_sigma"), F.col("diagonal").alias("_diagonal")), "video", "left")
+        points = points.withColumn("video", video)
+    else:
+        df = df.withColumn("_diagonal", F.lit(float(diagonal)))
+        df = df.crossJoin(F.broadcast(sigma.select(F.col("sigma").alias("_sigma")))) if isinstance(sigma, DataFrame) else df.withColumn("_sigma", F.lit(float(sigma)))
     bad = (F.col("points") < parts * individuals) | (F.coalesce("paired", F.lit(0)) < parts) | (F.coalesce("closest", F.lit(0.0)) <= 1e-9)
     limbs = F.lit(0.0)
     if skeleton is not None:
-        edges = skeleton.select(F.col("part_a").alias("part"), F.col("part_b").alias("other"), "avg", "std").union(skeleton.select(F.col("part_b"), F.col("part_a"), "avg", "std"))
-        degree = edges.groupBy("part").agg(F.count(F.lit(1)).alias("degree"))
-        own = points.select("frame", "part", "ind", "x", "y").join(F.broadcast(edges.join(degree, "part")), "part")
+        far = sigma.select("video", F.col("diagonal").alias("_far")) if video is not None else None
+        edges = skeleton.select(*by, F.col("part_a").alias("part"), F.col("part_b").alias("other"), "avg", "std").union(skeleton.select(*by, F.col("part_b"), F.col("part_a"), "avg", "std"))
+        edges = edges.join(far, "video") if far is not None else edges.withColumn("_far", F.lit(float(diagonal)))
+        degree = edges.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("degree"))
+        own = points.select(*by, "frame", "part", "ind", "x", "y").join(small(edges.join(degree, [*by, "part"])), [*by, "part"])
         other = points.select("frame", F.col("part").alias("other"), F.col("x").alias("px"), F.col("y").alias("py"))
-        near = own.join(other, ["frame", "other"], "left").groupBy("frame", "part", "ind", "other", "std", "degree").agg(F.min(F.abs(distance("x", "y", "px", "py") - F.col("avg"))).alias("m"))
+        near = own.join(other, ["frame", "other"], "left").groupBy("frame", "part", "ind", "other", "std", "degree", "_far").agg(F.min(F.abs(distance("x", "y", "px", "py") - F.col("avg"))).alias("m"))
         per = near.groupBy("frame").agg(
-            F.sum(F.coalesce("m", F.lit(diagonal)) / (individuals * F.col("degree"))).alias("limbs"),
+            F.sum(F.coalesce("m", "_far") / (individuals * F.col("degree"))).alias("limbs"),
             F.max(F.when(F.col("m").isNull() | (F.col("m") / F.col("std") > outlier), 1).otherwise(0)).alias("outlying"),
         )
         # Each individual of a linked part has its limbs' shares, 1 / individuals together; those of missing ones cost the diagonal.
-        linked = points.select("frame", "part", "ind").distinct().join(F.broadcast(degree), "part").groupBy("frame").agg(F.count(F.lit(1)).alias("_here"))
-        df = df.join(per, "frame", "left").join(linked, "frame", "left").join(F.broadcast(degree.agg(F.count(F.lit(1)).alias("_linked"))))
-        limbs = F.coalesce("limbs", F.lit(0.0)) + (F.col("_linked") * individuals - F.coalesce("_here", F.lit(0))) * F.lit(diagonal / individuals)
-        bad = bad | (F.coalesce("outlying", F.lit(0)) > 0)
-        if isinstance(sigma, DataFrame):
-            df = df.crossJoin(F.broadcast(sigma.select(F.col("sigma").alias("_sigma"))))
-            bad = bad | (F.coalesce("widest", F.lit(0.0)) < F.coalesce("_sigma", F.lit(1.0)))
-        else:
-            bad = bad | (F.coalesce("widest", F.lit(0.0)) < sigma)
+        linked = points.select(*by, "frame", "part", "ind").distinct().join(small(degree), [*by, "part"]).groupBy("frame").agg(F.count(F.lit(1)).alias("_here"))
+        df = df.join(per, "frame", "left").join(linked, "frame", "left")
+        total = degree.groupBy(*by).agg(F.count(F.lit(1)).alias("_linked"))
+        df = df.join(total, by, "left") if by else df.join(F.broadcast(total))
+        limbs = F.coalesce("limbs", F.lit(0.0)) + (F.coalesce("_linked", F.lit(0)) * individuals - F.coalesce("_here", F.lit(0))) * F.col("_diagonal") / F.lit(individuals)
+        bad = bad | (F.coalesce("outlying", F.lit(0)) > 0) | (F.col("_linked").isNotNull() & (F.coalesce("widest", F.lit(0.0)) < F.coalesce("_sigma", F.lit(1.0))))
     fallback = F.coalesce("geometric", F.lit(0.0)) - limbs
     return df.select("frame", fallback.alias("fallback"), F.when(~bad, fallback).alias("score"), (~bad).alias("is_valid"))
 
