@@ -6,6 +6,9 @@ parameters of fixed size (sigma, skeleton) and one row a segment reach the drive
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 from trailmark.operators import frames, kernels, motion, scoring, segments, viterbi
 from trailmark.operators.scoring import STEP_BITS, video_of
+from trailmark.session import spread
 
 
 def cluster_peaks(x: np.ndarray, y: np.ndarray, p: np.ndarray, n: int, linkage: str = "complete", stride: float = 1.0) -> np.ndarray | None:
@@ -53,7 +57,7 @@ def cluster(cells: DataFrame, n: int, linkage: str = "complete", stride: float =
 
     keep = cells.select("frame", "part", "x", "y", "p", "event_id", "ignore_clustering")
     kind = keep.schema["x"].dataType.simpleString()
-    return keep.groupBy("frame", "part").applyInPandas(run, f"frame long, part string, x {kind}, y {kind}, p double, event_id long, ind long")
+    return spread(keep, "frame", "part").groupBy("frame", "part").applyInPandas(run, f"frame long, part string, x {kind}, y {kind}, p double, event_id long, ind long")
 
 
 def fix_assignment(points: pd.DataFrame, skeleton: pd.DataFrame, n: int, algorithm: str = "hungarian") -> dict[tuple[str, int], int]:
@@ -247,7 +251,7 @@ def solve_segments(cells: DataFrame, clustered: DataFrame, segs: DataFrame, part
     fixes = segments.frame_to_segment(clustered.select("frame", "part", "ind", "x", "y", "p"), chains).filter("frame = anchor_fix").select(*shared, "ind", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "p")))
 
     def grouped(left: DataFrame, right: DataFrame, run, schema: str) -> DataFrame:
-        return left.groupBy("anchor").cogroup(right.groupBy("anchor")).applyInPandas(lambda a, b: run(a, b), schema)
+        return spread(left, "anchor").groupBy("anchor").cogroup(spread(right, "anchor").groupBy("anchor")).applyInPandas(lambda a, b: run(a, b), schema)
 
     short = F.col("reach") <= chain_frames
     poses = grouped(placed.unionByName(fixes).filter(short), side.filter(short), solver.chain, _POSE)
@@ -363,13 +367,69 @@ def sparse_cells(cells: DataFrame, mode: str, threshold: float, stride: float =
     return df.select("frame", "part", (F.col("x") - half).cast("double").alias("x"), (F.col("y") - half).cast("double").alias("y"), "p", F.lit(0).cast("long").alias("event_id"))
 
 
-def track(
+@dataclass
+class Run:
+    """A video's (or several videos') tables between clustering and poses, all written, so that a part of them can be solved again."""
+
+    cells: DataFrame
+    clustered: DataFrame
+    segs: DataFrame
+    plan: DataFrame  # video, sigma and the limbs
+    parts: list[str]
+    n: int
+    solve: Callable[..., DataFrame]  # cells, clustered, segs -> poses within chains
+    recluster: Callable[[DataFrame], DataFrame]
+    accept: Callable[[DataFrame], DataFrame]  # cells as they come -> the cells that are tracked
+    finish: Callable[[DataFrame], DataFrame]  # units and keys of the result
+    keep: Callable[[DataFrame, str], DataFrame]
+    found: DataFrame | None = None
+
+    def poses(self) -> DataFrame:
+        """anchor, seg_id, frame, part, ind, x, y, p within chains; solved once."""
+        if self.found is None:
+            self.found = self.keep(self.solve(self.cells, self.clustered, self.segs), "poses")
+        return self.found
+
+    def result(self) -> DataFrame:
+        """The poses with the individuals of all chains in agreement."""
+        order = stitch(self.poses(), self.segs, components(self.plan, self.parts), self.n)
+        return self.finish(self.poses().join(order, ["anchor", "part", "ind"]).select("frame", "part", "body", "x", "y", F.col("p").alias("likelihood")))
+
+    def rerun(self, changes: DataFrame) -> Run:
+        """This run with the cells of some frames and parts replaced by `changes` (frame, part, x, y, p), as a user's edits leave them.
+
+        A frame and part of which all rows have a null p has no cell any more. Segments, fix frames, sigma and limbs stay as they
+        are. Only chains that hold a changed frame are solved again, from the cells of their own frames; the stored
+        poses stand for the others, and all chains are stitched anew. The result is that of solving every chain with the changed cells.
+        Frames beyond the segments are an error, parts that the run does not have too. No change gives the same poses.
+        """
+        keys = self.keep(changes.select("frame", "part").distinct(), "changed")
+        chains = self.keep(self.segs.join(segments.run_levels(self.segs, ("video",)).select("seg_id", "anchor"), "seg_id"), "chains")
+        placed = segments.frame_to_segment(keys, chains)
+        if not keys.filter(~F.col("part").isin(self.parts)).isEmpty() or placed.count() != keys.count():
+            raise ValueError("changes of a part or frame that the run does not have")
+        touched = self.keep(placed.select("anchor").distinct(), "touched")
+        fresh = self.keep(self.accept(changes.filter("p IS NOT NULL")), "fresh")
+        cells = self.keep(self.cells.join(keys, ["frame", "part"], "left_anti").unionByName(fresh.select(*self.cells.columns)), "cells")
+        clustered = self.keep(self.clustered.join(keys, ["frame", "part"], "left_anti").unionByName(self.recluster(fresh).select(*self.clustered.columns)), "clustered")
+        again = chains.join(touched, "anchor", "left_semi").drop("anchor")
+        solved = self.solve(cells, clustered, self.keep(again, "again"))
+        poses = self.poses().join(touched, "anchor", "left_anti").unionByName(solved)
+        return replace(self, cells=cells, clustered=clustered, found=self.keep(poses, "poses"))
+
+
+def track(spark: SparkSession, cells: DataFrame, n: int, *settings, **named) -> DataFrame:
+    """The poses of `prepared` with the same arguments: [by,] frame, part, body, x, y, likelihood for n individuals."""
+    return prepared(spark, cells, n, *settings, **named).result()
+
+
+def prepared(
     spark: SparkSession, cells: DataFrame, n: int, segment_size: int = 200, threshold: float = 0.001, max_cells: int = 100, use_skeleton: bool = True, cfg: viterbi.Settings | None = None, intermediate=None,
     sparsification: str | None = None, relaxed_radius: float = 0.0, algorithm: str = "hungarian", outlier: float = 3.0, map_stride: float = frames.STRIDE, width: int | None = None, height: int | None = None,
     pixels: bool = False, downscaling: float = 1.0, skeleton_edges: DataFrame | None = None, limb_lengths: DataFrame | None = None, by: tuple[str, ...] = (), chain_frames: int = CHAIN_FRAMES,
     linkage: str = "complete", nodes: str = "ALL",
-) -> DataFrame:
-    """[by,] frame, part, body, x, y, likelihood for n individuals; frames without any cell of a part are hidden or not entered.
+) -> Run:
+    """Everything up to the segments, ready to be solved for n individuals; frames without any cell of a part are hidden or not entered.
 
     Without a mode of sparsification the cells are taken as they are. A cell is `map_stride` pixels wide; with `pixels` all distances
     (clusters, motion, limbs, scores, moves) are in pixels and the poses are in video pixels, that is times `downscaling` where the
@@ -393,11 +453,16 @@ def track(
         numbered = cells.join(videos, on).select(*[cells[c] for c in cells.columns if c not in (*by, "frame")], (cells["frame"] + F.shiftleft(videos["_video"], STEP_BITS)).alias("frame"))
         cells = numbered
     video = video_of()
-    chosen = sparse_cells(cells, sparsification, threshold, map_stride, width, height) if sparsification else frames.above(cells, threshold)
+
+    def accept(some: DataFrame) -> DataFrame:
+        chosen = sparse_cells(some, sparsification, threshold, map_stride, width, height) if sparsification else frames.above(some, threshold)
+        return frames.top_k(chosen, max_cells).drop("ind")
+
     fine = map_stride if sparsification == "UPSCALE" else 1.0  # places of the table in a cell
     stride = map_stride / fine if pixels else 1.0  # units of length in a place of the table
-    sparse = keep(frames.top_k(chosen, max_cells).drop("ind"), "cells")
-    clustered = keep(cluster(sparse, n, linkage, stride, nodes), "clustered")
+    sparse = keep(accept(cells), "cells")
+    recluster = lambda some: cluster(some, n, linkage, stride, nodes)
+    clustered = keep(recluster(sparse), "clustered")
     centres = frames.weighted_centroid(clustered, ("frame", "part", "ind"))
     points = keep(centres.withColumns({c: F.col(c) * stride for c in ("x", "y")}) if stride != 1 else centres, "points")
     parts = sorted(r["part"] for r in points.select("part").distinct().collect())
@@ -420,11 +485,14 @@ def track(
     solver = viterbi.Settings(**{**(cfg or viterbi.Settings()).__dict__, "scale": stride})
     kinds = "part_a string, part_b string, avg double, std double"
     plan = params.select("video", "sigma").join(limbs if limbs is not None else spark.createDataFrame([], f"video long, {kinds}"), "video", "left")
-    poses = keep(solve_segments(sparse, clustered, segs, parts, n, solver, plan, chain_frames, keep, algorithm, relaxed_radius), "poses")
-    order = stitch(poses, segs, components(plan, parts), n)
-    placed = poses.join(order, ["anchor", "part", "ind"]).select("frame", "part", "body", "x", "y", F.col("p").alias("likelihood"))
+    plan = keep(plan, "plan")
     unit = map_stride / fine * downscaling if pixels else 1 / fine
-    placed = placed if unit == 1 else placed.withColumns({c: F.when(F.col(c) >= 0, F.col(c) * unit).otherwise(F.col(c)) for c in ("x", "y")})
-    if videos is None:
-        return placed
-    return placed.withColumn("_video", video).join(videos, "_video").select(*by, (F.col("frame") - F.shiftleft("_video", STEP_BITS)).alias("frame"), "part", "body", "x", "y", "likelihood")
+
+    def finish(placed: DataFrame) -> DataFrame:
+        placed = placed if unit == 1 else placed.withColumns({c: F.when(F.col(c) >= 0, F.col(c) * unit).otherwise(F.col(c)) for c in ("x", "y")})
+        if videos is None:
+            return placed
+        return placed.withColumn("_video", video).join(videos, "_video").select(*by, (F.col("frame") - F.shiftleft("_video", STEP_BITS)).alias("frame"), "part", "body", "x", "y", "likelihood")
+
+    solve = lambda c, k, g: solve_segments(c, k, g, parts, n, solver, plan, chain_frames, keep, algorithm, relaxed_radius)
+    return Run(sparse, clustered, segs, plan, parts, n, solve, recluster, accept, finish, keep)

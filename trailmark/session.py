@@ -66,6 +66,16 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` dealt by keys to as many partitions as there are shuffle partitions, or four for each core if that is more.
+
+    For grouped maps that take long over few rows: partitions dealt by number are not put together for being small.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def filesystem(path: str):
     """The pyarrow file system of a path or URI (a local or mounted path, HDFS, S3 and the like), and the path there; for tasks."""
     from pyarrow import fs
