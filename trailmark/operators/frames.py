@@ -134,6 +134,22 @@ def align(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, [*GROUP, "x", "y"], "full_outer")
 
 
+def align_all(sides: list[DataFrame]) -> DataFrame:
+    """Full outer join of any number of sides (frame, part, x, y, p) on the integer cell of their places: frame, part, x, y (the cell),
+    and for side i its likeliest p{i} there and where that is (x{i}, y{i}; of equal ones the upper, then the left), null where it has none.
+
+    One union and one aggregation, whatever the number of sides.
+    """
+    labelled = [s.select(*GROUP, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "p", F.lit(i).alias("side")) for i, s in enumerate(sides)]
+    every = labelled[0]
+    for s in labelled[1:]:
+        every = every.unionByName(s)
+    best = lambda i: F.max(F.when(F.col("side") == i, F.struct("p", (-F.col("y")).alias("y"), (-F.col("x")).alias("x")))).alias(f"s{i}")
+    cells = every.groupBy(*GROUP, F.floor("x").alias("cx"), F.floor("y").alias("cy")).agg(*[best(i) for i in range(len(sides))])
+    own = [c for i in range(len(sides)) for c in (F.col(f"s{i}.p").alias(f"p{i}"), (-F.col(f"s{i}.x")).alias(f"x{i}"), (-F.col(f"s{i}.y")).alias(f"y{i}"))]
+    return cells.select(*GROUP, F.col("cx").alias("x"), F.col("cy").alias("y"), *own)
+
+
 def places(cells: DataFrame) -> DataFrame:
     return cells.select(*GROUP, "x", "y")
 

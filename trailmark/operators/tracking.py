@@ -456,7 +456,9 @@ def prepared(
 
     def accept(some: DataFrame) -> DataFrame:
         chosen = sparse_cells(some, sparsification, threshold, map_stride, width, height) if sparsification else frames.above(some, threshold)
-        return frames.top_k(chosen, max_cells).drop("ind")
+        if "event_id" not in chosen.columns:
+            chosen = chosen.withColumn("event_id", F.lit(0).cast("long"))
+        return frames.top_k(chosen, max_cells).select("frame", "part", "x", "y", "p", "event_id")
 
     fine = map_stride if sparsification == "UPSCALE" else 1.0  # places of the table in a cell
     stride = map_stride / fine if pixels else 1.0  # units of length in a place of the table

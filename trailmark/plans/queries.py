@@ -136,6 +136,16 @@ def pad_full_outer(c):
     return r6(frames.align(*sides(c)), "left_p", "right_p")
 
 
+_NTH = ", ".join(f"round(max(p) FILTER (WHERE side = {i}), 6) AS p{i}, round(first(fx ORDER BY p DESC, fy, fx) FILTER (WHERE side = {i}), 6) AS x{i}, round(first(fy ORDER BY p DESC, fy, fx) FILTER (WHERE side = {i}), 6) AS y{i}" for i in range(4))
+
+
+@query(f"s AS (SELECT frame, part, event_id % 4 AS side, x + 0.5 + ox / 16 AS fx, y + 0.5 + oy / 16 AS fy, p FROM cells) SELECT frame, part, floor(fx)::BIGINT AS x, floor(fy)::BIGINT AS y, {_NTH} FROM s GROUP BY frame, part, floor(fx), floor(fy)")
+def align_four(c):
+    placed = c.select("frame", "part", (F.col("x") + 0.5 + F.col("ox") / 16).alias("x"), (F.col("y") + 0.5 + F.col("oy") / 16).alias("y"), "p", "event_id")
+    out = frames.align_all([placed.filter(F.col("event_id") % 4 == i) for i in range(4)])
+    return r6(out, *(f"{k}{i}" for i in range(4) for k in "pxy"))
+
+
 @query(f"{SIDES} SELECT frame, part, x, y FROM a INTERSECT SELECT frame, part, x, y FROM b")
 def coord_intersection(c):
     return frames.common_places(*sides(c))
@@ -357,22 +367,25 @@ def neighbour_navigation(c):
 
 # -- segments ------------------------------------------------------------------------------------------------------------
 
-SEGS = "seg AS (SELECT i AS seg_id, i * 7 AS start, least(i * 7 + 7, 120) AS \"end\", CASE WHEN i % 3 = 1 THEN i * 7 ELSE -1 END AS fix FROM range(0, 18) t(i))"
+# Pieces of seven frames; one is solved from its first frame if its number of cells leaves 1 on division by 3.
+SEGS = 'seg AS (SELECT frame // 7 AS seg_id, frame // 7 * 7 AS start, frame // 7 * 7 + 7 AS "end", CASE WHEN count(*) % 3 = 1 THEN frame // 7 * 7 ELSE -1 END AS fix FROM cells GROUP BY frame // 7)'
 
 
-def fixed_segments(spark: SparkSession) -> DataFrame:
-    return spark.range(18).select(F.col("id").alias("seg_id"), (F.col("id") * 7).alias("start"), F.least(F.col("id") * 7 + 7, F.lit(120)).alias("end"), F.when(F.col("id") % 3 == 1, F.col("id") * 7).otherwise(F.lit(-1)).alias("fix"))
+def fixed_segments(c: DataFrame) -> DataFrame:
+    start = F.col("seg_id") * 7
+    counted = c.groupBy(F.expr("frame div 7").alias("seg_id")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("seg_id", start.alias("start"), (start + 7).alias("end"), F.when(F.col("n") % 3 == 1, start).otherwise(F.lit(-1)).alias("fix"))
 
 
 @query(f"{SEGS} SELECT DISTINCT frame, seg_id, fix FROM cells JOIN seg ON frame >= start AND frame < \"end\"")
-def frame_to_segment(c, spark, sf_dir):
-    return segments.frame_to_segment(c.select("frame").distinct(), fixed_segments(spark), 16).select("frame", "seg_id", "fix")
+def frame_to_segment(c):
+    return segments.frame_to_segment(c.select("frame").distinct(), fixed_segments(c), 16).select("frame", "seg_id", "fix")
 
 
 @query(f"""{SEGS}, a AS (SELECT *, last_value(CASE WHEN fix >= 0 THEN seg_id END IGNORE NULLS) OVER (ORDER BY seg_id) AS l, first_value(CASE WHEN fix >= 0 THEN seg_id END IGNORE NULLS) OVER (ORDER BY seg_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r FROM seg)
  SELECT seg_id, coalesce(least(seg_id - l, r - seg_id), 0) AS level, coalesce(seg_id - l < coalesce(r - seg_id, 1000000) AND seg_id > l, false) AS before, CASE WHEN seg_id - l < coalesce(r - seg_id, 1000000) THEN l ELSE coalesce(r, l) END AS anchor FROM a""")
-def run_levels(c, spark, sf_dir):
-    return segments.run_levels(fixed_segments(spark))
+def run_levels(c):
+    return segments.run_levels(fixed_segments(c))
 
 
 @query("SELECT frame, part, event_id, frame // 15 AS piece, frame % 15 AS place FROM cells")
@@ -546,6 +559,11 @@ def cluster_complete(c):
     return tracking.cluster(frames.top_k(frames.above(c, 0.001), 100), 2)
 
 
+@query()
+def cluster_peaks(c):
+    return tracking.cluster(frames.top_k(frames.above(c, 0.001), 100), 2, nodes="PEAKS")
+
+
 @query()
 def endpoint_segments(c):
     return segments.segments_of(scores(c), 20)
@@ -556,6 +574,20 @@ def track_individuals(c, spark, sf_dir):
     return tracking.track(spark, c, 2)
 
 
+@query()
+def track_videos(c, spark, sf_dir):
+    """Three videos in one table, each tracked as if it were alone."""
+    return tracking.track(spark, c.withColumn("video", F.col("event_id") % 3), 2, by=("video",))
+
+
+@query()
+def track_again(c, spark, sf_dir):
+    """A partial run after an edit: in the frames of its likeliest cell, a part has only that cell left."""
+    run = tracking.prepared(spark, c, 2)
+    top = c.groupBy("part").agg(F.max_by(F.struct("frame", "x", "y", "p"), F.struct("p", "event_id")).alias("c")).select("c.frame", "part", "c.x", "c.y", "c.p", F.lit(0).cast("long").alias("event_id"))
+    return run.rerun(top).result()
+
+
 # -- built-ins over poses --------------------------------------------------------------------------------------------------
 
 
@@ -623,14 +655,28 @@ def histogram_lookup(c, spark, sf_dir):
     return r6(motion.bin_of(h, spark.range(60).select((F.col("id") * 0.7 + 1).alias("moved")), "moved", 2.0, 1.0), "moved", "mean")
 
 
-@query("v AS (SELECT * FROM (VALUES ('view', 'click', 5.0), ('click', 'view', 7.0), ('cart', 'view', 3.0), ('view', 'view', 1.0)) t(a, b, length)) SELECT least(a, b) AS part_a, greatest(a, b) AS part_b, max(length)::DOUBLE AS avg, 1.0::DOUBLE AS std FROM v WHERE a <> b GROUP BY ALL")
-def manual_skeleton(c, spark, sf_dir):
-    return motion.manual_skeleton(spark.sql("SELECT * FROM VALUES ('view', 'click', 5D), ('click', 'view', 7D), ('cart', 'view', 3D), ('view', 'view', 1D) AS t(part_a, part_b, length)"))
+# Mean distances of the parts' likeliest cells.
+APART = f"""{TOP}, apart AS (SELECT a.part AS part_a, b.part AS part_b, avg(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS length FROM points a JOIN points b USING (frame) WHERE a.ind = 0 AND b.ind = 0 GROUP BY ALL)"""
+
+
+def apart(c: DataFrame) -> DataFrame:
+    a = points(c, 1).select("frame", F.col("part").alias("part_a"), "x", "y")
+    b = a.select("frame", F.col("part_a").alias("part_b"), F.col("x").alias("px"), F.col("y").alias("py"))
+    return a.join(b, "frame").groupBy("part_a", "part_b").agg(F.avg(motion.distance("x", "y", "px", "py")).alias("length"))
+
+
+@query(f"{APART} SELECT least(part_a, part_b) AS part_a, greatest(part_a, part_b) AS part_b, round(max(length), 6) AS avg, 1.0::DOUBLE AS std FROM apart WHERE part_a <> part_b GROUP BY ALL")
+def manual_skeleton(c):
+    return r6(motion.manual_skeleton(apart(c)), "avg")
 
 
-@query("SELECT * FROM (VALUES ('a', 'a'), ('b', 'a'), ('c', 'a'), ('x', 'x'), ('y', 'x')) t(part, component)")
-def skeleton_components(c, spark, sf_dir):
-    return motion.skeleton_components(spark.sql("SELECT * FROM VALUES ('c', 'b'), ('b', 'a'), ('y', 'x') AS t(part_a, part_b)"))
+@query(f"""{APART}, pairs AS (SELECT * FROM apart WHERE part_a < part_b), e AS (SELECT part_a, part_b FROM pairs WHERE length < (SELECT avg(length) FROM pairs)),
+ l AS (SELECT part_a AS a, part_b AS b FROM e UNION ALL SELECT part_b, part_a FROM e),
+ r AS (WITH RECURSIVE reach AS (SELECT a AS part, a AS root FROM l UNION SELECT l.b, reach.root FROM reach JOIN l ON l.a = reach.part) SELECT part, min(root) AS component FROM reach GROUP BY part) SELECT part, component FROM r""")
+def skeleton_components(c):
+    pairs = apart(c).filter("part_a < part_b")
+    close = pairs.join(F.broadcast(pairs.agg(F.avg("length").alias("mean")))).filter("length < mean")  # one row
+    return motion.skeleton_components(close.select("part_a", "part_b"))
 
 
 @query(f"{TOP} SELECT frame, part, ind, floor((x * 8.0 + 3) / 8)::BIGINT AS x, floor((y * 8.0 + 6) / 8)::BIGINT AS y, round(p, 6) AS p, -1.0::DOUBLE AS ox, 2.0::DOUBLE AS oy FROM points WHERE p > 0")
@@ -639,9 +685,9 @@ def point_edit(c):
     return r6(edits.point_edit(at, 8.0)[0], "p", "ox", "oy")
 
 
-@query(f"{SEGS}, t AS (SELECT DISTINCT seg_id FROM seg JOIN (SELECT DISTINCT frame FROM cells WHERE frame % 10 = 3 AND frame < 60) ON frame >= start AND frame < \"end\") SELECT seg.* FROM seg JOIN t USING (seg_id)")
-def touched_segments(c, spark, sf_dir):
-    return edits.touched_segments(fixed_segments(spark), c.filter("frame % 10 = 3 AND frame < 60").select("frame"))
+@query(f"{SEGS}, t AS (SELECT DISTINCT seg_id FROM seg JOIN (SELECT DISTINCT frame FROM cells WHERE part = 'click' AND p > 0.6) ON frame >= start AND frame < \"end\") SELECT seg.* FROM seg JOIN t USING (seg_id)")
+def touched_segments(c):
+    return edits.touched_segments(fixed_segments(c), c.filter("part = 'click' AND p > 0.6").select("frame"))
 
 
 @query("SELECT frame, part, x, y, event_id, round(p, 6) AS p FROM cells WHERE p > 0.2 AND part IN ('click', 'view')")
