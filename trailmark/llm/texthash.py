@@ -150,3 +150,4 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20):
         total += int(sizes[i])
     if n > a:
         yield batch.slice(a, n - a)
+    pa.default_memory_pool().release_unused()  # workers live on between stages; what a batch needed goes back
