@@ -71,6 +71,7 @@ def test_bounded_caches(library, monkeypatch):
 def test_chunks_never_cross(library):
     """Cutting at the pattern's places changes nothing: each vocabulary entry is one chunk or can't be crossed."""
     m = pieces.model(PATH)
+    encode("x")
     assert all(m.cut.findall(p) == [p] for p in list(m.ids)[::7])
 
 

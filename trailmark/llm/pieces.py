@@ -30,7 +30,7 @@ from trailmark.llm import texthash as th
 SPACE = "▁"
 END = 2
 #: Approximate bytes of known chunks, and number of known pairs, at which a worker begins anew; longer chunks are not kept.
-CACHE_BYTES, CACHE_PAIRS, KEEP = 96 << 20, 1 << 19, 64
+CACHE_BYTES, CACHE_PAIRS, KEEP = 64 << 20, 1 << 18, 64
 #: Characters of a text that are cut into chunks at a time.
 SEGMENT = 1 << 20
 _models: dict = {}
@@ -58,6 +58,15 @@ class Pieces:
         self.pairs: dict[int, bool] = {}
         self.chunks: dict[str, bytes] = {}
         self.held = 0
+        self.automaton = None  # made for the first text, so that a worker that decodes only does without
+        decoded = [b"" if self.control[i] else bytes([int(text[i][1:-1], 16)]) if self.byte[i] else " ⁇ ".encode() if self.unknown[i] else text[i].replace(SPACE, " ").encode() for i in range(n)]
+        self.lengths = np.array([len(b) for b in decoded], np.int64)
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(decoded), np.uint8)
+        self.spaced = np.array([t.startswith(SPACE) and not c for t, c in zip(text, self.control, strict=True)])
+
+    def ready(self) -> None:
+        """Make the automaton of the pieces and the list of each one's merges."""
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             alone, left, right = self._alone(p)
@@ -66,11 +75,6 @@ class Pieces:
                 self.automaton.add_word(p, (len(p), self.number[p]))
         self.automaton.make_automaton()
         self.cut = _cut(self.ids)
-        decoded = [b"" if self.control[i] else bytes([int(text[i][1:-1], 16)]) if self.byte[i] else " ⁇ ".encode() if self.unknown[i] else text[i].replace(SPACE, " ").encode() for i in range(n)]
-        self.lengths = np.array([len(b) for b in decoded], np.int64)
-        self.offsets = np.cumsum(self.lengths) - self.lengths
-        self.bytes = np.frombuffer(b"".join(decoded), np.uint8)
-        self.spaced = np.array([t.startswith(SPACE) and not c for t, c in zip(text, self.control, strict=True)])
 
     def _token(self, p: str, left: list, right: list) -> int:
         self.number[p] = len(self.names)
@@ -159,6 +163,8 @@ class Pieces:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, without an end id, as 32-bit integers."""
+        if self.automaton is None:
+            self.ready()
         if self.held > CACHE_BYTES:
             self.chunks, self.held = {}, 0
         if len(self.pairs) > CACHE_PAIRS:
