@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailmark.session import workspace
+from trailmark.session import materialize, workspace
 
 TARGET = 8 << 20
 FAN_IN = 8
@@ -69,7 +69,9 @@ class ShardStore:
         p, fs = self._fs(f"{self.root}/manifest")
         if not fs.exists(p):
             return []
-        return sorted(int(m[1]) for s in fs.listStatus(p) if (m := re.fullmatch(r"v(\d+)", s.getPath().getName())))
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        first = max((int(m[1]) for n in names if (m := re.fullmatch(r"first-(\d+)", n))), default=0)
+        return sorted(v for n in names if (m := re.fullmatch(r"v(\d+)", n)) and (v := int(m[1])) >= first)
 
     def _at(self, version: int) -> str:
         return f"{self.root}/manifest/v{version:08d}"
@@ -116,7 +118,7 @@ class ShardStore:
                 if part is None or gone:
                     self._delete(made)
                     raise
-                version += 1
+                version = max([version, *self.versions()]) + 1
         if version % SNAPSHOT == 0:
             self._snapshot(version)
         return version
@@ -234,7 +236,8 @@ class ShardStore:
     def compact(self, across: bool = False) -> int:
         """Merge the planned runs and commit the next version; the last version again if there is nothing to merge."""
         version = (self.versions() or [0])[-1]
-        runs = self.plan(across).filter("run is not null")
+        # Written, so that the version it comes from may be forgotten before this one is committed.
+        runs = materialize(self.spark, self.plan(across).filter("run is not null"), "runs")
         shards, n = runs.agg(F.count(F.lit(1)), F.count_distinct("run")).first()
         if not n:
             return version
@@ -309,8 +312,16 @@ class ShardStore:
         for v in known[-keep:]:
             self._snapshot(v)
         used = {r["part"] for v in known[-keep:] for r in self.manifest(v).select("part").distinct().toLocalIterator()}
+        # The folders of forgotten versions stay for as long as a claim counts, so that no late writer takes their numbers.
+        p, fs = self._fs(f"{self.root}/manifest/first-{known[-keep:][0]:08d}")
+        fs.create(p).close()
         for v in known[:-keep]:
-            self._delete(self._at(v))
+            for name in ("delta", "all"):
+                self._delete(f"{self._at(v)}/{name}")
+        for s in fs.listStatus(p.getParent()):
+            m = re.fullmatch(r"(v|first-)(\d+)", s.getPath().getName())
+            if m and int(m[2]) < known[-keep:][0] and (m[1] != "v" or time.time() - s.getModificationTime() / 1000 > CLAIM_S):
+                fs.delete(s.getPath(), True)
         for part in parts:
             if part not in used and part not in claimed:
                 self._delete(self._part(part))
