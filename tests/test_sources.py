@@ -261,3 +261,56 @@ def test_import_instances(spark):
     got = rows(tables.import_instances(frames, instances, points, ["n", "t"]))
     assert [r for r in got if r[3:] != (0.0, 0.0, 0.0)] == [(0, 0, "n", 10.0, 1.0, 0.75), (0, 0, "t", 11.0, 1.0, 0.75), (2, 0, "n", 2.0, 1.0, 1.0), (2, 0, "t", 3.0, 1.0, 1.0)]
     assert len(got) == 8  # the second track has no visible point
+
+
+def test_store_sink(spark, tmp_path):
+    """The store as a sink: any order of frames, empty frames, what is refused, and nothing left by a job that fails."""
+    import os
+
+    fields = "frame long, part string, x long, y long, p double, ox double, oy double"
+    data = [(f, part, (f * 7 + k) % 8, f % 6, 0.25 + k / 4, 0.5 * k, -1.0) for f in range(0, 2000, 3) for k, part in enumerate("ab")]
+    c = spark.createDataFrame(data, fields)
+    spark.dataSource.register(framestore.FrameStore)
+    path, whole = str(tmp_path / "s.store"), str(tmp_path / "t.store")
+    options = framestore.Layout(6, 8, ["a", "b"], 4.0, frames=2100).options()
+    put = lambda df, mode="overwrite", **more: df.write.format("framestore").mode(mode).options(**{**options, **more}).save(path)
+    framestore.write(c, whole, 6, 8, 4.0, frames=2100)
+    want = (tmp_path / "t.store").read_bytes()
+    for together in (c.repartition(5, "frame").sortWithinPartitions("frame"), c.repartitionByRange(3, "frame").sortWithinPartitions(F.desc("frame")), c.coalesce(1).sortWithinPartitions("frame")):
+        put(together)
+        assert (tmp_path / "s.store").read_bytes() == want and sorted(os.listdir(tmp_path)) == ["s.store", "t.store"]
+    assert rows(framestore.read(spark, path)) == sorted(data)
+    put(c.drop("ox", "oy").filter("frame < 0"))
+    assert framestore.read(spark, path).count() == 0 and framestore.read_header(path).frames == 2100
+    put(c.filter("p < 0"), frames="0")
+    assert framestore.read_header(path).frames == 0
+    before = (tmp_path / "s.store").read_bytes()
+    good = c.coalesce(1).sortWithinPartitions("frame")
+    bad = spark.createDataFrame([(7, "c", 0, 0, 0.5, 0.0, 0.0)], fields)
+    for df, more, message in (
+        (c.coalesce(1).sortWithinPartitions("part"), {}, "not together"),
+        (good, {"frames": "1000"}, "does not have"),
+        (good.union(bad), {}, "no part"),
+        (good.union(bad.withColumn("part", F.lit(None).cast("string"))), {}, "no part"),
+        (good.union(bad.withColumns({"part": F.lit("a"), "y": F.lit(6)})), {}, "beyond"),
+        (good.union(bad.withColumn("frame", F.lit(None).cast("long"))), {}, "does not have"),
+        (good.drop("part"), {}, "without"),
+    ):
+        with pytest.raises(Exception, match=message):
+            put(df, **more)
+        assert (tmp_path / "s.store").read_bytes() == before and sorted(os.listdir(tmp_path)) == ["s.store", "t.store"]
+    with pytest.raises(Exception, match="appended"):
+        put(good, "append")
+    with pytest.raises(Exception, match="option parts"):
+        good.write.format("framestore").mode("overwrite").options(height=6, width=8).save(path)
+
+
+def test_stores_as_text(spark, tmp_path):
+    fields = "frame long, part string, x long, y long, p double, ox double, oy double"
+    one, two = ([(f, "a", f % 8, f % 6, 0.5, 0.0, 0.0) for f in frames] for frames in ((0, 5, 700), (1,)))
+    for name, data in (("one", one), ("two", two)):
+        framestore.write(spark.createDataFrame(data, fields), str(tmp_path / name), 6, 8)
+    texts = framestore.packed(spark, str(tmp_path))
+    assert {r.path.rsplit("/", 1)[1]: r.text for r in texts.collect()} == {n: framestore.pack(str(tmp_path / n)) for n in ("one", "two")}
+    got = framestore.packed_cells(texts.union(spark.createDataFrame([("none", None)], "path string, text string")), 100)
+    assert sorted((r.path.rsplit("/", 1)[1], *r[1:]) for r in got.collect()) == [("one", *r) for r in one] + [("two", *r) for r in two]

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.functions import math as fm
-from trailmark.operators import edits, frames, motion, poses, scoring, segments, tracking
+from trailmark.functions import tables as table_functions
+from trailmark.operators import edits, frames, motion, passes, poses, scoring, segments, tracking
 from trailmark.plans.cells import HEIGHT, STRIDE, WIDTH
 from trailmark.plans.cells import SQL as CELLS
 from trailmark.plans.cells import cells as _cells
@@ -96,6 +97,21 @@ def upscale_splat(c):
     return r6(frames.sparsify(c, "UPSCALE"), "p")
 
 
+@query(ORACLE_SQL["upscale_splat"].removeprefix(f"WITH {CELLS}, "))
+def splat_in_sql(c, spark, sf_dir):
+    table_functions.register(spark)
+    kept = frames.above(c, 0.001)
+    return r6(spark.sql("SELECT frame, part, x, y, max(p) AS p FROM splat(TABLE(SELECT * FROM {kept}), 8.0D, 2, 1.0D) GROUP BY ALL HAVING max(p) > 0.001", kept=kept), "p")
+
+
+@query(f"""{TOP}, best AS (SELECT frame, part, x, y, p FROM points WHERE ind = 0),
+ held AS (SELECT frame, part, max(CASE WHEN p >= 0.9 THEN frame END) OVER (PARTITION BY part ORDER BY frame) AS at FROM best)
+ SELECT h.part, h.frame, b.x, b.y, round(b.p, 6) AS p, h.frame - h.at AS age FROM held h LEFT JOIN best b ON b.part = h.part AND b.frame = h.at""")
+def carried_pass(c, spark, sf_dir):
+    best = points(c, 1).select("frame", "part", "x", "y", "p")
+    return r6(passes.carried(spark, best, passes.Held(0.9), frames=50), "p")
+
+
 @query(f"""{SPLIT} SELECT frame, part, ind, round(CASE WHEN sum(p) > 0 THEN sum(x * p) / sum(p) ELSE avg(x) END, 6) AS x, round(CASE WHEN sum(p) > 0 THEN sum(y * p) / sum(p) ELSE avg(y) END, 6) AS y, round(max(p), 6) AS p FROM split GROUP BY ALL""")
 def weighted_centroid(c):
     return r6(frames.weighted_centroid(split(c), ("frame", "part", "ind")), "x", "y", "p")

@@ -9,12 +9,15 @@ u64 n, u32 y, u32 x, f32 p[, f32 offset y, f32 offset x], dense f32 p[, offset y
 has a third of its cells or fewer.
 
 Readers plan one partition for each range of frames and read that range of the lookup; filters on frame and p are pushed into them.
+Writers encode frame after frame into a file for each task; the commit makes one store of them, as the format has it, and a job that
+fails leaves nothing.
 """
 
 from __future__ import annotations
 
 import base64
 import io
+import json
 import struct
 import uuid
 import zlib
@@ -23,10 +26,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
+)
 
-from trailmark.session import filesystem, materialize, release
+from trailmark.session import filesystem
 
 # Fixed values of the format.
 MAGIC = {"file": b"DLFS", "header": b"DLFH", "parts": b"DBPN", "lookup": b"FLUP", "skeleton": b"DSKL", "data": b"FDAT", "end": b"DLFE"}
@@ -55,7 +62,7 @@ class Header:
     data: int = 0
 
 
-def _encode(cells: np.ndarray, height: int, width: int, level: int) -> bytes:
+def encode(cells: np.ndarray, height: int, width: int, level: int) -> bytes:
     """cells: rows of x, y, p, ox, oy of one frame and part, in (y, x) order."""
     offsets = bool(np.any(cells[:, 3:]))
     y, x = cells[:, 1].astype(int), cells[:, 0].astype(int)
@@ -73,7 +80,7 @@ def _encode(cells: np.ndarray, height: int, width: int, level: int) -> bytes:
     return struct.pack("<BQ", flags, len(body)) + body
 
 
-def _decode(data: bytes, at: int, height: int, width: int) -> tuple[np.ndarray, int]:
+def decode(data: bytes, at: int, height: int, width: int) -> tuple[np.ndarray, int]:
     """(rows of x, y, p, ox, oy; the position after the map)."""
     flags, size = struct.unpack_from("<BQ", data, at)
     raw = zlib.decompress(data[at + 9 : at + 9 + size])
@@ -151,70 +158,197 @@ def _frames(f, h: Header, start: int, end: int) -> Iterator[tuple[int, list[np.n
         maps = []
         for _ in h.parts:
             head = f.read(9)
-            maps.append(_decode(head + f.read(struct.unpack("<BQ", head)[1]), 0, h.height, h.width)[0])
+            maps.append(decode(head + f.read(struct.unpack("<BQ", head)[1]), 0, h.height, h.width)[0])
         yield frame, maps
 
 
-def _batch(rows: list[tuple[int, str, np.ndarray]]) -> pa.RecordBatch:
+def batch(rows: list[tuple[int, str, np.ndarray]]) -> pa.RecordBatch:
     n = [len(a) for *_, a in rows]
     a = np.concatenate([a for *_, a in rows])
     part = pa.array([p for _, p, _ in rows], pa.string()).take(pa.array(np.repeat(np.arange(len(rows)), n)))
     return pa.RecordBatch.from_arrays([pa.array(np.repeat([f for f, *_ in rows], n)), part, *(pa.array(a[:, i].astype(np.int64)) for i in (0, 1)), *(pa.array(a[:, i]) for i in (2, 3, 4))], schema=_ARROW)
 
 
+@dataclass
+class Layout:
+    """What a store's header says, and how its maps are written; `frames` None is as many as the cells have."""
+
+    height: int
+    width: int
+    parts: list[str]
+    stride: float = 8.0
+    threshold: float = 1e-7
+    level: int = 6
+    frames: int | None = None
+    fps: float = 30.0
+    video: tuple[int, int] | None = None
+    crop: tuple[int, int] | None = None
+    skeleton: list[tuple[int, int]] = field(default_factory=list)
+
+    @classmethod
+    def of(cls, options) -> Layout:
+        """From the options of a writer: lists and pairs are JSON."""
+        for name in ("height", "width", "parts"):
+            if name not in options:
+                raise ValueError(f"a frame store needs the option {name}")
+        kinds = {"height": int, "width": int, "level": int, "frames": int, "stride": float, "threshold": float, "fps": float}
+        return cls(**{k: kinds.get(k, json.loads)(options[k]) for k in cls.__dataclass_fields__ if k in options})
+
+    def options(self) -> dict[str, str]:
+        return {k: v if isinstance(v, str) else json.dumps(v) for k, v in vars(self).items() if v is not None}
+
+    def encoded(self, cells: np.ndarray) -> bytes:
+        """A frame from rows of part number, x, y, p, ox, oy."""
+        cells = cells[np.lexsort((cells[:, 1], cells[:, 2], cells[:, 0]))]
+        cuts = np.searchsorted(cells[:, 0], np.arange(len(self.parts) + 1))
+        return b"".join(encode(cells[i:j, 1:], self.height, self.width, self.level) for i, j in zip(cuts[:-1], cuts[1:], strict=True))
+
+    def head(self, sizes: np.ndarray) -> bytes:
+        """All before the data, for a store whose frames have these sizes."""
+        video = self.video or (int(self.height * self.stride), int(self.width * self.stride))
+        out = [MAGIC["file"], MAGIC["header"], _HEADER.pack(len(sizes), len(self.parts), self.height, self.width, self.fps, self.stride, *video, *(self.crop or (NO_CROP, NO_CROP)))]
+        out += [MAGIC["parts"], *(struct.pack("<H", len(p.encode())) + p.encode() for p in self.parts), MAGIC["lookup"], (np.cumsum(sizes) - sizes).astype("<u8").tobytes()]
+        if self.skeleton:
+            out += [MAGIC["skeleton"], struct.pack("<I", len(self.skeleton)), *(struct.pack("<II", *pair) for pair in self.skeleton)]
+        return b"".join([*out, MAGIC["data"]])
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """A task's file with the numbers and sizes (64 bit) of the frames in it, in their order there."""
+
+    file: str
+    frames: bytes
+    sizes: bytes
+
+
+class Writer(DataSourceArrowWriter):
+    """Tasks hold one frame at a time, so the rows of a frame have to follow each other in one partition; which frames a partition has,
+    and in what order, is free. Long stretches of frames in order are copied at once by the commit."""
+
+    def __init__(self, path: str, layout: Layout, overwrite: bool) -> None:
+        fs, name = filesystem(path)
+        if not overwrite and fs.get_file_info(name).type != pa.fs.FileType.NotFound:
+            raise ValueError(f"{path} exists; a store is written as a whole, so nothing can be appended to it")
+        self.path, self.layout = path, layout
+        self.folder = f"{path}.{uuid.uuid4().hex}.tasks"
+        fs.create_dir(f"{name}{self.folder.removeprefix(path)}")  # here, so that a task that outlives its job has no place to write to
+
+    def _numbers(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(frames, rows of part number, x, y, p, ox, oy) of the cells above the threshold."""
+        column = lambda c, default=np.nan: batch[c].cast(pa.float64(), safe=False).fill_null(default).to_numpy(zero_copy_only=False)
+        frame = batch["frame"].cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+        if len(frame) and (frame.min() < 0 or self.layout.frames is not None and frame.max() >= self.layout.frames):
+            raise ValueError("cells in frames that the store does not have")
+        part = pa.compute.index_in(batch["part"].cast(pa.string()), value_set=pa.array(self.layout.parts, pa.string())).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+        p = column("p")
+        offsets = [column(c, 0.0) if c in batch.schema.names else np.zeros(len(p)) for c in ("ox", "oy")]
+        keep = p > self.layout.threshold
+        rows = np.stack([part, column("x"), column("y"), p, *offsets], 1)[keep]
+        _, x, y = rows[:, :3].T
+        if not ((x >= 0) & (x < self.layout.width) & (y >= 0) & (y < self.layout.height) & ~np.isnan(rows[:, 0])).all():
+            raise ValueError("cells of no part or beyond the map")
+        return frame[keep], rows
+
+    def _by_frame(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        last, held = None, []
+        for batch in batches:
+            frame, rows = self._numbers(batch)
+            cuts = [0, *(np.flatnonzero(np.diff(frame)) + 1).tolist(), len(frame)] if len(frame) else [0]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and frame[i] != last:
+                    yield last, np.concatenate(held)
+                    held = []
+                last = int(frame[i])
+                held.append(rows[i:j])
+        if held:
+            yield last, np.concatenate(held)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        fs, folder = filesystem(self.folder)
+        name = f"{folder}/{uuid.uuid4().hex}"
+        frames, sizes = [], []
+        with fs.open_output_stream(name, compression=None) as out:
+            for frame, rows in self._by_frame(iterator):
+                made = self.layout.encoded(rows)
+                out.write(made)
+                frames.append(frame)
+                sizes.append(len(made))
+        return Written(name, np.array(frames, np.int64).tobytes(), np.array(sizes, np.int64).tobytes())
+
+    def commit(self, messages: list[Written | None]) -> None:
+        """Join the tasks' files; frames without cells get empty maps. The store appears whole, by renaming."""
+        messages = [m for m in messages if m is not None]
+        numbers = lambda data: np.frombuffer(data, np.int64)
+        frames, sizes = (np.concatenate([np.zeros(0, np.int64), *(numbers(getattr(m, k)) for m in messages)]) for k in ("frames", "sizes"))
+        source = np.repeat(np.arange(len(messages)), [len(m.frames) // 8 for m in messages])
+        starts = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(numbers(m.sizes)) - numbers(m.sizes) for m in messages)])
+        order = np.argsort(frames, kind="stable")
+        frames, sizes, source, starts = frames[order], sizes[order], source[order], starts[order]
+        if len(frames) and not np.diff(frames).all():
+            raise ValueError("rows of a frame are not together; sort them by frame within partitions that have whole frames")
+        n = self.layout.frames if self.layout.frames is not None else int(frames[-1]) + 1 if len(frames) else 0
+        empty = self.layout.encoded(np.zeros((0, 6)))
+        every = np.full(n, len(empty), np.int64)
+        every[frames] = sizes
+        head = self.layout.head(every)
+        breaks = (np.diff(source) != 0) | (np.diff(frames) != 1) | (starts[1:] != starts[:-1] + sizes[:-1])
+        ends = [*(np.flatnonzero(breaks) + 1).tolist(), len(frames)] if len(frames) else []
+        fs, name = filesystem(self.path)
+        made = f"{filesystem(self.folder)[1]}/store"
+        done = 0
+        with fs.open_output_stream(made, compression=None) as out:
+
+            def fill(until: int) -> None:
+                for a in range(done, until, 4096):
+                    out.write(empty * (min(until, a + 4096) - a))
+
+            out.write(head)
+            for i, j in zip([0, *ends][: len(ends)], ends, strict=True):
+                fill(int(frames[i]))
+                with fs.open_input_file(messages[source[i]].file) as f:
+                    f.seek(int(starts[i]))
+                    left = int(sizes[i:j].sum())
+                    while left:
+                        data = f.read(min(left, 8 << 20))
+                        if not data:
+                            raise OSError(f"{messages[source[i]].file} is shorter than its task has said")
+                        out.write(data)
+                        left -= len(data)
+                done = int(frames[j - 1]) + 1
+            fill(n)
+            out.write(MAGIC["end"] + struct.pack("<Q", len(head) + int(every.sum())))
+        fs.move(made, name)
+        self.abort([])
+
+    def abort(self, messages: list[Written | None]) -> None:
+        """Delete what tasks have written, those that were given up among them."""
+        fs, folder = filesystem(self.folder)
+        for _ in range(5):  # a task that is being killed may add its file meanwhile
+            try:
+                fs.delete_dir(folder)
+            except FileNotFoundError:
+                return
+            except OSError:
+                continue
+
+
 def write(cells: DataFrame, path: str, height: int, width: int, stride: float = 8.0, threshold: float = 1e-7, level: int = 6, frames: int | None = None, fps: float = 30.0,
           video: tuple[int, int] | None = None, crop: tuple[int, int] | None = None, parts: list[str] | None = None, skeleton: list[tuple[int, int]] = ()) -> None:
-    """Write cells (frame, part, x, y, p[, ox, oy]) above the threshold.
+    """Write cells (frame, part, x, y, p[, ox, oy]) above the threshold, in any order.
 
-    Tasks encode blocks of frames, which are written to the workspace; a store being one file by its format, the driver then copies
-    block after block behind the header. The file appears whole, by renaming. `video` is the size (height, width) of the video, that of
-    the maps in pixels by default; `parts` are all parts by name by default; cells of no part, beyond the map or in frames below 0 or from `frames` on are an error.
+    Blocks of frames are shuffled to the tasks of `Writer`. `video` is the size (height, width) of the video, that of the maps in pixels
+    by default; `parts` are all parts by name by default; cells of no part, beyond the map or in frames below 0 or from `frames` on are
+    an error. Without `frames` the last frame is the last one with a cell above the threshold.
     """
-    import pandas as pd
     from pyspark.sql import functions as F
 
-    spark = cells.sparkSession
-    for c in ("ox", "oy"):
-        if c not in cells.columns:
-            cells = cells.withColumn(c, F.lit(0.0))
-    names = parts if parts is not None else sorted(r["part"] for r in cells.select("part").distinct().collect())
-    n = frames if frames is not None else (cells.agg(F.max("frame")).first()[0] if cells.take(1) else -1) + 1
-    numbers = {p: i for i, p in enumerate(names)}
-
-    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = int(pdf["block"].iloc[0]) * FRAMES_A_PARTITION
-        if not pdf["frame"].dropna().between(0, n - 1).all():
-            raise ValueError("cells in frames that the store does not have")
-        maps = {}
-        pdf = pdf[pdf["p"] > threshold].sort_values(["frame", "part", "y", "x"], kind="stable")
-        if len(pdf) and not (pdf["x"].between(0, width - 1).all() and pdf["y"].between(0, height - 1).all() and set(pdf["part"]) <= set(numbers)):
-            raise ValueError("cells of no part or beyond the map")
-        for (frame, part), g in pdf.groupby(["frame", "part"], sort=False):
-            maps[int(frame), part] = g[["x", "y", "p", "ox", "oy"]].to_numpy(float)
-        none = np.zeros((0, 5))
-        made = [b"".join(_encode(maps.get((f, p), none), height, width, level) for p in names) for f in range(first, min(n, first + FRAMES_A_PARTITION))]
-        return pd.DataFrame({"block": [first // FRAMES_A_PARTITION], "sizes": [[len(x) for x in made]], "data": [b"".join(made)]})
-
-    block = F.floor(F.col("frame") / FRAMES_A_PARTITION).alias("block")
-    kept = cells.select(block, "frame", F.col("part").cast("string").alias("part"), *(F.col(c).cast("long").alias(c) for c in "xy"), *(F.col(c).cast("double").alias(c) for c in ("p", "ox", "oy")))
-    every = spark.range(-(-n // FRAMES_A_PARTITION)).select(F.col("id").alias("block"))
-    kept = every.join(kept, "block", "full_outer").withColumns({"p": F.coalesce("p", F.lit(-1.0))})
-    blocks = materialize(spark, kept.groupBy("block").applyInPandas(encode, "block long, sizes array<long>, data binary"), "store")
-    sizes = [x for r in blocks.select("block", "sizes").orderBy("block").collect() for x in r["sizes"]]
-    head = [MAGIC["file"], MAGIC["header"], _HEADER.pack(n, len(names), height, width, fps, stride, *(video or (int(height * stride), int(width * stride))), *(crop or (NO_CROP, NO_CROP)))]
-    head += [MAGIC["parts"], *(struct.pack("<H", len(p.encode())) + p.encode() for p in names), MAGIC["lookup"], (np.cumsum([0, *sizes])[:-1] if sizes else np.zeros(0)).astype("<u8").tobytes()]
-    if skeleton:
-        head += [MAGIC["skeleton"], struct.pack("<I", len(skeleton)), *(struct.pack("<II", a, b) for a, b in skeleton)]
-    head.append(MAGIC["data"])
-    fs, name = filesystem(path)
-    made = f"{name}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(made, compression=None) as f:
-        f.write(b"".join(head))
-        for r in blocks.select("data").orderBy("block").toLocalIterator():
-            f.write(bytes(r["data"]))
-        f.write(MAGIC["end"] + struct.pack("<Q", sum(map(len, head)) + sum(sizes)))
-    fs.move(made, name)
-    release(spark, blocks)
+    cells.sparkSession.dataSource.register(FrameStore)
+    names = parts if parts is not None else sorted(r["part"] for r in cells.select(F.col("part").cast("string")).distinct().dropna().collect())
+    layout = Layout(height, width, names, stride, threshold, level, frames, fps, video, crop, list(skeleton))
+    kept = cells.select(*(c for c in ("frame", "part", "x", "y", "p", "ox", "oy") if c in cells.columns))
+    together = kept.repartition(F.floor(F.col("frame") / FRAMES_A_PARTITION)).sortWithinPartitions("frame")
+    together.write.format("framestore").mode("overwrite").options(**layout.options()).save(path)
 
 
 @dataclass
@@ -260,10 +394,10 @@ class Reader(DataSourceReader):
                         rows.append((frame, part, a))
                         held += len(a)
                 if held > 20_000:
-                    yield _batch(rows)
+                    yield batch(rows)
                     rows, held = [], 0
             if rows:
-                yield _batch(rows)
+                yield batch(rows)
 
 
 class FrameStore(DataSource):
@@ -277,6 +411,12 @@ class FrameStore(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return Reader(self.options["path"])
 
+    def writer(self, schema, overwrite: bool) -> Writer:
+        """cells.write.format("framestore").options(**Layout(...).options()).mode(...).save(path), once the class is registered."""
+        if missing := {"frame", "part", "x", "y", "p"} - set(schema.fieldNames()):
+            raise ValueError(f"cells without {sorted(missing)}")
+        return Writer(self.options["path"], Layout.of(self.options), overwrite)
+
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The cells of a store; a store appended to a video is found by its trailer."""
@@ -311,10 +451,29 @@ def unpack(text: str, path: str) -> None:
         f.write(base64.b64decode(text))
 
 
+def packed(spark: SparkSession, *paths: str) -> DataFrame:
+    """path, text: stores as text, a row each; paths may be folders or patterns. A store of 2 GB or more does not fit into a row."""
+    from pyspark.sql import functions as F
+
+    return spark.read.format("binaryFile").load(list(paths)).select("path", F.translate(F.base64("content"), "\r\n", "").alias("text"))
+
+
+def packed_cells(stores: DataFrame, chunk: int = FRAMES_A_PARTITION) -> DataFrame:
+    """path and the cells of stores (path, text), decoded `chunk` frames at a time; a null text has none."""
+
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"], strict=True):
+                for b in unpacked(text.as_py(), chunk) if text.is_valid else ():
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(path.as_py(), pa.string()), b.num_rows), *b.columns], names=["path", *b.schema.names])
+
+    return stores.select("path", "text").mapInArrow(cells_of, f"path string, {SCHEMA}")
+
+
 def unpacked(text: str, chunk: int | None = None) -> Iterator[pa.RecordBatch]:
     """The cells of a store given as text, a batch for all frames or for each `chunk` frames."""
     f = io.BytesIO(base64.b64decode(text))
     h = parse_header(f)
     step = chunk or max(1, h.frames)
     for a in range(0, h.frames, step):
-        yield _batch([(frame, part, cells) for frame, maps in _frames(f, h, a, min(h.frames, a + step)) for part, cells in zip(h.parts, maps, strict=True)])
+        yield batch([(frame, part, cells) for frame, maps in _frames(f, h, a, min(h.frames, a + step)) for part, cells in zip(h.parts, maps, strict=True)])
