@@ -1,5 +1,7 @@
 """Passes with carried state, and table functions in SQL."""
 
+import datetime
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from trailmark.functions import tables
 from trailmark.operators import frames, passes
 from trailmark.plans.cells import cells
 from trailmark.sources import framestore
+from trailmark.streaming import poses as streaming
 
 SF = "/root/testdata/sf0.001"
 
@@ -67,3 +70,29 @@ def test_table_functions(spark):
     maps = spark.createDataFrame([(i, "a", bytearray(framestore.encode(m, 6, 8, 6))) for i, m in enumerate(some)] + [(9, "b", None)], "frame long, part string, data binary")
     back = spark.sql("SELECT * FROM decode_maps(TABLE(SELECT * FROM {maps}), 6, 8)", maps=maps).collect()
     assert sorted(map(tuple, back)) == sorted((i, "a", int(x), int(y), p, ox, oy) for i, m in enumerate(some) for x, y, p, ox, oy in m)
+
+
+def test_timed_tracking(spark, tmp_path):
+    """In order it gives what `online` does; the last frame is closed by its timer, late cells change nothing, an idle part starts anew."""
+    kind = "frame long, part string, x long, y long, p double, ts timestamp"
+    at = lambda seconds: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=seconds)
+    walk = [(t, "a", 3 + t, 5, 0.9, at(t)) for t in range(9)] + [(t, "a", 20, 20, 0.2, at(t)) for t in range(9)]
+    batches = [[r for r in walk if r[0] // 3 == k] for k in range(3)]
+    batches += [[(0, "z", 1, 1, 0.5, at(60))], [(4, "a", 9, 9, 0.9, at(4)), (1, "z", 1, 1, 0.5, at(90))], [(1, "z", 2, 1, 0.5, at(2000))], [(2, "z", 2, 1, 0.5, at(9000))], [(0, "a", 7, 7, 0.6, at(9001)), (1, "a", 8, 7, 0.6, at(9002))]]
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, kind).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+    for name in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"):
+        spark.conf.set(name, {"spark.sql.shuffle.partitions": "2"}.get(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"))
+    try:
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        run = lambda df, name: df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(150)
+        run(streaming.timed(stream, 1, 2.0, late="5 seconds", idle=1_000_000), "timed")
+        run(streaming.online(stream.filter("ts < '2024-01-01 00:00:30' AND NOT (frame = 4 AND x = 9)"), 1, 2.0), "in_order")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = sorted((r.frame, r.x, r.y, r.likelihood) for r in spark.table("timed").filter("part = 'a'").collect())
+    before = sorted((r.frame, r.x, r.y, r.likelihood) for r in spark.table("in_order").collect())
+    again = (0, 7.5, 7.5)
+    assert [r for r in got if r[:3] != again][:8] == before and len(before) == 8
+    assert [r[:3] for r in got] == sorted([*((t, 3.5 + t, 5.5) for t in range(9)), again])

@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields
 from typing import Any, Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trailmark.operators import edits, frames, scoring, segments, tracking
 from trailmark.sources import framestore, tables
@@ -154,6 +155,23 @@ def export_maps(cells: DataFrame, folder: str, name: str, height: int, width: in
     return path
 
 
+def export_states(run: tracking.Run, path: str, height: int, width: int, stride: float = frames.STRIDE, planes: str = "all", frame_count: int | None = None) -> list[str]:
+    """Write what the solver holds of each track in the end as a frame store of maps of `height` by `width` cells, and give its part names.
+
+    planes "all" has `<part>_<body>_<plane>` for all three planes, on a canvas with a border of a cell on each side, where hidden places
+    beyond the map's edge are; "Frame" or "Source" has `<part>_<body>` for that one, without a border. Places beyond the canvas are an error.
+    """
+    if planes not in ("all", *tracking.PLANES[:2]):
+        raise ValueError(f"planes: {planes!r}")
+    every = planes == "all"
+    found = run.planes() if every else run.planes().filter(F.col("plane") == planes)
+    names = [f"{part}_{body}{suffix}" for part in run.parts for body in range(run.n) for suffix in ([f"_{p}" for p in tracking.PLANES] if every else [""])]
+    name = F.concat_ws("_", "part", "body", *(["plane"] if every else []))
+    cells = found.select("frame", name.alias("part"), *((F.col(c) + int(every)).alias(c) for c in "xy"), "p", *((F.col(c) * stride).alias(c) for c in ("ox", "oy")))
+    framestore.write(cells, path, height + 2 * every, width + 2 * every, stride, 0.0, frames=frame_count, parts=names)
+    return names
+
+
 def pairs(*lists: list) -> list[tuple]:
     """Inputs that belong together, as tables to videos: lists of one length, or of one element, which goes with all."""
     n = max(map(len, lists), default=0)

@@ -119,6 +119,8 @@ _STATE = "part string, ind long, seen_x array<double>, seen_y array<double>, see
 _STATE_COLUMNS = [c.split()[0] for c in _STATE.split(", ")]
 _POSE = "anchor long, seg_id long, frame long, part string, ind long, x double, y double, p double"
 _POSE_COLUMNS = [c.split()[0] for c in _POSE.split(", ")]
+#: What is exported of a track in a frame (fixed values of the format).
+PLANES = ("Source", "Frame", "Occluded/Edge")
 
 
 def _packed(states: dict) -> list[tuple]:
@@ -134,8 +136,11 @@ def _unpacked(pdf: pd.DataFrame) -> dict:
 class Solver:
     """Poses within chains of segments: a solved segment and the unsolved ones that start from it. Groups are chains, or pieces of them."""
 
-    def __init__(self, parts: list[str], n: int, cfg: viterbi.Settings, algorithm: str = "hungarian", radius: float = 0.0) -> None:
-        self.parts, self.n, self.cfg, self.algorithm, self.radius = parts, n, cfg, algorithm, radius
+    def __init__(self, parts: list[str], n: int, cfg: viterbi.Settings, algorithm: str = "hungarian", radius: float = 0.0, states: bool = False) -> None:
+        """With `states`, each pose has the scores of its track in that frame beside it."""
+        self.parts, self.n, self.cfg, self.algorithm, self.radius, self.states = parts, n, cfg, algorithm, radius, states
+        self.columns = [*_POSE_COLUMNS, *(_STATE_COLUMNS[2:] if states else [])]
+        self.schema = f"{_POSE}, {_STATE.split(', ', 2)[2]}" if states else _POSE
 
     def settings(self, limbs: pd.DataFrame) -> tuple[viterbi.Settings, pd.DataFrame]:
         """The solver's settings and the skeleton of a chain's video; limbs: sigma, part_a, part_b, avg, std."""
@@ -166,13 +171,14 @@ class Solver:
         return out
 
     def poses(self, anchor: int, solved: dict, near, seg) -> pd.DataFrame:
-        rows = [(anchor, seg.get(f, anchor), f, part, i, *viterbi.pose(t, near(f, part, i), self.radius)) for f, tracks in sorted(solved.items()) for (part, i), t in sorted(tracks.items())]
-        return pd.DataFrame(rows, columns=_POSE_COLUMNS)
+        beside = lambda key, t: _packed({key: t})[0][2:] if self.states else ()
+        rows = [(anchor, seg.get(f, anchor), f, *key, *viterbi.pose(t, near(f, *key), self.radius), *beside(key, t)) for f, tracks in sorted(solved.items()) for key, t in sorted(tracks.items())]
+        return pd.DataFrame(rows, columns=self.columns)
 
     def chain(self, cells: pd.DataFrame, limbs: pd.DataFrame) -> pd.DataFrame:
         """A whole chain: its cells, and with a column ind those of its fix frame."""
         if not len(cells):
-            return pd.DataFrame(columns=_POSE_COLUMNS)
+            return pd.DataFrame(columns=self.columns)
         cfg, skeleton = self.settings(limbs)
         own, whole = cells[cells["ind"].notna()], cells[cells["ind"].isna()]
         fix, anchor = int(cells["anchor_fix"].iloc[0]), int(cells["anchor"].iloc[0])
@@ -222,7 +228,7 @@ class Solver:
         return self.poses(int(side["anchor"].iloc[0]), {fix: _unpacked(side[side["role"] == "before"])}, lambda f, part, i: first.get((part, i)), {})
 
 
-def solve_segments(cells: DataFrame, clustered: DataFrame, segs: DataFrame, parts: list[str], n: int, cfg: viterbi.Settings, limbs: DataFrame, chain_frames: int = CHAIN_FRAMES, intermediate=None, algorithm: str = "hungarian", radius: float = 0.0) -> DataFrame:
+def solve_segments(cells: DataFrame, clustered: DataFrame, segs: DataFrame, parts: list[str], n: int, cfg: viterbi.Settings, limbs: DataFrame, chain_frames: int = CHAIN_FRAMES, intermediate=None, algorithm: str = "hungarian", radius: float = 0.0, states: bool = False) -> DataFrame:
     """Poses within each chain of segments; identities agree within a chain only, `stitch` makes chains agree.
 
     segs: video, seg_id, start, end, fix, score; limbs: video, sigma, part_a, part_b, avg, std, a row for each limb and one at least for each video.
@@ -244,7 +250,7 @@ def solve_segments(cells: DataFrame, clustered: DataFrame, segs: DataFrame, part
     ends = keep(chains.groupBy("anchor").agg(F.first("anchor_fix").alias("anchor_fix"), F.first("video").alias("video"), reach.alias("reach")), "chains")
     chains = chains.join(ends.select("anchor", "reach"), "anchor").drop("video")
     longest = ends.agg(F.max("reach")).first()[0] or 0
-    solver = Solver(parts, n, cfg, algorithm, radius)
+    solver = Solver(parts, n, cfg, algorithm, radius, states)
     side = keep(ends.join(limbs, "video").select("anchor", "anchor_fix", "reach", "sigma", "part_a", "part_b", "avg", "std", F.lit("limb").alias("role")), "limbs")
     shared = ["anchor", "anchor_fix", "reach", "seg_id", "frame", "part"]
     placed = segments.frame_to_segment(cells.select("frame", "part", "x", "y", "p"), chains).select(*shared, F.lit(None).cast("long").alias("ind"), *(F.col(c).cast("double").alias(c) for c in ("x", "y", "p")))
@@ -254,7 +260,7 @@ def solve_segments(cells: DataFrame, clustered: DataFrame, segs: DataFrame, part
         return spread(left, "anchor").groupBy("anchor").cogroup(spread(right, "anchor").groupBy("anchor")).applyInPandas(lambda a, b: run(a, b), schema)
 
     short = F.col("reach") <= chain_frames
-    poses = grouped(placed.unionByName(fixes).filter(short), side.filter(short), solver.chain, _POSE)
+    poses = grouped(placed.unionByName(fixes).filter(short), side.filter(short), solver.chain, solver.schema)
     pieces = -(-longest // chain_frames)
     if pieces <= 1:
         return poses
@@ -275,10 +281,10 @@ def solve_segments(cells: DataFrame, clustered: DataFrame, segs: DataFrame, part
         for j in range(pieces - 1, -1, -1):
             borders = before[j] if later is None else before[j].unionByName(later)
             got = keep(grouped(of(j), with_fix(borders), solver.back, f"{_POSE}, {_STATE.split(', ', 2)[2]}, role string"), "piece")
-            found.append(got.filter("role = 'pose'").select(*_POSE_COLUMNS))
+            found.append(got.filter("role = 'pose'").select(*solver.columns))
             later = got.filter("role = 'later'").select(*_STATE_COLUMNS, "anchor", "role")
         start = got.filter("role = 'fix'").select(*_STATE_COLUMNS, "anchor", F.lit("before").alias("role"))
-    found.append(grouped(fixes, with_fix(start), solver.end, _POSE))
+    found.append(grouped(fixes, with_fix(start), solver.end, solver.schema))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -380,7 +386,7 @@ class Run:
     solve: Callable[..., DataFrame]  # cells, clustered, segs -> poses within chains
     recluster: Callable[[DataFrame], DataFrame]
     accept: Callable[[DataFrame], DataFrame]  # cells as they come -> the cells that are tracked
-    finish: Callable[[DataFrame], DataFrame]  # units and keys of the result
+    finish: Callable[..., DataFrame]  # units and keys of the result
     keep: Callable[[DataFrame, str], DataFrame]
     found: DataFrame | None = None
 
@@ -395,6 +401,21 @@ class Run:
         order = stitch(self.poses(), self.segs, components(self.plan, self.parts), self.n)
         return self.finish(self.poses().join(order, ["anchor", "part", "ind"]).select("frame", "part", "body", "x", "y", F.col("p").alias("likelihood")))
 
+    def planes(self) -> DataFrame:
+        """[by,] frame, part, body, plane, x, y, p, ox, oy: what the solver holds of each track in the end, in cells of the tracked table.
+
+        Source has the cells that are tracked (those of all bodies), Frame the scores of the cells and Occluded/Edge those of hidden places,
+        each scaled by the solver; places without a score have no row. ox and oy say how far a place lies from its cell's centre, in cells.
+        """
+        order = self.keep(stitch(self.poses(), self.segs, components(self.plan, self.parts), self.n), "order")
+        tracks = self.keep(self.solve(self.cells, self.clustered, self.segs, states=True).join(order, ["anchor", "part", "ind"]), "tracks")
+        scores = lambda plane, c: tracks.select("frame", "part", "body", F.lit(plane).alias("plane"), F.explode(F.arrays_zip(f"{c}_x", f"{c}_y", c)).alias("v")).select("frame", "part", "body", "plane", F.col(f"v.{c}_x").alias("x"), F.col(f"v.{c}_y").alias("y"), F.exp(f"v.{c}").alias("p"))
+        source = tracks.select("frame", "part", "body", F.lit(PLANES[0]).alias("plane")).join(self.cells.select("frame", "part", F.col("x") + 0.5, F.col("y") + 0.5, "p").toDF("frame", "part", "x", "y", "p"), ["frame", "part"])
+        every = source.union(scores(PLANES[1], "seen")).union(scores(PLANES[2], "hidden")).filter("p > 0")
+        cell = {c: F.floor(c) for c in "xy"}
+        every = every.select("frame", "part", "body", "plane", *(v.alias(c) for c, v in cell.items()), "p", *((F.col(c) - v - 0.5).alias(f"o{c}") for c, v in cell.items()))
+        return self.finish(every, scaled=False)
+
     def rerun(self, changes: DataFrame) -> Run:
         """This run with the cells of some frames and parts replaced by `changes` (frame, part, x, y, p), as a user's edits leave them.
 
@@ -490,11 +511,11 @@ def prepared(
     plan = keep(plan, "plan")
     unit = map_stride / fine * downscaling if pixels else 1 / fine
 
-    def finish(placed: DataFrame) -> DataFrame:
-        placed = placed if unit == 1 else placed.withColumns({c: F.when(F.col(c) >= 0, F.col(c) * unit).otherwise(F.col(c)) for c in ("x", "y")})
+    def finish(placed: DataFrame, scaled: bool = True) -> DataFrame:
+        placed = placed if unit == 1 or not scaled else placed.withColumns({c: F.when(F.col(c) >= 0, F.col(c) * unit).otherwise(F.col(c)) for c in ("x", "y")})
         if videos is None:
             return placed
-        return placed.withColumn("_video", video).join(videos, "_video").select(*by, (F.col("frame") - F.shiftleft("_video", STEP_BITS)).alias("frame"), "part", "body", "x", "y", "likelihood")
+        return placed.withColumn("_video", video).join(videos, "_video").select(*by, (F.col("frame") - F.shiftleft("_video", STEP_BITS)).alias("frame"), *(c for c in placed.columns if c not in (*by, "frame")))
 
-    solve = lambda c, k, g: solve_segments(c, k, g, parts, n, solver, plan, chain_frames, keep, algorithm, relaxed_radius)
+    solve = lambda c, k, g, states=False: solve_segments(c, k, g, parts, n, solver, plan, chain_frames, keep, algorithm, relaxed_radius, states)
     return Run(sparse, clustered, segs, plan, parts, n, solve, recluster, accept, finish, keep)

@@ -590,6 +590,12 @@ def track_individuals(c, spark, sf_dir):
     return tracking.track(spark, c, 2)
 
 
+@query()
+def final_states(c, spark, sf_dir):
+    """What the solver holds of each track in the end: source cells, scores of cells and scores of hidden places."""
+    return tracking.prepared(spark, c, 2).planes()
+
+
 @query()
 def track_videos(c, spark, sf_dir):
     """Three videos in one table, each tracked as if it were alone."""
