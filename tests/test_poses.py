@@ -187,3 +187,10 @@ def test_symmetric_and_bounds(spark):
     assert (back.x, back.y) == (3, 5)
     share = scoring.bound_normalised(spark.createDataFrame([(0, 10.0)], "frame long, score double"), 0.5, 40, 10, 2).first().share
     assert share == pytest.approx(10 / (0.5 * 20 * 2))
+
+
+def test_places_of_one_side_only(spark):
+    """A place that the right side has goes, however often the left side has it."""
+    left = spark.createDataFrame([(0, "a", 1, 1), (0, "a", 1, 1), (0, "a", 2, 1), (0, "a", 2, 1), (0, "a", None, 1)], "frame long, part string, x long, y long")
+    right = spark.createDataFrame([(0, "a", 1, 1), (0, "a", 3, 1)], left.schema)
+    assert sorted(frames.only_left(left, right).collect(), key=str) == sorted([(0, "a", 2, 1), (0, "a", None, 1)], key=str)

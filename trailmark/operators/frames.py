@@ -163,7 +163,7 @@ def all_places(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def only_left(left: DataFrame, right: DataFrame) -> DataFrame:
-    return places(left).exceptAll(places(right).distinct()).distinct()
+    return places(left).subtract(places(right))
 
 
 def lookup(cells: DataFrame, wanted: DataFrame, default: float = 0.0) -> DataFrame:
