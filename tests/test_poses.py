@@ -194,3 +194,20 @@ def test_places_of_one_side_only(spark):
     left = spark.createDataFrame([(0, "a", 1, 1), (0, "a", 1, 1), (0, "a", 2, 1), (0, "a", 2, 1), (0, "a", None, 1)], "frame long, part string, x long, y long")
     right = spark.createDataFrame([(0, "a", 1, 1), (0, "a", 3, 1)], left.schema)
     assert sorted(frames.only_left(left, right).collect(), key=str) == sorted([(0, "a", 2, 1), (0, "a", None, 1)], key=str)
+
+
+def test_max_product_of_crowded_places(spark):
+    """Against all pairs, with missing values; and many cells on few places."""
+    rng = random.Random(6)
+    rows = [(f, "a", i, rng.choice([None, *range(5)]), rng.choice([None, 0.5, 2.25, 7.0]), rng.choice([None, 0.0, rng.random()])) for f in (0, 1, 3, 4) for i in range(40)]
+    got = motion.max_product(spark.createDataFrame(rows, "frame long, part string, ind long, x long, y double, p double"), 4.0).collect()
+    want = {}
+    for f, _, i, x, y, _ in rows:
+        if f in (1, 4):
+            scores = [np.log(r[5]) - ((x - r[3]) ** 2 + (y - r[4]) ** 2) / 32 for r in rows if r[0] == f - 1 and r[5] and None not in (x, y, r[3], r[4])]
+            want[f, i] = max(scores, default=None)
+    assert len(got) == len(want) and all((r.best is None) == (want[r.frame, r.ind] is None) and (r.best is None or abs(r.best - want[r.frame, r.ind]) < 1e-9) for r in got)
+    # All pairs would be 4 * 10^10 here.
+    crowd = spark.range(400_000).selectExpr("id div 200000 AS frame", "'a' AS part", "id % 200000 AS ind", "id % 4 AS x", "id div 4 % 3 AS y", "0.5D AS p")
+    met = motion.max_product(crowd, 4.0).agg(F.count("best").alias("n"), F.min("best").alias("low"), F.max("best").alias("high")).first()
+    assert met.n == 200_000 and met.low == met.high == np.log(0.5)

@@ -133,10 +133,22 @@ def skeleton_components(edges: DataFrame) -> DataFrame:
 
 
 def max_product(points: DataFrame, sigma: float) -> DataFrame:
-    """frame, part, ind, best: the best of the previous frame's points' log probability plus the log of the Gaussian move from there."""
-    pairs = points.join(previous(points, "part"), ["frame", "part"])
-    score = F.when(F.col("pp") > 0, F.log("pp")) - ((F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2) / (2 * sigma * sigma)
-    return pairs.groupBy("frame", "part", "ind").agg(F.max(score).alias("best"))
+    """frame, part, ind, best: the best of the previous frame's points' log probability plus the log of the Gaussian move from there.
+
+    Of points at one place the likeliest counts, and the move is one along x followed by one along y: the work grows with the places
+    of a map and its sides, not with the pairs of points. Missing coordinates and probabilities give no score, but keep the row.
+    """
+    group = ["frame", "part"]
+    along = lambda at, came: (F.col(at) - F.col(came)) ** 2 / (2 * sigma * sigma)
+    places = points.select(*group, "x", "y").distinct()
+    before = previous(points, "part").groupBy(*group, "px", "py").agg(F.max("pp").alias("pp"))
+    logs = before.select(*group, "px", "py", F.when(F.col("pp") > 0, F.log("pp")).alias("s"))
+    rows = places.select(*group, "x").distinct().join(logs, group).groupBy(*group, "x", "py").agg(F.max(F.col("s") - along("x", "px")).alias("s"))
+    rows = rows.select(*group, F.col("x").alias("_x"), "py", "s")
+    moved = places.join(rows, group).filter(F.col("x").eqNullSafe(F.col("_x"))).groupBy(*group, "x", "y").agg(F.max(F.col("s") - along("y", "py")).alias("best"))
+    moved = moved.select(*group, F.col("x").alias("_x"), F.col("y").alias("_y"), "best")
+    met = points.join(moved, group).filter(F.col("x").eqNullSafe(F.col("_x")) & F.col("y").eqNullSafe(F.col("_y")))
+    return met.groupBy(*group, "ind").agg(F.max("best").alias("best"))
 
 
 def fit_skeleton(points: DataFrame, edges: DataFrame, size: float = 2.0, video: Column | None = None) -> DataFrame:
