@@ -223,3 +223,15 @@ def test_pages(spark):
     by = {r.page_id: r for r in got}
     assert by[1].text == by[None].text == "A & B One two three bold. Next!" and by[1].n_chars == 31
     assert by[2].text == by[3].text == "" and by[4].n_chars == 499_999
+
+
+def test_quality_learns_from_every_row(spark):
+    """All 5,000 labelled rows count, few of them with a word that tells the class, at the end of long texts; a fifth of all 5,000 others is taught."""
+    from pyspark.sql import functions as F
+
+    end = F.when(F.col("id") % 100 > 1, "").otherwise(F.concat(F.repeat(F.lit(" plain words here"), 1000), F.when(F.col("id") % 2 == 0, " zqz").otherwise(" xkx")))
+    rows = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("plain words here"), end).alias("text"), F.lit("s").alias("source"))
+    model = cotraining.fit(spark, rows, rows.filter("doc_id < 5000").selectExpr("doc_id", "1 - doc_id % 2 AS quality"))
+    assert model.prior == 0.5 and all(abs(good + bad - 1000) < 2 for step, _, good, bad, _ in model.added if step == 0)
+    gram = lambda w: model.odds[cotraining._trigrams(np.frombuffer(w, np.uint8))[0]]
+    assert gram(b"zqz") > 1e-4 and gram(b"xkx") < -1e-4
