@@ -235,3 +235,15 @@ def test_quality_learns_from_every_row(spark):
     assert model.prior == 0.5 and all(abs(good + bad - 1000) < 2 for step, _, good, bad, _ in model.added if step == 0)
     gram = lambda w: model.odds[cotraining._trigrams(np.frombuffer(w, np.uint8))[0]]
     assert gram(b"zqz") > 1e-4 and gram(b"xkx") < -1e-4
+
+
+def test_language_counts_every_row(spark):
+    """The counts are those of all texts, whole, of a language: 2,000 rows and one of 30,000 characters."""
+    rng = random.Random(4)
+    texts = {x: [" ".join("".join(rng.choice(a) for _ in range(rng.randint(1, 6))) for _ in range(3)) for _ in range(2000)] for x, a in (("u", "abcdeÀ"), ("v", "cdefg\U00010400"))}
+    texts["u"].append("qrst " * 6000)
+    docs = spark.createDataFrame([(i, t, x) for x in texts for i, t in enumerate(texts[x])], "doc_id long, text string, lang string")
+    got, want = language_id.fit(spark, docs), language_id.Model(texts)
+    assert got.languages == want.languages and np.isfinite(got.limit).all() and (got.mean > 0).all()
+    for name in ("keys", "logp", "contexts", "backoff"):
+        assert all(np.array_equal(a, b) for a, b in zip(getattr(got, name), getattr(want, name), strict=True)), name

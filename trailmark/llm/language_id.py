@@ -8,9 +8,10 @@ binary search, and more only where its longest n-gram is new. The language with
 
 Every text begins as if spaces came before it, so that nothing depends on the rows that happen to lie beside it.
 
-The score is the winner's posterior with a temperature fitted on a calibration split of the training rows; a text is
+The n-grams of all rows with a language are counted, whole texts, by two halves of the rows (by a hash of the text). The score is the
+winner's posterior with a temperature fitted on all these rows, each scored by a model of the other half; a text is
 rejected if its cross-entropy, shrunk towards its language's mean by `PRIOR` characters, exceeds that mean by more than `SLACK` times
-what all but a share `ODD` of the language's calibration texts do (and by more than `LEAST` nats a character).
+what all but a share `ODD` of the language's texts do (and by more than `LEAST` nats a character).
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm import texthash as th
+from trailmark.session import materialize, release
 
 ORDER = 4
-#: The training sample: so many rows over all languages, so many a language; of a longer text a piece of so many characters.
-SAMPLE_ROWS, SAMPLE_A_LANGUAGE, SAMPLE_CHARS = 4000, 800, 5000
+#: Temperatures to choose from, and bins of one nat in which excesses are counted.
+TEMPERATURES, BINS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0), 1000
 UNKNOWN = "und"
 PRIOR, SLACK, ODD, LEAST = 20, 1.5, 0.01, 0.6
 _SALT = [np.uint64(0x9E3779B97F4A7C15 * (n + 1) & th.MASK) for n in range(ORDER + 2)]
@@ -89,23 +91,64 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
 
+def _hashed(grams: np.ndarray) -> np.ndarray:
+    """The hash, as `_rolling` has it, of each row's characters."""
+    n = grams.shape[1]
+    acc, power = np.zeros(len(grams), np.uint64), 1
+    for d in range(n):
+        acc = acc + th.mix(grams[:, n - 1 - d].astype(np.uint64) + np.uint64(77)) * np.uint64(power)
+        power = power * _STEP & th.MASK
+    return acc ^ _SALT[n - 1] if n else acc
+
+
+def count_grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of all texts, a row of code points each, and how often they occur; before each text come spaces."""
+    codes, first, _ = characters(texts)
+    padded = np.insert(codes, np.repeat(first[:-1], order - 1), 32)
+    place = np.arange(len(codes)) + (order - 1) * np.repeat(np.arange(1, len(texts) + 1), np.diff(first))
+    present = np.zeros(0x110000, bool)
+    present[padded.astype(np.int64)] = True
+    alphabet = np.flatnonzero(present)
+    bits = max(1, int(len(alphabet) - 1).bit_length())
+    if bits * order > 64:  # more characters than a packed number can tell
+        return np.unique(np.stack([padded[place - d] for d in range(order - 1, -1, -1)], 1), axis=0, return_counts=True)
+    small = np.zeros(0x110000, np.uint64)
+    small[alphabet] = np.arange(len(alphabet), dtype=np.uint64)
+    small = small[padded.astype(np.int64)]
+    keys = np.zeros(len(place), np.uint64)
+    for d in range(order - 1, -1, -1):
+        keys = keys << np.uint64(bits) | small[place - d]
+    keys, counts = np.unique(keys, return_counts=True)
+    shifts = np.arange(order - 1, -1, -1).astype(np.uint64) * np.uint64(bits)
+    return alphabet[(keys[:, None] >> shifts & np.uint64((1 << bits) - 1)).astype(np.int64)].astype(np.uint64), counts
+
+
 class Model:
-    """The languages' models in shared sorted arrays."""
+    """The languages' models in shared sorted arrays, of sample texts or of `count_grams` of each language's texts."""
 
     def __init__(self, samples: dict[str, list[str]], order: int = ORDER) -> None:
-        self.order, self.languages = order, sorted(samples)
+        self._build({lang: count_grams(texts, order) for lang, texts in samples.items()}, order)
+
+    @classmethod
+    def of_counts(cls, counted: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER) -> Model:
+        model = cls.__new__(cls)
+        model._build(counted, order)
+        return model
+
+    def _build(self, counted: dict[str, tuple[np.ndarray, np.ndarray]], order: int) -> None:
+        self.order, self.languages = order, sorted(counted)
         n_lang = len(self.languages)
         grams: list[list] = [[] for _ in range(order + 1)]  # by order: for each language (hashes, counts, contexts, suffixes)
         for lang in self.languages:
-            codes, starts, _ = characters(samples[lang])
-            h = _rolling(codes, order, starts)
-            keys, first, counts = np.unique(h[order], return_index=True, return_counts=True)
+            chars, counts = counted[lang]
+            keys, pick = np.unique(_hashed(chars), return_index=True)
+            chars, counts = chars[pick], counts[pick]
             for n in range(order, 0, -1):
-                context, suffix = _contexts(h, n, starts)[first], h[n - 1][first]
-                grams[n].append((keys, counts.astype(float), context, suffix, first))
+                suffix = _hashed(chars[:, 1:])
+                grams[n].append((keys, counts.astype(float), _hashed(chars[:, :-1]), suffix))
                 if n > 1:  # continuation counts: the distinct n-grams that end in each (n - 1)-gram
                     keys, pick, counts = np.unique(suffix, return_index=True, return_counts=True)
-                    first = first[pick]
+                    chars = chars[pick, 1:]
         self.keys, self.logp, self.contexts, self.backoff = [np.zeros(0, np.uint64)], [np.zeros((0, n_lang), np.float32)], [np.zeros(0, np.uint64)], [np.zeros((0, n_lang), np.float32)]
         below = np.full((0, n_lang), 0.0)
         self.floor = np.empty(n_lang, np.float32)
@@ -118,7 +161,7 @@ class Model:
                 context[at], suffix[at] = g[2], g[3]
             p, gamma = np.zeros((len(keys), n_lang)), np.ones((len(seen), n_lang))
             lower = below[np.searchsorted(self.keys[n - 1], suffix)] if n > 1 else None
-            for j, (k, c, ctx, _, _) in enumerate(grams[n]):
+            for j, (k, c, ctx, _) in enumerate(grams[n]):
                 at, where = np.searchsorted(keys, k), np.searchsorted(seen, ctx)
                 total, types = np.bincount(where, c, len(seen)), np.bincount(where, minlength=len(seen))
                 n1, n2 = float((c == 1).sum()), float((c == 2).sum())
@@ -172,30 +215,6 @@ class Model:
         n = np.diff(first)
         return -sums / np.maximum(n, 1)[:, None], n, letters
 
-    def calibrate(self, texts: list[str], langs: list[str]) -> None:
-        h, n, letters = self.cross_entropies(texts)
-        truth = np.array([self.languages.index(x) for x in langs])
-        good = letters > 0
-        h, n, truth = h[good], n[good], truth[good]
-        if not len(h):
-            return
-        weight = np.minimum(n, 200)[:, None]
-        loss = {}
-        for t in (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0):
-            z = -h * weight * t
-            z -= z.max(1, keepdims=True)
-            loss[t] = float((np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), truth]).mean())
-        self.temperature = min(loss, key=loss.get)
-        own = h[np.arange(len(h)), truth]
-        for j in range(len(self.languages)):
-            x, m = own[truth == j], n[truth == j]
-            if len(x):
-                self.mean[j] = np.average(x, weights=m)
-        excess = self._excess(own, n, truth)
-        for j in range(len(self.languages)):
-            x = np.sort(excess[truth == j])
-            self.limit[j] = max(LEAST, SLACK * x[len(x) - 1 - int(ODD * len(x))]) if len(x) else np.inf
-
     def _excess(self, h: np.ndarray, n: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Nats a character above the language's mean, shrunk as if that mean had been seen over PRIOR more characters."""
         return (h - self.mean[j]) * n / (n + PRIOR)
@@ -213,42 +232,101 @@ class Model:
         return [UNKNOWN if x else self.languages[i] for x, i in zip(none, best, strict=True)], np.where(none, 0.0, score), rejected
 
 
-def fit(spark: SparkSession, docs: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_A_LANGUAGE, chars: int = SAMPLE_CHARS) -> Model | None:
-    """A model from a sample, thinned by a hash of doc_id, of the rows of `docs` (doc_id, text, lang); None without any.
+def _strings(grams: np.ndarray) -> pa.Array:
+    """Rows of code points as strings."""
+    size = (1 + (grams >= 0x80).astype(np.int32) + (grams >= 0x800) + (grams >= 0x10000)).sum(1)
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(grams), pa.py_buffer(offsets), pa.py_buffer(grams.astype("<u4").tobytes().decode("utf-32-le").encode()))
+
+
+def counts(rows: DataFrame) -> DataFrame:
+    """lang, half, gram, n: how often each n-gram occurs in the texts of `rows` (lang, half, text) of a language and a half."""
+
+    def run(batches):
+        for batch in batches:
+            for part in th.slices(batch.select(["lang", "half", "text"]), "text", most=4 << 20):
+                groups: dict[tuple[str, int], list[str]] = {}
+                for lang, half, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    groups.setdefault((lang, half), []).append(text)
+                for (lang, half), texts in groups.items():
+                    grams, n = count_grams(texts)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), half, np.int32)), _strings(grams), pa.array(n.astype(np.int64))], names=["lang", "half", "gram", "n"])
+
+    return rows.mapInArrow(run, "lang string, half int, gram string, n long").groupBy("lang", "half", "gram").agg(F.sum("n").alias("n"))
+
+
+def _losses(rows: DataFrame, halves: list[Model]) -> DataFrame:
+    """lang, own (nats a character in it), chars and the loss at each temperature of every row, by the model of the other half, where that
+    has the language."""
+    shared = rows.sparkSession.sparkContext.broadcast(halves)
 
-    The sample has about `rows` rows in all and `most` a language (five a language at least, so that the driver holds as much as
-    there are languages beyond rows / 5); of a text of more than `chars` characters it has a piece of that length, at a place that the
-    hash tells. A fifth of it calibrates. Every language that occurs with a letter is learned. Null and `und` are no languages.
+    def run(batches):
+        for batch in batches:
+            for part in th.slices(batch.select(["lang", "half", "text"]), "text", most=2 << 20):
+                lang, half, text = (c.to_pylist() for c in part.columns)
+                for k, model in enumerate(shared.value):
+                    index = {x: j for j, x in enumerate(model.languages)}
+                    at = [i for i, x in enumerate(lang) if half[i] != k and x in index]
+                    if at:
+                        h, n, _ = model.cross_entropies([text[i] for i in at])
+                        truth = np.array([index[lang[i]] for i in at])
+                        own, loss = h[np.arange(len(at)), truth], []
+                        for t in TEMPERATURES:
+                            z = -h * np.minimum(n, 200)[:, None] * t
+                            z -= z.max(1, keepdims=True)
+                            loss.append(np.log(np.exp(z).sum(1)) - z[np.arange(len(at)), truth])
+                        yield pa.RecordBatch.from_arrays([pa.array([lang[i] for i in at], pa.string()), pa.array(own), pa.array(n.astype(np.int64)), *map(pa.array, loss)], names=["lang", "own", "chars", *(f"loss{i}" for i in range(len(loss)))])
+
+    return rows.mapInArrow(run, "lang string, own double, chars long" + "".join(f", loss{i} double" for i in range(len(TEMPERATURES))))
+
+
+def fit(spark: SparkSession, docs: DataFrame) -> Model | None:
+    """A model from all rows of `docs` (text, lang) with a language and a letter, whole texts; None without any.
+
+    Null and `und` are no languages. The driver holds the n-grams' counts, as many as there are different ones in each language, not
+    the rows. Each row calibrates by the model of the other half; a language that only one half has is never rejected.
     """
-    usable = docs.select(F.col("doc_id").cast("string").alias("k"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    hashed = F.pmod(F.xxhash64(F.coalesce("k", F.lit("")), F.lit(17)), F.lit(1 << 30))
-    place = F.pmod(F.xxhash64(F.coalesce("k", F.lit("")), F.lit(18)), F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
-    usable = usable.filter(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN)).withColumn("text", F.when(F.length("text") > chars, F.col("text").substr(place, F.lit(chars))).otherwise(F.col("text")))
-    usable = usable.filter(F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return None
-    each = max(5, min(most, rows // len(counts)))
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        keep = keep | ((F.col("lang") == lang) & (hashed < int(min(1.0, each / n) * (1 << 30))))
-    sample = usable.filter(keep).select("text", "lang", hashed.alias("h")).orderBy("h", "lang", "text").limit(2 * each * len(counts) + len(counts)).collect()
-    train: dict[str, list[str]] = {}
-    held: list[tuple[str, str]] = []
-    seen: dict[str, int] = {}
-    for r in sample:
-        seen[r["lang"]] = seen.get(r["lang"], 0) + 1
-        if seen[r["lang"]] % 5:
-            train.setdefault(r["lang"], []).append(r["text"])
-        else:
-            held.append((r["text"], r["lang"]))
-    if not train:
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).withColumn("half", F.pmod(F.xxhash64("text", F.lit(17)), F.lit(2)).cast("int"))
+    rows = rows.filter(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").rlike(r"\p{L}"))
+    got = counts(rows).toArrow()
+    if not got.num_rows:
         return None
-    model = Model(train)
-    model.calibrate([t for t, _ in held], [x for _, x in held])
+    chars = np.frombuffer("".join(got["gram"].to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+    n, half, lang = got["n"].to_numpy(), got["half"].to_numpy(), got["lang"].combine_chunks().dictionary_encode()
+    names, of = lang.dictionary.to_pylist(), lang.indices.to_numpy()
+    order = np.lexsort((half, of))
+    bounds = np.searchsorted(2 * of[order] + half[order], np.arange(2 * len(names) + 1))
+    parts = [{x: (chars[at], n[at]) for j, x in enumerate(names) if len(at := order[bounds[2 * j + k] : bounds[2 * j + k + 1]])} for k in (0, 1)]
+    whole = {x: order[bounds[2 * j] : bounds[2 * j + 2]] for j, x in enumerate(names)}
+    model = Model.of_counts({x: _added(chars[at], n[at]) for x, at in whole.items()})
+    if not all(parts):
+        return model
+    losses = materialize(spark, _losses(rows, [Model.of_counts(p) for p in parts]), "losses")
+    sums = losses.groupBy("lang").agg(F.sum(F.col("own") * F.col("chars")).alias("own"), F.sum("chars").alias("chars"), *(F.sum(f"loss{i}").alias(f"loss{i}") for i in range(len(TEMPERATURES)))).toArrow().sort_by("lang")
+    if sums.num_rows:
+        model.temperature = TEMPERATURES[int(np.argmin([np.sum(sums[f"loss{i}"].to_numpy()) for i in range(len(TEMPERATURES))]))]
+        mean = {x: a / b for x, a, b in zip(*(sums[c].to_pylist() for c in ("lang", "own", "chars")), strict=True)}
+        model.mean = np.array([mean.get(x, 0.0) for x in model.languages])
+        means = spark.createDataFrame(list(mean.items()), "lang string, mean double")
+        over = F.ceil((F.col("own") - F.col("mean")) * F.col("chars") / (F.col("chars") + PRIOR) * BINS)
+        bins: dict[str, list[tuple[int, int]]] = {}
+        for r in losses.join(F.broadcast(means), "lang").groupBy("lang", over.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect():
+            bins.setdefault(r["lang"], []).append((r["bin"], r["n"]))
+        for x, some in bins.items():
+            some.sort()
+            upto = np.cumsum([k for _, k in some])
+            at = int(np.searchsorted(upto, upto[-1] - 1 - int(ODD * upto[-1]), "right"))
+            model.limit[model.languages.index(x)] = max(LEAST, SLACK * some[at][0] / BINS)
+    release(spark, losses)
     return model
 
 
+def _added(chars: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of both halves with the sums of their counts."""
+    _, first, where = np.unique(_hashed(chars), return_index=True, return_inverse=True)
+    return chars[first], np.bincount(where, n)
+
+
 def identify(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFrame:
     """`docs` (text and any other columns) with lang_pred, score and rejected.
 
