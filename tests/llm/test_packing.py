@@ -1,5 +1,6 @@
 """Packing: a round trip of all ids, full windows, the mixture."""
 
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -131,6 +132,22 @@ def test_cached_words_on_random_strings():
         assert np.frombuffer(b, mine.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_plain_words_skip_the_normaliser(monkeypatch):
+    """Words of ASCII letters are not encoded by the file's own steps, and have the same ids; a file with other steps has no short way."""
+    tok = Tokenizer.from_file(PATH)
+    mine = packing.CachedTokenizer(PATH)
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 25))) for _ in range(5000)] + ["x" * 3000]
+    seen = []
+    monkeypatch.setattr(mine, "tokenizer", type("Spy", (), {"encode": lambda self, t, **k: seen.append(t) or tok.encode(t, **k)})())
+    texts = [" ".join(words), "Don't", *words]
+    assert [np.frombuffer(b, mine.dtype).tolist() for b in mine.ids(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert " ".join(seen) == "Don't"
+    file = json.loads(tok.to_str())
+    assert packing._plain(file)[0] and packing._plain(file | {"normalizer": {"type": "NFKC"}})[0] is None and packing._plain(file | {"pre_tokenizer": None})[0] is None
+
+
 def test_odd_rows(spark, odd, none):
     got = packing.pack(spark, odd, PATH).collect()
     assert sum(p.length for p in got if p.doc_id == 1) == 1 and sum(p.length for p in got if p.doc_id == 5) == 2 * next(p.doc_tokens for p in got if p.doc_id == 5)

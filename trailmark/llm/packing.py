@@ -16,6 +16,7 @@ task needs a whole queue. Token ids are written once and shuffled once, to meet
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -41,12 +42,30 @@ _PIECE = re.compile(r"[^\W_İ]++(?:(?=[!-&(-/:-@\[-`{-~])|[^ \t\n\r]*+)|[^ \t\n\
 _tokenizers: dict = {}
 
 
+def _plain(file: dict) -> tuple:
+    """(a tokenizer for words of ASCII letters with a space between them, whether they are put in lower case first, the suffix of tokens that end
+    a word), or (None, False, "") where the file has steps that may do anything else to such words."""
+    from tokenizers import Tokenizer
+
+    steps = lambda x, name: [] if x is None else x[name] if x["type"] == "Sequence" else [x]
+    before, cut, model = steps(file["normalizer"], "normalizers"), steps(file["pre_tokenizer"], "pretokenizers"), file["model"]
+    white = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    split = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+    bytes_ = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    usual = all(x == white or x["type"] in ("NFC", "Lowercase") for x in before) and cut == [split, bytes_] and model["type"] == "BPE" and model["end_of_word_suffix"] and not model["dropout"]
+    if not usual or any(x["content"].strip().isalpha() for x in file["added_tokens"]):
+        return None, False, ""
+    tokenizer = Tokenizer.from_str(json.dumps(file | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+    return tokenizer, any(x["type"] == "Lowercase" for x in before), model["end_of_word_suffix"]
+
+
 class CachedTokenizer:
     """Token ids of texts by a `tokenizers` file whose pieces never span white space; equal words are encoded once.
 
     Texts are cut at spaces, tabs and line ends, and where a letter or digit is followed by ASCII punctuation other than
     an apostrophe; there such tokenizers always begin a new piece. Pieces not met before are encoded many to a string and told apart
-    by the tokens' offsets. Tokenizers of another kind (spanning=True) encode whole texts.
+    by the tokens' offsets; pieces of ASCII letters only by the tokens that end a word, and, where the file has the usual steps (`_plain`),
+    without its normaliser and patterns, which leave such pieces whole. Tokenizers of another kind (spanning=True) encode whole texts.
     """
 
     def __init__(self, path: str, spanning: bool = False) -> None:
@@ -55,10 +74,28 @@ class CachedTokenizer:
 
         self.tokenizer, self.spanning = Tokenizer.from_file(path), spanning
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.plain, self.lower, suffix = _plain(json.loads(self.tokenizer.to_str()))
+        if self.plain:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.cache: dict[str, bytes] = {"": b""}
         self.held = 0
 
+    def _learn_plain(self, words: list[str]) -> None:
+        width = np.dtype(self.dtype).itemsize
+        for a in range(0, len(words), 2048):
+            part = words[a : a + 2048]
+            text = " ".join(part)
+            ids = np.array(self.plain.encode_batch_fast([text.lower() if self.lower else text], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
+            raw = ids.tobytes()
+            self.cache.update(zip(part, [raw[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+            self.held += len(text) + len(raw) + 200 * len(part)
+
     def _learn(self, words: list[str]) -> None:
+        if self.plain:
+            self._learn_plain([w for w in words if w.isascii() and w.isalpha()])
+            words = [w for w in words if not (w.isascii() and w.isalpha())]
         for a in range(0, len(words), 512):
             part = words[a : a + 512]
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
