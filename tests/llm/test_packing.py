@@ -1,5 +1,6 @@
 """Packing: a round trip of all ids, full windows, the mixture."""
 
+import itertools
 import json
 import random
 import zlib
@@ -8,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 from trailmark.llm import packing
 from trailmark.session import table
@@ -148,6 +150,50 @@ def test_plain_words_skip_the_normaliser(monkeypatch):
     assert packing._plain(file)[0] and packing._plain(file | {"normalizer": {"type": "NFKC"}})[0] is None and packing._plain(file | {"pre_tokenizer": None})[0] is None
 
 
+def test_equal_words_are_one_object():
+    """Copies of a word, in upper or lower case or before punctuation, are told apart from others on bytes: one entry for all."""
+    tok = Tokenizer.from_file(PATH)
+    mine = packing.CachedTokenizer(PATH)
+    texts = ["Word word WORD, word.", "É é, É. (word", None, "", " \n"]
+    to, data = mine.encode(pa.array(texts), b"\2\0")
+    assert set(mine.cache) == {b"word", b",", b".", "É".encode(), "é".encode(), b"(word"}
+    want = [[*tok.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert np.frombuffer(data, mine.dtype).tolist() == sum(want, []) and to.tolist() == np.cumsum([0, *(2 * len(x) for x in want)]).tolist()
+
+
+def test_letters_that_come_apart():
+    """Letters that normalisation turns into a letter and a mark, capital letters before marks and apostrophes, added tokens in capital letters."""
+    tok = Tokenizer.from_file(PATH)
+    mine = packing.CachedTokenizer(PATH)
+    texts = ["\u0958.", "a\u0958,b", "\ufb1d.", "İ.", "H\u0331 h\u0331", "IT'S It's it's", "<|EndOfText|> <|endoftext|>", "A<|ENDOFTEXT|>b", "x<|startoftext|>,y", "ΑΣ.Α Σ,", "🙂.a", ".é", "a|b.c"]
+    for t in [*texts, " ".join(texts[:5])]:
+        assert np.frombuffer(mine.ids([t])[0], mine.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    assert mine.ids(texts) == packing.CachedTokenizer(PATH, spanning=True).ids(texts)
+
+
+def test_cuts_and_latin_letters():
+    """All characters that a cut may follow, and all words of the short way's letters, against the file's own encoding."""
+    tok = Tokenizer.from_file(PATH)
+    mine = packing.CachedTokenizer(PATH)
+    wholes = [chr(i) for i in np.flatnonzero(packing._wholes())]
+    texts = [f"{c}. x{c},{c.upper()}-" for c in wholes] + [f"{c} a{c} {c}a {c}{d}" for c, d in itertools.pairwise(map(chr, range(0x41, 0x250))) if not c.isspace()]
+    for t, b, e in zip(texts, mine.ids(texts), tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(b, mine.dtype).tolist() == e.ids, repr(t)
+
+
+def test_generations_of_words(monkeypatch):
+    """Words that come again stay, others go, and ids are the same."""
+    tok = Tokenizer.from_file(PATH)
+    monkeypatch.setattr(packing, "CACHE_BYTES", 2000)
+    mine = packing.CachedTokenizer(PATH)
+    learned = []
+    monkeypatch.setattr(mine, "_learn", lambda words, real=mine._learn: learned.extend(words) or real(words))
+    for i in range(200):
+        t = f"again and again word{i}x other{i}y é{i}"
+        assert np.frombuffer(mine.ids([t])[0], mine.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert learned.count(b"again") == 1 and len(mine.cache) + len(mine.old) < 40
+
+
 def test_odd_rows(spark, odd, none):
     got = packing.pack(spark, odd, PATH).collect()
     assert sum(p.length for p in got if p.doc_id == 1) == 1 and sum(p.length for p in got if p.doc_id == 5) == 2 * next(p.doc_tokens for p in got if p.doc_id == 5)

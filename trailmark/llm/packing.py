@@ -16,9 +16,13 @@ task needs a whole queue. Token ids are written once and shuffled once, to meet
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 import os
 import re
+import string
+import unicodedata
 import zlib
 
 import numpy as np
@@ -37,14 +41,32 @@ BUCKET = 512
 SPAN, ROUNDS = 4096, 256
 #: Up to so many queues (counted) are broadcast; beyond, only those with a thousandth of all documents are.
 SMALL = 100_000
-CACHE_BYTES = 128 << 20
-_PIECE = re.compile(r"[^\W_İ]++(?:(?=[!-&(-/:-@\[-`{-~])|[^ \t\n\r]*+)|[^ \t\n\r]++")
+#: Words are kept in two generations of about so many bytes.
+CACHE_BYTES = 64 << 20
+_LATIN = re.compile(r"[a-zß-öø-ı\u0133-ňŋ-ž]+")
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, 0x09, 0x0A, 0x0D]] = True
+_OTHER = np.ones(256, bool)
+_OTHER[[ord(c) for c in string.ascii_letters]] = False
+_WORD = ~_OTHER
+_WORD[[ord(c) for c in string.digits]] = True
 _tokenizers: dict = {}
 
 
+def _whole(c: str) -> bool:
+    """Whether a character is a letter or digit and stays one, or several, in normal form and lower case, by old and new tables of Unicode."""
+    return all(db.category(x)[0] in "LN" for x in unicodedata.normalize("NFC", c).lower() for db in (unicodedata, unicodedata.ucd_3_2_0))
+
+
+@functools.cache
+def _wholes() -> np.ndarray:
+    """For each number of a character below 65536, `_whole`."""
+    return np.array([not 0xD800 <= i < 0xE000 and _whole(chr(i)) for i in range(1 << 16)])
+
+
 def _plain(file: dict) -> tuple:
-    """(a tokenizer for words of ASCII letters with a space between them, whether they are put in lower case first, the suffix of tokens that end
-    a word), or (None, False, "") where the file has steps that may do anything else to such words."""
+    """(a tokenizer for words of lower-case Latin letters with a space between them, whether words are put in lower case first, the suffix of tokens
+    that end a word), or (None, False, "") where the file has steps that may do anything else to such words."""
     from tokenizers import Tokenizer
 
     steps = lambda x, name: [] if x is None else x[name] if x["type"] == "Sequence" else [x]
@@ -55,7 +77,8 @@ def _plain(file: dict) -> tuple:
     usual = all(x == white or x["type"] in ("NFC", "Lowercase") for x in before) and cut == [split, bytes_] and model["type"] == "BPE" and model["end_of_word_suffix"] and not model["dropout"]
     if not usual or any(x["content"].strip().isalpha() for x in file["added_tokens"]):
         return None, False, ""
-    tokenizer = Tokenizer.from_str(json.dumps(file | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+    short = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_]}
+    tokenizer = Tokenizer.from_str(json.dumps(file | {"normalizer": None, "pre_tokenizer": short}))
     return tokenizer, any(x["type"] == "Lowercase" for x in before), model["end_of_word_suffix"]
 
 
@@ -63,9 +86,12 @@ class CachedTokenizer:
     """Token ids of texts by a `tokenizers` file whose pieces never span white space; equal words are encoded once.
 
     Texts are cut at spaces, tabs and line ends, and where a letter or digit is followed by ASCII punctuation other than
-    an apostrophe; there such tokenizers always begin a new piece. Pieces not met before are encoded many to a string and told apart
-    by the tokens' offsets; pieces of ASCII letters only by the tokens that end a word, and, where the file has the usual steps (`_plain`),
-    without its normaliser and patterns, which leave such pieces whole. Tokenizers of another kind (spanning=True) encode whole texts.
+    an apostrophe, or what follows a letter in an added token; there such tokenizers always begin a new piece. The cuts are found on the
+    bytes of an Arrow column, whose equal pieces Arrow tells apart from others; only different pieces become Python objects.
+    Pieces not met before are encoded many to a string and told apart by the tokens' offsets; pieces of Latin letters only by the
+    tokens that end a word, and, where the file has the usual steps (`_plain`), without its normaliser and patterns, which leave such
+    pieces whole. Where such a file puts texts in lower case, pieces of ASCII letters are so before equal ones are sought. Tokenizers of
+    another kind (spanning=True) encode whole texts.
     """
 
     def __init__(self, path: str, spanning: bool = False) -> None:
@@ -74,53 +100,94 @@ class CachedTokenizer:
 
         self.tokenizer, self.spanning = Tokenizer.from_file(path), spanning
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.plain, self.lower, suffix = _plain(json.loads(self.tokenizer.to_str()))
+        file = json.loads(self.tokenizer.to_str())
+        self.plain, self.lower, suffix = _plain(file)
         if self.plain:
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
-        self.cache: dict[str, bytes] = {"": b""}
+        inner = {b for x in file["added_tokens"] for a, b in itertools.pairwise(x["content"]) if a.isalnum()}
+        self.marks = np.zeros(256, bool)
+        self.marks[[ord(c) for c in string.punctuation if c != "'" and c not in inner]] = True
+        self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.held = 0
 
-    def _learn_plain(self, words: list[str]) -> None:
+    def _keep(self, words: list[bytes], ids: list[bytes]) -> None:
+        self.cache.update(zip(words, ids, strict=True))
+        self.held += sum(map(len, words)) + sum(map(len, ids)) + 200 * len(words)
+
+    def _learn(self, words: list[bytes]) -> None:
         width = np.dtype(self.dtype).itemsize
-        for a in range(0, len(words), 2048):
-            part = words[a : a + 2048]
-            text = " ".join(part)
+        texts = [w.decode() for w in words]
+        latin = [bool(self.plain and _LATIN.fullmatch(t.lower() if self.lower else t)) for t in texts]
+        plain = list(itertools.compress(zip(words, texts, strict=True), latin))
+        for a in range(0, len(plain), 2048):
+            part, text = zip(*plain[a : a + 2048], strict=True)
+            text = " ".join(text)
             ids = np.array(self.plain.encode_batch_fast([text.lower() if self.lower else text], add_special_tokens=False)[0].ids, self.dtype)
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
             raw = ids.tobytes()
-            self.cache.update(zip(part, [raw[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
-            self.held += len(text) + len(raw) + 200 * len(part)
-
-    def _learn(self, words: list[str]) -> None:
-        if self.plain:
-            self._learn_plain([w for w in words if w.isascii() and w.isalpha()])
-            words = [w for w in words if not (w.isascii() and w.isalpha())]
-        for a in range(0, len(words), 512):
-            part = words[a : a + 512]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            lengths = np.fromiter(map(len, part), np.int64, len(part)) + 1
+            self._keep(part, [raw[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)])
+        others = [(w, t) for w, t, x in zip(words, texts, latin, strict=True) if not x]
+        for a in range(0, len(others), 512):
+            part, text = zip(*others[a : a + 512], strict=True)
+            e = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
+            lengths = np.fromiter(map(len, text), np.int64, len(text)) + 1
             begins = np.array([o[0] for o in e.offsets], np.int64)
-            cuts = np.searchsorted(begins, np.concatenate([[0], np.cumsum(lengths)]))
-            ids = np.array(e.ids, self.dtype).tobytes()
-            cuts = (cuts * np.dtype(self.dtype).itemsize).tolist()
-            for w, i, j in zip(part, cuts[:-1], cuts[1:], strict=True):
-                self.cache[w] = ids[i:j]
-                self.held += len(w) + j - i + 200
-
-    def ids(self, texts: list[str]) -> list[bytes]:
+            cuts = (np.searchsorted(begins, np.concatenate([[0], np.cumsum(lengths)])) * width).tolist()
+            raw = np.array(e.ids, self.dtype).tobytes()
+            self._keep(part, [raw[i:j] for i, j in itertools.pairwise(cuts)])
+
+    def _pieces(self, buf: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """(all pieces of some texts, the first of each text and their number)."""
+        inside = ~_WHITE[buf]
+        begin = inside.copy()
+        begin[1:] &= ~inside[:-1]
+        edges = offs[:-1][offs[:-1] < len(buf)]
+        begin[edges] = inside[edges]
+        marks = self.marks[buf[1:]]
+        begin[1:] |= marks & _WORD[buf[:-1]]
+        at = np.flatnonzero(marks & (buf[:-1] >= 128)) + 1
+        x, y, z = (np.where(at >= i, buf[at - i], 0).astype(np.int64) for i in (1, 2, 3))
+        number = np.where((y >= 0xC2) & (y < 0xE0), (y & 31) << 6 | (x & 63), np.where((y < 0xC0) & (y >= 0x80) & (z >= 0xE0) & (z < 0xF0), (z & 15) << 12 | (y & 63) << 6 | (x & 63), 0))
+        begin[at[_wholes()[number]]] = True
+        last = inside.copy()
+        last[:-1] &= ~inside[1:] | begin[1:]
+        starts = np.flatnonzero(begin)
+        to = np.zeros(len(starts) + 1, np.int64)
+        lengths = np.flatnonzero(last) + 1 - starts
+        np.cumsum(lengths, out=to[1:])
+        data = buf[inside]
+        if self.lower and len(starts):
+            data |= np.repeat(~np.logical_or.reduceat(_OTHER[data], to[:-1]), lengths).view(np.uint8) << 5
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(to), pa.py_buffer(data)])
+        return pieces, np.searchsorted(starts, offs)
+
+    def encode(self, column: pa.Array, tail: bytes = b"") -> tuple[np.ndarray, pa.Buffer]:
+        """(where each text's ids begin, and the end; the bytes of all ids): each text has its ids and `tail`."""
         if self.spanning:
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            raw = [np.array(e.ids, self.dtype).tobytes() + tail for e in self.tokenizer.encode_batch_fast([x or "" for x in column.to_pylist()], add_special_tokens=False)]
+            return np.cumsum([0, *map(len, raw)]), pa.py_buffer(b"".join(raw))
+        buf, offs = th.text_buffers(column)
+        pieces, first = self._pieces(buf, offs)
+        coded = pieces.dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if self.held > CACHE_BYTES:
-            self.cache = {"": b""}
-            self.held = 0
-        get = self.cache.get
-        split = [_PIECE.findall(t) for t in texts]
-        found = [list(map(get, ws)) for ws in split]
-        new = set().union(*(ws for ws, bs in zip(split, found, strict=True) if None in bs)).difference(self.cache)
-        if new:
-            self._learn(list(new))
-        return [b"".join(map(get, ws)) if None in bs else b"".join(bs) for ws, bs in zip(split, found, strict=True)]
+            self.old, self.cache, self.held = self.cache, {}, 0
+        new = [w for w in words if w not in self.cache]
+        again = [w for w in new if w in self.old]
+        self._keep(again, [self.old[w] for w in again])
+        self._learn([w for w in new if w not in self.old])
+        values = pa.array([*map(self.cache.__getitem__, words), tail], pa.large_binary())
+        all_ids = values.take(pa.array(np.insert(coded.indices.to_numpy(), first[1:], len(words))))
+        _, to, data = all_ids.buffers()
+        to = np.frombuffer(to, np.int64)[all_ids.offset :]
+        return to[first + np.arange(len(first))], data or pa.py_buffer(b"")
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        to, data = self.encode(pa.array(texts, pa.large_string()))
+        raw = data.to_pybytes()
+        return [raw[a:b] for a, b in itertools.pairwise(to.tolist())]
 
 
 def tokenizer(path: str, spanning: bool = False) -> CachedTokenizer:
@@ -224,10 +291,13 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, window: int = WINDOW,
         tail = np.array([end], t.dtype).tobytes()
         width = np.dtype(t.dtype).itemsize
         for batch in batches:
-            for part in th.slices(batch, "text", most=2 << 20):
-                ids = [b + tail for b in t.ids(part.column(2).to_pylist())]
+            for part in th.slices(batch, "text"):
+                to, data = t.encode(part.column(2), tail)
+                ids = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(to), data]).cast(pa.binary())
+                raw = memoryview(data)
+                crc = [zlib.crc32(raw[a:b]) for a, b in itertools.pairwise(to.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:2], pa.array([len(b) // width for b in ids], pa.int64()), pa.array([zlib.crc32(b) for b in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    [*part.columns[:2], pa.array(np.diff(to) // width), pa.array(crc, pa.int64()), ids],
                     names=["doc_id", "queue", "n", "crc", "ids"],
                 )
 
