@@ -517,5 +517,5 @@ def prepared(
             return placed
         return placed.withColumn("_video", video).join(videos, "_video").select(*by, (F.col("frame") - F.shiftleft("_video", STEP_BITS)).alias("frame"), *(c for c in placed.columns if c not in (*by, "frame")))
 
-    solve = lambda c, k, g, states=False: solve_segments(c, k, g, parts, n, solver, plan, chain_frames, keep, algorithm, relaxed_radius, states)
+    solve = lambda c, k, g, states=False: solve_segments(c, k, g, parts, n, solver, plan, chain_frames, keep, algorithm, relaxed_radius, *([True] if states else []))
     return Run(sparse, clustered, segs, plan, parts, n, solve, recluster, accept, finish, keep)
